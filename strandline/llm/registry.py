@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from . import simhash, substring
 from .common import table
-from .simhash import near_duplicates
+
+
+def op1_substring(spark, sf_dir):
+    return substring.without_repeats(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_sentences", "n_removed")
 
 
 def op10_simhash(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 QUERIES = {
+    "op1_substring": op1_substring,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_substring": substring.SQL,
+}
