@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import simhash, substring
+from . import packing, simhash, substring
 from .common import table
 
 
@@ -10,12 +10,17 @@ def op1_substring(spark, sf_dir):
     return substring.without_repeats(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_sentences", "n_removed")
 
 
+def op3_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 QUERIES = {
     "op1_substring": op1_substring,
+    "op3_packing": op3_packing,
     "op10_simhash": op10_simhash,
 }
 
