@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, simhash, substring
+from . import decontaminate, packing, simhash, substring
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op3_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_decontaminate(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -21,6 +25,7 @@ def op10_simhash(spark, sf_dir):
 QUERIES = {
     "op1_substring": op1_substring,
     "op3_packing": op3_packing,
+    "op9_decontaminate": op9_decontaminate,
     "op10_simhash": op10_simhash,
 }
 
