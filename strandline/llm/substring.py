@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 LONG, RUN_SENTENCES, RUN_WORDS = 25, 2, 12
 STOP = re.compile(rb"[.!?][ \t-\r]+|\n[ \t-\r]*")
-PIECE = re.compile(rb"(?:[^ \t-\r]+[ \t-\r]+){%d}" % LONG)
+WORD = re.compile(rb"[^ \t-\r]+[ \t-\r]*")
 
 
 def sentences(text: bytes) -> list[bytes]:
@@ -31,12 +31,10 @@ def sentences(text: bytes) -> list[bytes]:
     for end in [*(m.end() for m in STOP.finditer(text)), len(text)]:
         if end > at:
             s = text[at:end]
-            if len(s) > 2 * LONG:
-                k = 0
-                for m in PIECE.finditer(s):
-                    out.append(s[k : m.end()])
-                    k = m.end()
-                s = s[k:]
+            if len(s) > 2 * LONG and len(s.split()) > LONG:
+                ends = [m.end() for m in WORD.finditer(s)][LONG - 1 :: LONG]
+                out += [s[a:b] for a, b in zip([0, *ends], ends)]
+                s = s[ends[-1] :]
             if s:
                 out.append(s)
             at = end
