@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, simhash, substring
+from . import decontaminate, embedding, packing, simhash, substring
 from .common import table
 
 
@@ -10,6 +10,10 @@ def op1_substring(spark, sf_dir):
     return substring.without_repeats(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_sentences", "n_removed")
 
 
+def op2_embedding(spark, sf_dir):
+    return embedding.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -24,6 +28,7 @@ def op10_simhash(spark, sf_dir):
 
 QUERIES = {
     "op1_substring": op1_substring,
+    "op2_embedding": op2_embedding,
     "op3_packing": op3_packing,
     "op9_decontaminate": op9_decontaminate,
     "op10_simhash": op10_simhash,
@@ -31,4 +36,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_substring": substring.SQL,
+    "op2_embedding": embedding.SQL,
 }
