@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding, packing, simhash, substring
+from . import decontaminate, embedding, language, packing, quality, simhash, substring
 from .common import table
 
 
@@ -18,6 +18,14 @@ def op3_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_language(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -30,6 +38,8 @@ QUERIES = {
     "op1_substring": op1_substring,
     "op2_embedding": op2_embedding,
     "op3_packing": op3_packing,
+    "op6_quality": op6_quality,
+    "op7_language": op7_language,
     "op9_decontaminate": op9_decontaminate,
     "op10_simhash": op10_simhash,
 }
