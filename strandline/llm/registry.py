@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding, language, packing, quality, simhash, substring
+from . import decontaminate, embedding, language, packing, quality, simhash, substring, warc
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op7_language(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark, sf_dir):
+    return warc.archived(table(spark, sf_dir, "pages")).drop("record_id")
+
+
 def op9_decontaminate(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -40,6 +44,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op6_quality": op6_quality,
     "op7_language": op7_language,
+    "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
     "op10_simhash": op10_simhash,
 }
@@ -47,4 +52,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_substring": substring.SQL,
     "op2_embedding": embedding.SQL,
+    "op8_warc": warc.SQL,
 }
