@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding, language, packing, quality, simhash, substring, warc
+from . import chat, decontaminate, embedding, language, packing, quality, simhash, substring, warc
 from .common import table
 
 
@@ -18,6 +18,11 @@ def op3_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_chat(spark, sf_dir):
+    rows = chat.with_probe(spark, table(spark, sf_dir, "conversations"))
+    return chat.read_back(chat.format_turns(rows))
+
+
 def op6_quality(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,6 +47,7 @@ QUERIES = {
     "op1_substring": op1_substring,
     "op2_embedding": op2_embedding,
     "op3_packing": op3_packing,
+    "op4_chat": op4_chat,
     "op6_quality": op6_quality,
     "op7_language": op7_language,
     "op8_warc": op8_warc,
@@ -52,5 +58,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_substring": substring.SQL,
     "op2_embedding": embedding.SQL,
+    "op4_chat": chat.SQL,
     "op8_warc": warc.SQL,
 }
