@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, embedding, language, packing, quality, simhash, substring, warc
+from . import chat, decontaminate, embedding, language, licenses, packing, quality, simhash, substring, warc
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op4_chat(spark, sf_dir):
     return chat.read_back(chat.format_turns(rows))
 
 
+def op5_licenses(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op2_embedding": op2_embedding,
     "op3_packing": op3_packing,
     "op4_chat": op4_chat,
+    "op5_licenses": op5_licenses,
     "op6_quality": op6_quality,
     "op7_language": op7_language,
     "op8_warc": op8_warc,
@@ -59,5 +64,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_substring": substring.SQL,
     "op2_embedding": embedding.SQL,
     "op4_chat": chat.SQL,
+    "op5_licenses": licenses.sql(),
     "op8_warc": warc.SQL,
 }
