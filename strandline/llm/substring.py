@@ -20,6 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 LONG, RUN_SENTENCES, RUN_WORDS = 25, 2, 12
 STOP = re.compile(rb"[.!?][ \t-\r]+|\n[ \t-\r]*")
 WORD = re.compile(rb"[^ \t-\r]+[ \t-\r]*")
@@ -67,26 +69,29 @@ def runs(text: bytes) -> tuple[list[bytes], list[int], list[int]]:
 
 def _all_runs(batches):
     for b in batches:
-        ids, digests, first, after = [], [], [], []
+        ids, digests, first, after, again = [], [], [], [], []
         for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if text:
                 d, f, a = runs(text)
+                met = set()
+                again += [x in met or met.add(x) is not None for x in d]
                 digests += d
                 first += f
                 after += a
                 ids += [doc_id] * len(d)
         h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-        cols = [pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(ids, pa.int64()), pa.array(first, pa.int32()), pa.array(after, pa.int32())]
-        yield pa.RecordBatch.from_arrays(cols, names=["h1", "h2", "doc_id", "first", "after"])
+        cols = [pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(ids, pa.int64()), pa.array(first, pa.int32()), pa.array(after, pa.int32()), pa.array(again, pa.bool_())]
+        yield pa.RecordBatch.from_arrays(cols, names=["h1", "h2", "doc_id", "first", "after", "again"])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """``doc_id, first, after``: sentence ranges of ``docs(doc_id, text)`` that repeat an earlier run."""
     found = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("text"))
-    found = found.mapInArrow(_all_runs, "h1 long, h2 long, doc_id long, first int, after int")
-    heads = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "first")).alias("head")).where("n > 1")
-    heads = heads.select("h1", "h2", F.col("head.doc_id").alias("head_id"), F.col("head.first").alias("head_at"))
-    return found.join(heads, ["h1", "h2"]).where("doc_id <> head_id or first <> head_at").select("doc_id", "first", "after")
+    found = found.mapInArrow(_all_runs, "h1 long, h2 long, doc_id long, first int, after int, again boolean")
+    # A run's first place in its own document is known at once, so the corpus only has to find the first document.
+    heads = found.where("not again").groupBy("h1", "h2").agg(F.min("doc_id").alias("head_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    heads = stored(heads.select("h1", "h2", "head_id"), "run-heads")  # so that the join below reads two exchanges and can split a hot run
+    return found.join(heads, ["h1", "h2"], "left").where("again or doc_id <> head_id").select("doc_id", "first", "after")
 
 
 def _cut(batches):
