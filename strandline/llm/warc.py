@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gzip
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from .arc import ArcRecord, payload_of, read_arc, read_warc, record_id, sha1, to_warc, write_arc
 from .common import new_path, stored
 
-#: Payloads of so many bytes and more are stored once. Bytes of a WARC file, about. Pages of an ARC batch. Every page's timestamp.
+#: Payloads of so many bytes and more are stored once. Bytes of a WARC file before gzip, about. Pages of an ARC batch. Every page's timestamp.
 LEAST, FILE_BYTES, ARC_PAGES, CAPTURED = 0, 32 << 20, 256, "19990101000000"
 BETWEEN = "\r\n\r\n"  # what ends a WARC record is the line separator of Spark's text writer
 
@@ -37,7 +39,7 @@ def _convert(batches):
 
 
 def write(pages: DataFrame, path: str, least: int = LEAST) -> None:
-    """A WARC record for each row of ``pages(page_id, url, html)``, in files under ``path``.
+    """A WARC record for each row of ``pages(page_id, url, html)``, in gzip files under ``path``.
 
     Of rows with equal payloads of ``least`` bytes or more, those with the
     smallest page_id are responses and the others revisit it; smaller payloads
@@ -52,14 +54,14 @@ def write(pages: DataFrame, path: str, least: int = LEAST) -> None:
     firsts = seen.where(F.col("n") >= least).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     told = pages.join(firsts.select("sha1", "first"), "sha1", "left").select("page_id", "url", "html", "first")
     records = told.mapInArrow(_convert, "value binary").select(F.col("value").cast("string").alias("value"))
-    records.write.option("lineSep", BETWEEN).option("maxRecordsPerFile", max(1, int(FILE_BYTES / (size + 600)))).text(path)
+    records.write.option("lineSep", BETWEEN).option("compression", "gzip").option("maxRecordsPerFile", max(1, int(FILE_BYTES / (size + 600)))).text(path)
 
 
 def _records(batches):
     for b in batches:
         for data in b.column(0):
             rows = []
-            for fields, block in read_warc(data.as_buffer().to_pybytes()):
+            for fields, block in read_warc(gzip.decompress(data.as_buffer())):
                 if fields["warc-type"] not in ("response", "revisit"):
                     continue
                 head, payload = payload_of(block)
