@@ -27,10 +27,12 @@ def document_text(title: Column, abstract: Column) -> Column:
 def abstract_from_index(index: Column) -> Column:
     """Words put at their positions; gaps keep their blanks, and of words at one position the later entry stays."""
     entry = F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w"))))
-    placed = F.flatten(entry)
-    order = F.array_sort(F.transform(placed, lambda x, i: F.struct(x["p"].alias("p"), i.alias("i"), x["w"].alias("w"))))
-    kept = F.filter(order, lambda x, i: F.coalesce(F.get(order, i + 1)["p"] != x["p"], F.lit(True)))
-    spaced = F.transform(kept, lambda x, i: F.concat(F.repeat(F.lit(" "), x["p"] - F.when(i == 0, F.lit(0)).otherwise(F.get(kept, i - 1)["p"])), x["w"]))
+    placed = F.array_sort(F.transform(F.flatten(entry), lambda x, i: F.struct(x["p"].alias("p"), i.alias("i"), x["w"].alias("w"))))
+    # Neighbours meet by zipping a list with itself, one further: a lambda that looked into the list would build it anew for every word.
+    after = F.slice(placed, F.lit(2), F.size(placed))
+    last = F.array_compact(F.zip_with(placed, after, lambda x, y: F.when(y.isNull() | (y["p"] != x["p"]), x)))
+    before = F.concat(F.array(F.lit(None).cast("struct<p:int,i:int,w:string>")), last)
+    spaced = F.zip_with(last, before, lambda x, y: F.concat(F.repeat(F.lit(" "), x["p"] - F.coalesce(y["p"], F.lit(0))), x["w"]))
     return F.coalesce(F.trim(F.array_join(spaced, "")), F.lit(""))
 
 

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 
 @dataclass(frozen=True)
 class Caps:
@@ -53,9 +55,10 @@ def neighbours(parents: DataFrame, works: DataFrame, cites: DataFrame, caps: Cap
         by = [F.xxhash64("id", F.lit(caps.sample_seed)), F.col("id")]
     else:
         by = [F.desc("cited_by_count"), F.col("pos"), F.col("id")]
-    cut = both.withColumn("rank", F.row_number().over(group.orderBy(*by))).where(F.col("rank") <= caps.fanout)
-    over = F.count(F.lit(1)).over(group) >= caps.fanout
-    cut = cut.withColumn("rank", F.when((F.col("side") == 0) & ~over, F.col("pos")).otherwise(F.col("rank").cast("long")))
+    # One row more than the cap tells whether there are too many; the planner cuts groups before it sorts them.
+    cut = both.withColumn("rank", F.row_number().over(group.orderBy(*by))).where(F.col("rank") <= caps.fanout + 1)
+    cut = cut.withColumn("over", F.count(F.lit(1)).over(group) > caps.fanout).where(F.col("rank") <= caps.fanout)
+    cut = cut.withColumn("rank", F.when((F.col("side") == 0) & ~F.col("over"), F.col("pos")).otherwise(F.col("rank").cast("long")))
     order = F.struct("parent_ord", "side", "rank", "id")
     return cut.select("parent", "id", (F.col("side") == 0).alias("backward"), "cited_by_count", order.alias("ord"))
 
@@ -79,14 +82,14 @@ def expand(works: DataFrame, cites: DataFrame, seed, caps: Caps = Caps()) -> Exp
     of the seed counts too. The frontier is capped, so it is the broadcast side;
     the citation table is read, never shuffled, before its rows are cut to it.
     """
-    nodes = works.where(F.col("id") == F.lit(seed)).limit(1).select("id", F.lit(0).alias("hop"), "cited_by_count", F.lit(0).cast("long").alias("ord"))
+    nodes = stored(works.where(F.col("id") == F.lit(seed)).limit(1).select("id", F.lit(0).alias("hop"), "cited_by_count", F.lit(0).cast("long").alias("ord")), "nodes")
     parents, edges, refused = nodes, None, None
     for hop in (1, 2):
-        met = neighbours(parents, works, cites, caps).persist()
-        known = nodes.persist()
-        let_in, no = _admit(known, met, hop, caps, known.count())
-        let_in = let_in.persist()
-        nodes = known.unionByName(let_in)
+        # Both are capped by now; written down, they keep the plans of the next hop and of whoever reads the result small.
+        met = stored(neighbours(parents, works, cites, caps), "met")
+        let_in, no = _admit(nodes, met, hop, caps, nodes.count())
+        let_in = stored(let_in, "let-in")
+        nodes = stored(nodes.unionByName(let_in), "nodes")
         inside = met.join(F.broadcast(nodes.select("id")), "id", "left_semi")
         pair = inside.select(F.when(F.col("backward"), F.col("parent")).otherwise(F.col("id")).alias("source"), F.when(F.col("backward"), F.col("id")).otherwise(F.col("parent")).alias("target"), F.struct(F.lit(hop).alias("hop"), "ord").alias("at"))
         edges = pair if edges is None else edges.unionByName(pair)
@@ -94,4 +97,4 @@ def expand(works: DataFrame, cites: DataFrame, seed, caps: Caps = Caps()) -> Exp
         parents = let_in
     edges = edges.groupBy("source", "target").agg(F.min("at").alias("at"))
     edges = _numbered(edges.orderBy("at").limit(4 * caps.total * caps.fanout + caps.total), F.col("at")).select("source", "target", F.col("ord").cast("long").alias("ord"))
-    return Expansion(nodes, edges, refused.agg((F.sum("refused") > 0).alias("truncated")))
+    return Expansion(nodes, stored(edges, "edges"), refused.agg((F.sum("refused") > 0).alias("truncated")))

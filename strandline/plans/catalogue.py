@@ -1,4 +1,504 @@
-"""Every query of the lineage engine, by name, with its DuckDB text."""
+"""Every query of the lineage engine, by name, with its DuckDB text.
+
+The inputs come from the order tables (``sources.substrate``). Queries that
+need an expansion share one: the most cited work, three neighbours in each
+direction, sixty works in all.
+"""
+
+from __future__ import annotations
+
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import ids, text, wording
+from ..operators import contract, direction, enrich, layout, lookup, prompts, relate, select, throttle
+from ..operators.expand import Caps, Expansion, expand
+from ..sources import records, substrate
+from ..sources.shared import stored
+from ..sources.substrate import read
+from .oracle import ORACLE_SQL
+
+CAPS, TOP_K, PREFILTER, IDEA = Caps(total=60, fanout=3), 12, 20, "small red ring of the ancient widget"
+THROTTLE_S, THROTTLE_LIMIT = 3 * 24 * 3600, 2
 
 QUERIES = {}
-ORACLE_SQL = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+class Setting:
+    """The works, citations, seed and expansion that lineage queries start from."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+        self.works = substrate.works(spark, sf_dir).persist()
+        self.cites = substrate.citations(spark, sf_dir).persist()
+        self.seed = substrate.seed(self.works)
+
+    @cached_property
+    def expansion(self) -> Expansion:
+        return expand(self.works, self.cites, self.seed, CAPS)
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        """The expansion's nodes as full records; capped, so written down once."""
+        return stored(self.expansion.nodes.drop("cited_by_count").join(self.works, "id"), "records")
+
+    @property
+    def edges(self) -> DataFrame:
+        return self.expansion.edges
+
+    @cached_property
+    def refs(self) -> DataFrame:
+        """What the second source says of the seed's neighbours: made from the lines that tie the two orders, with spellings that differ."""
+        lines = read(self.spark, self.sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_returnflag").alias("flag"), F.max("l_discount").alias("discount"))
+        cited = self.cites.where(F.col("src") == F.lit(self.seed)).select(F.col("tgt").alias("id"), F.lit("cited").alias("direction"), F.lit(0).alias("side"))
+        citing = self.cites.where(F.col("tgt") == F.lit(self.seed)).select(F.col("src").alias("id"), F.lit("citing").alias("direction"), F.lit(1).alias("side"))
+        both = cited.unionByName(citing).join(lines, F.col("id") == F.col("l_orderkey"))
+        key = F.col("id").cast("string")
+        spelt = F.when(F.col("id") % 4 == 0, F.concat(F.lit("https://doi.org/10.0/"), key)).when(F.col("id") % 4 == 1, F.concat(F.lit(" DOI:10.0/"), key)).when(F.col("id") % 4 == 2, F.concat(F.lit("HTTP://doi.org/10.0/"), key)).otherwise(F.concat(F.lit("10.0/"), key))
+        intent = F.when(F.col("flag") == "A", "methodology").when(F.col("flag") == "R", "result").otherwise("background")
+        return stored(both.select(spelt.alias("doi"), "direction", F.when(F.col("id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(intent)).alias("intents"), (F.col("discount") >= 0.08).alias("is_influential"), F.concat(F.lit("abstract of "), key).alias("abstract"), (F.col("side") * 1_000_000_000_000 + F.col("id")).alias("ord")), "refs")
+
+    @cached_property
+    def enriched(self) -> enrich.Enriched:
+        e = enrich.enrich(self.nodes, self.edges, self.works, self.refs, self.seed)
+        return enrich.Enriched(e.nodes, stored(e.edges, "labelled"), e.report)
+
+    @property
+    def clustered(self) -> DataFrame:
+        """Nodes with their venue as cluster."""
+        return self.nodes.withColumn("cluster_id", F.col("venue"))
+
+    def reply(self, text: str) -> DataFrame:
+        return self.spark.createDataFrame([(text,)], "reply string")
+
+
+# Identifiers and parsers
+
+
+def _spellings(spark, sf_dir) -> DataFrame:
+    key = F.col("o_orderkey").cast("string")
+    form = F.col("o_orderkey") % 7
+    raw_id = F.when(form == 0, F.concat(F.lit("https://openalex.org/W"), key)).when(form == 1, F.concat(F.lit(" w"), key)).when(form == 2, F.concat(F.lit("S2:ab"), key)).otherwise(F.concat(F.lit("W"), key))
+    raw_doi = F.when(form == 0, F.concat(F.lit("https://doi.org/10.0/A"), key)).when(form == 1, F.concat(F.lit(" DOI:10.0/"), key)).when(form == 2, F.concat(F.lit("http://doi.org/10.0/"), key)).when(form == 3, "").when(form == 4, F.concat(F.lit("https://doi.org/doi:10.0/"), key)).when(form == 5, F.concat(F.lit("10.0/Xy"), key))
+    arxiv = F.when(form.isin(3, 5), F.concat(F.lit("ARX."), key))
+    return read(spark, sf_dir, "orders").select("o_orderkey", raw_id.alias("raw_id"), raw_doi.alias("raw_doi"), arxiv.alias("arxiv"))
+
+
+@query
+def normalize_work_id(spark, sf_dir):
+    return _spellings(spark, sf_dir).select("o_orderkey", ids.work_id(F.col("raw_id")).alias("work_id"))
+
+
+@query
+def normalize_doi(spark, sf_dir):
+    return _spellings(spark, sf_dir).select("o_orderkey", ids.doi(F.col("raw_doi")).alias("doi"))
+
+
+@query
+def dedupe_key(spark, sf_dir):
+    s = _spellings(spark, sf_dir)
+    external = records.present(F.create_map(F.lit("arxiv"), F.col("arxiv")))
+    return s.select("o_orderkey", ids.dedupe_key(F.col("raw_doi"), external, F.col("raw_id")).alias("dedupe_key"), ids.seed_reference(F.col("raw_doi"), external).alias("seed_reference"))
+
+
+@query
+def s2_reference(spark, sf_dir):
+    s = _spellings(spark, sf_dir)
+    any_id = F.coalesce(ids.blank_to_null(F.col("raw_doi")), F.concat(F.lit("arXiv:"), F.col("arxiv")), F.col("raw_id"))
+    return s.select("o_orderkey", ids.neighbour_reference(any_id).alias("reference"))
+
+
+@query
+def parse_source_record(spark, sf_dir):
+    s = Setting(spark, sf_dir)
+    refs = s.cites.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list("tgt")).alias("refs"))
+    w = s.works.join(refs, "id", "left")
+    form, key = F.col("id") % 3, F.col("id").cast("string")
+    raw = F.to_json(
+        F.struct(
+            F.concat(F.when(form == 0, "https://openalex.org/w").otherwise("W"), key).alias("id"),
+            F.when(form == 1, F.col("title")).alias("display_name"),
+            F.when(form == 2, F.col("title")).alias("title"),
+            "publication_year",
+            F.when(F.col("cited_by_count") > 0, F.col("cited_by_count")).alias("cited_by_count"),
+            F.transform("authors", lambda a: F.struct(F.struct(a.alias("display_name")).alias("author"))).alias("authorships"),
+            F.struct(F.struct(F.col("venue").alias("display_name")).alias("source"), F.when(form == 1, F.concat(F.lit("https://arxiv.org/abs/"), key)).alias("landing_page_url")).alias("primary_location"),
+            F.when(form == 0, F.concat(F.lit("https://doi.org/10.0/Q"), key)).alias("doi"),
+            F.transform(F.coalesce("refs", F.array()), lambda x: F.concat(F.lit("https://openalex.org/W"), x.cast("string"))).alias("referenced_works"),
+        )
+    )
+    got = records.works_from_json(w.select(raw.alias("raw")), "raw")
+    return got.select("id", "title", "publication_year", "cited_by_count", F.array_join("authors", "|").alias("authors"), "venue", "doi", F.array_join("referenced_works", "|").alias("referenced_works"), F.col("external_ids")["doi"].alias("ext_doi"), F.col("external_ids")["arxiv"].alias("ext_arxiv"))
+
+
+@query
+def parse_neighbour_record(spark, sf_dir):
+    s = Setting(spark, sf_dir)
+    key = F.col("id").cast("string")
+    paper = F.struct(
+        F.when(F.col("id") % 5 != 0, key).otherwise("").alias("paperId"),
+        F.create_map(F.lit("DOI"), F.concat(F.lit("10.0/Q"), key), F.lit("ArXiv"), F.when(F.col("id") % 3 == 0, key)).alias("externalIds"),
+        F.when(F.col("id") % 4 != 0, F.col("title")).alias("title"), F.col("publication_year").alias("year"), F.col("venue"), F.col("cited_by_count").alias("citationCount"),
+        F.transform("authors", lambda a: F.struct(a.alias("name"))).alias("authors"),
+    )
+    item = F.struct(F.array(F.lit("background"), F.lit(" ")).alias("intents"), (F.col("id") % 2 == 0).alias("isInfluential"), paper.alias("citedPaper"))
+    got = records.neighbours_from_json(s.works.select(F.to_json(F.struct(F.array(item).alias("data"))).alias("raw")), "raw", "citedPaper")
+    return got.select("id", "title", "publication_year", "cited_by_count", F.array_join("authors", "|").alias("authors"), "venue", "doi", F.col("external_ids")["arxiv"].alias("ext_arxiv"), F.array_join("intents", "|").alias("intents"), "is_influential")
+
+
+@query
+def reconstruct_abstract(spark, sf_dir):
+    """Every document's words put into an inverted index and back; line breaks become single blanks."""
+    words = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"[ \t\n\r\f\x0B]+")).alias("pos", "word"))
+    index = words.groupBy("doc_id", "word").agg(F.collect_list("pos").alias("at")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("index"))
+    return index.select("doc_id", F.md5(text.abstract(F.lit(""), F.col("index"))).alias("abstract_md5"))
+
+
+# Text and search
+
+
+@query
+def tokenize_documents(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("t"))
+    return d.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
+
+
+@query
+def bm25_scores_orders(spark, sf_dir):
+    return select.scored(Setting(spark, sf_dir).works, IDEA).select("id", "score")
+
+
+@query
+def bm25_scores_documents(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("").alias("title"), F.col("text").alias("abstract"))
+    return select.scored(d, "the reer of heonand").select("id", "score")
+
+
+@query
+def bm25_top_k(spark, sf_dir):
+    return lookup.search(Setting(spark, sf_dir).works, IDEA, 25).select("id", "score")
+
+
+@query
+def search_seed_candidates(spark, sf_dir):
+    s = Setting(spark, sf_dir)
+    other = s.works.select((F.col("id") + 0).alias("id"), "title", "cited_by_count", F.upper("doi").alias("doi"))
+    title = s.works.where(F.col("id") == F.lit(s.seed)).first().title
+    return lookup.seed_candidates(s.works, other, title, 10)
+
+
+@query
+def lookup_by_ids(spark, sf_dir):
+    s = Setting(spark, sf_dir)
+    asked = read(spark, sf_dir, "events").select((F.col("event_id") * 3).alias("id"))
+    found = lookup.by_ids(s.works, asked).select("id", F.lit("found").alias("state"))
+    return found.unionByName(lookup.missing(s.works, asked).select("id", F.lit("missing").alias("state")))
+
+
+@query
+def lookup_by_doi(spark, sf_dir):
+    s = Setting(spark, sf_dir)
+    twice = s.works.select("id", "doi").unionByName(s.works.select((F.col("id") + 10_000_000).alias("id"), F.upper("doi").alias("doi")))
+    asked = _spellings(spark, sf_dir).select(F.col("raw_doi").alias("doi"))
+    return lookup.by_doi(twice, asked).select("asked_doi", "id")
+
+
+@query
+def cache_merge(spark, sf_dir):
+    s = Setting(spark, sf_dir)
+    cache = s.works.where("id % 2 = 0").select("id", F.lit("cache").alias("origin"))
+    fetched = s.works.where("id % 3 = 0").select("id", F.lit("fetched").alias("origin"))
+    return lookup.cached_or_fetched(cache, fetched)
+
+
+@query
+def citing_works_top_n(spark, sf_dir):
+    s = Setting(spark, sf_dir)
+    return lookup.citing(s.works, s.cites, s.works, 3).select("cited_id", "id", "cited_by_count", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def references_top_n(spark, sf_dir):
+    s = Setting(spark, sf_dir)
+    return lookup.references(s.works, s.cites, s.works, 2).select("citing_id", "id", "cited_by_count", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def citing_works_sample(spark, sf_dir):
+    s = Setting(spark, sf_dir)
+    return lookup.citing(s.works, s.cites, s.works, 2, "random", 11).select("cited_id", "id")
+
+
+# Expansion and enrichment
+
+
+@query
+def expand_nodes(spark, sf_dir):
+    return Setting(spark, sf_dir).expansion.nodes
+
+
+@query
+def expand_edges(spark, sf_dir):
+    return Setting(spark, sf_dir).expansion.edges
+
+
+@query
+def expand_truncated(spark, sf_dir):
+    s = Setting(spark, sf_dir)
+    return expand(s.works, s.cites, s.seed, Caps(total=10, fanout=3)).refused
+
+
+@query
+def expand_hop_counts(spark, sf_dir):
+    return Setting(spark, sf_dir).expansion.nodes.groupBy(F.col("hop").cast("long").alias("hop")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def enrich_edge_intents(spark, sf_dir):
+    e = Setting(spark, sf_dir).enriched.edges
+    return e.select("source", "target", F.array_join("intents", ",").alias("intents"), "is_influential")
+
+
+@query
+def enrich_abstracts(spark, sf_dir):
+    return Setting(spark, sf_dir).enriched.nodes.select("id", F.md5("abstract").alias("abstract_md5"))
+
+
+@query
+def enrich_report(spark, sf_dir):
+    return Setting(spark, sf_dir).enriched.report
+
+
+# Direction, relationship, selection
+
+
+@query
+def classify_directions(spark, sf_dir):
+    s = Setting(spark, sf_dir)
+    return direction.classify(s.works, s.cites.select(F.col("src").alias("source"), F.col("tgt").alias("target")), s.seed)
+
+
+@query
+def seed_edge_intents(spark, sf_dir):
+    s = Setting(spark, sf_dir)
+    return direction.seed_edge_intents(s.enriched.edges, s.seed)
+
+
+@query
+def describe_relationship(spark, sf_dir):
+    s = Setting(spark, sf_dir)
+    return relate.relationships(s.nodes, s.enriched.edges, s.seed)
+
+
+@query
+def relationship_after_filter(spark, sf_dir):
+    """Over the kept graph, where bridges may be missing and intents are forgotten."""
+    s = Setting(spark, sf_dir)
+    g = select.filter_by_idea(s.nodes, s.edges, s.seed, IDEA, TOP_K)
+    bare = g.edges.select("source", "target", F.array().cast("array<string>").alias("intents"), F.lit(False).alias("is_influential"), "ord")
+    return relate.relationships(g.nodes, bare, s.seed)
+
+
+@query
+def filter_by_idea_nodes(spark, sf_dir):
+    s = Setting(spark, sf_dir)
+    return select.filter_by_idea(s.nodes, s.edges, s.seed, IDEA, TOP_K).nodes.select("id", "hop", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def filter_by_idea_edges(spark, sf_dir):
+    s = Setting(spark, sf_dir)
+    return select.filter_by_idea(s.nodes, s.edges, s.seed, IDEA, TOP_K).edges.select("source", "target")
+
+
+def _candidates(s: Setting) -> DataFrame:
+    return stored(select.prefilter(s.nodes, direction.classify(s.nodes, s.edges, s.seed), direction.seed_edge_intents(s.enriched.edges, s.seed), s.seed, IDEA, PREFILTER), "candidates")
+
+
+@query
+def prefilter_candidates(spark, sf_dir):
+    return _candidates(Setting(spark, sf_dir)).select(F.col("index").cast("long").alias("index"), "id", "score", "direction", "intent")
+
+
+@query
+def candidate_prompt_lines(spark, sf_dir):
+    lines = prompts.candidate_lines(_candidates(Setting(spark, sf_dir)))
+    return lines.select(F.col("index").cast("long").alias("index"), F.md5("line").alias("line_md5"))
+
+
+REPLY = """{"clusters": [{"id": "a", "name": "Early", "role": "Ancestor ", "summary": "s1"}, {"id": "b", "name": " Late ", "role": "nonsense"}, {"id": "c", "name": ""}, {"id": "a", "name": "Earlier", "role": "ancestor", "summary": "s2"}, {"id": "unused", "name": "Unused", "role": "descendant"}],
+"keep": [{"i": 1, "cluster": "b", "importance": 9, "why": " first "}, {"i": "3", "cluster": "a", "importance": "2"}, {"i": 3, "cluster": "b", "importance": 5}, {"i": 999, "cluster": "a"}, {"index": 5, "cluster": "7", "importance": 0}, {"i": 2.0, "cluster": "a"}, {"i": 8, "importance": "high"}, {"i": 4, "cluster": "a", "importance": -2}], "dropped_summary": "rest"}"""
+
+
+def _curated(s: Setting) -> select.Graph:
+    return select.curated(s.nodes, s.enriched.edges, _candidates(s), s.reply(REPLY), s.seed, 5)
+
+
+@query
+def curated_graph(spark, sf_dir):
+    return _curated(Setting(spark, sf_dir)).nodes.select("id", "score", "cluster_id", F.col("importance").cast("long").alias("importance"), "why", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def curated_edges(spark, sf_dir):
+    return _curated(Setting(spark, sf_dir)).edges.select("source", "target", F.array_join("intents", ",").alias("intents"), "is_influential")
+
+
+@query
+def curated_clusters(spark, sf_dir):
+    return _curated(Setting(spark, sf_dir)).clusters.select("id", "name", "role", "summary")
+
+
+BEATS = """{"headline": "h", "overview": "o", "beats": [{"title": "t1", "text": "x1", "papers": [1, 99, "2", null, 1]}, {"title": "none", "text": " "}, {"text": "x3", "papers": []}, {"title": "t4", "text": "x4", "papers": ["3", 2]}, {"title": "t5", "text": "x5"}, {"title": "t6", "text": "x6"}, {"title": "t7", "text": "x7", "papers": [4]}, {"title": "t8", "text": "x8"}]}"""
+
+
+@query
+def lineage_beats(spark, sf_dir):
+    s = Setting(spark, sf_dir)
+    g = _curated(s)
+    beats = prompts.beats_of(s.reply(BEATS), prompts.paper_lines(g.nodes, g.clusters, s.seed))
+    return beats.select(F.col("beat").cast("long").alias("beat"), "title", "text", F.array_join("node_ids", ",").alias("node_ids"))
+
+
+GUESS = """Here you are: {"title": " Small ring ", "search_query": "small ring", "year": "2031", "alternatives": [{"title": "A", "note": "n"}, {"title": " "}, {"title": "B"}, {"title": "C"}, {"title": "D"}]} hope it helps"""
+
+
+@query
+def identify_seed_reply(spark, sf_dir):
+    reply = Setting(spark, sf_dir).reply(GUESS).select(F.regexp_extract("reply", r"(?s)\{.*\}", 0).alias("reply"))
+    return prompts.guess_of(reply).select("title", "search_query", "year", F.array_join("alternatives", ",").alias("alternatives"))
+
+
+# Layout and drawing
+
+
+@query
+def year_layout(spark, sf_dir):
+    s = Setting(spark, sf_dir)
+    return layout.by_year(s.works, s.seed).select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query
+def cluster_stats(spark, sf_dir):
+    s = Setting(spark, sf_dir)
+    year = s.works.where(F.col("id") == F.lit(s.seed)).first().publication_year
+    got = layout.cluster_centres(layout.cluster_stats(s.works.withColumn("cluster_id", F.col("venue")), s.seed), F.lit(year))
+    return got.select("cluster_id", "n", F.col("median_year").cast("long").alias("median_year"), "span", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query
+def cluster_layout(spark, sf_dir):
+    s = Setting(spark, sf_dir)
+    year = s.nodes.where(F.col("id") == F.lit(s.seed)).first().publication_year
+    return layout.in_clusters(s.clustered, s.seed, F.lit(year)).select("id", "cluster_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query
+def contract_edges(spark, sf_dir):
+    s = Setting(spark, sf_dir)
+    every = s.works.withColumn("cluster_id", F.when(F.col("id") != F.lit(s.seed), F.col("venue")))
+    cites = s.cites.select(F.col("src").alias("source"), F.col("tgt").alias("target"))
+    return contract.contracted(cites, every, ["BUILDING"]).select("from", "to", "weight", F.round("width", 6).alias("width"), "label")
+
+
+@query
+def node_payload(spark, sf_dir):
+    s = Setting(spark, sf_dir)
+    place = layout.by_year(s.nodes, s.seed)
+    none = s.works.limit(0).select("id", F.lit("").alias("intent"))
+    told = s.nodes.withColumns({"score": F.lit(0.0), "why": F.lit(""), "cluster_id": F.lit(None).cast("string"), "importance": F.lit(None).cast("int")})
+    p = contract.node_payload(told, s.seed, place, relate.relationships(s.nodes, s.enriched.edges, s.seed), none)
+    return p.select("id", "label", "is_seed", "background", "border", F.round("size", 6).alias("size"), "border_width", F.col("font_size").cast("long").alias("font_size"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query
+def edge_payload(spark, sf_dir):
+    return contract.edge_payload(Setting(spark, sf_dir).edges)
+
+
+@query
+def paper_description(spark, sf_dir):
+    w = Setting(spark, sf_dir).works
+    return w.select("id", F.md5(wording.description(F.col("title"), F.col("authors"), F.col("publication_year"), F.col("cited_by_count"), F.col("abstract"))).alias("description_md5"), wording.author_line(F.col("authors")).alias("author_line"))
+
+
+# Attempts and requests
+
+
+def _attempts(spark, sf_dir) -> DataFrame:
+    e = read(spark, sf_dir, "events").where("event_type in ('error', 'signup')")
+    return e.select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"), (F.col("event_type") == "error").alias("failed"))
+
+
+@query
+def throttle_failure_count(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"), (F.col("event_type") == "error").alias("failed"))
+    return throttle.failure_counts(e, THROTTLE_S).select("key", "id", "n")
+
+
+@query
+def login_throttle(spark, sf_dir):
+    return throttle.login_decisions(_attempts(spark, sf_dir), THROTTLE_S, THROTTLE_LIMIT)
+
+
+@query
+def login_throttle_stream(spark, sf_dir):
+    """The same rule over the events table read as a stream, run until it has no more."""
+    from ..streaming import login
+    from ..sources.shared import new_path
+
+    # A file stream reads folders; a one-file table is found in its own by name.
+    many = spark.read.parquet(f"{sf_dir}/events.parquet")
+    stream = spark.readStream.schema(many.schema).option("pathGlobFilter", "*.parquet").parquet(_folder_of(spark, sf_dir, many))
+    attempts = stream.where("event_type in ('error', 'signup')").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"), (F.col("event_type") == "error").alias("failed"))
+    out = new_path(spark, "decisions")
+    said = login.login_decisions(attempts, THROTTLE_S, THROTTLE_LIMIT)
+    run = said.writeStream.format("parquet").option("checkpointLocation", new_path(spark, "stream-state")).trigger(availableNow=True).start(out)
+    run.awaitTermination()
+    return spark.read.schema(said.schema).parquet(out)
+
+
+def _folder_of(spark, sf_dir, events) -> str:
+    from ..sources.shared import new_path
+
+    folder = new_path(spark, "events")
+    events.write.parquet(folder)
+    return folder
+
+
+@query
+def request_spacing(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"))
+    return throttle.spacing(e, 3600.0).select("id", F.round("gap_s", 6).alias("gap_s"), F.round("wait_s", 6).alias("wait_s"))
+
+
+@query
+def filtered_graph_json(spark, sf_dir):
+    from .lineage import graph_json
+
+    s = Setting(spark, sf_dir)
+    g = select.filter_by_idea(s.nodes, s.edges, s.seed, IDEA, TOP_K)
+    return graph_json(g, s.seed, IDEA, TOP_K)
+
+
+@query
+def run_summary(spark, sf_dir):
+    s = Setting(spark, sf_dir)
+    g = _curated(s)
+    return g.nodes.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(g.edges.agg(F.count(F.lit(1)).alias("edges"))).crossJoin(g.clusters.agg(F.count(F.lit(1)).alias("clusters")))
+
+
+@query
+def lineage_bm25(spark, sf_dir):
+    """The whole keyword pipeline: expand, enrich, score, cut, relate, place."""
+    from .lineage import keyword_lineage
+
+    s = Setting(spark, sf_dir)
+    return keyword_lineage(s.works, s.cites, s.refs, s.seed, IDEA, CAPS, TOP_K)
