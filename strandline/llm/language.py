@@ -110,10 +110,9 @@ class Labeller:
             k, c = j, c + n
 
 
-def predict(docs: DataFrame, net: BiGRU | None, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs`` with ``lang_pred`` and ``score`` behind, for whole texts."""
+def predict(docs: DataFrame, net: BiGRU | None) -> DataFrame:
+    """Every column of ``docs`` as k0, k1, ... with ``lang_pred`` and ``score`` behind, for whole texts."""
     held = docs.sparkSession.sparkContext.broadcast(net)
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def run(batches):
         label = Labeller(held.value) if held.value else None
@@ -125,10 +124,16 @@ def predict(docs: DataFrame, net: BiGRU | None, keep: list[str]) -> DataFrame:
                     for i, p in enumerate(label.probabilities(texts[k : k + 1000]), k):
                         if p.any() and has_letter(texts[i]):
                             lang[i], score[i] = label.net.classes[int(p.argmax())], float(min(1.0, p.max()))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(lang), pa.array(score)], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names[1:], "lang_pred", "score"])
 
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string", "score double"])
-    return docs.select("text", *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep))).mapInArrow(run, schema)
+    schema = ", ".join([*(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema)), "lang_pred string", "score double"])
+    return docs.select(F.col("text").alias("t"), *(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(docs.columns))).mapInArrow(run, schema)
+
+
+def determined(docs: DataFrame, least: float) -> DataFrame:
+    """The rows of ``docs`` with a language, at ``least`` or more; learnt from those that are not held out. All columns stay, whatever their names."""
+    told = predict(docs, learn(docs.where(~held_out()))).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
+    return told.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -142,4 +147,4 @@ def identify(docs: DataFrame) -> DataFrame:
     ignored.
     """
     net = learn(docs.where(~held_out()))
-    return predict(docs.select("doc_id", "text"), net, ["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return predict(docs.select("doc_id", "text"), net).select(F.col("k0").alias("doc_id"), held_out("k0").alias("held_out"), "lang_pred", "score")

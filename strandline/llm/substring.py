@@ -128,7 +128,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     own = {"text", "n_sentences", "n_removed"}
     rest = [c for c in docs.columns if c not in own]
     spans = spans.select(F.col("doc_id").alias("__id"), F.col("first").alias("__first"), F.col("after").alias("__after"))
-    both = docs.join(spans, docs.doc_id == F.col("__id"), "left").select(F.col("text").cast("binary").alias("text"), F.col("__first"), F.col("__after"), *rest)
+    both = docs.join(spans, docs.doc_id == F.col("__id"), "left").select(F.col("text").cast("binary").alias("text"), F.col("__first"), F.col("__after"), *(F.col(f"`{c}`") for c in rest))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     cut = both.mapInArrow(_cut, ", ".join(["text binary", "n_sentences int", "n_removed int", *(f"`{c}` {kinds[c]}" for c in rest)]))
     text = F.col("text").cast("string")
