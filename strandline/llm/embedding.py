@@ -150,7 +150,8 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     counts = met.mapInArrow(_count, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
     found = reps.join(counts, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     found = found.select("label", "embedding", (F.coalesce("n", "weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = one.join(found, ["label", "embedding"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    known = F.col("vec_id").isNotNull()
+    out = one.join(found, ["label", "embedding"], "left").select("vec_id", F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"), F.when(known, F.coalesce("component_id", "vec_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 

@@ -14,6 +14,7 @@ length then tells every piece its bin.
 from __future__ import annotations
 
 import bisect
+import heapq
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -43,7 +44,7 @@ class Packer:
     bins: int = 0
     #: length, first rank, bin of that rank, offset in the bin, how many ranks.
     placed: list[tuple[int, int, int, int, int]] = field(default_factory=list)
-    #: by room left: lists of (first bin, how many, contents so far).
+    #: by room left: heaps of (first bin, how many, contents so far).
     room: dict[int, list[tuple[int, int, int]]] = field(default_factory=dict)
     rooms: list[int] = field(default_factory=list)
 
@@ -51,7 +52,7 @@ class Packer:
         if room not in self.room:
             bisect.insort(self.rooms, room)
             self.room[room] = []
-        self.room[room].append((first, n, used))
+        heapq.heappush(self.room[room], (first, n, used))
 
     def _size_for(self, length: int, tokens: int) -> int:
         """The size to open: ``tokens`` is what is left to place beside this piece, the most its spare room can earn."""
@@ -67,7 +68,7 @@ class Packer:
                 k = bisect.bisect_left(self.rooms, length)
                 if k < len(self.rooms):
                     room = self.rooms[k]
-                    first, count, used = self.room[room].pop()
+                    first, count, used = heapq.heappop(self.room[room])  # of equal room, the bin opened first
                     if not self.room[room]:
                         del self.room[room], self.rooms[k]
                 else:

@@ -108,7 +108,7 @@ def _spread(fp: np.ndarray, rep: np.ndarray, starts: np.ndarray, ends: np.ndarra
     def linked(a, b):
         x = np.bitwise_xor(a, b)
         shared = (x.view(np.uint8).reshape(*x.shape, 8) == 0).sum(-1)
-        return (shared >= MIN_BYTES) & (np.bitwise_count(x) <= MAX_BITS)
+        return (shared >= MIN_BYTES) & (np.bitwise_count(x.view(np.uint64)) <= MAX_BITS)
 
     left, right = [], []
     size = ends - starts
