@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import ids, text, wording
+from ..functions import accounts, ids, text, wording
 from ..operators import contract, direction, enrich, layout, lookup, prompts, relate, select, throttle
 from ..operators.expand import Caps, Expansion, expand
 from ..sources import records, substrate
@@ -161,6 +161,17 @@ def reconstruct_abstract(spark, sf_dir):
     return index.select("doc_id", F.md5(text.abstract(F.lit(""), F.col("index"))).alias("abstract_md5"))
 
 
+@query
+def account_fields(spark, sf_dir):
+    """Addresses, invite hashes and time stamps of the customers' and orders' columns."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("timestamp").alias("at"))
+    key = F.col("o_custkey").cast("string")
+    raw = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit(" User"), key, F.lit("@Example.ORG "))).when(F.col("o_orderkey") % 4 == 1, F.concat(F.lit("user"), key)).when(F.col("o_orderkey") % 4 == 2, F.concat(F.repeat(F.lit("x"), F.lit(250)), F.lit("@e.org"))).otherwise(F.concat(F.lit("a b"), key, F.lit("@e.org")))
+    code = F.concat(F.lit(" code-"), key, F.lit(" "))
+    token = accounts.url_base64(F.sha2(key, 256).cast("binary"))
+    return o.select("o_orderkey", accounts.email(raw).alias("email"), accounts.invite_hash(code).alias("invite"), token.alias("token"), accounts.from_url_base64(token).cast("string").alias("token_text"), accounts.to_iso(F.col("at")).alias("created"), accounts.token_is_current(F.unix_seconds("at"), F.lit(900_000_000)).alias("current"))
+
+
 # Text and search
 
 

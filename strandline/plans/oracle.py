@@ -108,6 +108,12 @@ SELECT 'S2:' || id AS id, CASE WHEN id % 4 <> 0 THEN title ELSE '(untitled)' END
 FROM works WHERE id % 5 <> 0""")
 ORACLE_SQL["reconstruct_abstract"] = "SELECT doc_id, md5(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) AS abstract_md5 FROM documents"
 
+ORACLE_SQL["account_fields"] = """
+SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'user' || o_custkey || '@example.org' END AS email, sha256('code-' || o_custkey) AS invite,
+  replace(replace(rtrim(to_base64(CAST(sha256(CAST(o_custkey AS VARCHAR)) AS BLOB)), '='), '+', '-'), '/', '_') AS token, sha256(CAST(o_custkey AS VARCHAR)) AS token_text,
+  strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S+00:00') AS created, 900000000 - epoch_us(o_orderdate) // 1000000 BETWEEN -60 AND 2592000 AS current
+FROM orders"""
+
 # Text and search
 
 ORACLE_SQL["tokenize_documents"] = f"""
