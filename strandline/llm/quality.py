@@ -75,6 +75,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: int = TRAIN) -> Boosted | N
     picked = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(train)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # TRAIN rows of two numbers
     rows = rows.select(F.col("text").cast("binary").alias("text"), "doc_id", "quality").mapInArrow(_measured, "doc_id long, quality int, x array<double>")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("x").alias("x"))  # a document that the table repeats counts once
     got = rows.toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
     if not got.num_rows:
         return None
