@@ -10,7 +10,7 @@ import numpy as np
 
 
 class Boosted:
-    def __init__(self, trees: int = 80, depth: int = 4, bins: int = 48, rate: float = 0.15, l2: float = 1.0, least: float = 5.0):
+    def __init__(self, trees: int = 80, depth: int = 4, bins: int = 48, rate: float = 0.15, l2: float = 1.0, least: float = 1.0):
         self.trees, self.depth, self.bins, self.rate, self.l2, self.least = trees, depth, bins, rate, l2, least
         inner = 2**depth - 1
         #: By tree and inner node: the column asked, and the value up to which a row goes left. By tree and leaf: what it adds.
