@@ -224,8 +224,8 @@ def lookup_by_doi(spark, sf_dir):
 @query
 def cache_merge(spark, sf_dir):
     s = Setting(spark, sf_dir)
-    cache = s.works.where("id % 2 = 0").select("id", F.lit("cache").alias("origin"))
-    fetched = s.works.where("id % 3 = 0").select("id", F.lit("fetched").alias("origin"))
+    cache = s.works.where("cited_by_count > 0").select("id", F.lit("cache").alias("origin"))
+    fetched = s.works.where("publication_year >= 1998").select("id", F.lit("fetched").alias("origin"))
     return lookup.cached_or_fetched(cache, fetched)
 
 

@@ -131,7 +131,7 @@ once AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY source) AS n FROM
 SELECT o.id, title, publication_year, cited_by_count, matched_by, CAST(row_number() OVER (ORDER BY source, score DESC, o.id) AS INTEGER) AS place FROM once o JOIN works w ON o.id = w.id WHERE n = 1""")
 ORACLE_SQL["lookup_by_ids"] = _with(SUBSTRATE, "asked AS (SELECT DISTINCT event_id * 3 AS id FROM events)", select="SELECT a.id, CASE WHEN w.id IS NULL THEN 'missing' ELSE 'found' END AS state FROM asked a LEFT JOIN works w ON a.id = w.id")
 ORACLE_SQL["lookup_by_doi"] = _with(SUBSTRATE, SPELLINGS, select="SELECT DISTINCT b.doi AS asked_doi, w.id + 10000000 AS id FROM bare b JOIN works w ON b.doi = '10.0/' || w.id")
-ORACLE_SQL["cache_merge"] = _with(SUBSTRATE, select="SELECT id, CASE WHEN id % 3 = 0 THEN 'fetched' ELSE 'cache' END AS origin FROM works WHERE id % 2 = 0 OR id % 3 = 0")
+ORACLE_SQL["cache_merge"] = _with(SUBSTRATE, select="SELECT id, CASE WHEN publication_year >= 1998 THEN 'fetched' ELSE 'cache' END AS origin FROM works WHERE cited_by_count > 0 OR publication_year >= 1998")
 _TOP = "SELECT {a} AS {name}, w.id, w.cited_by_count, row_number() OVER (PARTITION BY {a} ORDER BY w.cited_by_count DESC, w.id) AS rank FROM cites JOIN works w ON w.id = {b} JOIN works k ON k.id = {a} QUALIFY rank <= {n}"
 ORACLE_SQL["citing_works_top_n"] = _with(SUBSTRATE, select=_TOP.format(a="tgt", b="src", name="cited_id", n=3))
 ORACLE_SQL["references_top_n"] = _with(SUBSTRATE, select=_TOP.format(a="src", b="tgt", name="citing_id", n=2))
