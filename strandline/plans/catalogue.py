@@ -36,8 +36,8 @@ class Setting:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self.cites = substrate.citations(spark, sf_dir).persist()  # first, as the works count it too
         self.works = substrate.works(spark, sf_dir).persist()
-        self.cites = substrate.citations(spark, sf_dir).persist()
         self.seed = substrate.seed(self.works)
 
     @cached_property
