@@ -242,3 +242,40 @@ def contaminated(docs: DataFrame, items: DataFrame, batch_words: int = 1 << 19)
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without those that hold an item; all columns, and rows without doc_id, stay."""
     return docs.join(contaminated(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def rounded(found: DataFrame) -> DataFrame:
+    """The same with six decimals, as sums of doubles depend on their order."""
+    shares = ("bm25_share", "overlap", "question_overlap", "answer_overlap")
+    return found.select("doc_id", "item_id", *(F.round(c, 6).alias(c) for c in shares), "word_start")
+
+
+def sql() -> str:
+    """The same without an index: every window against every item."""
+    tokens = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
+    grams = f"CASE WHEN len({{0}}) < {SHINGLE} THEN [array_to_string({{0}}, ' ')] ELSE list_distinct(list_transform(range(1, len({{0}}) - {SHINGLE} + 2), lambda i: array_to_string({{0}}[i : i + {SHINGLE - 1}], ' '))) END"
+    # A part shorter than a shingle is looked for as it is, between blanks.
+    overlap = f"CASE WHEN len({{w}}) < {SHINGLE} THEN CAST(contains(' ' || array_to_string(r.here, ' ') || ' ', ' ' || array_to_string({{w}}, ' ') || ' ') AS DOUBLE) ELSE len(list_intersect({grams.format('{w}')}, r.seen)) / CAST(len({grams.format('{w}')}) AS DOUBLE) END"
+    return rf"""
+WITH items AS (
+  SELECT item_id, {tokens.format("text")} AS w, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda s: {tokens.format("s")}), lambda p: len(p) > 0) AS parts
+  FROM benchmark WHERE len({tokens.format("coalesce(text, '')")}) > 0
+), split AS (
+  SELECT item_id, w, CASE WHEN len(parts) > 1 THEN len(w) - len(parts[-1]) ELSE len(w) - greatest(1, len(w) // 4) END AS cut FROM items
+), told AS (SELECT item_id, w, CASE WHEN cut > 0 THEN w[1:cut] ELSE w END AS q, CASE WHEN cut > 0 THEN w[cut + 1:] ELSE w END AS a FROM split),
+sizes AS (SELECT count(*) AS n, avg(len(w)) AS mean, max(len(w)) AS stride FROM items),
+tf AS (SELECT item_id, t, count(*) AS f FROM (SELECT item_id, unnest(w) AS t FROM items) GROUP BY item_id, t),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+impact AS (SELECT item_id, t, ln(1 + (n - df + 0.5) / (df + 0.5)) * f * ({K1} + 1) / (f + {K1} * (1 - {B} + {B} * len(w) / mean)) AS x FROM tf JOIN df USING (t) JOIN items USING (item_id), sizes),
+shares AS (SELECT item_id, t, x / sum(x) OVER (PARTITION BY item_id) AS share FROM impact),
+docs AS (SELECT doc_id, {tokens.format("text")} AS w FROM documents WHERE text IS NOT NULL),
+windows AS (
+  SELECT doc_id, k, w[k * stride + 1 : least(len(w), (k + 2) * stride)] AS here, k * stride AS word_start
+  FROM (SELECT doc_id, w, stride, unnest(range(0, greatest(1, CAST(ceil(len(w) / stride) AS BIGINT) - 1))) AS k FROM docs, sizes WHERE len(w) > 0)
+), terms AS (SELECT doc_id, k, unnest(list_distinct(here)) AS t FROM windows),
+retrieved AS (SELECT doc_id, k, item_id, sum(share) AS score FROM terms JOIN shares USING (t) GROUP BY doc_id, k, item_id HAVING sum(share) >= {MIN_SHARE} - 1e-9),
+r AS (SELECT *, {grams.format("here")} AS seen FROM retrieved JOIN windows USING (doc_id, k)),
+verified AS (SELECT r.doc_id, r.item_id, r.word_start, score, {overlap.format(w="t.w")} AS o, {overlap.format(w="t.q")} AS oq, {overlap.format(w="t.a")} AS oa FROM r JOIN told t ON r.item_id = t.item_id)
+SELECT doc_id, item_id, round(score, 6) AS bm25_share, round(o, 6) AS overlap, round(oq, 6) AS question_overlap, round(oa, 6) AS answer_overlap, word_start
+FROM verified WHERE o >= {MIN_OVERLAP} OR (oq >= {MIN_OVERLAP} AND oa >= {MIN_ANSWER}) QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY o DESC, word_start) = 1
+"""

@@ -40,7 +40,7 @@ def op8_warc(spark, sf_dir):
 
 
 def op9_decontaminate(spark, sf_dir):
-    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.rounded(decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 def op10_simhash(spark, sf_dir):
@@ -66,4 +66,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_chat": chat.SQL,
     "op5_licenses": licenses.sql(),
     "op8_warc": warc.SQL,
+    "op9_decontaminate": decontaminate.sql(),
 }

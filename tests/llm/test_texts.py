@@ -186,6 +186,24 @@ def test_contaminated_and_odd_rows(spark, docs_of, prose):
     assert decontaminate.contaminated(docs_of(rows), items.where("false")).count() == 0 and decontaminate.contaminated(docs_of(rows).where("false"), items).count() == 0
 
 
+def test_decontamination_matches_sql(spark, docs_of, prose):
+    r = random.Random(8)
+    items = [(i, prose(2000 + i, 2 + i % 5)) for i in range(25)] + [(90, "Two words"), (91, "One. Two. three"), (92, "..."), (93, None)]
+    texts = []
+    for _ in range(50):
+        parts = [prose(r.randrange(99), r.randrange(1, 20)) for _ in range(3)] + ([r.choice(items[:27])[1]] if r.random() < 0.7 else [])
+        r.shuffle(parts)
+        words = " ".join(parts).split(" ")
+        for _ in range(r.randrange(3)):
+            words[r.randrange(len(words))] = "changed"
+        texts.append(r.choice([" ", "\n"]).join(words))
+    rows = list(enumerate([*texts, "", None]))
+    found = decontaminate.rounded(decontaminate.contaminated(docs_of(rows), spark.createDataFrame(items, "item_id long, text string")))
+    documents, benchmark = docs_of(rows).toPandas(), spark.createDataFrame(items, "item_id long, text string").toPandas()  # noqa: F841  read by name
+    want = sorted(duckdb.sql(decontaminate.sql()).fetchall())
+    assert len(want) > 10 and [tuple(map(float, x)) for x in sorted(map(tuple, found.collect()))] == [tuple(map(float, x)) for x in want]
+
+
 def test_many_items_are_searched_in_parts(spark, docs_of, prose, monkeypatch):
     monkeypatch.setattr(decontaminate, "INDEX_BYTES", 600)
     items = spark.createDataFrame(items_of(prose, 12), "item_id long, text string")
