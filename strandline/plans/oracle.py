@@ -249,7 +249,7 @@ numbers AS (SELECT beat, unnest(p) AS k, generate_subscripts(p, 1) AS place FROM
 SELECT CAST(beat AS BIGINT) AS beat, any_value(cited.title) AS title, any_value(text) AS text, coalesce(string_agg(CAST(id AS VARCHAR), ',' ORDER BY place), '') AS node_ids
 FROM cited LEFT JOIN numbers USING (beat) LEFT JOIN chosen ON rank = k + 1 WHERE beat <= {MAX_BEATS} GROUP BY beat""")
 ORACLE_SQL["identify_seed_reply"] = "SELECT 'Small ring' AS title, 'small ring' AS search_query, 2031 AS year, 'A,B,C' AS alternatives"
-ORACLE_SQL["run_summary"] = _with(*_E, CANDIDATES, CURATED, select="SELECT (SELECT count(*) FROM final) AS nodes, (SELECT count(*) FROM labelled WHERE source IN (SELECT id FROM final) AND target IN (SELECT id FROM final)) AS edges, 3 AS clusters")
+ORACLE_SQL["run_summary"] = _with(*_E, CANDIDATES, CURATED, select="SELECT (SELECT count(*) FROM final) AS nodes, (SELECT count(*) FROM labelled WHERE source IN (SELECT id FROM final) AND target IN (SELECT id FROM final)) AS edges, CAST(3 AS BIGINT) AS clusters")
 
 # Layout and drawing
 
@@ -286,7 +286,7 @@ ORACLE_SQL["cluster_layout"] = _with(SUBSTRATE, EXPANSION, _clusters("nodes"), "
 grid AS (SELECT m.id, m.cluster_id, row_number() OVER (PARTITION BY m.cluster_id ORDER BY coalesce(publication_year, 0), m.id) - 1 AS i, CAST(ceil(sqrt(n)) AS BIGINT) AS cols, CAST(ceil(n / ceil(sqrt(n))) AS BIGINT) AS rows, x, y FROM members m JOIN centres c USING (cluster_id))""", select="""
 SELECT id, cluster_id, round(x + (i % cols - (cols - 1) / 2.0) * 190, 6) AS x, round(y + (i // cols - (rows - 1) / 2.0) * 190, 6) AS y FROM grid""")
 ORACLE_SQL["contract_edges"] = _with(SUBSTRATE, "shown AS (SELECT id, CASE WHEN id = (SELECT seed_id FROM seed) OR venue = 'BUILDING' THEN CAST(id AS VARCHAR) ELSE 'cluster:' || venue END AS shown FROM works)", select="""
-SELECT t.shown AS "from", s.shown AS "to", count(*) AS weight, round(least(1.5 + (count(*) - 1) * 0.9, 7.0), 6) AS width, CASE WHEN count(*) > 1 THEN CAST(count(*) AS VARCHAR) END AS label
+SELECT t.shown AS "from", s.shown AS "to", count(*) AS weight, round(CAST(least(1.5 + (count(*) - 1) * 0.9, 7.0) AS DOUBLE), 6) AS width, CASE WHEN count(*) > 1 THEN CAST(count(*) AS VARCHAR) END AS label
 FROM cites JOIN shown t ON t.id = tgt JOIN shown s ON s.id = src WHERE t.shown <> s.shown GROUP BY t.shown, s.shown""")
 ORACLE_SQL["node_payload"] = _with(SUBSTRATE, EXPANSION, _year_layout("nodes"), select=f"""
 SELECT n.id, regexp_extract(authors[1], '([^ ]+) *$', 1) || CASE WHEN len(authors) > 1 THEN ' et al.' ELSE '' END || ' ' || publication_year AS label, n.id = (SELECT seed_id FROM seed) AS is_seed,
