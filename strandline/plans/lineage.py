@@ -13,6 +13,7 @@ from ..functions import wording as W
 from ..operators import contract, direction, layout, prompts, relate, select
 from ..operators.enrich import enrich
 from ..operators.expand import Caps, expand
+from ..sources.host import SourceError
 from ..sources.shared import stored
 
 
@@ -53,7 +54,7 @@ def curated_lineage(works: DataFrame, cites: DataFrame, refs: DataFrame, seed, i
         if g.nodes.where(F.col("id") != F.lit(seed)).isEmpty():
             raise prompts.ReplyError("the reply keeps no candidate")
         return g
-    except prompts.ReplyError as problem:
+    except (prompts.ReplyError, SourceError) as problem:
         if mode == "llm":
             raise
         warn(f"{problem}: kept by keywords")
@@ -79,6 +80,16 @@ def narrative(g: select.Graph, seed, idea: str, chat: prompts.Chat) -> dict:
     return {"headline": str(reply.get("headline") or "").strip(), "overview": overview, "beats": beats}
 
 
+def identify_seed(spark, description: str, chat: prompts.Chat) -> DataFrame:
+    """One row of what a model takes a description to mean: title, search_query (required), year, alternatives."""
+    ask = "Name the paper that the description means. Answer with a JSON object: title, search_query, authors, year, confidence, reasoning, alternatives (title, note)."
+    reply = prompts.json_object(chat([{"role": "system", "content": ask}, {"role": "user", "content": description}]))
+    guess = prompts.guess_of(spark.createDataFrame([(json.dumps(reply),)], "reply string"))
+    if guess.isEmpty():
+        raise prompts.ReplyError("the reply has no search_query")
+    return guess
+
+
 def graph_json(g: select.Graph, seed, idea: str, top_k: int, curation: str = "bm25", notes: str = "") -> DataFrame:
     """One row with the graph as a JSON document that can stand in a script element. A kept graph is capped, so it fits a row."""
     keep = [c for c in ("id", "title", "abstract", "authors", "venue", "publication_year", "cited_by_count", "doi", "hop", "score", "cluster_id", "importance", "why") if c in g.nodes.columns]

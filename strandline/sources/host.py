@@ -121,6 +121,37 @@ def http_get(timeout_s: float = 30.0, headers: Mapping[str, str] | None = None):
     return get
 
 
+def http_post(timeout_s: float = 120.0):
+    def post(url: str, headers: Mapping[str, str], body: bytes):
+        try:
+            with urllib.request.urlopen(urllib.request.Request(url, data=body, headers=dict(headers)), timeout=timeout_s) as r:
+                return r.status, dict(r.headers), r.read()
+        except urllib.error.HTTPError as e:
+            return e.code, dict(e.headers), e.read()
+
+    return post
+
+
+def chat_model(url: str, model: str, key: str, post=None, retries: int = 3, temperature: float = 0.2, sleep=time.sleep) -> Callable[[list[dict]], str]:
+    """A language model behind a chat-completions address, as the function that the plans take: messages in, JSON text out."""
+    post = post or http_post()
+
+    def chat(messages: list[dict]) -> str:
+        body = json.dumps({"model": model, "messages": messages, "temperature": temperature, "response_format": {"type": "json_object"}}).encode()
+        headers = {"Authorization": f"Bearer {key}", "Content-Type": "application/json"}
+        once = Client(lambda u: post(u, headers, body), retries, sleep=sleep)
+        reply = once.fetch(url)
+        try:
+            text = reply["choices"][0]["message"]["content"]
+        except (KeyError, IndexError, TypeError):
+            raise SourceError(f"no message in the reply: {str(reply)[:300]}") from None
+        if not isinstance(text, str) or not text.strip():
+            raise SourceError("the message is empty")
+        return text
+
+    return chat
+
+
 @dataclass
 class Batch(InputPartition):
     keys: list

@@ -38,6 +38,20 @@ def test_budget_and_pacing():
         c.fetch("u")
 
 
+def test_chat_model_retries_and_reads_the_message():
+    seen, replies = [], [(429, {}, b""), (200, {}, json.dumps({"choices": [{"message": {"content": "{}"}}]}).encode())]
+
+    def post(url, headers, body):
+        seen.append((headers["Authorization"], json.loads(body)["messages"]))
+        return replies.pop(0)
+
+    assert host.chat_model("u", "m", "k", post, sleep=lambda s: None)([{"role": "user", "content": "x"}]) == "{}"
+    assert seen == [("Bearer k", [{"role": "user", "content": "x"}])] * 2
+    for body in (b'{"choices": []}', b'{"choices": [{"message": {"content": " "}}]}'):
+        with pytest.raises(host.SourceError):
+            host.chat_model("u", "m", "k", lambda *a, body=body: (200, {}, body))([])
+
+
 def test_settings():
     s = host.Settings.from_env({"STRANDLINE_TOTAL_CAP": "7", "STRANDLINE_TOP_K": "x", "STRANDLINE_CACHE": "off", "STRANDLINE_MODE": " "})
     assert (s.total_cap, s.top_k, s.cache, s.mode) == (7, 40, False, "auto")

@@ -131,6 +131,14 @@ def test_curated_run_narrative_and_page(spark, tmp_path):
     assert (tmp_path / "p.html").read_text() == page
 
 
+def test_seed_identification(spark):
+    reply = '```json\n{"title": " T ", "search_query": "q", "year": "1400", "alternatives": [{"title": "a"}, {"note": "n"}, {"title": "b"}, {"title": "c"}, {"title": "d"}]}\n```'
+    r = lineage.identify_seed(spark, "the one about rings", lambda m: reply).first()
+    assert (r.title, r.search_query, r.year, r.alternatives) == ("T", "q", None, ["a", "b", "c"])
+    with pytest.raises(prompts.ReplyError):
+        lineage.identify_seed(spark, "x", lambda m: '{"title": "T", "search_query": " "}')
+
+
 def test_keyword_run(spark):
     w, c, refs = tiny(spark)
     got = {r.id: r for r in lineage.keyword_lineage(w, c, refs, "S", "small ring", top_k=1).collect()}
