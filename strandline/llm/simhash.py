@@ -192,6 +192,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` without near-duplicates: of each component the row with the smallest doc_id stays, with all its columns."""
+    """``docs`` without near-duplicates: of each component the document with the smallest doc_id stays, with all its columns.
+
+    Of rows that repeat doc_id and text one stays. Rows without doc_id can't be
+    told apart by it, take no part and stay.
+    """
     first = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(docs.columns)
+    kept = docs.join(first, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    return kept.unionAll(docs.where("doc_id is null"))
