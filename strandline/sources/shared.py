@@ -15,8 +15,14 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_SHARED
 
 
+#: What this process has put into the shared folder.
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/strandline/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/strandline/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -28,9 +34,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by ``stored`` once nothing will read it again."""
     if path := getattr(df, "stored_at", None):
-        jvm = df.sparkSession.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        _delete(df.sparkSession, path)
+        _made.remove(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all that this process has put into the shared folder; results that were not written elsewhere can't be read after."""
+    while _made:
+        _delete(spark, _made.pop())

@@ -104,3 +104,18 @@ def test_account_columns(spark):
     assert [r.v for r in df.select(accounts.email(F.col("e")).alias("v")).collect()] == ["a@b.org", None, None, None]
     r = spark.range(1).select(accounts.from_url_base64(accounts.url_base64(F.lit("?>~x").cast("binary"))).cast("string").alias("a"), accounts.from_iso(F.lit("2020-01-02T03:04:05+00:00")).alias("b"), accounts.from_iso(F.lit("no")).alias("c")).first()
     assert r.a == "?>~x" and r.b.year == 2020 and r.c is None
+
+
+def test_stored_tables_are_released(spark):
+    from pathlib import Path
+
+    from strandline.sources import shared
+
+    a, b = shared.stored(spark.range(3), "t"), shared.stored(spark.range(4), "t")
+    assert (a.count(), b.count()) == (3, 4) and a.stored_at != b.stored_at
+    shared.discard(a)
+    assert not Path(a.stored_at).exists() and Path(b.stored_at).exists()
+    kept, shared._made[:] = [p for p in shared._made if p != b.stored_at], [b.stored_at]
+    shared.release(spark)
+    assert not Path(b.stored_at).exists()
+    shared._made[:] = kept
