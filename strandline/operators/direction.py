@@ -7,25 +7,27 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import discard, stored
+from ..sources.shared import stored
 
 
 def reached(edges: DataFrame, seed) -> DataFrame:
     """``id, up``: what the seed cites (up) and what cites it, over any number of steps; cycles end by themselves.
 
     Breadth first; each level joins the frontier to the citations of its
-    direction, drops what an earlier level met and is written, alone, to the shared folder.
+    direction, drops what an earlier level met and is written to the shared folder.
     """
     spark = edges.sparkSession
     steps = edges.select(F.col("source").alias("at"), F.col("target").alias("id"), F.lit(True).alias("up")).unionByName(edges.select(F.col("target").alias("at"), F.col("source").alias("id"), F.lit(False).alias("up"))).where("at is not null and id is not null")
     kind = dict(steps.dtypes)["at"]
     front = spark.range(1).select(F.lit(seed).cast(kind).alias("id"), F.explode(F.array(F.lit(True), F.lit(False))).alias("up"))
     levels = [stored(front, "level")]
-    while not levels[-1].isEmpty():
-        met = reduce(DataFrame.unionByName, levels)
-        at = levels[-1].select(F.col("id").alias("at"), "up")
-        levels.append(stored(steps.join(at, ["at", "up"]).select("id", "up").distinct().join(met, ["id", "up"], "left_anti"), "level"))
-    discard(levels.pop())
+    last = levels[0]
+    while not last.isEmpty():
+        if len(levels) > 6:  # a plan over many levels takes longer than writing them together
+            levels = [stored(reduce(DataFrame.unionByName, levels), "levels")]
+        met, at = reduce(DataFrame.unionByName, levels), last.select(F.col("id").alias("at"), "up")
+        last = stored(steps.join(at, ["at", "up"]).select("id", "up").distinct().join(met, ["id", "up"], "left_anti"), "level")
+        levels.append(last)
     return reduce(DataFrame.unionByName, levels).where(F.col("id") != F.lit(seed))
 
 
