@@ -5,9 +5,10 @@ collapse to one representative with a weight, and each label's representatives
 fall by hash into shards of about SHARD vectors. A shard's graph is built once
 and stored; an audit against brute force on a sample of its own vectors widens
 its beam until every link is found. Each shard is then searched by all vectors
-of its label, one task for each pair of shards, and what reaches the threshold
-in double precision is united within the task, so a task emits one edge for
-each vector at most, however dense a group is. Components of the edges give the
+of its label, one task for each pair of shards; a vector whose beam is full of
+links may have more, so it is compared with the whole shard. What reaches the
+threshold in double precision is united within the task, so a task emits one
+edge for each vector at most, however dense a group is. Components of the edges give the
 groups; within a group the exact links are counted in blocks.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import components, stored
 from .hnsw import Graph
 
-MIN_COSINE, SHARD, PROBES, TILE = 0.93, 32768, 256, 2048
+MIN_COSINE, SHARD, PROBES, TILE, ROWS = 0.93, 32768, 256, 2048, 256
 #: The graph searches in single precision; what it finds this far below the threshold is still verified in double.
 SLACK = 1e-4
 
@@ -53,6 +54,13 @@ def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return up
 
 
+def _united(up: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels as ``_labels`` gives them, with the links i-j added."""
+    i, j = up[i], up[j]
+    apart = i != j
+    return _labels(len(up), i[apart], j[apart])[up] if apart.any() else up
+
+
 def _build(table: pa.Table) -> pa.Table:
     """One shard: its ids, unit vectors, graph and audited beam."""
     ids = table["rep"].to_numpy()
@@ -80,20 +88,24 @@ def _search(batches):
             sizes = np.array(r["sizes"])
             near = [np.frombuffer(y, np.int32).reshape(n, -1) for y, n in zip(r["layers"], sizes)]
             g = Graph(x.astype(np.float32), sizes, near)
-            left, right = [], []
+            both, full = np.concatenate([q_ids, ids]), []
+            up = np.arange(len(both))
+            if r["q_shard"] == r["shard"]:  # the same vectors stand on both sides
+                up[len(q) :] = np.arange(len(q))
             for k in range(0, len(q), 4096):
                 found, sims = g.search(q[k : k + 4096].astype(np.float32), r["beam"])
                 i, c = np.nonzero((found >= 0) & (sims >= MIN_COSINE - SLACK))
                 j = found[i, c]
                 i = i + k
                 ok = np.einsum("ij,ij->i", q[i], x[j]) >= MIN_COSINE
-                left.append(i[ok]), right.append(j[ok] + len(q))
-            both = np.concatenate([q_ids, ids])
-            i, j = np.concatenate(left), np.concatenate(right)
-            if r["q_shard"] == r["shard"]:  # the same vectors stand on both sides
-                same = np.arange(len(q))
-                i, j = np.concatenate([i, same]), np.concatenate([j, same + len(q)])
-            up = _labels(len(both), i, j)
+                up = _united(up, i[ok], j[ok] + len(q))
+                if sims.shape[1] < len(x):
+                    full.append(k + np.flatnonzero(sims[:, -1] >= MIN_COSINE - SLACK))
+            full = np.concatenate(full or [np.arange(0)])
+            for k in range(0, len(full), ROWS):  # more links than a beam holds: against every vector of the shard
+                i = full[k : k + ROWS]
+                i, j = np.nonzero((q[i] @ x.T >= MIN_COSINE) & (up[i][:, None] != up[len(q) :]))
+                up = _united(up, full[k + i], j + len(q))
             moved = np.flatnonzero(both != both[up])
             yield pa.RecordBatch.from_arrays([pa.array(both[moved]), pa.array(both[up[moved]])], names=["a", "b"])
 

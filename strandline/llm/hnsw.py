@@ -142,7 +142,10 @@ class Graph:
         return np.concatenate(ids), np.concatenate(sims)
 
     def audited_beam(self, least: float, probes: np.ndarray, recall: float = 1.0) -> tuple[int, float]:
-        """Widen the beam until it finds ``recall`` of what brute force links to the probe rows; a beam that is full of links counts as whole."""
+        """Widen the beam until it finds ``recall`` of what brute force links to the probe rows.
+
+        A row whose beam is full of links is not counted: whoever searches has to compare it with every point.
+        """
         beam = BUILD_BEAM
         exact = self.x[probes] @ self.x.T >= least
         while True:
@@ -151,8 +154,9 @@ class Graph:
             hit = np.zeros(exact.shape, bool)
             rows, cols = np.nonzero((ids >= 0) & (sims >= least))
             hit[rows, ids[rows, cols]] = True
-            due = np.minimum(exact.sum(1), beam).sum()
-            got = (hit & exact).sum() / due if due else 1.0
+            part = sims[:, -1] < least
+            due = exact[part].sum()
+            got = (hit & exact)[part].sum() / due if due else 1.0
             if got >= recall or beam >= len(self.x):
                 return beam, float(got)
             beam *= 2

@@ -161,6 +161,15 @@ def test_vectors_against_brute_force(spark, monkeypatch, shard):
     assert got == brute(rows)
 
 
+def test_dense_groups_that_fill_a_beam_are_linked(spark):
+    rng = np.random.default_rng(3)
+    a, b = np.zeros(16), np.zeros(16)
+    a[0], b[:2] = 1, (0.947, (1 - 0.947**2) ** 0.5)
+    rows = [(i, np.float32((b if i % 2 else a) + 0.004 * rng.normal(size=16)).tolist(), 0) for i in range(200)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding.near_duplicates(vectors(spark, rows)).collect()}
+    assert got == brute(rows) == {i: (199, 0) for i in range(200)}
+
+
 def test_odd_vectors_link_with_nothing(spark):
     v = [1.0, 2.0]
     rows = [(1, v, 0), (2, v, 0), (2, v, 0), (3, [2.0, 4.0], 0), (4, v, 1), (5, v, None), (6, None, 0), (7, [], 0), (8, [0.0, 0.0], 0), (9, [1.0, None], 0), (10, [float("nan"), 1.0], 0), (11, [float("inf"), 1.0], 0), (12, [1.0, 2.0, 0.0], 0), (None, v, 0)]
