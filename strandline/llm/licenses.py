@@ -2,7 +2,9 @@
 
 Texts fall into sentences, each is normalised (A-Z lowered, runs of other
 characters than a-z and 0-9 become one blank) and looked up among known licence
-sentences. What is left of a document is the sequence of their identifiers, and
+sentences. A line break ends a sentence, but lines up to a stop or a blank line
+are also looked up joined, as wrapped texts have them; comment marks are other
+characters and fall away. What is left of a document is the sequence of their identifiers, and
 a licence is found where one of its rules, an ordered list of identifiers,
 stands in that sequence without a gap.
 """
@@ -68,7 +70,9 @@ RULES = (
     ("Unlicense", ("unlicense-domain",)),
 )
 
-STOP = re.compile(rb"[.;:!?][ \t-\r]+|\n")
+STOP = re.compile(rb"([.;:!?][ \t-\r]+|\n)")
+#: Comment marks that would be read as stops.
+MARK = re.compile(rb"(?m)^[ \t]*[;!]+[ \t]+")
 OTHER = re.compile(rb"[^a-z0-9]+")
 
 
@@ -101,15 +105,29 @@ class Recogniser:
         self.first: dict[int, list[tuple[str, tuple[int, ...]]]] = {}
         for licence, rule in rule_table():
             self.first.setdefault(rule[0], []).append((licence, rule))
+        self.longest = max(map(len, self.ids))
         words = {s.split(" ", 1)[0].encode() for s in self.ids}
         #: A sentence's first word must be one of these, so that most sentences are never normalised.
         self.starts = re.compile(rb"[^a-z0-9]*(?:%s)(?![a-z0-9])" % b"|".join(sorted(words)))
 
     def sequence(self, text: bytes) -> list[int]:
-        out = []
-        for s in STOP.split(text.lower()):
-            if self.starts.match(s) and (k := self.ids.get(normalise(s))):
-                out.append(k)
+        """Identifiers in order; of the known sentences that begin at one line, the one over most lines."""
+        parts = STOP.split(MARK.sub(b"", text.lower()))
+        out, upto = [], 0
+        for i in range(0, len(parts), 2):
+            if i >= upto and self.starts.match(parts[i]):
+                j, joined, found = i, normalise(parts[i]), None
+                while True:
+                    if k := self.ids.get(joined):
+                        found, upto = k, j + 2
+                    if j + 2 >= len(parts) or parts[j + 1] != b"\n" or len(joined) > self.longest:
+                        break
+                    j += 2
+                    if not (line := normalise(parts[j])):
+                        break
+                    joined += " " + line
+                if found:
+                    out.append(found)
         return out
 
     def licences(self, seq: list[int]) -> list[str]:

@@ -72,6 +72,74 @@ def test_licences(docs_of):
     assert licenses.scan(docs_of(rows).where("false")).count() == 0
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+ISC = """Copyright (c) 2020, Someone
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+ENDORSE = """
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+GPL2 = """This program is free software; you can redistribute it and/or
+modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version 2
+of the License, or (at your option) any later version."""
+WRAPPED = [(APACHE, "Apache-2.0"), (MIT, "MIT"), (ISC, "ISC"), (BSD, "BSD-2-Clause"), (BSD + ENDORSE, "BSD-3-Clause"), (GPL3, "GPL-3.0"), (GPL2, "GPL-2.0")]
+
+
+@pytest.mark.parametrize("mark", ["", "# ", "// ", " * ", "; ", "! ", ";; "])
+def test_wrapped_licences(mark):
+    know = licenses.Recogniser()
+    for text, name in WRAPPED:
+        for end in ("\n", "\r\n"):
+            assert know.licences(know.sequence(end.join((mark + x) for x in text.split("\n")).encode())) == [name]
+
+
+def test_a_blank_line_ends_a_sentence_and_a_line_stands_alone():
+    know = licenses.Recogniser()
+    told = lambda text: know.licences(know.sequence(text))
+    assert told(b"Released under\n\nthe MIT License") == [] and told(b"Released under\nthe MIT License") == ["MIT"]
+    assert told(b"Released under the MIT License\nand more text\nReleased under the ISC License") == ["ISC", "MIT"]
+
+
 def test_gradient_of_the_network():
     net = BiGRU(["a", "b", "c"], hidden=3, seed=1)
     net.p = {k: w.astype(np.float64) for k, w in net.p.items()}
