@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 K1, B = 1.2, 0.75
 #: Least share of an item's own score, of its shingles, and of the answer's where the question has the former.
 MIN_SHARE, MIN_OVERLAP, MIN_ANSWER = 0.65, 0.8, 0.5
 SHINGLE, BLOCK = 5, 4
 WORD, STOP = re.compile(r"\w+"), re.compile(r"(?<=[.!?])\s+|\n+")
-#: Text of the items in one index; more items are indexed in several, each with its own statistics.
+#: Text of the items in one index; more items are indexed in several, by the statistics of all.
 INDEX_BYTES = 32 << 20
 
 
@@ -50,21 +52,25 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
 
 
 class Index:
-    """Postings with block maxima over ``(item_id, text)``; items without a word are left out."""
+    """Postings with block maxima over ``(item_id, text)``; items without a word are left out.
+
+    Where the items are a part of more, ``total`` has the number of all items, how many hold each
+    term of this part, their mean length and the longest one's.
+    """
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], total: tuple[int, dict[str, int], float, int] | None = None):
         items = [(i, t) for i, t in items if words(t)]
         bags = [Counter(words(t)) for _, t in items]
         sizes = [sum(b.values()) for b in bags]
-        df = Counter(t for b in bags for t in b)
-        mean = sum(sizes) / max(1, len(sizes))
+        if total is None:
+            total = len(sizes), Counter(t for b in bags for t in b), sum(sizes) / max(1, len(sizes)), max(sizes, default=1)
+        count, df, mean, self.stride = total
         self.ids = [i for i, _ in items]
-        self.term = {t: k for k, t in enumerate(sorted(df))}
-        self.stride = max(sizes, default=1)
+        self.term = {t: k for k, t in enumerate(sorted({t for b in bags for t in b}))}
         self.items: list[list[int]] = [[] for _ in self.term]
         self.share: list[list[float]] = [[] for _ in self.term]
         for d, (bag, n) in enumerate(zip(bags, sizes)):
-            w = {t: math.log(1 + (len(bags) - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * n / mean)) for t, f in bag.items()}
+            w = {t: math.log(1 + (count - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * n / mean)) for t, f in bag.items()}
             own = sum(w[t] for t in sorted(w))
             for t, x in w.items():
                 self.items[self.term[t]].append(d)
@@ -196,6 +202,21 @@ class Index:
         return len(part & here) / len(part)
 
 
+def _parted(items: DataFrame) -> tuple[int, float, int, DataFrame]:
+    """Statistics of all ``items(item_id, text, shard)``: their number, mean length and longest, and ``term, df, shards`` for each term."""
+
+    def held(batches):
+        for b in batches:
+            rows = [(k, len(w), sorted(set(w))) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if (w := words(t))]
+            cols = list(zip(*rows)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.list_(pa.string())))], names=["shard", "n", "terms"])
+
+    bags = stored(items.select("shard", "text").mapInArrow(held, "shard int, n long, terms array<string>"), "item-terms")
+    n, length, longest = bags.agg(F.count(F.lit(1)), F.sum("n"), F.max("n")).first()
+    df = bags.select("shard", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.collect_set("shard").alias("shards"))
+    return n, (length or 0) / max(1, n), longest or 1, stored(df, "item-df")
+
+
 def contaminated(docs: DataFrame, items: DataFrame, batch_words: int = 1 << 19) -> DataFrame:
     """Which rows of ``docs(doc_id, text)`` hold which of ``items(item_id, text)``.
 
@@ -205,17 +226,23 @@ def contaminated(docs: DataFrame, items: DataFrame, batch_words: int = 1 << 19)
     item without a word is held by nothing, equal items are each reported,
     repeated rows are reported each, and other columns are ignored. The items are
     the small side: their size is summed first, and beyond INDEX_BYTES they are
-    indexed in several parts, each searched by every passage.
+    indexed in several parts, each searched by every passage; weights and windows
+    are those of all items, so the parts do not change the result.
     """
     spark = docs.sparkSession
     items = items.select("item_id", "text").where("text is not null")
     volume = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = int(volume // INDEX_BYTES) + 1
     schema = "doc_id long, item_id long, bm25_share double, overlap double, question_overlap double, answer_overlap double, word_start long"
-    out = None
+    out, total = None, None
+    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("int"))
+    if shards > 1:
+        n, mean, longest, df = _parted(items)
     for k in range(shards):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
-        held = spark.sparkContext.broadcast(Index(sorted((r.item_id, r.text) for r in part.collect())))  # INDEX_BYTES of text, about
+        part = items.where(F.col("shard") == k)
+        if shards > 1:
+            total = n, {r.term: r.df for r in df.where(F.array_contains("shards", k)).select("term", "df").collect()}, mean, longest
+        held = spark.sparkContext.broadcast(Index(sorted((r.item_id, r.text) for r in part.collect()), total))  # INDEX_BYTES of text, about
 
         def run(batches, held=held):
             index = held.value

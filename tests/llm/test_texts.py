@@ -277,3 +277,18 @@ def test_many_items_are_searched_in_parts(spark, docs_of, prose, monkeypatch):
     items = spark.createDataFrame(items_of(prose, 12), "item_id long, text string")
     got = decontaminate.contaminated(docs_of([(1, prose(1000, 3)), (2, prose(1011, 6))]), items).collect()
     assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 0), (2, 11)]
+
+
+def test_parts_do_not_change_the_result(spark, docs_of, prose, monkeypatch):
+    r = random.Random(9)
+    rows = [(i, prose(3000 + i, 2 + i % 9)) for i in range(30)] + [(40, ""), (41, "..."), (42, prose(3001, 3))]
+    texts = []
+    for _ in range(40):
+        words = " ".join([prose(r.randrange(99), 20), r.choice(rows[:30])[1], prose(r.randrange(99), r.randrange(1, 20))]).split(" ")
+        for _ in range(r.randrange(6)):
+            words[r.randrange(len(words))] = "changed"
+        texts.append(" ".join(words))
+    docs, items = docs_of(list(enumerate(texts))), spark.createDataFrame(rows, "item_id long, text string")
+    want = sorted(map(tuple, decontaminate.contaminated(docs, items).collect()))
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 900)
+    assert len(want) > 10 and sorted(map(tuple, decontaminate.contaminated(docs, items).collect())) == want
