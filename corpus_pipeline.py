@@ -27,7 +27,7 @@ def first_copies(spark, docs, sf_dir):
 
 def without_repeats(spark, docs, sf_dir):
     """Texts without spans that repeat an earlier document's or their own."""
-    return substring.without_repeats(docs).select(docs.columns)
+    return substring.without_repeats(docs, aligned=True).select(docs.columns)
 
 
 def without_leaks(spark, docs, sf_dir):

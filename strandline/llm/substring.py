@@ -3,7 +3,9 @@
 A text falls into sentences: a sentence ends after ``.``, ``!`` or ``?`` with
 white space behind it, or at a line break; one of more than LONG words is cut
 after every LONG words, so that a passage without full stops has sentences
-too. From each sentence starts one run: the fewest consecutive sentences, two
+too. Cut ``aligned``, it is cut after words that its own surroundings choose
+instead, so that a passage is cut alike whatever stands before it in its
+sentence; SQL has the first form only. From each sentence starts one run: the fewest consecutive sentences, two
 at least, that hold RUN_WORDS words. Runs are hashed (128 bits, A-Z lowered,
 white space joined) and grouped over the whole corpus. Of equal runs the one
 with the smallest (doc_id, position) stays; the sentences covered by any other
@@ -13,6 +15,7 @@ are removed.
 from __future__ import annotations
 
 import re
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -23,18 +26,31 @@ from pyspark.sql import functions as F
 from .common import stored
 
 LONG, RUN_SENTENCES, RUN_WORDS = 25, 2, 12
+#: Of so many neighbouring pairs of words, an aligned cut parts the one with the least hash. Of 51 words in a row in
+#: long sentences, whatever stands around, 20 at least are then cut alike, which hold a run.
+NEAR = 8
 STOP = re.compile(rb"[.!?][ \t-\r]+|\n[ \t-\r]*")
 WORD = re.compile(rb"[^ \t-\r]+[ \t-\r]*")
 
 
-def sentences(text: bytes) -> list[bytes]:
+def _aligned(s: bytes) -> np.ndarray:
+    """How many words of a long sentence stand before each cut; only the words near a cut decide on it."""
+    h = np.array([xxhash.xxh3_64_intdigest(w) for w in s.lower().split()], np.uint64)
+    pair = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]
+    pair = (pair ^ pair >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    near = np.lib.stride_tricks.sliding_window_view(pair, NEAR)[:, ::-1]  # of equal hashes the last one counts
+    return np.unique(np.arange(len(near)) + NEAR - near.argmin(1))
+
+
+def sentences(text: bytes, aligned: bool = False) -> list[bytes]:
     """The sentences with the white space that follows each; joined they give the text."""
     out, at = [], 0
     for end in [*(m.end() for m in STOP.finditer(text)), len(text)]:
         if end > at:
             s = text[at:end]
             if len(s) > 2 * LONG and len(s.split()) > LONG:
-                ends = [m.end() for m in WORD.finditer(s)][LONG - 1 :: LONG]
+                ends = [m.end() for m in WORD.finditer(s)]
+                ends = [ends[k - 1] for k in _aligned(s)] if aligned else ends[LONG - 1 :: LONG]
                 out += [s[a:b] for a, b in zip([0, *ends], ends)]
                 s = s[ends[-1] :]
             if s:
@@ -43,10 +59,10 @@ def sentences(text: bytes) -> list[bytes]:
     return out
 
 
-def runs(text: bytes) -> tuple[list[bytes], list[int], list[int]]:
+def runs(text: bytes, aligned: bool = False) -> tuple[list[bytes], list[int], list[int]]:
     """Digest, index of the first sentence and index after the last one, for each run of a text."""
     norm, size, index = [], [], []
-    for i, s in enumerate(sentences(text)):
+    for i, s in enumerate(sentences(text, aligned)):
         if w := s.lower().split():
             norm.append(b" ".join(w))
             size.append(len(w))
@@ -67,12 +83,12 @@ def runs(text: bytes) -> tuple[list[bytes], list[int], list[int]]:
     return digests, first, after
 
 
-def _all_runs(batches):
+def _all_runs(batches, aligned):
     for b in batches:
         ids, digests, first, after, again = [], [], [], [], []
         for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if text:
-                d, f, a = runs(text)
+                d, f, a = runs(text, aligned)
                 met = set()
                 again += [x in met or met.add(x) is not None for x in d]
                 digests += d
@@ -84,23 +100,23 @@ def _all_runs(batches):
         yield pa.RecordBatch.from_arrays(cols, names=["h1", "h2", "doc_id", "first", "after", "again"])
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, aligned: bool = False) -> DataFrame:
     """``doc_id, first, after``: sentence ranges of ``docs(doc_id, text)`` that repeat an earlier run."""
     found = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("text"))
-    found = found.mapInArrow(_all_runs, "h1 long, h2 long, doc_id long, first int, after int, again boolean")
+    found = found.mapInArrow(partial(_all_runs, aligned=aligned), "h1 long, h2 long, doc_id long, first int, after int, again boolean")
     # A run's first place in its own document is known at once, so the corpus only has to find the first document.
     heads = found.where("not again").groupBy("h1", "h2").agg(F.min("doc_id").alias("head_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
     heads = stored(heads.select("h1", "h2", "head_id"), "run-heads")  # so that the join below reads two exchanges and can split a hot run
     return found.join(heads, ["h1", "h2"], "left").where("again or doc_id <> head_id").select("doc_id", "first", "after")
 
 
-def _cut(batches):
+def _cut(batches, aligned):
     """text, spans -> text, n_sentences, n_removed."""
     for b in batches:
         texts, total, gone = [], [], []
         firsts, afters = b.column(1).to_pylist(), b.column(2).to_pylist()
         for text, f, a in zip(b.column(0).to_pylist(), firsts, afters):
-            s = sentences(text or b"")
+            s = sentences(text or b"", aligned)
             total.append(len(s))
             if f is None:
                 texts.append(text)
@@ -115,7 +131,7 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(total, pa.int32()), pa.array(gone, pa.int32()), *b.columns[3:]], names=["text", "n_sentences", "n_removed", *b.schema.names[3:]])
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, aligned: bool = False) -> DataFrame:
     """``docs`` with every non-first repeated span cut out of ``text``, and ``n_sentences, n_removed`` (int) behind.
 
     Every row stays, in all its columns (``n_chars``, if there, follows the
@@ -124,13 +140,13 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     and never repeat each other. A null doc_id takes no part and stays as it is.
     Columns that are called n_sentences or n_removed are replaced.
     """
-    spans = repeated_spans(docs).groupBy("doc_id").agg(F.collect_list("first").alias("first"), F.collect_list("after").alias("after"))
+    spans = repeated_spans(docs, aligned).groupBy("doc_id").agg(F.collect_list("first").alias("first"), F.collect_list("after").alias("after"))
     own = {"text", "n_sentences", "n_removed"}
     rest = [c for c in docs.columns if c not in own]
     spans = spans.select(F.col("doc_id").alias("__id"), F.col("first").alias("__first"), F.col("after").alias("__after"))
     both = docs.join(spans, docs.doc_id == F.col("__id"), "left").select(F.col("text").cast("binary").alias("text"), F.col("__first"), F.col("__after"), *(F.col(f"`{c}`") for c in rest))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    cut = both.mapInArrow(_cut, ", ".join(["text binary", "n_sentences int", "n_removed int", *(f"`{c}` {kinds[c]}" for c in rest)]))
+    cut = both.mapInArrow(partial(_cut, aligned=aligned), ", ".join(["text binary", "n_sentences int", "n_removed int", *(f"`{c}` {kinds[c]}" for c in rest)]))
     text = F.col("text").cast("string")
     full = {"text": text} | ({"n_chars": F.length(text).cast(kinds["n_chars"])} if "n_chars" in kinds else {})
     return cut.select(*(full.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns if c not in own - {"text"}), "n_sentences", "n_removed")

@@ -103,6 +103,30 @@ def test_a_passage_without_stops_and_a_long_sentence(docs_of):
     assert got[1][1] == 0 and "w30" not in got[2][0] and got[2][0].startswith("Other one.")
 
 
+@pytest.mark.parametrize("n", [51, 70])
+def test_the_pipeline_cuts_a_passage_at_any_offset(spark, docs_of, n):
+    import corpus_pipeline
+
+    r = random.Random(n)
+    passages = [" ".join(f"p{k}x{r.randrange(10**6)}" for _ in range(n)) for k in range(25)]
+    host = lambda k, words: " ".join(f"h{k}x{r.randrange(10**6)}" for _ in range(words))
+    rows = [(k, f"Start. {host(k, 3)} {p}  {host(k, 40)}.") for k, p in enumerate(passages)]
+    rows += [(100 + k, f"{host(k, 40)}. {host(k, 4 + k)} {p.upper()}\t{host(k, 9)}") for k, p in enumerate(passages)]
+    got = {x.doc_id: x.text for x in corpus_pipeline.without_repeats(spark, docs_of(rows), None).collect()}
+    for i, text in rows:
+        if i < 100:
+            assert got[i] == text
+        else:
+            p = passages[i - 100].upper().split()
+            left = [w in got[i] for w in p]
+            assert left.count(False) >= 12 and not any(left[22 : n - 22]) and [w for w in got[i].split() if w not in p] == [w for w in text.split() if w not in p]
+
+
+def test_aligned_pieces_give_the_text(prose):
+    for text in (b"", b"w " * 100, b" a\n" + b"x\t y  " * 40 + b". Z", prose(5, 9).replace(".", "").encode()):
+        assert b"".join(substring.sentences(text, True)) == text and len(substring.sentences(text, True)) >= len(text) // 200
+
+
 def test_odd_rows_stay(docs_of, prose):
     rows = [(1, None), (2, ""), (3, "Yes. No."), (4, "Yes. No."), (None, prose(9)), (5, prose(9)), (5, prose(9))]
     out = substring.without_repeats(docs_of(rows))
