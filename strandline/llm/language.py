@@ -13,6 +13,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ RUN = 24
 LETTERS = re.compile(rb"[a-z\x80-\xff]{1,%d}" % RUN)
 #: Labelled rows to learn from: so many of each language, texts up to so many characters.
 SAMPLE, SAMPLE_CHARS, LANGUAGES = 300, 20_000, 500
+#: A language with longer texts only is learnt from so many letter runs of each, picked by hash over the whole text.
+LONG_RUNS = 2000
 #: Distinct runs that a task remembers before it starts anew.
 REMEMBERED = 300_000
 UNDETERMINED = "und"
@@ -39,23 +42,42 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _some_runs(batches):
+    """Texts cut to LONG_RUNS of their letter runs at most."""
+    for b in batches:
+        texts = []
+        for t in b.column(0).to_pylist():
+            runs = letter_runs(t)
+            if len(runs) > LONG_RUNS:
+                at = np.random.default_rng(xxhash.xxh64_intdigest(t)).choice(len(runs), LONG_RUNS, replace=False)
+                runs = [runs[i] for i in np.sort(at)]
+            texts.append(b" ".join(runs))
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), *b.columns[1:]], names=b.schema.names)
+
+
 def learn(docs: DataFrame, sample: int = SAMPLE) -> BiGRU | None:
     """A network fitted on about ``sample`` rows of each language of ``docs(doc_id, text, lang)``, picked by hash; None without any.
 
     Twice as many reach the driver at most, whatever repeats in the corpus.
     """
-    rows = docs.select("doc_id", "text", "lang").where(f"lang is not null and text is not null and length(text) <= {SAMPLE_CHARS}")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    rows = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null")
+    short = F.length("text") <= SAMPLE_CHARS
+    counts = rows.groupBy("lang").agg(F.count_if(short).alias("short"), F.count(F.lit(1)).alias("all"))
+    counts = counts.orderBy(F.desc("short"), F.desc(F.when(F.col("short") == 0, F.col("all"))), "lang").limit(LANGUAGES).collect()
     if not counts:
         return None
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, min(1.0, sample / r["count"]))))
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, min(1.0, sample / (r.short or r.all)))))
     place = F.xxhash64("doc_id", "text")
-    picked = rows.where(F.pmod(place, F.lit(1 << 20)) < F.coalesce(share[F.col("lang")], F.lit(0.0)) * (1 << 20)).orderBy(place, "lang").limit(2 * sample * len(counts))
+    rows = rows.where(F.pmod(place, F.lit(1 << 20)) < F.coalesce(share[F.col("lang")], F.lit(0.0)) * (1 << 20)).select(F.col("text").cast("binary").alias("text"), "lang", place.alias("place"), short.alias("short"))
+    picked = rows.where("short")
+    if long := [r.lang for r in counts if not r.short]:
+        picked = picked.unionAll(rows.where(F.col("lang").isin(long)).mapInArrow(_some_runs, "text binary, lang string, place long, short boolean"))
+    picked = picked.orderBy("place", "lang").limit(2 * sample * len(counts))
     classes = sorted(r.lang for r in counts)
     runs: dict[int, list] = {}
     for r in sorted(picked.collect(), key=lambda r: (r.lang, r.text)):
         k = classes.index(r.lang)
-        for run in letter_runs(r.text.encode()):
+        for run in letter_runs(r.text):
             runs.setdefault(len(run), []).append((run, k))
     data = {}
     for t, xs in runs.items():

@@ -173,6 +173,15 @@ def test_languages_are_told_apart_and_odd_texts_are_und(docs_of):
     assert language.identify(docs_of(rows).where("false")).count() == 0
 
 
+def test_a_language_of_long_texts_only_is_learnt(docs_of):
+    r = random.Random(2)
+    make = lambda syllables, n: " ".join("".join(r.choice(syllables) for _ in range(3)) for _ in range(n))
+    rows = [(i, make(("sch", "ein", "nt"), 40), "x") for i in range(60)] + [(100 + i, "7 " * 9000 + make(("ka", "ro", "mi"), 500), "y") for i in range(20)]
+    assert all(len(t) > language.SAMPLE_CHARS for _, t, k in rows if k == "y")
+    got = language.identify(docs_of(rows + [(200, make(("ka", "ro", "mi"), 40))])).collect()
+    assert all(x.lang_pred == ("x" if x.doc_id < 100 else "y") for x in got)
+
+
 def test_pooling_labels_every_byte_once():
     net = BiGRU(["a", "b"])
     whole = language.Labeller(net).probabilities(["ab Cd ab", "x" * 100, "", None])
