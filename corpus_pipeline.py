@@ -10,14 +10,9 @@ from __future__ import annotations
 from strandline.llm import decontaminate, language, packing, simhash, substring
 from strandline.llm.common import stored, table
 
-#: A document without a letter is rejected, as is one whose best language has less than this. Short clean texts score little
-#: above one in the number of languages, so nothing is asked of the score here.
-LEAST_SCORE = 0.0
-
-
 def known_language(spark, docs, sf_dir):
-    """Documents whose language the network can tell."""
-    return language.determined(docs, LEAST_SCORE)
+    """Documents in a language that was learnt, see ``language.determined``."""
+    return language.determined(docs)
 
 
 def first_copies(spark, docs, sf_dir):

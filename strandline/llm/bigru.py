@@ -1,96 +1,191 @@
 """A bidirectional gated recurrent network over bytes that labels every position, in numpy.
 
-Sequences are runs of letters (bytes) of one length at a time, so nothing is
-padded. Training is backpropagation through time with Adam.
+Arrays are feature-major, [direction, feature, lane], so that each step of both
+directions is a handful of whole-array operations over all lanes. Direction 0
+reads forwards, direction 1 backwards. Training is backpropagation through time
+with Adam; labelling carries the state over whole texts, however long.
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
+
 import numpy as np
 
+#: Texts that are read side by side, and positions whose states are held at once.
+LANES, HELD = 256, 1 << 20
+
 
-def _sigmoid(a: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-a))
+def _sigmoid(a: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """In place where ``out`` is ``a``; far below zero exp is infinite and the result 0."""
+    out = np.negative(a, out=out)
+    np.exp(out, out=out)
+    out += 1
+    return np.reciprocal(out, out=out)
 
 
 class BiGRU:
-    """Parameters by direction d: ``wx`` [256, 3H] (a byte's input to update, reset and candidate), ``u`` [H, 3H], ``b`` [3H]; and ``v`` [2H, C], ``c`` [C]."""
+    """``wx`` [2, 3H, 256] is a byte's input to update, reset and candidate, ``u`` [2, 3H, H] the state's, ``b`` [2, 3H, 1]; ``v`` [2, C, H] and ``c`` [C, 1] label a position."""
 
     def __init__(self, classes: list[str], hidden: int = 12, seed: int = 7):
         rng, self.classes, self.h = np.random.default_rng(seed), classes, hidden
-        self.p = {"v": rng.normal(0, 0.3, (2 * hidden, len(classes))), "c": np.zeros(len(classes))}
-        for d in "fb":
-            self.p |= {f"wx{d}": rng.normal(0, 0.5, (256, 3 * hidden)), f"u{d}": rng.normal(0, 1 / np.sqrt(hidden), (hidden, 3 * hidden)), f"b{d}": np.zeros(3 * hidden)}
-        self.p = {k: x.astype(np.float32) for k, x in self.p.items()}
-
-    def _run(self, d: str, x: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-        """States [B, T, H] in reading order of direction ``d``, and what the way back needs."""
-        h_, u, table = self.h, self.p[f"u{d}"], self.p[f"wx{d}"] + self.p[f"b{d}"]
-        n, t = x.shape
-        h, out, tape = np.zeros((n, h_), np.float32), np.empty((n, t, h_), np.float32), []
-        for k in range(t) if d == "f" else range(t - 1, -1, -1):
-            a, g = table[x[:, k]], h @ u
-            zr = _sigmoid(a[:, : 2 * h_] + g[:, : 2 * h_])
-            z, r = zr[:, :h_], zr[:, h_:]
-            c = np.tanh(a[:, 2 * h_ :] + r * g[:, 2 * h_ :])
-            if keep:
-                tape.append((k, h, z, r, c, g[:, 2 * h_ :]))
-            h = c + z * (h - c)
-            out[:, k] = h
-        return out, tape
-
-    def positions(self, x: np.ndarray) -> np.ndarray:
-        """Class probabilities [B, T, C] of every byte of ``x`` [B, T]."""
-        s = np.concatenate([self._run("f", x, False)[0], self._run("b", x, False)[0]], 2)
-        a = s @ self.p["v"] + self.p["c"]
-        e = np.exp(a - a.max(2, keepdims=True))
-        return e / e.sum(2, keepdims=True)
+        p = {"wx": rng.normal(0, 0.5, (2, 3 * hidden, 256)), "u": rng.normal(0, 1 / np.sqrt(hidden), (2, 3 * hidden, hidden)), "b": np.zeros((2, 3 * hidden, 1))}
+        p |= {"v": rng.normal(0, 0.3, (2, len(classes), hidden)), "c": np.zeros((len(classes), 1))}
+        self.p = {k: x.astype(np.float32) for k, x in p.items()}
+
+    def _scan(self, xs: list[np.ndarray], h: np.ndarray, resets: list[dict], keep: np.ndarray | None, dirs: slice) -> np.ndarray:
+        """Read ``xs`` (for each direction, bytes [T, B] in its own order) from state ``h`` [D, H, B]; states go to ``keep`` [T, D, H, B].
+
+        ``resets``: for each direction, which lanes begin a text at a step.
+        """
+        n, p = self.h, self.p
+        table, u = (p["wx"] + p["b"])[dirs], p["u"][dirs]
+        a, g, zr = (np.empty((len(xs), k * n, h.shape[2]), np.float32) for k in (3, 3, 2))
+        c, r, z = np.empty_like(h), zr[:, n:], zr[:, :n]
+        with np.errstate(over="ignore"):
+            for t in range(len(xs[0])):
+                for d, x in enumerate(xs):
+                    np.take(table[d], x[t], axis=1, out=a[d], mode="clip")
+                    if (lanes := resets[d].get(t)) is not None:
+                        h[d][:, lanes] = 0
+                np.matmul(u, h, out=g)
+                np.add(a[:, : 2 * n], g[:, : 2 * n], out=zr)
+                _sigmoid(zr, out=zr)
+                np.multiply(r, g[:, 2 * n :], out=c)
+                c += a[:, 2 * n :]
+                np.tanh(c, out=c)
+                h -= c
+                h *= z
+                h += c
+                if keep is not None:
+                    keep[t] = h
+        return h
+
+    def pooled(self, texts: list[bytes], lanes: int = LANES, held: int = HELD) -> np.ndarray:
+        """For each text, the sum over all its bytes of their class probabilities: [len(texts), C].
+
+        Texts follow one another in ``lanes`` of about equal length; a state
+        begins at zero with each text and is carried to its end. Where the
+        lanes are longer than ``held`` allows, they are read in stretches: a
+        first pass keeps the forward state before each stretch, then stretches
+        are read from the last to the first.
+        """
+        out = np.zeros((len(texts), len(self.classes)))
+        order = sorted((i for i, t in enumerate(texts) if t), key=lambda i: -len(texts[i]))
+        if not order:
+            return out
+        total = sum(len(texts[i]) for i in order)
+        lanes = min(lanes, len(order), -(-total // len(texts[order[0]])) + 1)
+        heap, dealt, starts = [(0, k) for k in range(lanes)], [[] for _ in range(lanes)], [[] for _ in range(lanes)]
+        for i in order:
+            size, k = heap[0]
+            dealt[k].append(i)
+            starts[k].append(size)
+            heapq.heapreplace(heap, (size + len(texts[i]), k))
+        steps = max(size for size, _ in heap)
+        x = np.zeros((steps, lanes), np.uint8)
+        begins: dict[int, list] = {}
+        ends: dict[int, list] = {}
+        for size, k in heap:
+            x[:size, k] = np.frombuffer(b"".join([texts[i] for i in dealt[k]]), np.uint8)
+            for at, end in zip(starts[k], [*starts[k][1:], size]):
+                begins.setdefault(at, []).append(k)
+                ends.setdefault(end - 1, []).append(k)
+            dealt[k].append(len(texts))  # owns what is behind the last text
+            starts[k].append(size)
+        stretch = max(1, held // lanes)
+        cuts = [*range(0, steps, stretch), steps]
+        state = np.zeros((1, self.h, lanes), np.float32)
+        before = [state.copy()]
+        for a, b in zip(cuts, cuts[1:-1]):
+            state = self._scan([x[a:b]], state, [{t - a: begins[t] for t in range(a, b) if t in begins}], None, slice(0, 1))
+            before.append(state.copy())
+        back = np.zeros((1, self.h, lanes), np.float32)
+        v, c = self.p["v"], self.p["c"]
+        keep = np.empty((min(stretch, steps), 2, self.h, lanes), np.float32)
+        for a, b in reversed(list(zip(cuts, cuts[1:]))):
+            n = b - a
+            resets = [{t - a: begins[t] for t in range(a, b) if t in begins}, {b - 1 - t: ends[t] for t in range(a, b) if t in ends}]
+            h = self._scan([x[a:b], x[a:b][::-1]], np.concatenate([before.pop(), back]), resets, keep[:n], slice(0, 2))
+            back = h[1:].copy()
+            place = [bisect.bisect_right(s, a) - 1 for s in starts]
+            for k in range(0, n, 1024):
+                e = min(n, k + 1024)
+                q = np.matmul(v[0], keep[k:e, 0]) + np.matmul(v[1], keep[n - e : n - k, 1][::-1]) + c
+                q -= q.max(1, keepdims=True)
+                np.exp(q, out=q)
+                q /= q.sum(1, keepdims=True)
+                who = np.empty((e - k, lanes), np.int64)
+                for lane, s in enumerate(starts):  # whose bytes these are
+                    at = k
+                    while at < e:
+                        upto = s[place[lane] + 1] - a if place[lane] + 1 < len(s) else e
+                        who[at - k : min(upto, e) - k, lane] = dealt[lane][place[lane]]
+                        at = min(upto, e)
+                        place[lane] += upto <= e and place[lane] + 1 < len(s)
+                for j in range(len(self.classes)):
+                    out[:, j] += np.bincount(who.ravel(), q[:, j].ravel(), len(texts) + 1)[:-1]
+        return out
 
     def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross entropy over all positions, and its gradient; ``y`` [B] is the class of each run."""
-        h_, p = self.h, self.p
-        f, tape_f = self._run("f", x, True)
-        b, tape_b = self._run("b", x, True)
-        s = np.concatenate([f, b], 2)
-        a = s @ p["v"] + p["c"]
-        e = np.exp(a - a.max(2, keepdims=True))
-        q = e / e.sum(2, keepdims=True)
-        n, t, _ = q.shape
-        rows = np.arange(n)
-        loss = -np.log(q[rows, :, y] + 1e-9).mean()
-        q[rows, :, y] -= 1
-        q /= n * t
-        grad = {k: np.zeros_like(w) for k, w in p.items()}
-        grad["v"], grad["c"] = s.reshape(n * t, -1).T @ q.reshape(n * t, -1), q.sum((0, 1))
-        ds = q @ p["v"].T
-        for d, tape, side in (("f", tape_f, ds[:, :, :h_]), ("b", tape_b, ds[:, :, h_:])):
-            u, dh = p[f"u{d}"], np.zeros((n, h_), np.float32)
-            gu, gx, gb = grad[f"u{d}"], grad[f"wx{d}"], grad[f"b{d}"]
-            for k, h, z, r, c, g in reversed(tape):
-                dh = dh + side[:, k]
-                dc = dh * (1 - z) * (1 - c * c)
-                dz = dh * (h - c) * z * (1 - z)
-                dr = dc * g * r * (1 - r)
-                da = np.concatenate([dz, dr, dc], 1)
-                dg = np.concatenate([dz, dr, dc * r], 1)
-                gu += h.T @ dg
-                gb += da.sum(0)
-                np.add.at(gx, x[:, k], da)
-                dh = dh * z + dg @ u.T
-        return float(loss), grad
-
-    def train(self, runs: dict[int, tuple[np.ndarray, np.ndarray]], steps: int = 500, batch: int = 256, rate: float = 0.02, seed: int = 3) -> BiGRU:
-        """``runs``: by length, the runs [N, T] and their classes."""
-        rng, lengths = np.random.default_rng(seed), sorted(runs)
-        weight = np.array([len(runs[t][1]) * t for t in lengths], float)
+        """Mean cross entropy over all positions of the windows ``x`` [T, B] of classes ``y`` [B], and its gradient."""
+        n, p, (t_, b_) = self.h, self.p, x.shape
+        kind = p["u"].dtype
+        xs, table = np.stack([x, x[::-1]], 1), p["wx"] + p["b"]
+        before, z, r, c, g2 = (np.zeros((t_, 2, n, b_), kind) for _ in range(5))
+        states, h = np.empty((t_, 2, n, b_), kind), np.zeros((2, n, b_), kind)
+        for t in range(t_):
+            a, g = np.stack([table[d][:, xs[t, d]] for d in (0, 1)]), np.matmul(p["u"], h)
+            zr = _sigmoid(a[:, : 2 * n] + g[:, : 2 * n])
+            before[t], z[t], r[t], g2[t] = h, zr[:, :n], zr[:, n:], g[:, 2 * n :]
+            c[t] = np.tanh(a[:, 2 * n :] + r[t] * g2[t])
+            h = c[t] + z[t] * (h - c[t])
+            states[t] = h
+        q = np.matmul(p["v"][0], states[:, 0]) + np.matmul(p["v"][1], states[::-1, 1]) + p["c"]
+        q = np.exp(q - q.max(1, keepdims=True))
+        q /= q.sum(1, keepdims=True)
+        hit = q[:, y, np.arange(b_)]
+        loss = float(-np.log(hit + 1e-9).mean())
+        q[:, y, np.arange(b_)] -= 1
+        q /= t_ * b_
+        flat = lambda m: np.moveaxis(m, 1, 0).reshape(m.shape[1], -1)  # noqa: E731  [T, K, B] -> [K, T B]
+        own = [q, q[::-1]]  # in each direction's own order
+        grad = {"c": q.sum((0, 2))[:, None], "v": np.stack([flat(own[d]) @ flat(states[:, d]).T for d in (0, 1)])}
+        side = np.stack([np.matmul(p["v"][d].T, own[d]) for d in (0, 1)], 1)
+        into, dg, dh = np.empty((t_, 2, 3 * n, b_), kind), np.empty((t_, 2, 3 * n, b_), kind), np.zeros((2, n, b_), kind)
+        ut = p["u"].transpose(0, 2, 1)
+        for t in range(t_ - 1, -1, -1):
+            dh = dh + side[t]
+            dc = dh * (1 - z[t]) * (1 - c[t] * c[t])
+            into[t, :, :n] = dh * (before[t] - c[t]) * z[t] * (1 - z[t])
+            into[t, :, n : 2 * n] = dc * g2[t] * r[t] * (1 - r[t])
+            into[t, :, 2 * n :] = dc
+            dg[t] = into[t]
+            dg[t, :, 2 * n :] *= r[t]
+            dh = dh * z[t] + np.matmul(ut, dg[t])
+        grad["u"] = np.stack([flat(dg[:, d]) @ flat(before[:, d]).T for d in (0, 1)])
+        grad["wx"], grad["b"] = np.zeros_like(p["wx"]), into.sum((0, 3))[:, :, None]
+        for d in (0, 1):
+            byte = xs[:, d].ravel()
+            order = np.argsort(byte, kind="stable")
+            found, first = np.unique(byte[order], return_index=True)
+            grad["wx"][d][:, found] = np.add.reduceat(flat(into[:, d])[:, order], first, 1)
+        return loss, grad
+
+    def train(self, windows: dict[int, tuple[np.ndarray, np.ndarray]], steps: int = 400, batch: int = 128, rate: float = 0.03, seed: int = 3) -> BiGRU:
+        """``windows``: by length, the bytes [N, T] and their classes. Lengths take turns and classes weigh alike."""
+        rng, lengths = np.random.default_rng(seed), sorted(windows)
+        rows = {t: [np.flatnonzero(windows[t][1] == k) for k in np.unique(windows[t][1])] for t in lengths}
         m = {k: np.zeros_like(w) for k, w in self.p.items()}
         v = {k: np.zeros_like(w) for k, w in self.p.items()}
         for step in range(1, steps + 1):
-            x, y = runs[lengths[rng.choice(len(lengths), p=weight / weight.sum())]]
-            i = rng.integers(0, len(y), batch)
-            _, grad = self.gradient(x[i], y[i])
+            t = lengths[step % len(lengths)]
+            x, y = windows[t]
+            i = np.array([rng.choice(rows[t][k % len(rows[t])]) for k in rng.permutation(max(batch, len(rows[t])))[:batch]])
+            _, grad = self.gradient(x[i].T, y[i])
             now = rate * min(1, 2 * (1 - step / (steps + 1)))
-            norm = np.sqrt(sum((g * g).sum() for g in grad.values()))
+            norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
             for k, g in grad.items():
                 g = g / max(1, norm)
                 m[k] = 0.9 * m[k] + 0.1 * g

@@ -1,37 +1,34 @@
 """Language identification with a bidirectional gated recurrent network over bytes.
 
-A text's letters (A-Z lowered, and all bytes above ASCII) form runs of up to
-RUN bytes. The network reads each run both ways and labels every byte; a
-document's probabilities are the mean over all its labelled bytes. A run's
-labels depend on the run alone, so each distinct run of a task is computed once
-and counted as often as it occurs; the whole of every text is labelled.
+A text is its UTF-8 bytes, A-Z lowered: letters, blanks, digits and marks
+alike. The network reads each whole text both ways, carries its state from end
+to end and labels every byte; a document's probabilities are the mean over all
+its bytes. Besides the languages it learns what is none of them, from noise
+made of the same bytes, so that a text which is mostly that can be rejected.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bigru import BiGRU
 
-RUN = 24
-LETTERS = re.compile(rb"[a-z\x80-\xff]{1,%d}" % RUN)
-#: Labelled rows to learn from: so many of each language, texts up to so many characters.
-SAMPLE, SAMPLE_CHARS, LANGUAGES = 300, 20_000, 500
-#: A language with longer texts only is learnt from so many letter runs of each, picked by hash over the whole text.
-LONG_RUNS = 2000
-#: Distinct runs that a task remembers before it starts anew.
-REMEMBERED = 300_000
-UNDETERMINED = "und"
+#: Labelled texts to learn from, so many different ones of each language, picked by hash; and from each of them so many
+#: windows of these many bytes, placed by hash over the whole text.
+SAMPLE, WINDOWS, LENGTHS = 300, 8, (16, 64)
+#: Bytes of text that are read side by side.
+GROUP = 16 << 20
+#: A text of this many bytes is rejected where more than this share of them is no language's. Shorter ones tell too little.
+TELLING, MOST_NOISE = 256, 0.8
+UNDETERMINED, NOISE = "und", ""
 
 
-def letter_runs(text: bytes) -> list[bytes]:
-    return LETTERS.findall(text.lower())
+def as_bytes(text: str | None) -> bytes:
+    return (text or "").encode().lower()
 
 
 def has_letter(text: str | None) -> bool:
@@ -42,135 +39,111 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _some_runs(batches):
-    """Texts cut to LONG_RUNS of their letter runs at most."""
+def windows_of(text: bytes, length: int) -> list[bytes]:
+    """WINDOWS pieces of ``length`` bytes; a shorter text is repeated after a blank."""
+    if len(text) < length:
+        text = b" ".join([text] * (length // (len(text) + 1) + 2))
+    rng = np.random.default_rng([xxhash.xxh64_intdigest(text), length])
+    return [text[a : a + length] for a in rng.integers(0, len(text) - length + 1, WINDOWS)]
+
+
+def _cut(batches):
+    """text, lang -> lang, and for each of LENGTHS the windows one behind the other."""
     for b in batches:
-        texts = []
-        for t in b.column(0).to_pylist():
-            runs = letter_runs(t)
-            if len(runs) > LONG_RUNS:
-                at = np.random.default_rng(xxhash.xxh64_intdigest(t)).choice(len(runs), LONG_RUNS, replace=False)
-                runs = [runs[i] for i in np.sort(at)]
-            texts.append(b" ".join(runs))
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), *b.columns[1:]], names=b.schema.names)
+        rows = [(lang, [b"".join(windows_of(t, n)) for n in LENGTHS]) for t, lang in zip(map(as_bytes, b.column(0).to_pylist()), b.column(1).to_pylist()) if t]
+        langs, cut = zip(*rows) if rows else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(cut, pa.list_(pa.binary()))], names=["lang", "cut"])
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE) -> BiGRU | None:
-    """A network fitted on about ``sample`` rows of each language of ``docs(doc_id, text, lang)``, picked by hash; None without any.
+def sampled(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """``text, lang``: ``sample`` different texts of each language at most, those with the smallest hash; repeated rows count once."""
+    rows = docs.select("text", "lang").where("lang is not null and text <> ''").withColumn("place", F.xxhash64("text"))
+    share = rows.groupBy("lang").agg(F.approx_count_distinct("place").alias("n"))  # one row a language
+    share = share.select(F.col("lang").alias("of"), F.least(F.lit(1.0), 4 * sample / F.greatest("n", F.lit(1))).alias("share"))
+    near = rows.join(F.broadcast(share), F.col("lang") == F.col("of")).where(F.pmod("place", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    once = near.groupBy("lang", "place").agg(F.min("text").alias("text"))
+    first = once.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("place"))).where(F.col("nth") <= sample)
+    return first.select("text", "lang")
 
-    Twice as many reach the driver at most, whatever repeats in the corpus.
-    """
-    rows = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null")
-    short = F.length("text") <= SAMPLE_CHARS
-    counts = rows.groupBy("lang").agg(F.count_if(short).alias("short"), F.count(F.lit(1)).alias("all"))
-    counts = counts.orderBy(F.desc("short"), F.desc(F.when(F.col("short") == 0, F.col("all"))), "lang").limit(LANGUAGES).collect()
-    if not counts:
+
+def noise(windows: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """As many windows of no language: a third have the bytes of ``windows`` in another order, a third any letters and marks of ASCII, a third any bytes beyond."""
+    out = rng.permuted(windows, axis=1)
+    out[::3], out[1::3] = rng.integers(33, 127, out[::3].shape), rng.integers(128, 256, out[1::3].shape)
+    return np.where((out >= 65) & (out <= 90), out + 32, out).astype(np.uint8)
+
+
+def learn(docs: DataFrame, sample: int = SAMPLE) -> BiGRU | None:
+    """A network fitted on windows of ``sampled`` texts of ``docs(text, lang)``; None without any. The windows, about 5 KB a text, reach the driver."""
+    got = sampled(docs, sample).mapInArrow(_cut, "lang string, cut array<binary>").collect()
+    if not got:
         return None
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, min(1.0, sample / (r.short or r.all)))))
-    place = F.xxhash64("doc_id", "text")
-    rows = rows.where(F.pmod(place, F.lit(1 << 20)) < F.coalesce(share[F.col("lang")], F.lit(0.0)) * (1 << 20)).select(F.col("text").cast("binary").alias("text"), "lang", place.alias("place"), short.alias("short"))
-    picked = rows.where("short")
-    if long := [r.lang for r in counts if not r.short]:
-        picked = picked.unionAll(rows.where(F.col("lang").isin(long)).mapInArrow(_some_runs, "text binary, lang string, place long, short boolean"))
-    picked = picked.orderBy("place", "lang").limit(2 * sample * len(counts))
-    classes = sorted(r.lang for r in counts)
-    runs: dict[int, list] = {}
-    for r in sorted(picked.collect(), key=lambda r: (r.lang, r.text)):
-        k = classes.index(r.lang)
-        for run in letter_runs(r.text):
-            runs.setdefault(len(run), []).append((run, k))
-    data = {}
-    for t, xs in runs.items():
-        y = np.array([k for _, k in xs])
-        order = np.concatenate([np.resize(np.flatnonzero(y == k), np.bincount(y).max()) for k in np.unique(y)])  # languages weigh alike
-        data[t] = (np.frombuffer(b"".join(run for run, _ in xs), np.uint8).reshape(-1, t)[order], y[order])
-    return BiGRU(classes).train(data) if data else None
-
-
-class Labeller:
-    """Document probabilities by pooling over all positions; remembers the runs it has met."""
-
-    def __init__(self, net: BiGRU):
-        self.net, self.at, self.sums = net, {}, np.zeros((0, len(net.classes)), np.float32)
-
-    def _label(self, new: list[bytes]) -> np.ndarray:
-        out = np.empty((len(new), len(self.net.classes)), np.float32)
-        size = np.fromiter(map(len, new), np.int64, len(new))
-        for t in np.unique(size):
-            i = np.flatnonzero(size == t)
-            x = np.frombuffer(b"".join([new[k] for k in i]), np.uint8).reshape(-1, t)
-            for k in range(0, len(i), 4096):
-                out[i[k : k + 4096]] = self.net.positions(x[k : k + 4096]).sum(1)
-        return out
-
-    def probabilities(self, texts: list[str | None]) -> np.ndarray:
-        runs = [letter_runs(t.encode()) if t else [] for t in texts]
-        if len(self.at) > REMEMBERED:
-            self.at, self.sums = {}, self.sums[:0]
-        at, n = self.at, len(self.at)
-        codes = [at.setdefault(r, len(at)) for doc in runs for r in doc]
-        if len(at) > n:
-            self.sums = np.concatenate([self.sums, self._label(list(at)[n:])])
-        out = np.zeros((len(texts), len(self.net.classes)))
-        sizes = np.fromiter(map(len, runs), np.int64, len(runs))
-        if not codes:
-            return out
-        some = np.flatnonzero(sizes)
-        for c0, c1, rows in self._slices(sizes, some):
-            part = self.sums[codes[c0:c1]].astype(np.float64)
-            starts = np.concatenate([[0], np.cumsum(sizes[rows])[:-1]])
-            out[rows] = np.add.reduceat(part, starts)
-        total = out.sum(1, keepdims=True)
-        return out / np.where(total > 0, total, 1)
-
-    @staticmethod
-    def _slices(sizes: np.ndarray, some: np.ndarray, most: int = 1 << 20):
-        """Rows in stretches of about ``most`` runs, to bound the gathered table."""
-        k = c = 0
-        while k < len(some):
-            j, n = k, 0
-            while j < len(some) and (j == k or n + sizes[some[j]] <= most):
-                n += int(sizes[some[j]])
-                j += 1
-            yield c, c + n, some[k:j]
-            k, c = j, c + n
+    got = sorted((r.lang, list(map(bytes, r.cut))) for r in got)
+    langs = sorted({lang for lang, _ in got})
+    rng, data = np.random.default_rng(5), {}
+    for k, n in enumerate(LENGTHS):
+        x = np.frombuffer(b"".join(cut[k] for _, cut in got), np.uint8).reshape(-1, n)
+        y = np.repeat([langs.index(lang) for lang, _ in got], WINDOWS)
+        z = noise(x[rng.permutation(len(x))[: max(256, len(x) // len(langs))]], rng)
+        data[n] = np.concatenate([x, z]), np.concatenate([y, np.full(len(z), len(langs))])
+    return BiGRU([*langs, NOISE]).train(data)
 
 
 def predict(docs: DataFrame, net: BiGRU | None) -> DataFrame:
-    """Every column of ``docs`` as k0, k1, ... with ``lang_pred`` and ``score`` behind, for whole texts."""
+    """Every column of ``docs`` as k0, k1, ... with ``lang_pred``, ``score``, and ``noise`` (the share of no language) behind, for whole texts."""
     held = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches):
-        label = Labeller(held.value) if held.value else None
+        net = held.value
         for b in batches:
             texts = b.column(0).to_pylist()
-            lang, score = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-            if label:
-                for k in range(0, len(texts), 1000):
-                    for i, p in enumerate(label.probabilities(texts[k : k + 1000]), k):
-                        if p.any() and has_letter(texts[i]):
-                            lang[i], score[i] = label.net.classes[int(p.argmax())], float(min(1.0, p.max()))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names[1:], "lang_pred", "score"])
-
-    schema = ", ".join([*(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema)), "lang_pred string", "score double"])
+            lang, score, none = [UNDETERMINED] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+            i = 0 if net else len(texts)
+            while i < len(texts):
+                group, size, at = [], 0, i
+                while i < len(texts) and (i == at or size < GROUP):
+                    group.append(as_bytes(texts[i]) if has_letter(texts[i]) else b"")
+                    size += len(group[-1])
+                    i += 1
+                sums = net.pooled(group)
+                for k, (t, p) in enumerate(zip(group, sums), at):
+                    if t:
+                        best = int(p[:-1].argmax())
+                        lang[k], score[k], none[k] = net.classes[best], float(p[best] / max(p[:-1].sum(), 1e-30)), float(p[-1] / p.sum())
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(none, pa.float64())], names=[*b.schema.names[1:], "lang_pred", "score", "noise"])
+
+    schema = ", ".join([*(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema)), "lang_pred string", "score double", "noise double"])
     return docs.select(F.col("text").alias("t"), *(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(docs.columns))).mapInArrow(run, schema)
 
 
-def determined(docs: DataFrame, least: float) -> DataFrame:
-    """The rows of ``docs`` with a language, at ``least`` or more; learnt from those that are not held out. All columns stay, whatever their names."""
-    told = predict(docs, learn(docs.where(~held_out()))).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
-    return told.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)))
+def determined(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are in a language that was learnt, with all columns, whatever their names.
+
+    A row goes if its text is null, empty or without a letter, or if it has
+    TELLING bytes and more than MOST_NOISE of them are no language's. Learns
+    from rows that are not held out; where there is nothing to learn from, no
+    row goes. A null ``lang`` becomes the one predicted. Repeated rows and rows
+    without doc_id are told each by its text.
+    """
+    net = learn(docs.where(~held_out()))
+    if net is None:
+        return docs
+    text = F.col(f"k{docs.columns.index('text')}")
+    told = predict(docs, net).where((F.col("lang_pred") != UNDETERMINED) & ((F.octet_length(text) < TELLING) | (F.col("noise") <= MOST_NOISE)))
+    return told.select(*((F.coalesce(f"k{i}", "lang_pred") if c == "lang" else F.col(f"k{i}")).alias(c) for i, c in enumerate(docs.columns)))
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """Language of every whole text of ``docs(doc_id, text, lang)``.
 
-    Returns ``doc_id, held_out, lang_pred, score``, a row per row. Learns from
-    text and non-null lang of rows that are not held out (crc32 of doc_id as
-    text, modulo 5, is not 0; a null doc_id is not held out). A null text, one
-    without a letter, and any text where there is nothing to learn from, is
-    ``und`` with score 0. Repeated rows are labelled each; other columns are
-    ignored.
+    Returns ``doc_id, held_out, lang_pred, score, noise``, a row per row. Learns
+    from text and non-null lang of rows that are not held out (crc32 of doc_id
+    as text, modulo 5, is not 0; a null doc_id is not held out). ``score`` is
+    the language's share among the languages, ``noise`` what is none's. A null
+    text, one without a letter, and any text where there is nothing to learn
+    from, is ``und`` with score 0. A very long text is read whole, in memory of
+    about its size. Repeated rows are labelled each; other columns are ignored.
     """
     net = learn(docs.where(~held_out()))
-    return predict(docs.select("doc_id", "text"), net).select(F.col("k0").alias("doc_id"), held_out("k0").alias("held_out"), "lang_pred", "score")
+    told = predict(docs.select("doc_id", "text"), net)
+    return told.select(F.col("k0").alias("doc_id"), held_out("k0").alias("held_out"), "lang_pred", F.least("score", F.lit(1.0)).alias("score"), "noise")
