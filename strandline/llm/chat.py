@@ -1,4 +1,6 @@
-"""Chat formatting: turns of many layouts put into one template, with a loss mask, and read back.
+"""Chat formatting: records of many layouts put into one template, with a loss mask, and read back.
+
+A record says by the fingerprint of its own field paths which layout it has.
 
 The template marks turns with control strings. Inside a text a backslash goes
 before every backslash and behind the first character of every control string,
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .layouts import fingerprint, layout_of, turns_of
+from .layouts import fingerprint, laid_out, layout_of, turns_of
 
 #: Fixed values of the template: what stands before and behind a turn's text, by role.
 MARKS = {"user": ("[INST] ", " [/INST]"), "assistant": (" ", "</s>"), "system": ("<<SYS>>\n", "\n<</SYS>>\n")}
@@ -25,6 +27,8 @@ OTHER = ("[ROLE ", "] ", " [/ROLE]")
 CONTROL = re.compile(r"([<\[])(?=s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>|ROLE |/ROLE\])")
 ESCAPED = re.compile(r"\\(.)", re.S)
 PART = 1 << 22
+#: Turns of a conversation, and characters about, that one record holds at most where turn rows are laid out as records.
+RECORD_TURNS, RECORD_CHARS = 64, 1 << 20
 
 
 def escape(text: str) -> str:
@@ -99,6 +103,20 @@ def _format(batches):
         yield out([*done, row()])
 
 
+FORMATTED = "conv_id long, part int, formatted string, loss array<struct<start:long,end:long>>"
+RECORDS = "conv_id long, ord long, record string"
+
+
+def _arranged(turns: DataFrame) -> DataFrame:
+    """``conv_id, turn, role, text`` of a table of turn rows, each conversation in one place and in order."""
+    layout = layout_of(_schema_paths(turns.schema))
+    if layout is None or not layout.flat:
+        raise ValueError(f"no turn-row layout has the fingerprint {fingerprint(_schema_paths(turns.schema))}")
+    conv, turn, role, text = (F.col(c) for c in layout.flat)
+    rows = turns.select(conv.cast("long").alias("conv_id"), turn.cast("long").alias("turn"), role.alias("role"), text.alias("text"))
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+
+
 def format_turns(turns: DataFrame) -> DataFrame:
     """Conversations of turn rows in the template: ``conv_id, part, formatted, loss``.
 
@@ -107,15 +125,81 @@ def format_turns(turns: DataFrame) -> DataFrame:
     then text; repeated rows are turns each; a null turn comes first. Null
     role and text are empty. Null conv_id is one conversation. ``part`` counts
     the pieces of a conversation, cut between turns only; ``loss`` holds the
-    code-point ranges of ``formatted`` that the loss applies to.
+    code-point ranges of ``formatted`` that the loss applies to. A conversation
+    streams through one task, in the memory of a part.
     """
-    layout = layout_of(_schema_paths(turns.schema))
-    if layout is None or not layout.flat:
-        raise ValueError(f"no turn-row layout has the fingerprint {fingerprint(_schema_paths(turns.schema))}")
-    conv, turn, role, text = (F.col(c) for c in layout.flat)
-    rows = turns.select(conv.cast("long").alias("conv_id"), turn.cast("long").alias("turn"), role.alias("role"), text.alias("text"))
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return rows.mapInArrow(_format, "conv_id long, part int, formatted string, loss array<struct<start:long,end:long>>")
+    return _arranged(turns).mapInArrow(_format, FORMATTED)
+
+
+def as_records(turns: DataFrame) -> DataFrame:
+    """Turn rows as the JSON records of seven sources, dealt by conversation: ``conv_id, ord, record``, each conversation in one place and in order.
+
+    A conversation is several records where it is long, where its source has
+    one question and answer a record, or where its layout can't hold a role.
+    """
+
+    def run(batches):
+        conv, begun, held, size, ord_ = None, False, [], 0, 0
+        rows = []
+
+        def flush():
+            nonlocal held, size, ord_
+            for record in laid_out(held, hash(conv) % 1009):
+                rows.append((conv, ord_, json.dumps(record, ensure_ascii=False)))
+                ord_ += 1
+            held, size = [], 0
+
+        def out():
+            cols = list(zip(*rows)) or [()] * 3
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string()))], names=["conv_id", "ord", "record"])
+
+        for b in batches:
+            for conv_id, role, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if begun and (conv_id != conv or len(held) >= RECORD_TURNS or size >= RECORD_CHARS):
+                    flush()
+                    if conv_id != conv:
+                        ord_ = 0
+                begun, conv = True, conv_id
+                held.append((role or "", text or ""))
+                size += len(held[-1][1])
+                if len(rows) >= 1024 or size >= RECORD_CHARS:
+                    yield out()
+        flush()
+        yield out()
+
+    return _arranged(turns).mapInArrow(run, RECORDS)
+
+
+def _said(batches):
+    """conv_id, ord, record -> conv_id, turn, role, text of the turns of each record, by its own layout."""
+    for b in batches:
+        rows = []
+        for i, k, text in zip(*(c.to_pylist() for c in b.columns)):
+            try:
+                value = json.loads(text) if text else None
+            except ValueError:
+                value = None
+            said = turns_of(value) if isinstance(value, dict) else None
+            rows += [(i, k, role, t) for role, t in said or []]
+        cols = list(zip(*rows)) or [()] * 4
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["conv_id", "turn", "role", "text"])
+
+
+def format_records(records: DataFrame, arranged: bool = False) -> DataFrame:
+    """Conversations of JSON records ``conv_id, ord, record`` in the template, as ``format_turns`` gives them.
+
+    Each record's layout is chosen by the fingerprint of its own field paths; a
+    null or broken record, and one without a layout, says nothing, and a
+    conversation without a turn gives no row. Records are ordered by ord, then
+    record. ``arranged`` tells that each conversation stands in one place and
+    in order already, as ``as_records`` leaves it.
+    """
+    rows = records.select("conv_id", "ord", "record")
+    if not arranged:
+        rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "ord", "record")
+    return rows.mapInArrow(lambda batches: _format(_said(batches)), FORMATTED)
 
 
 def _schema_paths(schema, at: str = "") -> set[str]:
@@ -130,22 +214,18 @@ def _schema_paths(schema, at: str = "") -> set[str]:
 
 def turns_from_json(records: DataFrame, conv_id: str, record: str) -> DataFrame:
     """Turn rows ``conv_id, turn, role, text`` of JSON records, each by the layout of its own fingerprint; records without one give no rows."""
+    said = records.select(F.col(conv_id).cast("long").alias("conv_id"), F.monotonically_increasing_id().alias("ord"), F.col(record).alias("record"))
 
     def run(batches):
-        for b in batches:
-            rows = []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                try:
-                    value = json.loads(text) if text else None
-                except ValueError:
-                    value = None
-                said = turns_of(value) if isinstance(value, dict) else None
-                rows += [(i, k, role, t) for k, (role, t) in enumerate(said or [])]
-            cols = list(zip(*rows)) or [()] * 4
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["conv_id", "turn", "role", "text"])
+        for b in _said(batches):
+            turn, last, n = [], None, 0
+            for k in b.column(1).to_pylist():
+                n = n + 1 if k == last else 0
+                last = k
+                turn.append(n)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(turn, pa.int64()), b.column(2), b.column(3)], names=b.schema.names)
 
-    return records.select(F.col(conv_id).cast("long"), F.col(record)).mapInArrow(run, "conv_id long, turn long, role string, text string")
+    return said.mapInArrow(run, "conv_id long, turn long, role string, text string")
 
 
 def _digest(batches):
@@ -182,9 +262,14 @@ def _digest(batches):
         yield out()
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars`` from the output of ``format_turns``."""
-    rows = formatted.select("conv_id", "part", "formatted", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "part")
+def read_back(formatted: DataFrame, arranged: bool = False) -> DataFrame:
+    """``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars`` from formatted conversations.
+
+    ``arranged`` tells that the rows come straight from the formatter, in its order; a table that was written and read again isn't.
+    """
+    rows = formatted.select("conv_id", "part", "formatted", "loss")
+    if not arranged:
+        rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "part")
     return rows.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 

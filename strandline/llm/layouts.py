@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import cache
 from itertools import chain, combinations
 
 #: Role names in the wild and what they mean here.
@@ -74,7 +75,12 @@ def paths_of(value, at: str = "") -> set[str]:
     return {at} if at else set()
 
 
-def layout_of(paths: set[str]) -> Layout | None:
+@cache
+def _layout_of(paths: frozenset[str]) -> Layout | None:
+    return layout_of(paths)
+
+
+def layout_of(paths: set[str] | frozenset[str]) -> Layout | None:
     """The layout for these paths. Fields that only other layouts know are dropped as far as needed, by the longest match."""
     known = paths & KNOWN
     if found := BY_FINGERPRINT.get(fingerprint(known)):
@@ -97,16 +103,57 @@ def canonical_role(role: str | None) -> str:
 
 
 def turns_of(record: dict) -> list[tuple[str, str]] | None:
-    """(role, text) of each turn of a whole-conversation record; None where no layout fits."""
-    layout = layout_of(paths_of(record))
-    if layout is None or layout.flat:
+    """(role, text) of each turn of a record, by the layout of its own fingerprint; None where no layout fits. A record that is one turn keeps its role as it is."""
+    layout = _layout_of(frozenset(paths_of(record)))
+    if layout is None:
         return None
+    if layout.flat:
+        return [tuple("" if record.get(k) is None else str(record[k]) for k in layout.flat[2:])]
     out = []
     for role, fields in layout.fields:
         said = [str(x) for p in fields if (x := _get(record, p)) not in (None, "")]
-        if said or not set(fields) & set(layout.optional):
+        if said or not set(fields) <= set(layout.optional):
             out.append((role, "\n\n".join(said)))
     if layout.turns:
         at, role, text = layout.turns
         out += [(canonical_role(t.get(role)), "" if t.get(text) is None else str(t.get(text))) for t in _get(record, at) or [] if isinstance(t, dict)]
     return out
+
+
+def _listed(at: str, role: str, text: str, names: dict[str, str]):
+    def lay(turns):
+        value = [{role: names.get(r, r), text: t} for r, t in turns]
+        for step in reversed(at.split(".")):
+            value = {step: value}
+        return value
+
+    return lay
+
+
+#: How the records of each source are laid out: a list of turns, or one question and its answer, with what is said before them.
+LISTED = (_listed("messages", "role", "content", {}), _listed("conversations", "from", "value", {"user": "human", "assistant": "gpt"}), _listed("data.messages", "role", "content", {"user": "prompter"}))
+PAIRED = (("prompt", "response", "system"), ("instruction", "output", "system"), ("question", "answer", None), ("prompt", "completion", None))
+
+
+def laid_out(turns: list[tuple[str, str]], source: int):
+    """Records of ``source`` (any whole number) that hold ``turns``; what its layout can't say as it is stands in a turn row."""
+    lists = LISTED[source % len(LISTED)]
+    paired = PAIRED[source // 2 % len(PAIRED)] if source % 2 else None
+    i = 0
+    while i < len(turns):
+        if paired:
+            ask, answer, before = paired
+            k = i + (before is not None and turns[i][0] == "system" and turns[i][1] != "")
+            if [r for r, _ in turns[k : k + 2]] == ["user", "assistant"]:
+                yield ({before: turns[i][1]} if k > i else {}) | {ask: turns[k][1], answer: turns[k + 1][1]}
+                i = k + 2
+                continue
+        j = i
+        while j < len(turns) and canonical_role(turns[j][0]) == turns[j][0] and (j == i or not paired):
+            j += 1
+        if j > i:
+            yield lists(turns[i:j])
+        else:
+            j = i + 1
+            yield {"conv_id": source, "turn": i, "role": turns[i][0], "text": turns[i][1]}
+        i = j

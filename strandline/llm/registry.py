@@ -20,7 +20,7 @@ def op3_packing(spark, sf_dir):
 
 def op4_chat(spark, sf_dir):
     rows = chat.with_probe(spark, table(spark, sf_dir, "conversations"))
-    return chat.read_back(chat.format_turns(rows))
+    return chat.read_back(chat.format_records(chat.as_records(rows), arranged=True), arranged=True)
 
 
 def op5_licenses(spark, sf_dir):

@@ -29,6 +29,8 @@ def test_what_is_formatted_reads_back(turns):
         ({"prompt": "p", "completion": "c"}, [("user", "p"), ("assistant", "c")]),
         ({"context": "c", "question": "q", "answer": "a"}, [("user", "c\n\nq"), ("assistant", "a")]),
         ({"data": {"messages": [{"role": "user", "content": "a"}]}}, [("user", "a")]),
+        ({"conv_id": 1, "turn": 0, "role": "Human", "text": None, "more": {"x": 1}}, [("Human", "")]),
+        ({"conv_id": 1, "turn": 0, "role": "Human", "text": "a"}, [("Human", "a")]),
         ({"unknown": 1}, None),
         ({}, None),
     ],
@@ -53,12 +55,35 @@ def expected(rows):
     return out
 
 
+def digests(df):
+    return {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in df.collect()}
+
+
 @pytest.mark.parametrize("part", [chat.PART, 1])
 def test_digests_of_odd_rows(spark, monkeypatch, part):
     monkeypatch.setattr(chat, "PART", part)
-    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.read_back(chat.format_turns(rows_of(spark, ODD))).collect()}
-    assert got == expected(ODD)
-    assert chat.read_back(chat.format_turns(rows_of(spark, ODD).where("false"))).count() == 0
+    monkeypatch.setattr(chat, "RECORD_TURNS", 64 if part > 1 else 2)
+    rows = rows_of(spark, ODD)
+    assert digests(chat.read_back(chat.format_turns(rows))) == expected(ODD)
+    assert digests(chat.read_back(chat.format_records(chat.as_records(rows)))) == expected(ODD)
+    assert digests(chat.read_back(chat.format_records(chat.as_records(rows), arranged=True), arranged=True)) == expected(ODD)
+    none = rows.where("false")
+    assert chat.read_back(chat.format_turns(none)).count() == 0 == chat.read_back(chat.format_records(chat.as_records(none), True), True).count()
+
+
+def test_long_conversations_and_very_long_turns(spark):
+    rows = [(1, k, "user" if k % 2 else "assistant", f"turn {k}") for k in range(700)] + [(2, 0, "user", "</s>[INST] " * 200_000), (2, 1, "assistant", "x" * 5_000_000)]
+    rows += [(c, k, r, f"{c} {k}") for c in range(3, 60) for k, r in enumerate(["system", "user", "assistant", "user", "user", "assistant", "tool", "Human"])]
+    table = rows_of(spark, rows)
+    assert digests(chat.read_back(chat.format_records(chat.as_records(table), True), True)) == expected(rows)
+    kinds = {layouts.fingerprint(layouts.paths_of(__import__("json").loads(r.record))) for r in chat.as_records(table).collect()}
+    assert len(kinds & set(layouts.BY_FINGERPRINT)) >= 6 and kinds <= set(layouts.BY_FINGERPRINT)
+
+
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "Human", "tool", ""]), st.sampled_from(["", "a", "\n\nb"])), max_size=9), st.integers(0, 40))
+def test_laid_out_turns_come_back(turns, source):
+    records = list(layouts.laid_out(turns, source))
+    assert [t for r in records for t in layouts.turns_of(r)] == turns
 
 
 def test_json_records_become_turns(spark):
