@@ -4,16 +4,19 @@ A fingerprint has eight bytes. Two fingerprints within four differing bits
 differ in at most four bytes, so they share at least four positional bytes: that
 is the guaranteed minimum. Whatever four positions they share, one of twenty
 fixed position triples lies inside (a covering of all four-subsets of eight
-positions), so the index posts every distinct fingerprint under its bytes at
-those twenty triples. Within a posting list, shared positional bytes are tallied
-per pair, pairs below the minimum are dropped and the rest are verified.
-
-Only distinct fingerprints are posted, 24-bit keys keep lists short, and a long
-list is searched breadth-first, so it yields one link for each member at most.
+positions), so every distinct fingerprint is dealt to the lists of its bytes at
+those twenty triples; a list of more than HOT is dealt again by one byte more,
+which a pair needs anyway. A list is then an inverted index of its own: it
+posts its members under their byte at each other position. A member's postings
+are tallied, what it shares fewer than four positional bytes with is dropped,
+and only the rest is verified by bits.
+
+A list is searched breadth-first, so it yields one link for each member at most.
 """
 
 from __future__ import annotations
 
+from functools import partial
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -25,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import components, stored
 
 SHINGLE, SEED, MAX_BITS, MIN_BYTES = 4, 42, 4, 4
+#: Members of a list from which it is dealt by one byte more; members up to which all its pairs are tallied at once.
+HOT, FEW = 4096, 8
 
 
 def position_triples() -> list[tuple[int, int, int]]:
@@ -93,62 +98,99 @@ def fingerprints(texts: list[bytes | None], block: int = 1 << 19) -> np.ndarray:
 
 
 def with_fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` (long) for each row of ``docs``."""
+    """``doc_id, said, fp`` (longs) for each row of ``docs``; ``said`` is a hash of the text."""
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints(b.column(1).to_pylist()))], names=["doc_id", "fp"])
-
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
-
-
-def _spread(fp: np.ndarray, rep: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-    """Links (as index pairs) inside the posting lists fp[starts:ends]."""
-
-    def linked(a, b):
-        x = np.bitwise_xor(a, b)
-        shared = (x.view(np.uint8).reshape(*x.shape, 8) == 0).sum(-1)
-        return (shared >= MIN_BYTES) & (np.bitwise_count(x.view(np.uint64)) <= MAX_BITS)
-
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fingerprints(b.column(2).to_pylist()))], names=["doc_id", "said", "fp"])
+
+    return docs.select("doc_id", F.xxhash64("text").alias("said"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, said long, fp long")
+
+
+def _bits(a: np.ndarray, b) -> np.ndarray:
+    return np.bitwise_count(np.bitwise_xor(a, b).view(np.uint64)) <= MAX_BITS
+
+
+def _small(fp: np.ndarray, starts: np.ndarray, ends: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (as index pairs) in lists of FEW members at most, for all lists at once."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    row = np.concatenate([np.arange(s, e) for s, e in zip(starts, ends)]) if len(starts) else left[0]
+    end_of = np.repeat(ends, ends - starts)
+    octets = fp.view(np.uint8).reshape(-1, 8)
+    for d in range(1, FEW):
+        i = row[row + d < end_of]
+        tally = (octets[i] == octets[i + d]).sum(1)
+        kept = i[tally >= MIN_BYTES]
+        found = kept[_bits(fp[kept], fp[kept + d])]
+        told += (len(i), len(i) - len(kept), len(kept))
+        left.append(found), right.append(found + d)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _list(fp: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Enough links (as index pairs) in one list to join all of its members that reach each other."""
+    octets = fp.view(np.uint8).reshape(-1, 8)
+    alike = (octets == octets[0]).all(0)
+    shared = int(alike.sum())  # positional bytes that every pair of this list shares
+    postings = []
+    for p in np.flatnonzero(~alike):
+        order = np.argsort(octets[:, p], kind="stable")
+        postings.append((p, order, np.searchsorted(octets[order, p], np.arange(257))))
     left, right = [], []
-    size = ends - starts
-    end_of = np.repeat(ends, size)
-    small = np.repeat(size <= 8, size)
-    row = np.concatenate([np.arange(s, e) for s, e in zip(starts, ends)]) if len(starts) else np.zeros(0, np.int64)
-    for d in range(1, 8):
-        i = row[small & (row + d < end_of)]
-        if len(i):
-            i = i[linked(fp[i], fp[i + d])]
-            left.append(i), right.append(i + d)
-    for s, e in zip(starts[size > 8], ends[size > 8]):
-        rest = np.arange(s, e)
-        while len(rest) > 1:
-            front, rest = [rest[0]], rest[1:]
-            while front and len(rest):
-                p = front.pop()
-                near = np.zeros(len(rest), bool)
-                for k in range(0, len(rest), 1 << 20):
-                    near[k : k + (1 << 20)] = linked(fp[rest[k : k + (1 << 20)]], fp[p])
-                got = rest[near]
-                left.append(np.full(len(got), p)), right.append(got)
-                front.extend(got)
-                rest = rest[~near]
+    alive, first, rest = np.ones(len(fp), bool), 0, np.arange(len(fp))
+
+    def partners(i):
+        nonlocal rest
+        if shared >= MIN_BYTES:  # every member has the minimum
+            if 2 * alive.sum() < len(rest):
+                rest = rest[alive[rest]]
+            kept = rest[alive[rest]]
+            met = len(kept)
+        else:
+            lists = [order[cut[v] : cut[v + 1]] for p, order, cut in postings for v in (int(octets[i, p]),)]
+            met = np.concatenate(lists) if lists else rest[:0]
+            met = met[alive[met]]
+            if shared + 1 >= MIN_BYTES:
+                kept = np.unique(met)
+            else:
+                each, tally = np.unique(met, return_counts=True)
+                kept = each[tally + shared >= MIN_BYTES]
+            met = int(alive.sum())
+        told[:] += (met, met - len(kept), len(kept))
+        return kept[_bits(fp[kept], fp[i])]
+
+    while first < len(fp):
+        if alive[first]:
+            alive[first] = False
+            front = [first]
+            while front:
+                i = front.pop()
+                got = partners(i)
+                alive[got] = False
+                left.append(np.full(len(got), i)), right.append(got)
+                front.extend(got.tolist())
+        first += 1
     none = np.zeros(0, np.int64)
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def _search(batches):
-    """Posting lists arrive sorted by key; a list that a batch cuts is carried on to the next."""
+def _search(batches, tallies=None):
+    """Lists arrive sorted by key; a list that a batch cuts is carried on to the next."""
     key = fp = rep = np.zeros(0, np.int64)
+    told = np.zeros(3, np.int64)
 
     def take(last: bool):
         nonlocal key, fp, rep
         bounds = np.flatnonzero(np.diff(key)) + 1
         upto = len(key) if last else (bounds[-1] if len(bounds) else 0)
-        starts = np.concatenate([[0], bounds])
-        ends = np.concatenate([bounds, [len(key)]])
+        starts, ends = np.concatenate([[0], bounds]), np.concatenate([bounds, [len(key)]])
         use = (ends - starts > 1) & (ends <= upto)
-        i, j = _spread(fp, rep, starts[use], ends[use])
+        few = use & (ends - starts <= FEW)
+        pairs = [_small(fp, starts[few], ends[few], told)]
+        for s, e in zip(starts[use & ~few], ends[use & ~few]):
+            i, j = _list(fp[s:e], told)
+            pairs.append((i + s, j + s))
+        i, j = (np.concatenate(x) for x in zip(*pairs))
         out = pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(rep[j])], names=["a", "b"])
         key, fp, rep = key[upto:], fp[upto:], rep[upto:]
         return out
@@ -165,38 +207,61 @@ def _search(batches):
         key, fp, rep = (np.concatenate([old, *new]) for old, new in zip((key, fp, rep), zip(*held)))
     if len(key):
         yield take(True)
+    if tallies:
+        for n, counter in zip(told, tallies):
+            counter.add(int(n))
+
+
+def _byte(p: int):
+    return F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255))
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """``a, b``: enough links between ``distinct(fp, rep)`` to join all that lie within four bits, through chains."""
-    byte = lambda p: F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255))
-    keys = [F.lit(n) * (1 << 24) + byte(p) * 65536 + byte(q) * 256 + byte(r) for n, (p, q, r) in enumerate(TRIPLES)]
+def links(distinct: DataFrame, tallies=None, hot: int = HOT) -> DataFrame:
+    """``a, b``: enough links between ``distinct(fp, rep)`` to join all that lie within four bits, through chains.
+
+    ``tallies``, three accumulators, are told how many pairs were met, were dropped by their count, and were verified.
+    """
+    keys = [F.lit(n) * (1 << 24) + _byte(p) * 65536 + _byte(q) * 256 + _byte(r) for n, (p, q, r) in enumerate(TRIPLES)]
     posted = distinct.select(F.explode(F.array(*keys)).alias("key"), "fp", "rep")
-    return posted.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_search, "a long, b long")
+    long = stored(posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("key"), "hot-lists")
+    # A pair of a long list shares one byte more, at one of the five positions outside the triple.
+    more = [F.when(F.shiftright("key", 24).isin([n for n, t in enumerate(TRIPLES) if p not in t]), ((F.lit(p + 1) * 256 + _byte(p)) * (1 << 29) + F.col("key"))) for p in range(8)]
+    again = posted.join(long, "key", "left_semi").select(F.explode(F.array(*more)).alias("key"), "fp", "rep").where("key is not null")
+    dealt = posted.join(long, "key", "left_anti").unionByName(again)
+    return dealt.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(partial(_search, tallies=tallies), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Fingerprint and component of every row of ``docs(doc_id, text, ...)``.
 
-    Returns ``doc_id, fp`` (long), ``fingerprint`` (16 lower-case hex digits) and
-    ``component_id`` (smallest doc_id reachable over links of four bits or
-    fewer). Null and empty texts have fingerprint zero and link like any other;
-    repeated rows each get their row; a row without doc_id gets its group's
+    Returns ``doc_id, said`` (a hash of the text), ``fp`` (long),
+    ``fingerprint`` (16 lower-case hex digits) and ``component_id`` (smallest
+    doc_id reachable over links of four bits or fewer). Null and empty texts
+    have fingerprint zero and link like any other; very long texts are read
+    whole; repeated rows each get their row; rows of one doc_id with several
+    texts link each by its own text; a row without doc_id gets its group's
     component but never names one; other columns are ignored.
     """
     fps = stored(with_fingerprints(docs), "fp")
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fp-distinct")
     parts = components(links(distinct.where("rep is not null")), "fp-links")
     of = distinct.join(parts, distinct.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(of, "fp", "left").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return fps.join(of, "fp", "left").select("doc_id", "said", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` without near-duplicates: of each component the document with the smallest doc_id stays, with all its columns.
 
-    Of rows that repeat doc_id and text one stays. Rows without doc_id can't be
-    told apart by it, take no part and stay.
+    Of rows that repeat its doc_id one stays: of those in the component, that
+    with the smallest hash of its text, and of these the least by its columns.
+    Rows without doc_id can't be told apart by it, take no part and stay.
     """
-    first = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
-    return kept.unionAll(docs.where("doc_id is null"))
+    own, mine = docs.where("doc_id is not null"), F.col("doc_id") == F.col("component_id")
+    state = near_duplicates(own).groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n"), F.min(F.when(mine, F.col("said"))).alias("__said"))
+    # Most rows are neither copies nor repeated, so what is known of the others is the small side, which Spark measures.
+    odd = stored(state.where("__n > 1 or __said is null"), "fp-odd")
+    single = own.join(odd.select("__id"), F.col("doc_id") == F.col("__id"), "left_anti")
+    firsts = odd.where("__n > 1 and __said is not null")
+    again = own.join(firsts, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__said")))
+    one = again.groupBy("__id").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    return single.unionAll(one).unionAll(docs.where("doc_id is null"))

@@ -58,8 +58,29 @@ def test_links_find_every_group(spark):
     ids = r.sample(range(10_000), len(fps))
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     df = spark.createDataFrame(list(zip(signed, ids)), "fp long, rep long")
-    got = {i: i for i in ids} | {x.node: x.component for x in components(simhash.links(df)).collect()}
-    assert got == grouped(fps, ids)
+    want, tallies = grouped(fps, ids), [spark.sparkContext.accumulator(0) for _ in range(3)]
+    for hot in (simhash.HOT, 5):  # with every list of more than five dealt again
+        got = {i: i for i in ids} | {x.node: x.component for x in components(simhash.links(df, tallies, hot)).collect()}
+        assert got == want
+    met, dropped, verified = (t.value for t in tallies)
+    assert met == dropped + verified and dropped and verified
+
+
+def test_a_list_with_one_triple_for_all_is_tallied(spark):
+    r = random.Random(9)
+    fps = [0xABCDEF]  # three bytes alike in all, five that differ
+    for _ in range(900):
+        base = r.choice(fps) if r.random() < 0.7 else r.getrandbits(40) << 24 | 0xABCDEF
+        for b in r.sample(range(24, 64), r.randrange(1, 6)):
+            base ^= 1 << b
+        fps.append(base)
+    fps = sorted(set(fps))
+    ids, signed = list(range(len(fps))), [f - (1 << 64) if f >> 63 else f for f in fps]
+    df, want = spark.createDataFrame(list(zip(signed, ids)), "fp long, rep long"), grouped(fps, ids)
+    for hot in (simhash.HOT, 100):
+        tallies = [spark.sparkContext.accumulator(0) for _ in range(3)]
+        assert {i: i for i in ids} | {x.node: x.component for x in components(simhash.links(df, tallies, hot)).collect()} == want
+        assert hot < 1000 or tallies[1].value > tallies[2].value  # most pairs share too few bytes and are never verified
 
 
 def test_near_duplicates_of_odd_rows(docs_of, prose):
@@ -72,7 +93,15 @@ def test_near_duplicates_of_odd_rows(docs_of, prose):
     assert {r.component_id for r in got if r.doc_id in (6, 7, 8)} == {6} and of[(7, "0" * 16)] == 6
     kept = simhash.keep_first(docs_of(rows))
     ids = [r.doc_id for r in kept.collect()]
-    assert kept.columns == docs_of(rows).columns and ids.count(3) == ids.count(4) == ids.count(6) == ids.count(None) == 1 and not {5, 7, 8} & set(ids)
+    assert kept.count() == 5 and kept.columns == docs_of(rows).columns and ids.count(3) == ids.count(4) == ids.count(6) == ids.count(None) == 1 and not {5, 7, 8} & set(ids)
+
+
+def test_the_row_that_stays_is_always_the_same(spark, prose):
+    a, b = prose(1, 40), prose(2, 40)
+    rows = [(7, a, "x", 2), (7, a, "x", 1), (7, a, None, 3), (7, b, "y", 0), (3, b, "z", 0), (9, a, "q", 0)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string, source string, n_chars int").repartition(3)
+        assert sorted(tuple(r) for r in simhash.keep_first(df).collect()) == [(3, b, "z", 0), (7, a, None, 3)]
 
 
 def test_empty_tables(spark, docs_of):
