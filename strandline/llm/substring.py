@@ -1,21 +1,20 @@
 """Substring dedup over sliding sentence spans.
 
 A text falls into sentences: a sentence ends after ``.``, ``!`` or ``?`` with
-white space behind it, or at a line break; one of more than LONG words is cut
-after every LONG words, so that a passage without full stops has sentences
-too. Cut ``aligned``, it is cut after words that its own surroundings choose
-instead, so that a passage is cut alike whatever stands before it in its
-sentence; SQL has the first form only. From each sentence starts one run: the fewest consecutive sentences, two
-at least, that hold RUN_WORDS words. Runs are hashed (128 bits, A-Z lowered,
-white space joined) and grouped over the whole corpus. Of equal runs the one
-with the smallest (doc_id, position) stays; the sentences covered by any other
-are removed.
+white space behind it, or at a line break. One of more than LONG words is cut
+after words that its own surroundings choose, so that a passage is cut alike
+whatever stands before it in its sentence. From each sentence starts one run:
+the fewest consecutive sentences, two at least, that hold RUN_WORDS words. Runs
+are hashed (128 bits, A-Z lowered, white space joined), written down once, and
+grouped over the whole corpus. Of equal runs the one with the smallest (doc_id,
+hash of the text, position) stays; the sentences covered by any other are
+removed.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,44 +24,41 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-LONG, RUN_SENTENCES, RUN_WORDS = 25, 2, 12
-#: Of so many neighbouring pairs of words, an aligned cut parts the one with the least hash. Of 51 words in a row in
-#: long sentences, whatever stands around, 20 at least are then cut alike, which hold a run.
+LONG, RUN_SENTENCES, RUN_WORDS = 25, 2, 20
+#: Of so many neighbouring pairs of words, a cut parts the one with the least hash. Of 51 words in a row in long
+#: sentences, whatever stands around, 20 at least are then cut alike, which hold a run.
 NEAR = 8
 STOP = re.compile(rb"[.!?][ \t-\r]+|\n[ \t-\r]*")
 WORD = re.compile(rb"[^ \t-\r]+[ \t-\r]*")
 
 
-def _aligned(s: bytes) -> np.ndarray:
+def _cuts(words: list[bytes]) -> np.ndarray:
     """How many words of a long sentence stand before each cut; only the words near a cut decide on it."""
-    h = np.array([xxhash.xxh3_64_intdigest(w) for w in s.lower().split()], np.uint64)
-    pair = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]
-    pair = (pair ^ pair >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    pair = np.frombuffer(b"".join([hashlib.md5(a + b" " + b).digest() for a, b in zip(words, words[1:])]), "<u8")[1::2]
     near = np.lib.stride_tricks.sliding_window_view(pair, NEAR)[:, ::-1]  # of equal hashes the last one counts
     return np.unique(np.arange(len(near)) + NEAR - near.argmin(1))
 
 
-def sentences(text: bytes, aligned: bool = False) -> list[bytes]:
+def sentences(text: bytes) -> list[bytes]:
     """The sentences with the white space that follows each; joined they give the text."""
     out, at = [], 0
     for end in [*(m.end() for m in STOP.finditer(text)), len(text)]:
         if end > at:
             s = text[at:end]
-            if len(s) > 2 * LONG and len(s.split()) > LONG:
+            if len(s) > 2 * LONG and len(words := s.lower().split()) > LONG:
                 ends = [m.end() for m in WORD.finditer(s)]
-                ends = [ends[k - 1] for k in _aligned(s)] if aligned else ends[LONG - 1 :: LONG]
+                ends = [ends[k - 1] for k in _cuts(words)]
                 out += [s[a:b] for a, b in zip([0, *ends], ends)]
                 s = s[ends[-1] :]
-            if s:
-                out.append(s)
+            out.append(s)
             at = end
     return out
 
 
-def runs(text: bytes, aligned: bool = False) -> tuple[list[bytes], list[int], list[int]]:
+def runs(text: bytes) -> tuple[list[bytes], list[int], list[int]]:
     """Digest, index of the first sentence and index after the last one, for each run of a text."""
     norm, size, index = [], [], []
-    for i, s in enumerate(sentences(text, aligned)):
+    for i, s in enumerate(sentences(text)):
         if w := s.lower().split():
             norm.append(b" ".join(w))
             size.append(len(w))
@@ -83,73 +79,93 @@ def runs(text: bytes, aligned: bool = False) -> tuple[list[bytes], list[int], li
     return digests, first, after
 
 
-def _all_runs(batches, aligned):
+def _all_runs(batches):
     for b in batches:
-        ids, digests, first, after, again = [], [], [], [], []
-        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        ids, said, digests, first, after, again = [], [], [], [], [], []
+        for doc_id, hash_, text in zip(*(c.to_pylist() for c in b.columns)):
             if text:
-                d, f, a = runs(text, aligned)
+                d, f, a = runs(text)
                 met = set()
                 again += [x in met or met.add(x) is not None for x in d]
                 digests += d
                 first += f
                 after += a
                 ids += [doc_id] * len(d)
+                said += [hash_] * len(d)
         h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-        cols = [pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(ids, pa.int64()), pa.array(first, pa.int32()), pa.array(after, pa.int32()), pa.array(again, pa.bool_())]
-        yield pa.RecordBatch.from_arrays(cols, names=["h1", "h2", "doc_id", "first", "after", "again"])
+        cols = [pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(ids, pa.int64()), pa.array(said, pa.int64()), pa.array(first, pa.int32()), pa.array(after, pa.int32()), pa.array(again, pa.bool_())]
+        yield pa.RecordBatch.from_arrays(cols, names=["h1", "h2", "doc_id", "said", "first", "after", "again"])
 
 
-def repeated_spans(docs: DataFrame, aligned: bool = False) -> DataFrame:
-    """``doc_id, first, after``: sentence ranges of ``docs(doc_id, text)`` that repeat an earlier run."""
-    found = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("text"))
-    found = found.mapInArrow(partial(_all_runs, aligned=aligned), "h1 long, h2 long, doc_id long, first int, after int, again boolean")
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """``doc_id, said, first, after``: sentence ranges of ``docs(doc_id, said, text)`` that repeat an earlier run; ``said`` is a hash of the text."""
+    own = docs.where("doc_id is not null")
+    found = own.select("doc_id", "said", F.col("text").cast("binary").alias("text"))
+    found = stored(found.mapInArrow(_all_runs, "h1 long, h2 long, doc_id long, said long, first int, after int, again boolean"), "runs")
     # A run's first place in its own document is known at once, so the corpus only has to find the first document.
     heads = found.where("not again").groupBy("h1", "h2").agg(F.min("doc_id").alias("head_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
     heads = stored(heads.select("h1", "h2", "head_id"), "run-heads")  # so that the join below reads two exchanges and can split a hot run
-    return found.join(heads, ["h1", "h2"], "left").where("again or doc_id <> head_id").select("doc_id", "first", "after")
-
-
-def _cut(batches, aligned):
-    """text, spans -> text, n_sentences, n_removed."""
+    met = found.join(heads, ["h1", "h2"], "left")
+    place = ["doc_id", "said", "first", "after"]
+    spans = met.where("again or doc_id <> head_id").select(place)
+    several = own.groupBy("doc_id").agg(F.min("said").alias("a"), F.max("said").alias("b")).where("a <> b")
+    several = stored(several.select("doc_id"), "ids-with-texts")
+    if not several.isEmpty():  # of the texts of one doc_id, that with the smallest hash comes first
+        same = met.where("not again and doc_id = head_id").join(several, "doc_id", "left_semi")
+        least = same.groupBy("h1", "h2", "doc_id").agg(F.min("said").alias("least"))
+        spans = spans.unionByName(same.join(least, ["h1", "h2", "doc_id"]).where("said > least").select(place))
+    return spans
+
+
+def _cut(batches):
+    """text, spans, ... -> ..., text, n_sentences, n_removed."""
     for b in batches:
         texts, total, gone = [], [], []
-        firsts, afters = b.column(1).to_pylist(), b.column(2).to_pylist()
-        for text, f, a in zip(b.column(0).to_pylist(), firsts, afters):
-            s = sentences(text or b"", aligned)
+        for text, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            s = sentences(text or b"")
             total.append(len(s))
-            if f is None:
+            if spans is None:
                 texts.append(text)
                 gone.append(0)
                 continue
+            at = np.array(spans, np.int64)
             mark = np.zeros(len(s) + 1, np.int32)
-            np.add.at(mark, np.minimum(f, len(s)), 1)
-            np.add.at(mark, np.minimum(a, len(s)), -1)
+            np.add.at(mark, at >> 32, 1)
+            np.add.at(mark, at & 0xFFFFFFFF, -1)
             out = np.cumsum(mark)[:-1] > 0
             gone.append(int(out.sum()))
-            texts.append(b"".join(x for x, drop in zip(s, out) if not drop))
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(total, pa.int32()), pa.array(gone, pa.int32()), *b.columns[3:]], names=["text", "n_sentences", "n_removed", *b.schema.names[3:]])
+            texts.append(b"".join([x for x, drop in zip(s, out) if not drop]))
+        yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(texts, pa.binary()), pa.array(total, pa.int32()), pa.array(gone, pa.int32())], names=[*b.schema.names[2:], "t", "n", "r"])
 
 
-def without_repeats(docs: DataFrame, aligned: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with every non-first repeated span cut out of ``text``, and ``n_sentences, n_removed`` (int) behind.
 
     Every row stays, in all its columns (``n_chars``, if there, follows the
-    text). Null text stays null and empty text empty. A doc_id names one
-    document: rows that repeat it are the same document and are cut alike,
-    and never repeat each other. A null doc_id takes no part and stays as it is.
-    Columns that are called n_sentences or n_removed are replaced.
+    text). Null text stays null and empty text empty; a very long text is one
+    row's work. Rows with the same doc_id and text are the same document and
+    are cut alike, and never repeat each other; several texts of one doc_id are
+    documents of their own, that with the smallest hash first. A null doc_id
+    takes no part and stays as it is. Columns that are called n_sentences or
+    n_removed are replaced.
     """
-    spans = repeated_spans(docs, aligned).groupBy("doc_id").agg(F.collect_list("first").alias("first"), F.collect_list("after").alias("after"))
-    own = {"text", "n_sentences", "n_removed"}
-    rest = [c for c in docs.columns if c not in own]
-    spans = spans.select(F.col("doc_id").alias("__id"), F.col("first").alias("__first"), F.col("after").alias("__after"))
-    both = docs.join(spans, docs.doc_id == F.col("__id"), "left").select(F.col("text").cast("binary").alias("text"), F.col("__first"), F.col("__after"), *(F.col(f"`{c}`") for c in rest))
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    cut = both.mapInArrow(partial(_cut, aligned=aligned), ", ".join(["text binary", "n_sentences int", "n_removed int", *(f"`{c}` {kinds[c]}" for c in rest)]))
-    text = F.col("text").cast("string")
-    full = {"text": text} | ({"n_chars": F.length(text).cast(kinds["n_chars"])} if "n_chars" in kinds else {})
-    return cut.select(*(full.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns if c not in own - {"text"}), "n_sentences", "n_removed")
+    rest = [f for f in docs.schema if f.name not in ("text", "n_sentences", "n_removed")]
+    keyed = docs.select(F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("said"), F.col("text").cast("string").alias("text"), *(F.col(f"`{f.name}`").alias(f"k{i}") for i, f in enumerate(rest)))
+    spans = repeated_spans(keyed.select("doc_id", "said", "text"))
+    # A set, as a repeated row repeats its spans: so it is no larger than its text.
+    spans = spans.groupBy("doc_id", "said").agg(F.collect_set(F.col("first").cast("long") * (1 << 32) + F.col("after")).alias("spans"))
+    both = keyed.join(spans, ["doc_id", "said"], "left").select(F.col("text").cast("binary").alias("text"), "spans", *(f"k{i}" for i in range(len(rest))))
+    cut = both.mapInArrow(_cut, ", ".join([*(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(rest)), "t binary", "n int", "r int"]))
+    at, text = {f.name: i for i, f in enumerate(rest)}, F.col("t").cast("string")
+    out = []
+    for f in docs.schema:
+        if f.name == "text":
+            out.append(text.alias("text"))
+        elif f.name == "n_chars":
+            out.append(F.length(text).cast(f.dataType).alias("n_chars"))
+        elif f.name in at:
+            out.append(F.col(f"k{at[f.name]}").alias(f.name))
+    return cut.select(*out, F.col("n").alias("n_sentences"), F.col("r").alias("n_removed"))
 
 
 #: What op1 returns. DuckDB groups the runs by their own words instead of a hash.
@@ -159,8 +175,19 @@ WITH marked AS (
 ), whole AS (
   SELECT doc_id, unnest(list_filter(string_split(m, chr(1)), lambda x: x <> '')) AS s,
          generate_subscripts(list_filter(string_split(m, chr(1)), lambda x: x <> ''), 1) AS k FROM marked
+), told AS (
+  SELECT doc_id, k, s, regexp_extract_all(s, '[^ \t-\r]+[ \t-\r]*') AS v,
+         regexp_extract_all(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') AS w FROM whole
+), pairs AS (
+  SELECT *, list_transform(range(1, len(w)), lambda i: md5_number_lower(w[i] || ' ' || w[i + 1])) AS p FROM told WHERE len(w) > 25 AND strlen(s) > 50
+), cut AS (
+  SELECT doc_id, k, s, v, list_sort(list_distinct(list_transform(range(1, len(p) - 6), lambda j: j + 8 - list_position(list_reverse(p[j : j + 7]), list_min(p[j : j + 7]))))) AS c FROM pairs
 ), pieces AS (
-  SELECT doc_id, k, list_filter(string_split(regexp_replace(s, '((?:[^ \t-\r]+[ \t-\r]+){25})', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS p FROM whole
+  SELECT doc_id, k, [s] AS p FROM told WHERE NOT (len(w) > 25 AND strlen(s) > 50)
+  UNION ALL
+  SELECT doc_id, k, list_transform(range(1, len(c) + 2), lambda i:
+    CASE WHEN i = 1 THEN regexp_extract(s, '^[ \t-\r]*') ELSE '' END
+    || array_to_string(v[CASE WHEN i = 1 THEN 1 ELSE c[i - 1] + 1 END : CASE WHEN i > len(c) THEN len(v) ELSE c[i] END], '')) AS p FROM cut
 ), flat AS (
   SELECT doc_id, k, unnest(p) AS s, generate_subscripts(p, 1) AS j FROM pieces
 ), units AS (
@@ -170,9 +197,9 @@ WITH marked AS (
   SELECT doc_id, pos, array_to_string(w, ' ') AS norm, len(w) AS n FROM units WHERE len(w) > 0
 ), ahead AS (
   SELECT doc_id, pos, list(norm) OVER f AS norms, list(n) OVER f AS ns, list(pos) OVER f AS ends FROM worded
-  WINDOW f AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING)
+  WINDOW f AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
 ), sized AS (
-  SELECT *, list_min(list_filter(range(2, len(ns) + 1), lambda r: list_sum(ns[1:r]) >= 12)) AS r FROM ahead
+  SELECT *, list_min(list_filter(range(2, len(ns) + 1), lambda r: list_sum(ns[1:r]) >= 20)) AS r FROM ahead
 ), runs AS (
   SELECT doc_id, pos, ends[r] AS upto, array_to_string(norms[1:r], chr(10)) AS run FROM sized WHERE r IS NOT NULL
 ), ranked AS (
