@@ -1,21 +1,21 @@
 """Benchmark decontamination: a BM25 inverted index of test items, searched by every training passage with block-max WAND.
 
-The test items are the indexed side. An item's impact for a term is divided by
-the item's score against itself, so one threshold, a share of that score, holds
-for all items. Passages are windows of two strides, a stride apart, where a
-stride is the longest item's word count: every occurrence of an item lies whole
-in a window. A passage's distinct terms run through three bounds, each of which
-can only overestimate: the sum of the terms' maxima; the sum of their maxima
-within a block of item numbers; then WAND's pivots with block maxima, which
-score what is left exactly. All items at or above the threshold are retrieved
-and their question and answer compared with the passage by word shingles.
+The test items are the indexed side. An item is retrieved where a passage
+scores at least the least share of the item's own score that a verified match
+can have; impacts are divided by it, so one threshold, 1, holds for all items.
+Passages are windows of two strides, a stride apart; an item's stride is the
+least of STRIDE, 4 STRIDE, 16 STRIDE, ... that holds its words, so every
+occurrence lies whole in a window of its size. A passage's distinct terms run
+through three bounds, each of which can only overestimate: the sum of the terms'
+maxima; the sum of their maxima within a block of item numbers; then WAND's
+pivots with block maxima, which score what is left exactly. All items at or
+above the threshold are retrieved and their question and answer compared with
+the passage by word shingles.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 from .common import stored
 
 K1, B = 1.2, 0.75
-#: Least share of an item's own score, of its shingles, and of the answer's where the question has the former.
-MIN_SHARE, MIN_OVERLAP, MIN_ANSWER = 0.65, 0.8, 0.5
-SHINGLE, BLOCK = 5, 4
+#: Least share of an item's shingles in a passage, or of its question's and then its answer's.
+MIN_OVERLAP, MIN_ANSWER = 0.8, 0.5
+SHINGLE, BLOCK, STRIDE = 5, 4, 64
 WORD, STOP = re.compile(r"\w+"), re.compile(r"(?<=[.!?])\s+|\n+")
-#: Text of the items in one index; more items are indexed in several, by the statistics of all.
-INDEX_BYTES = 32 << 20
+#: Text of the items in one index, which takes about ten times that in memory; more items are indexed in several, by the statistics of all.
+INDEX_BYTES = 8 << 20
 
 
 def words(text: str | None) -> list[str]:
@@ -51,54 +51,89 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return (w[:cut], w[cut:]) if cut else (w, w)
 
 
+def stride_of(n: int) -> int:
+    stride = STRIDE
+    while stride < n:
+        stride *= 4
+    return stride
+
+
+def _lost(part: list[str], share: float) -> int:
+    """How many different words of a part can be missing where ``share`` of its shingles are there.
+
+    Every missing word takes the shingle that begins with it along; of the last four words, that begin none, a repeated
+    shingle can take several at once.
+    """
+    if len(part) < SHINGLE:
+        return 0
+    n = len(shingles(part))
+    return int((1 - share) * n + 1e-9) + (SHINGLE - 1 if n < len(part) - SHINGLE + 1 else 0)
+
+
+class _Class:
+    """Postings, by term, of the items of one stride: item numbers and gains, the best gain, and the best by block."""
+
+    def __init__(self, stride: int, n_terms: int, n_items: int, term: np.ndarray, item: np.ndarray, gain: np.ndarray):
+        self.stride, self.blocks = stride, n_items // BLOCK + 1
+        self.cut = np.searchsorted(term, np.arange(n_terms + 1))
+        self.item, self.gain = item, gain
+        self.best = np.zeros(n_terms)
+        np.maximum.at(self.best, term, gain)
+        key, first = np.unique(term.astype(np.int64) * self.blocks + item // BLOCK, return_index=True)
+        self.block_no, self.block_max = key % self.blocks, np.maximum.reduceat(gain, first) if len(first) else np.zeros(0)
+        self.block_cut = np.searchsorted(key // self.blocks, np.arange(n_terms + 1))
+
+
 class Index:
-    """Postings with block maxima over ``(item_id, text)``; items without a word are left out.
+    """BM25 postings with block maxima over ``(item_id, text)``, in arrays; items without a word are left out.
 
     Where the items are a part of more, ``total`` has the number of all items, how many hold each
-    term of this part, their mean length and the longest one's.
+    term of this part, and their mean length.
     """
 
-    def __init__(self, items: list[tuple[int, str]], total: tuple[int, dict[str, int], float, int] | None = None):
-        items = [(i, t) for i, t in items if words(t)]
-        bags = [Counter(words(t)) for _, t in items]
-        sizes = [sum(b.values()) for b in bags]
-        if total is None:
-            total = len(sizes), Counter(t for b in bags for t in b), sum(sizes) / max(1, len(sizes)), max(sizes, default=1)
-        count, df, mean, self.stride = total
-        self.ids = [i for i, _ in items]
-        self.term = {t: k for k, t in enumerate(sorted({t for b in bags for t in b}))}
-        self.items: list[list[int]] = [[] for _ in self.term]
-        self.share: list[list[float]] = [[] for _ in self.term]
-        for d, (bag, n) in enumerate(zip(bags, sizes)):
-            w = {t: math.log(1 + (count - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * n / mean)) for t, f in bag.items()}
-            own = sum(w[t] for t in sorted(w))
-            for t, x in w.items():
-                self.items[self.term[t]].append(d)
-                self.share[self.term[t]].append(x / own)
-        self.best = np.array([max(s) for s in self.share] or [0.0])
-        self.blocks = len(items) // BLOCK + 1
-        self.in_block: list[dict[int, float]] = [{} for _ in self.term]
-        for k, (ds, xs) in enumerate(zip(self.items, self.share)):
-            for d, x in zip(ds, xs):
-                self.in_block[k][d // BLOCK] = max(x, self.in_block[k].get(d // BLOCK, 0))
-        self.cut = np.concatenate([[0], np.cumsum([len(b) for b in self.in_block])]).astype(np.int64)
-        self.block_no = np.array([b for m in self.in_block for b in m], np.int64)
-        self.block_max = np.array([x for m in self.in_block for x in m.values()])
-        self.parts = []
-        for _, text in items:
-            q, a = question_and_answer(text)
-            self.parts.append(tuple(shingles([self.term[x] for x in p]) for p in (words(text), q, a)))
-
-    def wand(self, terms: list[int], least: float) -> list[tuple[int, float]]:
-        """Every item that scores ``least`` or more for the distinct ``terms``, with its score."""
+    def __init__(self, items: list[tuple[int, str]], total: tuple[int, dict[str, int], float] | None = None):
+        told = [(i, w, *question_and_answer(t)) for i, t in items if (w := words(t))]
+        self.ids = [i for i, *_ in told]
+        self.term = {t: k for k, t in enumerate(sorted({t for _, w, *_ in told for t in w}))}
+        size = np.array([len(w) for _, w, *_ in told], np.int64)
+        flat = np.fromiter((self.term[t] for _, w, *_ in told for t in w), np.int32, int(size.sum()))
+        #: Words of item d are flat[start[d] : start[d + 1]]; of these the first asks[d] are the question, from answers[d] on the answer.
+        self.flat, self.start = flat, np.concatenate([[0], np.cumsum(size)])
+        self.asks = [len(q) for *_, q, _ in told]
+        self.answers = [len(w) - len(a) for _, w, _, a in told]
+        n_items, wide = len(told), max(1, len(told))
+        key, tf = np.unique(flat * np.int64(wide) + np.repeat(np.arange(n_items), size), return_counts=True)
+        term, item = key // wide, key % wide
+        df = np.bincount(term, minlength=len(self.term))
+        count, mean = n_items, size.sum() / wide
+        if total is not None:
+            count, held, mean = total
+            df = np.fromiter((held[t] for t in self.term), np.int64, len(self.term))
+        weight = np.log(1 + (count - df[term] + 0.5) / (df[term] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / mean)) if n_items else np.zeros(0)
+        share = weight / np.bincount(item, weight, wide)[item]
+        order = np.argsort(item, kind="stable")
+        cut = np.searchsorted(item[order], np.arange(n_items + 1))
+        self.least = np.ones(wide)
+        for d, (_, w, q, a) in enumerate(told):
+            at = order[cut[d] : cut[d + 1]]
+            of = dict(zip(term[at].tolist(), share[at].tolist()))
+            gone = lambda part, least: sum(sorted((of[self.term[t]] for t in set(part)), reverse=True)[: _lost(part, least)])  # noqa: E731, B023
+            self.least[d] = 1 - max(gone(w, MIN_OVERLAP), gone(q, MIN_OVERLAP) + gone(a, MIN_ANSWER)) - 1e-9
+        #: An item of which next to nothing need be there is retrieved wherever one of its terms is.
+        gain = share / np.maximum(self.least[item], 1e-6)
+        strides = np.array([stride_of(n) for n in size.tolist()], np.int64)
+        self.classes = [_Class(int(k), len(self.term), n_items, term[use], item[use], gain[use]) for k in np.unique(strides) for use in (strides[item] == k,)]
+
+    def wand(self, c: _Class, terms: list[int]) -> list[tuple[int, float]]:
+        """Every item of a class whose gains for the distinct ``terms`` reach 1, with its share of its own score."""
         found = []
-        cursors = [[self.items[t][0], 0, t] for t in terms]
+        cursors = [[int(c.item[c.cut[t]]), c.cut[t], t] for t in terms if c.cut[t] < c.cut[t + 1]]
         while cursors:
             cursors.sort()
             bound, pivot = 0.0, None
             for p, (_, _, t) in enumerate(cursors):
-                bound += self.best[t]
-                if bound >= least:
+                bound += c.best[t]
+                if bound >= 1:
                     pivot = p
                     break
             if pivot is None:
@@ -106,26 +141,29 @@ class Index:
             d = cursors[pivot][0]
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == d:
                 pivot += 1
-            block = d // BLOCK
-            if sum(self.in_block[t].get(block, 0) for _, _, t in cursors[: pivot + 1]) >= least:
+            block, most = d // BLOCK, 0.0
+            for _, _, t in cursors[: pivot + 1]:
+                a, b = c.block_cut[t], c.block_cut[t + 1]
+                k = a + np.searchsorted(c.block_no[a:b], block)
+                most += c.block_max[k] if k < b and c.block_no[k] == block else 0.0
+            if most >= 1:
                 if cursors[0][0] == d:
-                    score = sum(self.share[t][k] for _, k, t in sorted(cursors[: pivot + 1], key=lambda c: c[2]))
-                    if score >= least:
-                        found.append((d, score))
+                    score = float(sum(c.gain[k] for _, k, _ in sorted(cursors[: pivot + 1], key=lambda x: x[2])))
+                    if score >= 1:
+                        found.append((d, score * max(self.least[d], 1e-6)))
                     to = d + 1
                 else:
                     to = d
             else:  # no item of this block can do, until another list joins in
                 to = min((block + 1) * BLOCK, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else 1 << 60)
-            for c in cursors[: pivot + 1]:
-                ds, k = self.items[c[2]], c[1]
-                while k < len(ds) and ds[k] < to:
-                    k += 1
-                c[0], c[1] = ds[k] if k < len(ds) else -1, k
-            cursors = [c for c in cursors if c[0] >= 0]
+            for x in cursors[: pivot + 1]:
+                end = c.cut[x[2] + 1]
+                k = x[1] + int(np.searchsorted(c.item[x[1] : end], to))
+                x[0], x[1] = int(c.item[k]) if k < end else -1, k
+            cursors = [x for x in cursors if x[0] >= 0]
         return found
 
-    def search(self, texts: list[str | None], least: float = MIN_SHARE - 1e-9) -> list[dict[int, tuple]]:
+    def search(self, texts: list[str | None]) -> list[dict[int, tuple]]:
         """For each text: item -> (score, overlap, question's, answer's, first word of the passage), verified ones only."""
         out: list[dict[int, tuple]] = [{} for _ in texts]
         get, tokens, sizes = self.term.get, [], []
@@ -133,22 +171,27 @@ class Index:
             w = [get(x, -1) for x in words(text)]
             tokens += w
             sizes.append(len(w))
-        if not self.ids or not tokens:
-            return out
-        ids, size = np.array(tokens, np.int64), np.array(sizes)
-        n_blocks = -(-size // self.stride)
+        if self.ids and tokens:
+            ids, size = np.array(tokens, np.int64), np.array(sizes)
+            for c in self.classes:
+                self._search(c, ids, size, out)
+        return out
+
+    def _search(self, c: _Class, ids: np.ndarray, size: np.ndarray, out: list[dict]) -> None:
+        n_blocks = -(-size // c.stride)
         first_block = np.concatenate([[0], np.cumsum(n_blocks)])
         start = np.concatenate([[0], np.cumsum(size)])
         doc = np.repeat(np.arange(len(size)), size)
         known = np.flatnonzero(ids >= 0)
+        known = known[c.best[ids[known]] > 0]
         d = doc[known]
-        block = first_block[d] + (known - start[d]) // self.stride
+        block = first_block[d] + (known - start[d]) // c.stride
         wide = len(self.term)
         keys = np.unique(block * wide + ids[known])
         if not len(keys):
-            return out
+            return
         kb, kt = keys // wide, keys % wide
-        gain = self.best[kt]
+        gain = c.best[kt]
         total = first_block[-1]
         own = np.bincount(kb, gain, total)
         nxt = np.searchsorted(keys, keys + wide)
@@ -158,14 +201,12 @@ class Index:
         inner = np.concatenate([owner[:-1] == owner[1:], [False]])  # the next block is of the same text
         bound = own + np.where(inner, np.concatenate([own[1:], [0]]) - both, 0)
         alone = inner | (n_blocks[owner] == 1)  # a last block's window lies in the one before
-        cand = np.flatnonzero(alone & (bound >= least))
+        cand = np.flatnonzero(alone & (bound >= 1 - 1e-9))
         lo, hi = np.searchsorted(kb, np.arange(total)), np.searchsorted(kb, np.arange(total), "right")
-        per = max(1, (1 << 22) // self.blocks)
-        for k in range(0, len(cand), per):
-            self._blocks(cand[k : k + per], inner, lo, hi, keys % wide, owner, first_block, start, ids, size, least, out)
-        return out
+        for k in range(0, len(cand), 256):
+            self._blocks(c, cand[k : k + 256], inner, lo, hi, kt, owner, first_block, start, ids, size, out)
 
-    def _blocks(self, cand, inner, lo, hi, kt, owner, first_block, start, ids, size, least, out) -> None:
+    def _blocks(self, c, cand, inner, lo, hi, kt, owner, first_block, start, ids, size, out) -> None:
         """Bound each window by blocks of items, then search and verify those left."""
         end = np.where(inner[cand], hi[np.minimum(cand + 1, len(hi) - 1)], hi[cand])
         n = end - lo[cand]
@@ -173,37 +214,40 @@ class Index:
         t = kt[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[cand], n)]
         pairs = np.unique(w * len(self.term) + t)
         w, t = pairs // len(self.term), pairs % len(self.term)
-        m = self.cut[t + 1] - self.cut[t]
-        at = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(self.cut[t], m)
-        bound = np.bincount(np.repeat(w, m) * self.blocks + self.block_no[at], self.block_max[at], len(cand) * self.blocks)
-        left = np.flatnonzero((bound.reshape(-1, self.blocks) >= least).any(1))
+        m = c.block_cut[t + 1] - c.block_cut[t]
+        at = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(c.block_cut[t], m)
+        place, where = np.unique(np.repeat(w, m) * c.blocks + c.block_no[at], return_inverse=True)
+        bound = np.bincount(where, c.block_max[at], len(place))
+        left = np.unique(place[bound >= 1 - 1e-9] // c.blocks)
         a, b = np.searchsorted(w, left), np.searchsorted(w, left, "right")
         for i, x, y in zip(left, a, b):
-            got = self.wand(t[x:y].tolist(), least)
+            got = self.wand(c, t[x:y].tolist())
             if not got:
                 continue
             o = owner[cand[i]]
-            s = int((cand[i] - first_block[o]) * self.stride)
-            here = shingles(ids[start[o] + s : start[o] + min(size[o], s + 2 * self.stride)].tolist())
+            s = int((cand[i] - first_block[o]) * c.stride)
+            here = ids[start[o] + s : start[o] + min(size[o], s + 2 * c.stride)].tolist()
+            seen = shingles(here)
             for item, score in got:
-                whole, q, r = (self._share(p, here, ids[start[o] + s : start[o] + min(size[o], s + 2 * self.stride)]) for p in self.parts[item])
+                own = self.flat[self.start[item] : self.start[item + 1]].tolist()
+                whole, q, r = (self._share(p, seen, here) for p in (own, own[: self.asks[item]], own[self.answers[item] :]))
                 if whole >= MIN_OVERLAP or (q >= MIN_OVERLAP and r >= MIN_ANSWER):
                     new = (score, whole, q, r, s)
                     if item not in out[o] or new[1] > out[o][item][1]:
                         out[o][item] = new
 
     @staticmethod
-    def _share(part: set[tuple], here: set[tuple], tokens: np.ndarray) -> float:
+    def _share(part: list[int], seen: set[tuple], here: list[int]) -> float:
         """The share of a part's shingles in the passage; a part of fewer words than a shingle is looked for as it is."""
-        k = len(next(iter(part)))
+        k = len(part)
         if k < SHINGLE:
-            run = tokens.tolist()
-            return float(any(tuple(run[i : i + k]) in part for i in range(len(run) - k + 1)))
-        return len(part & here) / len(part)
+            return float(any(here[i : i + k] == part for i in range(len(here) - k + 1)))
+        own = shingles(part)
+        return len(own & seen) / len(own)
 
 
-def _parted(items: DataFrame) -> tuple[int, float, int, DataFrame]:
-    """Statistics of all ``items(item_id, text, shard)``: their number, mean length and longest, and ``term, df, shards`` for each term."""
+def _parted(items: DataFrame) -> tuple[int, float, DataFrame]:
+    """Statistics of all ``items(item_id, text, shard)``: their number and mean length, and ``term, df, shards`` for each term."""
 
     def held(batches):
         for b in batches:
@@ -212,9 +256,9 @@ def _parted(items: DataFrame) -> tuple[int, float, int, DataFrame]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.list_(pa.string())))], names=["shard", "n", "terms"])
 
     bags = stored(items.select("shard", "text").mapInArrow(held, "shard int, n long, terms array<string>"), "item-terms")
-    n, length, longest = bags.agg(F.count(F.lit(1)), F.sum("n"), F.max("n")).first()
+    n, length = bags.agg(F.count(F.lit(1)), F.sum("n")).first()
     df = bags.select("shard", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.collect_set("shard").alias("shards"))
-    return n, (length or 0) / max(1, n), longest or 1, stored(df, "item-df")
+    return n, (length or 0) / max(1, n), stored(df, "item-df")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, batch_words: int = 1 << 19) -> DataFrame:
@@ -226,8 +270,9 @@ def contaminated(docs: DataFrame, items: DataFrame, batch_words: int = 1 << 19)
     item without a word is held by nothing, equal items are each reported,
     repeated rows are reported each, and other columns are ignored. The items are
     the small side: their size is summed first, and beyond INDEX_BYTES they are
-    indexed in several parts, each searched by every passage; weights and windows
-    are those of all items, so the parts do not change the result.
+    indexed in several parts, each searched by every passage; weights are those
+    of all items and windows go by an item's own length, so the parts do not
+    change the result. A very long text is searched whole, window by window.
     """
     spark = docs.sparkSession
     items = items.select("item_id", "text").where("text is not null")
@@ -237,11 +282,11 @@ def contaminated(docs: DataFrame, items: DataFrame, batch_words: int = 1 << 19)
     out, total = None, None
     items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("int"))
     if shards > 1:
-        n, mean, longest, df = _parted(items)
+        n, mean, df = _parted(items)
     for k in range(shards):
         part = items.where(F.col("shard") == k)
         if shards > 1:
-            total = n, {r.term: r.df for r in df.where(F.array_contains("shards", k)).select("term", "df").collect()}, mean, longest
+            total = n, {r.term: r.df for r in df.where(F.array_contains("shards", k)).select("term", "df").collect()}, mean
         held = spark.sparkContext.broadcast(Index(sorted((r.item_id, r.text) for r in part.collect()), total))  # INDEX_BYTES of text, about
 
         def run(batches, held=held):
@@ -267,8 +312,10 @@ def contaminated(docs: DataFrame, items: DataFrame, batch_words: int = 1 << 19)
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without those that hold an item; all columns, and rows without doc_id, stay."""
-    return docs.join(contaminated(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """``docs`` without those that hold an item; all columns, and rows without doc_id, stay. All rows of a doc_id go with one of them."""
+    # Written first, so that Spark knows how few they are before it chooses how to leave them out.
+    leaks = stored(contaminated(docs, items).select(F.col("doc_id").alias("__id")).distinct(), "leaks")
+    return docs.join(leaks, F.col("doc_id") == F.col("__id"), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def rounded(found: DataFrame) -> DataFrame:
@@ -283,25 +330,28 @@ def sql() -> str:
     grams = f"CASE WHEN len({{0}}) < {SHINGLE} THEN [array_to_string({{0}}, ' ')] ELSE list_distinct(list_transform(range(1, len({{0}}) - {SHINGLE} + 2), lambda i: array_to_string({{0}}[i : i + {SHINGLE - 1}], ' '))) END"
     # A part shorter than a shingle is looked for as it is, between blanks.
     overlap = f"CASE WHEN len({{w}}) < {SHINGLE} THEN CAST(contains(' ' || array_to_string(r.here, ' ') || ' ', ' ' || array_to_string({{w}}, ' ') || ' ') AS DOUBLE) ELSE len(list_intersect({grams.format('{w}')}, r.seen)) / CAST(len({grams.format('{w}')}) AS DOUBLE) END"
+    # The least score follows from how many words can be missing, which no document's text decides; a lower one retrieves the same verified rows.
     return rf"""
 WITH items AS (
   SELECT item_id, {tokens.format("text")} AS w, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda s: {tokens.format("s")}), lambda p: len(p) > 0) AS parts
   FROM benchmark WHERE len({tokens.format("coalesce(text, '')")}) > 0
 ), split AS (
   SELECT item_id, w, CASE WHEN len(parts) > 1 THEN len(w) - len(parts[-1]) ELSE len(w) - greatest(1, len(w) // 4) END AS cut FROM items
-), told AS (SELECT item_id, w, CASE WHEN cut > 0 THEN w[1:cut] ELSE w END AS q, CASE WHEN cut > 0 THEN w[cut + 1:] ELSE w END AS a FROM split),
-sizes AS (SELECT count(*) AS n, avg(len(w)) AS mean, max(len(w)) AS stride FROM items),
+), told AS (
+  SELECT item_id, w, CASE WHEN cut > 0 THEN w[1:cut] ELSE w END AS q, CASE WHEN cut > 0 THEN w[cut + 1:] ELSE w END AS a,
+         CAST({STRIDE} * pow(4, greatest(0, ceil(log2(len(w) / {STRIDE}.0) / 2))) AS BIGINT) AS stride FROM split
+), sizes AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM items),
 tf AS (SELECT item_id, t, count(*) AS f FROM (SELECT item_id, unnest(w) AS t FROM items) GROUP BY item_id, t),
 df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
 impact AS (SELECT item_id, t, ln(1 + (n - df + 0.5) / (df + 0.5)) * f * ({K1} + 1) / (f + {K1} * (1 - {B} + {B} * len(w) / mean)) AS x FROM tf JOIN df USING (t) JOIN items USING (item_id), sizes),
 shares AS (SELECT item_id, t, x / sum(x) OVER (PARTITION BY item_id) AS share FROM impact),
 docs AS (SELECT doc_id, {tokens.format("text")} AS w FROM documents WHERE text IS NOT NULL),
 windows AS (
-  SELECT doc_id, k, w[k * stride + 1 : least(len(w), (k + 2) * stride)] AS here, k * stride AS word_start
-  FROM (SELECT doc_id, w, stride, unnest(range(0, greatest(1, CAST(ceil(len(w) / stride) AS BIGINT) - 1))) AS k FROM docs, sizes WHERE len(w) > 0)
-), terms AS (SELECT doc_id, k, unnest(list_distinct(here)) AS t FROM windows),
-retrieved AS (SELECT doc_id, k, item_id, sum(share) AS score FROM terms JOIN shares USING (t) GROUP BY doc_id, k, item_id HAVING sum(share) >= {MIN_SHARE} - 1e-9),
-r AS (SELECT *, {grams.format("here")} AS seen FROM retrieved JOIN windows USING (doc_id, k)),
+  SELECT doc_id, stride, k, w[k * stride + 1 : least(len(w), (k + 2) * stride)] AS here, k * stride AS word_start
+  FROM (SELECT doc_id, w, stride, unnest(range(0, greatest(1, CAST(ceil(len(w) / stride) AS BIGINT) - 1))) AS k FROM docs, (SELECT DISTINCT stride FROM told) WHERE len(w) > 0)
+), terms AS (SELECT doc_id, stride, k, unnest(list_distinct(here)) AS t FROM windows),
+retrieved AS (SELECT doc_id, terms.stride, k, item_id, sum(share) AS score FROM terms JOIN shares USING (t) JOIN told USING (item_id) WHERE told.stride = terms.stride GROUP BY doc_id, terms.stride, k, item_id HAVING sum(share) >= 0.05),
+r AS (SELECT *, {grams.format("here")} AS seen FROM retrieved JOIN windows USING (doc_id, stride, k)),
 verified AS (SELECT r.doc_id, r.item_id, r.word_start, score, {overlap.format(w="t.w")} AS o, {overlap.format(w="t.q")} AS oq, {overlap.format(w="t.a")} AS oa FROM r JOIN told t ON r.item_id = t.item_id)
 SELECT doc_id, item_id, round(score, 6) AS bm25_share, round(o, 6) AS overlap, round(oq, 6) AS question_overlap, round(oa, 6) AS answer_overlap, word_start
 FROM verified WHERE o >= {MIN_OVERLAP} OR (oq >= {MIN_OVERLAP} AND oa >= {MIN_ANSWER}) QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY o DESC, word_start) = 1

@@ -318,16 +318,51 @@ def items_of(prose, n=40):
 
 def test_wand_finds_all_that_brute_force_finds(prose):
     r = random.Random(5)
-    index = decontaminate.Index(items_of(prose) + [(99, ""), (98, None)])
-    for _ in range(60):
-        terms = sorted(r.sample(range(len(index.term)), r.randrange(1, 60)))
-        for least in (0.05, 0.2, 0.5):
+    index = decontaminate.Index(items_of(prose) + [(99, ""), (98, None), (97, prose(5, 90)), (96, prose(6, 15))])
+    assert [c.stride for c in index.classes] == [64, 256, 1024]
+    for c in index.classes:
+        for _ in range(60):
+            terms = sorted(r.sample(range(len(index.term)), r.randrange(1, 60)))
+            gains = r.choice([1.0, 3.0, 9.0])  # what reaches the threshold is rare as it is
+            c.gain, c.best, c.block_max = c.gain * gains, c.best * gains, c.block_max * gains
             plain = {}
             for t in terms:
-                for d, x in zip(index.items[t], index.share[t]):
-                    plain[d] = plain.get(d, 0) + x
-            want = {d for d, x in plain.items() if x >= least}
-            assert {d for d, _ in index.wand(terms, least)} == want
+                for k in range(c.cut[t], c.cut[t + 1]):
+                    plain[c.item[k]] = plain.get(c.item[k], 0) + c.gain[k]
+            assert {d for d, _ in index.wand(c, terms)} == {d for d, x in plain.items() if x >= 1}
+            c.gain, c.best, c.block_max = c.gain / gains, c.best / gains, c.block_max / gains
+
+
+def test_whatever_can_be_verified_is_retrieved(prose):
+    """Question whole and half of a long answer; or a fifth of the shingles gone, the rarest words with them."""
+    r = random.Random(12)
+    items = [(i, prose(1000 + i, 1).replace(".", "?") + " " + " ".join(prose(2000 + i, 5).replace(".", "").split())) for i in range(30)]
+    items += [(100 + i, f"Who {i}? " + prose(3000 + i, 6).replace(".", "")) for i in range(30)] + items_of(prose)
+    index = decontaminate.Index(items)
+    texts, want = [], []
+    for _ in range(400):
+        i, text = r.choice(items)
+        q, a = decontaminate.question_and_answer(text)
+        w = q + a
+        cut = r.randrange(len(a))
+        said = r.choice([q + a[: len(a) - cut], q + a[cut:], w[r.randrange(9) :], w[: len(w) - r.randrange(9)], [x if r.random() > 0.04 else "changed" for x in w]])
+        passage = decontaminate.words(prose(r.randrange(99), 3)) + said + decontaminate.words(prose(r.randrange(99), 3))
+        seen, share = decontaminate.shingles(passage), lambda p, seen, passage: decontaminate.Index._share(p, seen, passage)
+        if share(w, seen, passage) >= 0.8 or (share(q, seen, passage) >= 0.8 and share(a, seen, passage) >= 0.5):
+            texts.append(" ".join(passage))
+            want.append(i)
+    assert len(want) > 150
+    for i, got in zip(want, index.search(texts)):
+        assert i in {index.ids[d] for d in got}
+
+
+def test_long_items_do_not_change_how_short_ones_are_found(spark, docs_of, prose):
+    short, long = items_of(prose, 8), [(50, prose(70, 300))]
+    rows = [(i, prose(i, 30) + " " + t + " " + prose(200 + i, 40)) for i, t in short] + [(20, prose(300, 10) + prose(70, 300)), (21, " ".join(prose(k, 40) for k in range(400, 600)) + short[3][1])]
+    docs = docs_of(rows)
+    alone, both = (spark.createDataFrame(x, "item_id long, text string") for x in (short, short + long))
+    got = [{(r.doc_id, r.item_id): r.word_start for r in decontaminate.contaminated(docs, t).collect()} for t in (alone, both)]
+    assert set(got[0]) == {(i, i) for i, _ in short} | {(21, 3)} and got[1].items() - got[0].items() == {((20, 50), 0)} and got[0].items() <= got[1].items()
 
 
 def test_search_is_exhaustive_search(prose):
