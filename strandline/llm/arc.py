@@ -127,6 +127,13 @@ def to_warc(r: ArcRecord, salt: str = "", refers_to: str | None = None, extra: d
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines.items()).encode("utf-8", "surrogateescape") + b"\r\n" + block
 
 
+def warcinfo(first: bytes) -> bytes:
+    """The record that a file whose first record is ``first`` begins with."""
+    block = b"software: strandline\r\nformat: WARC File Format 1.1\r\nconformsTo: http://iipc.github.io/warc-specifications/specifications/warc-format/warc-1.1/\r\n"
+    lines = {"WARC-Type": "warcinfo", "WARC-Record-ID": record_id("warcinfo", "", sha1(first)), "WARC-Date": "1999-01-01T00:00:00Z", "Content-Type": "application/warc-fields", "Content-Length": str(len(block))}
+    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines.items()).encode() + b"\r\n" + block
+
+
 def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields (names in lower case) and block of each record, by the declared lengths."""
     at = 0

@@ -1,60 +1,127 @@
-"""Archives of web pages: legacy ARC batches converted to WARC files in the shared folder, and read back."""
+"""Archives of web pages: legacy ARC batches converted to WARC files in the shared folder, and read back.
+
+A WARC file is a warcinfo record and then records up to FILE_BYTES, each a gzip
+member of its own, as the usual readers expect. A file is made in one task, from
+whole ARC archives of ARC_BYTES at most (or one page), and is written by Spark.
+"""
 
 from __future__ import annotations
 
 import gzip
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arc import ArcRecord, payload_of, read_arc, read_warc, record_id, sha1, to_warc, write_arc
+from .arc import ArcRecord, payload_of, read_arc, read_warc, record_id, sha1, to_warc, warcinfo, write_arc
 from .common import new_path, stored
 
-#: Payloads of so many bytes and more are stored once. Bytes of a WARC file before gzip, about. Pages of an ARC batch. Every page's timestamp.
-LEAST, FILE_BYTES, ARC_PAGES, CAPTURED = 0, 32 << 20, 256, "19990101000000"
-BETWEEN = "\r\n\r\n"  # what ends a WARC record is the line separator of Spark's text writer
-
-
-def _http(page_id: int | None, html: bytes) -> bytes:
-    said = "" if page_id is None else f"X-Page-Id: {page_id}\r\n"
-    return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{said}Content-Length: {len(html)}\r\n\r\n".encode() + html
+#: Payloads of so many bytes and more are stored once. Bytes of records before gzip that a WARC file, and that an ARC batch, holds at most, or one record. Every page's timestamp.
+LEAST, FILE_BYTES, ARC_BYTES, CAPTURED = 0, 32 << 20, 4 << 20, "19990101000000"
+#: What Spark's text writer ends a file with; gzip readers skip zeros at the end.
+PADDING = "\0"
+
+
+def _http(html: bytes) -> bytes:
+    return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(html)}\r\n\r\n".encode() + html
+
+
+def _converted(rows: list[tuple], n: int) -> list[bytes]:
+    """page_id, url, html, first, salt -> a WARC record each, by way of an ARC archive; versions take turns."""
+    legacy = [ArcRecord(url or "-", "0.0.0.0", CAPTURED, "text/html", _http(html), {}) for _, url, html, _, _ in rows]
+    out = []
+    for r, (i, _, _, first, salt) in zip(read_arc(write_arc(f"pages-{n}.arc", legacy, 1 + n % 2)), rows, strict=True):
+        again = first is not None and first != i
+        digest = sha1(payload_of(r.content)[1])
+        extra = ({} if i is None else {"X-Page-Id": str(i)}) | ({"X-Refers-To-Page-Id": str(first)} if again else {})
+        out.append(to_warc(r, refers_to=record_id("page", "", digest, str(first)) if again else None, extra=extra, identifier=record_id("page", "", digest, f"{i}{salt}")))
+    return out
+
+
+def _files(batches):
+    """page_id, url, html, first, salt -> whole gzipped WARC files, one a row."""
+    n = size = pending = 0
+    rows: list[tuple] = []
+    members: list[bytes] = []
+
+    def convert():
+        nonlocal n, size, pending
+        if rows:
+            records = _converted(rows, n)
+            if not members:
+                members.append(gzip.compress(warcinfo(records[0]) + b"\r\n\r\n", 5, mtime=0))
+            members.extend(gzip.compress(r + b"\r\n\r\n", 5, mtime=0) for r in records)
+            size += sum(map(len, records))
+            n, pending = n + 1, 0
+            rows.clear()
+
+    def file():
+        nonlocal size
+        out = pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], names=["value"])
+        members.clear()
+        size = 0
+        return out
 
-
-def _convert(batches):
-    """page_id, url, html, first -> one WARC record each, by way of ARC archives of both versions."""
     for b in batches:
-        for k in range(0, b.num_rows, ARC_PAGES):
-            ids, urls, pages, firsts = (c.to_pylist() for c in b.slice(k, ARC_PAGES).columns)
-            legacy = [ArcRecord(url or "-", "0.0.0.0", CAPTURED, "text/html", _http(i, html), {}) for i, url, html in zip(ids, urls, pages)]
-            archive = write_arc(f"pages-{k}.arc", legacy, 1 + k // ARC_PAGES % 2)
-            out = []
-            for r, i, first in zip(read_arc(archive), ids, firsts, strict=True):
-                again = first is not None and first != i
-                digest = sha1(payload_of(r.content)[1])
-                refers = record_id("page", "", digest, str(first)) if again else None
-                extra = {"X-Refers-To-Page-Id": str(first)} if again else {}
-                out.append(to_warc(r, refers_to=refers, extra=extra, identifier=record_id("page", "", digest, str(i))))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+        for k in range(b.num_rows):
+            row = tuple(c[k].as_py() for c in b.columns)
+            if rows and pending + len(row[2]) > ARC_BYTES:
+                convert()
+            if members and size + pending + len(row[2]) > FILE_BYTES:
+                convert()
+                yield file()
+            rows.append(row)
+            pending += len(row[2]) + 600  # and its head lines, about
+    convert()
+    if members:
+        yield file()
+
+
+def _salted(pages: DataFrame, seen: DataFrame) -> DataFrame:
+    """``pages`` with ``salt``: empty, but for all but one of the rows that share page_id and payload; so that record ids are unique."""
+    twice = stored(seen.groupBy("page_id", "sha1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("page_id").alias("__id"), F.col("sha1").alias("__sha1")), "repeated-pages")
+    single = pages.withColumn("salt", F.lit(""))
+    if twice.isEmpty():
+        return single
+    same = F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("sha1") == F.col("__sha1"))
+    # Written down, as its numbers must not change; ranked by where the rows came from too, so that no row's repeats are all in one task.
+    again = stored(pages.join(twice, same, "left_semi").withColumn("from", F.spark_partition_id()), "repeats")
+    first = again.groupBy("page_id", "sha1").agg(F.min("from").alias("__from")).select(F.col("page_id").alias("__id"), F.col("sha1").alias("__sha1"), "__from")
+    nth = F.row_number().over(Window.partitionBy("page_id", "sha1", "from").orderBy("url"))
+    ranked = again.withColumn("nth", nth).join(first, same)
+    salt = F.when((F.col("from") == F.col("__from")) & (F.col("nth") == 1), "").otherwise(F.concat_ws(" ", F.lit(""), F.col("from"), F.col("nth")))
+    return single.join(twice, same, "left_anti").unionByName(ranked.withColumn("salt", salt).select(single.columns))
 
 
 def write(pages: DataFrame, path: str, least: int = LEAST) -> None:
-    """A WARC record for each row of ``pages(page_id, url, html)``, in gzip files under ``path``.
+    """A WARC record for each row of ``pages(page_id, url, html)``, in ``.warc.gz`` files under ``path``.
 
     Of rows with equal payloads of ``least`` bytes or more, those with the
     smallest page_id are responses and the others revisit it; smaller payloads
     are all responses. A null html is an empty payload, a null url is ``-``, and
-    a null page_id never is the smallest: among others it revisits.
+    a null page_id never is the smallest: among others it revisits. A row that
+    repeats another one is a record with an id of its own. A very large page
+    is a file of its own.
     """
     spark = pages.sparkSession
-    html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    pages = pages.select("page_id", "url", html.alias("html"), F.sha1(html).alias("sha1"))
+    html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html).alias("sha1"))
     seen = stored(pages.select("page_id", "sha1", F.octet_length("html").alias("n")), "payloads")
-    size = seen.agg(F.avg("n")).first()[0] or 0
     firsts = seen.where(F.col("n") >= least).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    told = pages.join(firsts.select("sha1", "first"), "sha1", "left").select("page_id", "url", "html", "first")
-    records = told.mapInArrow(_convert, "value binary").select(F.col("value").cast("string").alias("value"))
-    records.write.option("lineSep", BETWEEN).option("compression", "gzip").option("maxRecordsPerFile", max(1, int(FILE_BYTES / (size + 600)))).text(path)
+    told = _salted(pages, seen).join(firsts.select("sha1", "first"), "sha1", "left").select("page_id", "url", "html", "first", "salt")
+    files = told.mapInArrow(_files, "value binary").select(F.col("value").cast("string").alias("value"))
+    files.write.option("lineSep", PADDING).option("compression", "none").option("maxRecordsPerFile", 1).text(path)
+    _name(spark, path)
+
+
+def _name(spark, path: str) -> None:
+    """Give Spark's part files the name that WARC readers look for; only names move."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for status in fs.listStatus(at):
+        name = status.getPath().getName()
+        if name.startswith("part-") and status.getLen():
+            fs.rename(status.getPath(), at.suffix(f"/{name.removesuffix('.txt')}.warc.gz"))
 
 
 def _records(batches):
@@ -69,7 +136,7 @@ def _records(batches):
                 digest = fields["warc-payload-digest"].removeprefix("sha1:")
                 if fields["warc-type"] == "response" and sha1(payload) != digest:
                     raise ValueError(f"payload digest of {fields['warc-record-id']} is wrong")
-                page, first = http.get("x-page-id"), fields.get("x-refers-to-page-id")
+                page, first = fields.get("x-page-id"), fields.get("x-refers-to-page-id")
                 rows.append((page and int(page), int(http["content-length"]), digest, fields["warc-type"], first and int(first), fields["warc-record-id"]))
             cols = list(zip(*rows)) or [()] * 6
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
@@ -78,7 +145,7 @@ def _records(batches):
 
 def read(spark, path: str) -> DataFrame:
     """The response and revisit records under ``path``: ``page_id, payload_bytes, payload_digest, record_type, refers_to, record_id``; digests are checked."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("content")
     return files.mapInArrow(_records, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string")
 
 

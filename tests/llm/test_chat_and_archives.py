@@ -137,5 +137,35 @@ def test_small_payloads_are_all_responses_and_references_resolve(spark):
     files = spark.read.format("binaryFile").load(path).where("length > 0").collect()
     import gzip
 
-    fields = {f["x-page"] if "x-page" in f else f["warc-record-id"]: f for x in files for f, _ in arc.read_warc(gzip.decompress(bytes(x.content)))}
+    fields = {f["warc-record-id"]: f for x in files for f, _ in arc.read_warc(gzip.decompress(bytes(x.content)))}
     assert fields[got[4].record_id]["warc-refers-to"] == got[3].record_id
+
+
+def test_files_are_bounded_by_bytes_and_seekable_with_unique_ids(spark, monkeypatch):
+    import gzip
+    import zlib
+
+    from strandline.llm.common import new_path
+
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    monkeypatch.setattr(warc, "ARC_BYTES", 5_000)
+    rows = [(i, f"u{i}", f"{i} " * (3_000 if i % 7 == 0 else 40)) for i in range(60)] + [(3, "u3", "3 " * 40)] * 5 + [(None, "n", "3 " * 40)] * 3 + [(99, "big", "x" * 300_000)]
+    path = new_path(spark, "warc-test")
+    warc.write(pages_of(spark, rows).repartition(3), path)
+    files = [bytes(x.content) for x in spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).collect()]
+    assert len(files) > 5
+    ids, refers = [], []
+    for data in files:
+        whole, at, kinds = list(arc.read_warc(gzip.decompress(data))), 0, []
+        data = data.rstrip(b"\0") + b"\0\0\0\0"  # a member ends with the size, whose upper bytes may be zero
+        while data[at : at + 2] == b"\x1f\x8b":  # every member is one record
+            z = zlib.decompressobj(31)
+            (fields, _),  = arc.read_warc(z.decompress(data[at:]))
+            kinds.append(fields["warc-type"])
+            at = len(data) - len(z.unused_data)
+            ids.append(fields["warc-record-id"])
+            refers += [fields["warc-refers-to"]] if "warc-refers-to" in fields else []
+        assert len(kinds) == len(whole) and kinds[0] == "warcinfo" and "warcinfo" not in kinds[1:]
+        assert sum(len(b) for _, b in whole) < 30_000 or len(whole) == 2
+    assert len(ids) == len(set(ids)) == len(rows) + len(files) and len(refers) == 3 and set(refers) <= set(ids)
+    assert warc.read(spark, path).count() == len(rows)
