@@ -17,12 +17,8 @@ import numpy as np
 LANES, HELD = 256, 1 << 20
 
 
-def _sigmoid(a: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
-    """In place where ``out`` is ``a``; far below zero exp is infinite and the result 0."""
-    out = np.negative(a, out=out)
-    np.exp(out, out=out)
-    out += 1
-    return np.reciprocal(out, out=out)
+def _sigmoid(a: np.ndarray) -> np.ndarray:
+    return (1 + np.tanh(a / 2)) / 2
 
 
 class BiGRU:
@@ -40,26 +36,30 @@ class BiGRU:
         ``resets``: for each direction, which lanes begin a text at a step.
         """
         n, p = self.h, self.p
-        table, u = (p["wx"] + p["b"])[dirs], p["u"][dirs]
+        # A gate is (1 + tanh(a / 2)) / 2; the halves go into the weights where they can.
+        half = np.repeat(np.float32([0.5, 1]), [2 * n, n])[:, None]
+        table, u = ((p["wx"] + p["b"]) * half)[dirs], (p["u"] * np.float32(0.5))[dirs]
         a, g, zr = (np.empty((len(xs), k * n, h.shape[2]), np.float32) for k in (3, 3, 2))
         c, r, z = np.empty_like(h), zr[:, n:], zr[:, :n]
-        with np.errstate(over="ignore"):
-            for t in range(len(xs[0])):
-                for d, x in enumerate(xs):
-                    np.take(table[d], x[t], axis=1, out=a[d], mode="clip")
-                    if (lanes := resets[d].get(t)) is not None:
-                        h[d][:, lanes] = 0
-                np.matmul(u, h, out=g)
-                np.add(a[:, : 2 * n], g[:, : 2 * n], out=zr)
-                _sigmoid(zr, out=zr)
-                np.multiply(r, g[:, 2 * n :], out=c)
-                c += a[:, 2 * n :]
-                np.tanh(c, out=c)
-                h -= c
-                h *= z
-                h += c
-                if keep is not None:
-                    keep[t] = h
+        a_gates, a_new, g_gates, g_new, one, half = a[:, : 2 * n], a[:, 2 * n :], g[:, : 2 * n], g[:, 2 * n :], np.float32(1), np.float32(0.5)
+        for t in range(len(xs[0])):
+            for d, x in enumerate(xs):
+                table[d].take(x[t], axis=1, out=a[d], mode="clip")
+                if (lanes := resets[d].get(t)) is not None:
+                    h[d][:, lanes] = 0
+            np.matmul(u, h, out=g)
+            np.add(a_gates, g_gates, out=zr)
+            np.tanh(zr, out=zr)
+            np.add(zr, one, out=zr)
+            np.multiply(r, g_new, out=c)
+            np.add(c, a_new, out=c)
+            np.tanh(c, out=c)
+            np.subtract(h, c, out=h)
+            np.multiply(h, z, out=h)
+            np.multiply(h, half, out=h)
+            np.add(h, c, out=h)
+            if keep is not None:
+                keep[t] = h
         return h
 
     def pooled(self, texts: list[bytes], lanes: int = LANES, held: int = HELD) -> np.ndarray:
