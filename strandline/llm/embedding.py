@@ -3,13 +3,15 @@
 Vectors are compared within a label (and a dimension) only. Equal vectors
 collapse to one representative with a weight, and each label's representatives
 fall by hash into shards of about SHARD vectors. A shard's graph is built once
-and stored; an audit against brute force on a sample of its own vectors widens
-its beam until every link is found. Each shard is then searched by all vectors
-of its label, one task for each pair of shards; a vector whose beam is full of
-links may have more, so it is compared with the whole shard. What reaches the
-threshold in double precision is united within the task, so a task emits one
-edge for each vector at most, however dense a group is. Components of the edges give the
-groups; within a group the exact links are counted in blocks.
+and stored, with a beam that an audit widened until it found every link that
+brute force finds for a sample of its vectors. Each shard is then searched by
+all vectors of its label, one task for each pair of shards, which audits the
+beam again with a sample of those that ask and widens it for the pair. A vector
+whose beam is full of links may have more, so it is compared with the whole
+shard. What reaches the threshold in double precision is united within the
+task, so a task emits one edge for each vector at most, however dense a group
+is. Components of the edges give the groups; within a group the exact links are
+counted in blocks.
 """
 
 from __future__ import annotations
@@ -28,9 +30,19 @@ SLACK = 1e-4
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    """A list column of equal lengths as float64 rows."""
+    """A list column of equal lengths as rows, in the precision that it has."""
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Vectors as they travel: as given, single or double; ``_unpacked`` makes unit vectors of them in double precision."""
+    return x.tobytes()
+
+
+def _unpacked(data: bytes, n: int, dim: int) -> np.ndarray:
+    kind = np.float32 if len(data) == 4 * n * dim else np.float64
+    return _unit(np.frombuffer(data, kind).reshape(n, dim).astype(np.float64))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -64,14 +76,14 @@ def _united(up: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def _build(table: pa.Table) -> pa.Table:
     """One shard: its ids, unit vectors, graph and audited beam."""
     ids = table["rep"].to_numpy()
-    x = _unit(_matrix(table["embedding"]))
+    raw = _matrix(table["embedding"])
     order = np.random.default_rng(len(ids)).permutation(np.argsort(ids))
-    ids, x = ids[order], x[order]
+    ids, raw = ids[order], raw[order]
+    x = _unit(raw.astype(np.float64))
     g = Graph.build(x.astype(np.float32))
-    probes = np.arange(0, len(x), max(1, len(x) // PROBES))
-    beam, recall = g.audited_beam(MIN_COSINE - SLACK, probes)
+    beam, recall = g.audited_beam(MIN_COSINE - SLACK, g.x[:: max(1, len(x) // PROBES)])
     layers = [n.tobytes() for n in g.near]
-    row = {"label": table["label"][0].as_py(), "dim": x.shape[1], "shard": table["shard"][0].as_py(), "n": len(x), "beam": beam, "recall": recall, "ids": ids.tobytes(), "x": x.tobytes(), "sizes": g.sizes.tolist(), "layers": layers}
+    row = {"label": table["label"][0].as_py(), "dim": x.shape[1], "shard": table["shard"][0].as_py(), "n": len(x), "beam": beam, "recall": recall, "ids": ids.tobytes(), "x": _packed(raw), "sizes": g.sizes.tolist(), "layers": layers}
     return pa.Table.from_pylist([row], schema=INDEX)
 
 
@@ -84,16 +96,19 @@ def _search(batches):
     for b in batches:
         for r in b.to_pylist():
             q_ids, ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-            q, x = (np.frombuffer(r[k]).reshape(-1, r["dim"]) for k in ("q_x", "x"))
+            q, x = _unpacked(r["q_x"], len(q_ids), r["dim"]), _unpacked(r["x"], len(ids), r["dim"])
             sizes = np.array(r["sizes"])
             near = [np.frombuffer(y, np.int32).reshape(n, -1) for y, n in zip(r["layers"], sizes)]
             g = Graph(x.astype(np.float32), sizes, near)
+            beam = r["beam"]
+            if r["q_shard"] != r["shard"]:  # the shard's own sample was audited when it was built
+                beam, _ = g.audited_beam(MIN_COSINE - SLACK, q[:: max(1, len(q) // PROBES)].astype(np.float32), beam)
             both, full = np.concatenate([q_ids, ids]), []
             up = np.arange(len(both))
             if r["q_shard"] == r["shard"]:  # the same vectors stand on both sides
                 up[len(q) :] = np.arange(len(q))
             for k in range(0, len(q), 4096):
-                found, sims = g.search(q[k : k + 4096].astype(np.float32), r["beam"])
+                found, sims = g.search(q[k : k + 4096].astype(np.float32), beam)
                 i, c = np.nonzero((found >= 0) & (sims >= MIN_COSINE - SLACK))
                 j = found[i, c]
                 i = i + k
@@ -112,8 +127,8 @@ def _search(batches):
 
 def _tile(table: pa.Table) -> pa.Table:
     order = np.argsort(table["rep"].to_numpy())
-    x = _unit(_matrix(table["embedding"].take(pa.array(order))))
-    row = {"component": table["component"][0].as_py(), "tile": table["tile"][0].as_py(), "ids": table["rep"].to_numpy()[order].tobytes(), "weight": table["weight"].to_numpy()[order].tobytes(), "x": x.tobytes(), "dim": x.shape[1]}
+    x = _matrix(table["embedding"].take(pa.array(order)))
+    row = {"component": table["component"][0].as_py(), "tile": table["tile"][0].as_py(), "ids": table["rep"].to_numpy()[order].tobytes(), "weight": table["weight"].to_numpy()[order].tobytes(), "x": _packed(x), "dim": x.shape[1]}
     return pa.Table.from_pylist([row], schema=pa.schema([("component", pa.int64()), ("tile", pa.int32()), ("ids", pa.binary()), ("weight", pa.binary()), ("x", pa.binary()), ("dim", pa.int32())]))
 
 
@@ -122,7 +137,7 @@ def _count(batches):
     for b in batches:
         for r in b.to_pylist():
             ids, weight = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["o_weight"], np.int64)
-            x, y = (np.frombuffer(r[k]).reshape(-1, r["dim"]) for k in ("x", "o_x"))
+            x, y = _unpacked(r["x"], len(ids), r["dim"]), _unpacked(r["o_x"], len(weight), r["dim"])
             n = ((x @ y.T) >= MIN_COSINE) @ weight
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], names=["rep", "n"])
 
@@ -135,15 +150,16 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     component_id), a row per vector. Only vectors of one label and dimension
     compare. A vector that is null, empty, zero or has a null or non-finite
     component, and one with a null label, links with nothing. A vec_id names
-    one vector: of repeated rows one stays (the least by label and value).
-    Rows without vec_id give one row (null, 0, null, null). Other columns
-    are ignored.
+    one vector: of rows that repeat it one stays (the least by label and value).
+    A row without vec_id links with nothing and gives (null, 0, null, null).
+    Other columns are ignored. Vectors travel in the precision that they have.
     """
-    values = F.col("embedding").cast("array<double>")
-    one = vectors.select("vec_id", F.struct(F.col("label").cast("long").alias("label"), values.alias("embedding")).alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
+    one = rows.where("vec_id is not null").groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("v"))
     one = stored(one.select("vec_id", "v.label", "v.embedding"), "vectors")
     finite = F.forall("embedding", lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False))) & F.exists("embedding", lambda v: v != 0)
-    usable = one.where("vec_id is not null and label is not null and size(embedding) > 0").where(finite)
+    usable = one.where("label is not null and size(embedding) > 0").where(finite)
     dim = F.size("embedding").alias("dim")
     reps = stored(usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")).select("*", dim), "reps")
     many = reps.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("shards"))
@@ -162,9 +178,9 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     counts = met.mapInArrow(_count, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
     found = reps.join(counts, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     found = found.select("label", "embedding", (F.coalesce("n", "weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    known = F.col("vec_id").isNotNull()
-    out = one.join(found, ["label", "embedding"], "left").select("vec_id", F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"), F.when(known, F.coalesce("component_id", "vec_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    out = one.join(found, ["label", "embedding"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    unnamed = rows.where("vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"))
+    return out.unionByName(unnamed).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
 SQL = """

@@ -141,22 +141,21 @@ class Graph:
             ids.append(i), sims.append(s)
         return np.concatenate(ids), np.concatenate(sims)
 
-    def audited_beam(self, least: float, probes: np.ndarray, recall: float = 1.0) -> tuple[int, float]:
-        """Widen the beam until it finds ``recall`` of what brute force links to the probe rows.
+    def audited_beam(self, least: float, q: np.ndarray, beam: int = BUILD_BEAM, recall: float = 1.0) -> tuple[int, float]:
+        """Widen the beam until it finds ``recall`` of all links that brute force finds for the vectors ``q``; beyond all points it is brute force.
 
-        A row whose beam is full of links is not counted: whoever searches has to compare it with every point.
+        A vector whose beam is full of links is found whole: whoever searches has to compare it with every point.
         """
-        beam = BUILD_BEAM
-        exact = self.x[probes] @ self.x.T >= least
+        exact = q @ self.x.T >= least
         while True:
             beam = min(beam, len(self.x))
-            ids, sims = self.search(self.x[probes], beam)
+            ids, sims = self.search(q, beam)
             hit = np.zeros(exact.shape, bool)
             rows, cols = np.nonzero((ids >= 0) & (sims >= least))
             hit[rows, ids[rows, cols]] = True
-            part = sims[:, -1] < least
-            due = exact[part].sum()
-            got = (hit & exact)[part].sum() / due if due else 1.0
+            hit[sims[:, -1] >= least] = True
+            due = exact.sum()
+            got = (hit & exact).sum() / due if due else 1.0
             if got >= recall or beam >= len(self.x):
                 return beam, float(got)
             beam *= 2

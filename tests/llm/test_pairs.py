@@ -236,6 +236,33 @@ def test_vectors_against_brute_force(spark, monkeypatch, shard):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize(("m", "shard"), [(100, 90), (300, embedding.SHARD), (300, 250), (1000, 700)])
+def test_two_dense_balls_are_one_group_with_all_links(spark, monkeypatch, m, shard):
+    """Each ball alone fills a beam; every vector of one ball links with many of the other."""
+    monkeypatch.setattr(embedding, "SHARD", shard)
+    rng = np.random.default_rng(m)
+    a, b = np.zeros(64), np.zeros(64)
+    a[0], b[:2] = 1, (0.945, (1 - 0.945**2) ** 0.5)
+    x = np.float32(np.concatenate([np.repeat([a, b], m, 0) + 0.012 * rng.normal(size=(2 * m, 64)), rng.normal(size=(600, 64))]))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding.near_duplicates(vectors(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)])).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    link = u @ u.T >= 0.93
+    assert link[:m, m : 2 * m].any() and not link[2 * m :, : 2 * m].any()
+    assert all(got[i] == (link[i].sum() - 1, 0) for i in range(2 * m)) and all(got[i] == (0, i) for i in range(2 * m, len(x)))
+
+
+def test_an_audit_widens_a_beam_that_misses_links():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 24))
+    q = x[::10] + 0.25 * rng.normal(size=(300, 24))
+    x, q = ((v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32) for v in (x[rng.permutation(3000)], q))
+    g = Graph.build(x)
+    g.near[0][:, 3:] = -1  # a poor graph
+    assert g.audited_beam(0.8, q, 4, 0.0)[1] < 0.95
+    beam, recall = g.audited_beam(0.8, q, 4, 0.99)
+    assert beam > 4 and recall >= 0.99 or beam == 3000
+
+
 def test_dense_groups_that_fill_a_beam_are_linked(spark):
     rng = np.random.default_rng(3)
     a, b = np.zeros(16), np.zeros(16)
@@ -247,8 +274,10 @@ def test_dense_groups_that_fill_a_beam_are_linked(spark):
 
 def test_odd_vectors_link_with_nothing(spark):
     v = [1.0, 2.0]
-    rows = [(1, v, 0), (2, v, 0), (2, v, 0), (3, [2.0, 4.0], 0), (4, v, 1), (5, v, None), (6, None, 0), (7, [], 0), (8, [0.0, 0.0], 0), (9, [1.0, None], 0), (10, [float("nan"), 1.0], 0), (11, [float("inf"), 1.0], 0), (12, [1.0, 2.0, 0.0], 0), (None, v, 0)]
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding.near_duplicates(vectors(spark, rows)).collect()}
+    rows = [(1, v, 0), (2, v, 0), (2, v, 0), (3, [2.0, 4.0], 0), (4, v, 1), (5, v, None), (6, None, 0), (7, [], 0), (8, [0.0, 0.0], 0), (9, [1.0, None], 0), (10, [float("nan"), 1.0], 0), (11, [float("inf"), 1.0], 0), (12, [1.0, 2.0, 0.0], 0), (None, v, 0), (None, v, 0)]
+    rows_out = embedding.near_duplicates(vectors(spark, rows)).collect()
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in rows_out}
+    assert len(rows_out) == 14
     assert got[1] == (2, 1, True) and got[2] == (2, 1, False) and got[3] == (2, 1, False) and got[None] == (0, None, None)
     assert all(got[i] == (0, i, True) for i in (4, 5, 6, 7, 8, 9, 10, 11, 12)) and len(got) == 13
 
@@ -259,7 +288,7 @@ def test_graph_recall():
     x[2000:] = x[:2000] + 0.05 * rng.normal(size=(2000, 32))
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)[rng.permutation(4000)]
     g = Graph.build(x)
-    beam, recall = g.audited_beam(0.93, np.arange(0, 4000, 16))
+    beam, recall = g.audited_beam(0.93, x[::16])
     exact = x @ x.T >= 0.93
     ids, sims = g.search(x, beam)
     found = sum(int((sims[i] >= 0.93).sum()) for i in range(4000))
