@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Short notices name a licence in one of these frames.
-FRAMES = ("licensed under {}", "released under {}", "distributed under {}", "available under {}", "this work is licensed under {}", "this project is licensed under {}", "this software is licensed under {}", "code released under {}", "published under {}")
+FRAMES = ("licensed under {}", "released under {}", "distributed under {}", "available under {}", "this work is licensed under {}", "this project is licensed under {}", "this software is licensed under {}", "code released under {}", "published under {}", "this code is licensed under {}", "the code is licensed under {}", "this file is licensed under {}", "this library is licensed under {}", "this package is licensed under {}", "this program is licensed under {}", "this repository is licensed under {}", "this document is licensed under {}")
+#: A tag names a licence by its identifier, where "+" is written out.
+TAG, TAG_ENDS = "spdx license identifier {}", {"GPL-2.0": ("gpl 2 0", "gpl 2 0 only", "gpl 2 0 or later"), "GPL-3.0": ("gpl 3 0", "gpl 3 0 only", "gpl 3 0 or later"), "LGPL-3.0": ("lgpl 3 0", "lgpl 3 0 only", "lgpl 3 0 or later"), "AGPL-3.0": ("agpl 3 0", "agpl 3 0 only", "agpl 3 0 or later")}
 NAMES = {
     "MIT": ("the mit license", "mit", "the mit licence"),
     "Apache-2.0": ("the apache license version 2 0", "apache license 2 0", "the apache license 2 0", "apache 2 0"),
@@ -43,17 +45,31 @@ TEXTS = {
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
     "mit-notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "mit-as-is": "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT",
+    "mit-no-event": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE",
+    "isc-as-is": "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS",
+    "isc-no-event": "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE",
+    "bsd-as-is": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED",
     "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
     "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "apache-licensed": "Licensed under the Apache License, Version 2.0 (the License)",
     "apache-comply": "you may not use this file except in compliance with the License",
     "apache-obtain": "You may obtain a copy of the License at",
     "apache-as-is": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
+    "apache-see": "See the License for the specific language governing permissions and limitations under the License",
     "gpl-free": "This program is free software",
     "gpl-terms-3": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
     "gpl-terms-2": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     "gpl-version-2": "either version 2 of the License, or (at your option) any later version",
+    "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
+    "gpl-fitness": "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
+    "gpl-details": "See the GNU General Public License for more details",
+    "gpl-copy": "You should have received a copy of the GNU General Public License along with this program",
+    "lgpl-free": "This library is free software",
+    "lgpl-terms-3": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "agpl-terms-3": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
     "mpl-subject": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "unlicense-domain": "This is free and unencumbered software released into the public domain",
 }
@@ -66,6 +82,9 @@ RULES = (
     ("Apache-2.0", ("apache-comply", "apache-obtain", "apache-as-is")),
     ("GPL-3.0", ("gpl-free", "gpl-terms-3")),
     ("GPL-2.0", ("gpl-free", "gpl-terms-2", "gpl-version-2")),
+    ("LGPL-3.0", ("lgpl-free", "lgpl-terms-3")),
+    ("LGPL-3.0", ("gpl-free", "lgpl-terms-3")),
+    ("AGPL-3.0", ("gpl-free", "agpl-terms-3")),
     ("MPL-2.0", ("mpl-subject",)),
     ("Unlicense", ("unlicense-domain",)),
 )
@@ -74,20 +93,25 @@ STOP = re.compile(rb"([.;:!?][ \t-\r]+|\n)")
 #: Comment marks that would be read as stops.
 MARK = re.compile(rb"(?m)^[ \t]*[;!]+[ \t]+")
 OTHER = re.compile(rb"[^a-z0-9]+")
+#: A tag's colon is no stop.
+TAGGED = re.compile(rb"(spdx-license-identifier):[ \t]*")
 
 
 def normalise(sentence: bytes) -> str:
     return OTHER.sub(b" ", sentence.lower()).strip().decode()
 
 
+def _notices() -> list[tuple[str, str]]:
+    """(licence, sentence) of all that name a licence: each name in each frame, and its tags."""
+    named = [(licence, frame.format(name)) for licence, names in NAMES.items() for name in names for frame in FRAMES]
+    return named + [(licence, TAG.format(tag)) for licence in NAMES for tag in TAG_ENDS.get(licence, (normalise(licence.encode()),))]
+
+
 def sentence_table() -> dict[str, int]:
     """Identifier of each known normalised sentence."""
-    known = {normalise(v.encode()): k for k, v in TEXTS.items()}
-    ids = {s: n for n, s in enumerate(known, 1)}
-    for names in NAMES.values():
-        for name in names:
-            for frame in FRAMES:
-                ids.setdefault(frame.format(name), len(ids) + 1)
+    ids = {normalise(v.encode()): n for n, v in enumerate(TEXTS.values(), 1)}
+    for _, sentence in _notices():
+        ids.setdefault(sentence, len(ids) + 1)
     return ids
 
 
@@ -96,7 +120,7 @@ def rule_table() -> list[tuple[str, tuple[int, ...]]]:
     ids = sentence_table()
     named = {k: ids[normalise(v.encode())] for k, v in TEXTS.items()}
     rules = [(licence, tuple(named[k] for k in keys)) for licence, keys in RULES]
-    return rules + [(licence, (ids[frame.format(name)],)) for licence, names in NAMES.items() for name in names for frame in FRAMES]
+    return rules + [(licence, (ids[sentence],)) for licence, sentence in _notices()]
 
 
 class Recogniser:
@@ -112,7 +136,7 @@ class Recogniser:
 
     def sequence(self, text: bytes) -> list[int]:
         """Identifiers in order; of the known sentences that begin at one line, the one over most lines."""
-        parts = STOP.split(MARK.sub(b"", text.lower()))
+        parts = STOP.split(TAGGED.sub(rb"\1 ", MARK.sub(b"", text.lower())))
         out, upto = [], 0
         for i in range(0, len(parts), 2):
             if i >= upto and self.starts.match(parts[i]):
@@ -166,12 +190,30 @@ def sql() -> str:
     rules = ", ".join(f"('{name}', '{told(rule)}', '{told(longer(rule))}')" for name, rule in rule_table())
     return rf"""
 WITH known(id, sentence) AS (VALUES {known}), rules(licence, rule, longer) AS (VALUES {rules}),
-s AS (
-  SELECT doc_id, unnest(string_split_regex(text, '[.;:!?][ \t-\r]+|\n')) AS s, generate_subscripts(string_split_regex(text, '[.;:!?][ \t-\r]+|\n'), 1) AS pos FROM documents
+lowered AS (
+  SELECT doc_id, regexp_replace(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(?m)^[ \t]*[;!]+[ \t]+', '', 'g'), '(spdx-license-identifier):[ \t]*', '\1 ', 'g') AS t FROM documents
+), stops AS (
+  SELECT doc_id, unnest(string_split(regexp_replace(t, '[.;:!?][ \t-\r]+', chr(2), 'g'), chr(2))) AS s,
+         generate_subscripts(string_split(regexp_replace(t, '[.;:!?][ \t-\r]+', chr(2), 'g'), chr(2)), 1) AS a FROM lowered
+), lines AS (
+  SELECT doc_id, a, unnest(string_split(s, chr(10))) AS line, generate_subscripts(string_split(s, chr(10)), 1) AS b FROM stops
 ), n AS (
-  SELECT doc_id, pos, trim(regexp_replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) AS sentence FROM s
+  SELECT doc_id, a, b, trim(regexp_replace(line, '[^a-z0-9]+', ' ', 'g')) AS norm FROM lines
+), parted AS (
+  SELECT *, count(*) FILTER (WHERE norm = '') OVER (PARTITION BY doc_id, a ORDER BY b) AS g FROM n
+), joined AS (
+  SELECT doc_id, a, g, list(norm ORDER BY b) AS ns FROM parted WHERE norm <> '' GROUP BY doc_id, a, g
+), begun AS (
+  SELECT doc_id, a, g, ns, unnest(range(1, len(ns) + 1)) AS i FROM joined
+), first AS (SELECT DISTINCT split_part(sentence, ' ', 1) AS word FROM known
+), tried AS (
+  SELECT doc_id, a, g, i, ns, unnest(range(i, least(len(ns), i + 300) + 1)) AS j FROM begun WHERE split_part(ns[i], ' ', 1) IN (SELECT word FROM first)
+), met AS (
+  SELECT doc_id, a, g, i, max(j) AS j, max_by(id, j) AS id FROM (SELECT *, array_to_string(ns[i:j], ' ') AS sentence FROM tried) JOIN known USING (sentence) GROUP BY doc_id, a, g, i
+), told AS (
+  SELECT * FROM met m WHERE NOT EXISTS (SELECT 1 FROM met e WHERE e.doc_id = m.doc_id AND e.a = m.a AND e.g = m.g AND e.i < m.i AND e.j >= m.i)
 ), seq AS (
-  SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY pos) AS ids FROM n JOIN known USING (sentence) GROUP BY doc_id
+  SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY a, g, i) AS ids FROM told GROUP BY doc_id
 ), found AS (
   SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences FROM seq JOIN rules ON contains(CASE WHEN longer = '' THEN ',' || ids || ',' ELSE replace(',' || ids || ',', longer, ',') END, rule) GROUP BY doc_id
 )

@@ -133,6 +133,37 @@ def test_wrapped_licences(mark):
             assert know.licences(know.sequence(end.join((mark + x) for x in text.split("\n")).encode())) == [name]
 
 
+DISCLAIMED = """
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+NOTICES = [("SPDX-License-Identifier: MIT", "MIT"), ("SPDX-License-Identifier:Apache-2.0", "Apache-2.0"), ("SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"), ("This code is licensed under the MIT license.", "MIT"), ("This library is free software: you can redistribute it and/or modify\nit under the terms of the GNU Lesser General Public License as published\nby the Free Software Foundation, either version 3 of the License, or (at\nyour option) any later version.", "LGPL-3.0")]
+
+
+def test_wrapped_and_tagged_licences_in_documents_and_sql(docs_of):
+    """Whole files with marks, repeated rows, very long texts, and what is none; alike in SQL."""
+    texts = [(t, n) for t, n in [*WRAPPED, *NOTICES, (MIT + DISCLAIMED, "MIT")]]
+    rows, want = [], {}
+    for k, (mark, end) in enumerate([("", "\n"), ("# ", "\n"), ("// ", "\r\n"), (" * ", "\n"), ("; ", "\n")]):
+        for j, (t, n) in enumerate(texts):
+            body = end.join(mark + x for x in t.split("\n"))
+            rows.append((100 * k + j, f"Some prose here. More of it.{end}{end}{body}{end}{end}def main(): pass"))
+            want[100 * k + j] = n
+    rows += [(900, "word and word. " * 200_000 + "\n" + MIT), (901, "SPDX-License-Identifier:\n\nMIT"), (902, "permission is hereby granted"), (0, rows[0][1]), (903, "licensed\nunder\nthe\nmit\nlicense")]
+    want |= {900: "MIT", 901: "", 902: "", 903: "MIT"}
+    found = licenses.scan(docs_of(rows)).collect()
+    assert len(found) == len(rows) and {r.doc_id: r.licences for r in found} == want
+    assert next(r for r in found if r.doc_id == len(texts) - 1).n_sentences == 4
+    documents = docs_of([r for r in rows if r[0] not in (0, 900)]).toPandas()  # noqa: F841  read by name
+    told = {r[0]: r[1:] for r in duckdb.sql(licenses.sql()).fetchall()}
+    assert told == {r.doc_id: (r.n_sentences, r.sentence_ids, r.licences) for r in found if r.doc_id in told} and len(told) == len(rows) - 3
+
+
 def test_a_blank_line_ends_a_sentence_and_a_line_stands_alone():
     know = licenses.Recogniser()
     told = lambda text: know.licences(know.sequence(text))
