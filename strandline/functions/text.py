@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -62,16 +63,17 @@ def bm25(corpus: DataFrame, doc: str, query: str) -> Bm25:
     """Statistics of ``corpus`` (token arrays in column ``doc``) for ``query``.
 
     The inverse document frequency is ln(N-n+0.5)-ln(n+0.5); where negative,
-    a quarter of its mean over the whole vocabulary. One pass counts documents
-    and sizes, a second counts each term's documents with a partial aggregate;
-    what reaches the driver is a row of sums and a row for each query term.
+    a quarter of its mean over the whole vocabulary. One pass counts documents,
+    sizes and the documents of each query term, without a shuffle of words; the
+    vocabulary is only counted where a term stands in more than half of all.
+    What reaches the driver is a row of sums.
     """
     terms = query_tokens(query)
-    n, mean = corpus.agg(F.count(F.lit(1)), F.avg(F.size(doc))).first()
-    if not n or not terms:
-        return Bm25(terms, {}, float(mean or 0))
-    df = corpus.select(F.explode(F.array_distinct(doc)).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    raw = df.select("t", (F.log(n - F.col("n") + 0.5) - F.log(F.col("n") + 0.5)).alias("idf"))
-    asked = F.collect_list(F.when(F.col("t").isin(terms), F.struct("t", "idf")))  # a row for each query term at most
-    average, found = raw.agg(F.avg("idf"), asked).first()
-    return Bm25(terms, {r.t: r.idf if r.idf >= 0 else FLOOR * average for r in found}, float(mean))
+    asked = list(dict.fromkeys(terms))
+    n, mean, *held = corpus.agg(F.count(F.lit(1)), F.avg(F.size(doc)), *(F.count_if(F.array_contains(doc, t)) for t in asked)).first()
+    idf = {t: math.log(n - k + 0.5) - math.log(k + 0.5) for t, k in zip(asked, held) if k}
+    if any(x < 0 for x in idf.values()):
+        df = corpus.select(F.explode(F.array_distinct(doc)).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+        average = df.agg(F.avg(F.log(n - F.col("n") + 0.5) - F.log(F.col("n") + 0.5))).first()[0]
+        idf = {t: x if x >= 0 else FLOOR * average for t, x in idf.items()}
+    return Bm25(terms, idf, float(mean or 0))

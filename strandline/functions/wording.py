@@ -125,9 +125,12 @@ def clean_text(c: Column) -> Column:
 
 
 def whole_number(c: Column) -> Column:
-    """An integer, also as text; anything else, ``3.0`` and booleans among it, is null."""
+    """An integer, also as text; anything else, ``3.0`` and booleans among it, is null. Beyond 18 digits it is the largest or smallest there is."""
     text = F.trim(c.cast("string"))
-    return F.when(text.rlike("^[+-]?[0-9]+$"), F.try_to_number(F.regexp_replace(text, r"^\+", ""), F.lit("S9999999999")).cast("long"))
+    digits = F.regexp_replace(text, "^[+-]?0*", "")
+    most = F.when(F.startswith(text, F.lit("-")), -(1 << 62)).otherwise(1 << 62)
+    value = F.when(F.length(digits) > 18, most).otherwise(F.regexp_replace(text, r"^\+", "").try_cast("long"))
+    return F.when(text.rlike("^[+-]?[0-9]+$"), value)
 
 
 def importance(c: Column) -> Column:

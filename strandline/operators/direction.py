@@ -2,33 +2,39 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import stored
+from ..sources.shared import new_path
+
+#: Works of a level up to which it is sent to the citations, which then stay where they are.
+FEW = 200_000
 
 
 def reached(edges: DataFrame, seed) -> DataFrame:
     """``id, up``: what the seed cites (up) and what cites it, over any number of steps; cycles end by themselves.
 
-    Breadth first; each level joins the frontier to the citations of its
-    direction, drops what an earlier level met and is written to the shared folder.
+    Breadth first. A level is counted when it is written; up to FEW works it is
+    the broadcast side, so that the citations (stored or persisted by the
+    caller) are scanned and not shuffled, and beyond that both are dealt by
+    key. All levels are one table, from which a new one leaves out what it has.
     """
     spark = edges.sparkSession
-    steps = edges.select(F.col("source").alias("at"), F.col("target").alias("id"), F.lit(True).alias("up")).unionByName(edges.select(F.col("target").alias("at"), F.col("source").alias("id"), F.lit(False).alias("up"))).where("at is not null and id is not null")
-    kind = dict(steps.dtypes)["at"]
-    front = spark.range(1).select(F.lit(seed).cast(kind).alias("id"), F.explode(F.array(F.lit(True), F.lit(False))).alias("up"))
-    levels = [stored(front, "level")]
-    last = levels[0]
-    while not last.isEmpty():
-        if len(levels) > 6:  # a plan over many levels takes longer than writing them together
-            levels = [stored(reduce(DataFrame.unionByName, levels), "levels")]
-        met, at = reduce(DataFrame.unionByName, levels), last.select(F.col("id").alias("at"), "up")
-        last = stored(steps.join(at, ["at", "up"]).select("id", "up").distinct().join(met, ["id", "up"], "left_anti"), "level")
-        levels.append(last)
-    return reduce(DataFrame.unionByName, levels).where(F.col("id") != F.lit(seed))
+    known = edges.where("source is not null and target is not null").select("source", "target")
+    front = spark.range(1).select(F.lit(seed).cast(dict(known.dtypes)["source"]).alias("id"), F.explode(F.array(F.lit(True), F.lit(False))).alias("up"))
+    base, level, n = new_path(spark, "reached"), 0, 2
+    at = lambda k: f"{base}/{k}"
+    table = lambda first: spark.read.schema(front.schema).parquet(*[at(k) for k in range(first, level + 1)])
+    front.write.parquet(at(0))
+    while n:
+        sent = F.broadcast(table(level)) if n <= FEW else table(level)
+        up = known.join(sent.where("up"), F.col("source") == F.col("id")).select(F.col("target").alias("id"), F.lit(True).alias("up"))
+        down = known.join(sent.where("not up"), F.col("target") == F.col("id")).select(F.col("source").alias("id"), F.lit(False).alias("up"))
+        new = up.unionByName(down).distinct().join(table(0), ["id", "up"], "left_anti")
+        new.write.parquet(at(level + 1))
+        level += 1
+        n = table(level).count()
+    return table(0).where(F.col("id") != F.lit(seed))
 
 
 def classify(nodes: DataFrame, edges: DataFrame, seed) -> DataFrame:

@@ -23,7 +23,9 @@ def matches(nodes: DataFrame, works: DataFrame, refs: DataFrame, seed) -> DataFr
     ``refs(doi, direction, intents, is_influential, abstract, ord)``, where
     direction is cited or citing and ord puts references before citations. A
     node is found by its own DOI, compared as its source wrote it but for the
-    usual prefix, the last node of several; else by the works table.
+    usual prefix, the last node of several; else by the works table. ``turn``
+    is the order in which they count: what a node's own DOI found, then what
+    the works table found, each by ord.
     """
     keyed = refs.withColumn("key", doi(F.col("doi"))).where("key is not null")
     first = keyed.groupBy("key").agg(F.min_by(F.struct("direction", "intents", "is_influential", "abstract", "ord"), "ord").alias("r")).select("key", "r.*")
@@ -33,7 +35,7 @@ def matches(nodes: DataFrame, works: DataFrame, refs: DataFrame, seed) -> DataFr
     # The rest is asked of the works table, and counts only where it leads to a node.
     other = works.select(doi(F.col("doi")).alias("key"), "id").join(found.where("own_id is null").select("key"), "key", "left_semi")
     other = other.groupBy("key").agg(F.max("id").alias("id")).join(nodes.select("id"), "id", "left_semi").withColumnRenamed("id", "other_id")
-    out = found.join(other, "key", "left").withColumn("node_id", F.coalesce("own_id", "other_id")).drop("own_id", "other_id")
+    out = found.join(other, "key", "left").withColumn("node_id", F.coalesce("own_id", "other_id")).withColumn("turn", F.struct(F.col("own_id").isNull().alias("asked"), "ord")).drop("own_id", "other_id")
     cited = F.col("direction") == "cited"
     return out.withColumn("source", F.when(cited, F.lit(seed)).otherwise(F.col("node_id"))).withColumn("target", F.when(cited, F.col("node_id")).otherwise(F.lit(seed)))
 
@@ -44,16 +46,17 @@ def enrich(nodes: DataFrame, edges: DataFrame, works: DataFrame, refs: DataFrame
     ``nodes(id, doi, abstract, ord, ...)`` and ``edges(source, target, ord,
     ...)``. An edge is labelled only by a record with intents or the
     influential flag; others have an empty array, which says nothing was
-    looked up. The report counts records, matched and unmatched DOIs, edges
+    looked up. Where several records lead to one node, the last in turn labels
+    its edge and the first with an abstract fills it. The report counts records, matched and unmatched DOIs, edges
     labelled and abstracts filled.
     """
     met = matches(nodes, works, refs, seed)
     hit = met.where("node_id is not null")
-    labels = hit.groupBy("source", "target").agg(F.max_by(F.struct("intents", "is_influential"), "ord").alias("l")).select("source", "target", "l.*")
+    labels = hit.groupBy("source", "target").agg(F.max_by(F.struct("intents", "is_influential"), "turn").alias("l")).select("source", "target", "l.*")
     labels = labels.where("size(intents) > 0 or is_influential")
     plain = edges.drop("intents", "is_influential")
     out_edges = plain.join(labels, ["source", "target"], "left").select(*plain.columns, F.coalesce("intents", F.array().cast("array<string>")).alias("intents"), F.coalesce("is_influential", F.lit(False)).alias("is_influential"))
-    texts = hit.where("abstract <> ''").groupBy(F.col("node_id").alias("id")).agg(F.min_by("abstract", "ord").alias("other_abstract"))
+    texts = hit.where("abstract <> ''").groupBy(F.col("node_id").alias("id")).agg(F.min_by("abstract", "turn").alias("other_abstract"))
     filled = (F.coalesce(F.col("abstract"), F.lit("")) == "") & F.col("other_abstract").isNotNull()
     both = nodes.join(texts, "id", "left")
     out_nodes = both.withColumn("abstract", F.when(filled, F.col("other_abstract")).otherwise(F.coalesce("abstract", F.lit("")))).select(*nodes.columns)

@@ -52,7 +52,7 @@ def neighbours(parents: DataFrame, works: DataFrame, cites: DataFrame, caps: Cap
     both = back.unionByName(ahead).join(works.select("id", "cited_by_count"), "id")
     group = Window.partitionBy("parent", "side")
     if caps.strategy == "random":
-        by = [F.xxhash64("id", F.lit(caps.sample_seed)), F.col("id")]
+        by = [F.md5(F.concat_ws(":", "id", F.lit(caps.sample_seed))), F.col("id")]
     else:
         by = [F.desc("cited_by_count"), F.col("pos"), F.col("id")]
     # One row more than the cap tells whether there are too many; the planner cuts groups before it sorts them.

@@ -25,11 +25,11 @@ def cached_or_fetched(cache: DataFrame, fetched: DataFrame) -> DataFrame:
     return both.withColumn("__n", F.row_number().over(Window.partitionBy("id").orderBy("__first"))).where("__n = 1").drop("__n", "__first")
 
 
-def by_doi(works: DataFrame, keys: DataFrame) -> DataFrame:
-    """One work for each DOI of ``keys(doi)``, however it is written; of several works the one with the largest id."""
+def by_doi(works: DataFrame, keys: DataFrame, order: str = "id") -> DataFrame:
+    """One work for each DOI of ``keys(doi)``, however it is written; of several works the last by ``order``, the column that says how they arrived."""
     asked = keys.select(doi(F.col("doi")).alias("key")).where("key is not null").distinct()
     found = works.withColumn("key", doi(F.col("doi"))).join(asked, "key")
-    return found.groupBy("key").agg(F.max_by(F.struct(*works.columns), "id").alias("w")).select(F.col("key").alias("asked_doi"), "w.*")
+    return found.groupBy("key").agg(F.max_by(F.struct(*works.columns), F.struct(order, "id")).alias("w")).select(F.col("key").alias("asked_doi"), "w.*")
 
 
 def citing(works: DataFrame, cites: DataFrame, keys: DataFrame, limit: int, strategy: str = "top_cited", seed: int = 0) -> DataFrame:
@@ -45,7 +45,7 @@ def references(works: DataFrame, cites: DataFrame, keys: DataFrame, limit: int,
 
 
 def _first(found: DataFrame, key: str, limit: int, strategy: str, seed: int) -> DataFrame:
-    order = [F.xxhash64("id", F.lit(seed)), F.col("id")] if strategy == "random" else [F.desc("cited_by_count"), F.col("id")]
+    order = [F.md5(F.concat_ws(":", "id", F.lit(seed))), F.col("id")] if strategy == "random" else [F.desc("cited_by_count"), F.col("id")]
     return found.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= limit)
 
 

@@ -22,7 +22,7 @@ def relationships(nodes: DataFrame, edges: DataFrame, seed) -> DataFrame:
     bridges = direct.join(titles, "id").select(F.col("id").alias("bridge"), F.col("title").alias("bridge_title"), "from_seed")
     legs = both.where(~is_seed("source") & ~is_seed("target"))
     ways = legs.select(F.col("source").alias("id"), F.col("target").alias("bridge"), F.lit(True).alias("cites"), "ord").unionByName(legs.select(F.col("target").alias("id"), F.col("source").alias("bridge"), F.lit(False).alias("cites"), "ord"))
-    ways = ways.join(F.broadcast(direct.select("id")), "id", "left_anti").join(bridges, "bridge")
+    ways = ways.join(direct.select("id"), "id", "left_anti").join(bridges, "bridge")
     first = ways.groupBy("id").agg(F.min_by(F.struct("bridge_title", "from_seed", "cites"), "ord").alias("b"))
     all_ = nodes.select("id", "title", "hop").join(direct, "id", "left").join(first, "id", "left")
     leg1 = W.edge_phrase(F.col("b.cites"), F.col("title"), F.col("b.bridge_title"))

@@ -12,7 +12,7 @@ from ..functions.wording import clean_text, importance, valid_role, whole_number
 
 #: Fixed values of the curated graph.
 OTHER, OTHER_NAME, SEED_WHY = "other", "Other related work", "The seed paper this map is built around."
-REPLY = "struct<clusters:array<struct<id:string,name:string,role:string,summary:string>>,keep:array<struct<i:string,index:string,cluster:string,importance:string,why:string>>,dropped_summary:string>"
+REPLY = "struct<clusters:array<struct<id:string,name:string,role:string,summary:string>>,keep:array<map<string,string>>,dropped_summary:string>"
 
 
 @dataclass(frozen=True)
@@ -53,7 +53,9 @@ def prefilter(nodes: DataFrame, directions: DataFrame, intents: DataFrame, seed,
     """Candidates for a curator: the ``limit`` best by score and citations, numbered from 1, with direction and seed intent."""
     best = scored(nodes, idea).where(F.col("id") != F.lit(seed)).orderBy(F.desc("score"), F.desc("cited_by_count"), "ord").limit(limit)
     best = best.withColumn("index", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("cited_by_count"), "ord")))  # limit rows
-    out = best.join(F.broadcast(directions), "id", "left").join(F.broadcast(intents), "id", "left")
+    # There are limit rows of these, so they are sent to what is known of any number of works, not the other way round.
+    asked = F.broadcast(best.select("id"))
+    out = best.join(directions.join(asked, "id", "left_semi"), "id", "left").join(intents.join(asked, "id", "left_semi"), "id", "left")
     return out.withColumn("direction", F.coalesce("direction", F.lit("unrelated"))).withColumn("intent", F.coalesce("intent", F.lit("")))
 
 
@@ -65,9 +67,9 @@ def clusters_of(reply: DataFrame, column: str = "reply") -> DataFrame:
 
 
 def kept_of(reply: DataFrame, candidates: DataFrame, clusters: DataFrame, column: str = "reply") -> DataFrame:
-    """The candidates that a reply keeps: unknown numbers are dropped, of repeated ones the first counts, undefined clusters become ``other``."""
+    """The candidates that a reply keeps, by ``i``, or ``index`` where that isn't there at all: unknown numbers are dropped, of repeated ones the first counts, undefined clusters become ``other``."""
     rows = reply.select(F.posexplode(F.from_json(column, REPLY)["keep"]).alias("at", "k"))
-    rows = rows.select("at", whole_number(F.coalesce(F.col("k.i"), F.col("k.index"))).alias("index"), F.coalesce(clean_text(F.col("k.cluster")), F.lit(OTHER)).alias("cluster"), importance(F.col("k.importance")).alias("importance"), F.coalesce(clean_text(F.col("k.why")), F.lit("")).alias("why"))
+    rows = rows.select("at", whole_number(F.when(F.map_contains_key("k", F.lit("i")), F.col("k.i")).otherwise(F.col("k.index"))).alias("index"), F.coalesce(clean_text(F.col("k.cluster")), F.lit(OTHER)).alias("cluster"), importance(F.col("k.importance")).alias("importance"), F.coalesce(clean_text(F.col("k.why")), F.lit("")).alias("why"))
     first = rows.where("index is not null").groupBy("index").agg(F.min_by(F.struct("at", "cluster", "importance", "why"), "at").alias("k")).select("index", "k.*")
     named = clusters.select(F.col("id").alias("cluster_id"))
     return candidates.join(first, "index").join(named, F.col("cluster") == F.col("cluster_id"), "left").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(OTHER))).drop("cluster")

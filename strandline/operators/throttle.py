@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,20 +33,27 @@ def login_decisions(attempts: DataFrame, window_s: float = WINDOW_S, limit: int
 
     An attempt is blocked if ``limit`` failures lie in its window; a blocked one
     is not recorded, a success clears the record, so each decision depends on
-    those before. It is a fold over a key's sorted attempts whose state is the
-    last ``limit`` failure times at most. A key's attempts are held together,
-    as a decision needs all that came before it.
+    those before. A key's attempts pass through one task in order of time and
+    id, whose state is the last ``limit`` failure times at most. Attempts
+    without a time are left out; those without a key are one key's.
     """
     us = int(window_s * 1_000_000)
-    event = F.struct("us", "id", "failed")
-    keyed = with_micros(attempts).groupBy("key").agg(F.array_sort(F.collect_list(event)).alias("events"))
-    start = F.struct(F.array().cast("array<bigint>").alias("recent"), F.array().cast("array<struct<id:bigint,blocked:boolean>>").alias("said"))
-
-    def step(state, e):
-        recent = F.filter(state["recent"], lambda t: e["us"] - t <= us)
-        blocked = F.size(recent) >= limit
-        after = F.when(blocked, recent).when(e["failed"], F.concat(recent, F.array(e["us"]))).otherwise(F.array().cast("array<bigint>"))
-        return F.struct(after.alias("recent"), F.concat(state["said"], F.array(F.struct(e["id"].alias("id"), blocked.alias("blocked")))).alias("said"))
-
-    said = F.aggregate("events", start, step, lambda s: s["said"])
-    return keyed.select("key", F.explode(said).alias("s")).select("key", "s.id", "s.blocked")
+
+    def decide(batches):
+        begun, last, recent = False, None, deque()
+        for b in batches:
+            keys, ids, times, failures = (c.to_pylist() for c in b.columns)
+            blocked = []
+            for key, t, failed in zip(keys, times, failures):
+                if not begun or key != last:
+                    begun, last, recent = True, key, deque()
+                while recent and t - recent[0] > us:
+                    recent.popleft()
+                blocked.append(len(recent) >= limit)
+                if not blocked[-1]:
+                    recent.append(t) if failed else recent.clear()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(blocked, pa.bool_())], names=["key", "id", "blocked"])
+
+    kind = dict(attempts.dtypes)
+    rows = with_micros(attempts).where("us is not null").select("key", "id", "us", "failed").repartition("key").sortWithinPartitions("key", "us", "id")
+    return rows.mapInArrow(decide, f"key {kind['key']}, id {kind['id']}, blocked boolean")

@@ -1,12 +1,12 @@
 """Every query of the lineage engine, by name, with its DuckDB text.
 
 The inputs come from the order tables (``sources.substrate``). Queries that
-need an expansion share one: the most cited work, three neighbours in each
-direction, sixty works in all.
+need an expansion share one: that of the most cited work under the default caps.
 """
 
 from __future__ import annotations
 
+import json
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +20,9 @@ from ..sources.shared import stored
 from ..sources.substrate import read
 from .oracle import ORACLE_SQL
 
-CAPS, TOP_K, PREFILTER, IDEA = Caps(total=60, fanout=3), 12, 20, "small red ring of the ancient widget"
+#: The package's own defaults; and a tighter cap, under which the small tables show how works are refused.
+CAPS, TOP_K, PREFILTER, IDEA = Caps(), 40, 120, "small red ring of the ancient widget"
+TIGHT = Caps(total=60, fanout=3)
 THROTTLE_S, THROTTLE_LIMIT = 3 * 24 * 3600, 2
 
 QUERIES = {}
@@ -37,17 +39,33 @@ class Setting:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self.cites = substrate.citations(spark, sf_dir).persist()  # first, as the works count it too
-        self.works = substrate.works(spark, sf_dir).persist()
-        self.seed = substrate.seed(self.works)
+
+    @cached_property
+    def ranks(self) -> DataFrame:
+        """Works without their texts, which is all that traversals and drawings of every work need."""
+        return substrate.ranks(self.spark, self.sf_dir, self.cites).persist()
+
+    @cached_property
+    def works(self) -> DataFrame:
+        return substrate.works(self.spark, self.sf_dir, self.cites).persist()
+
+    def records(self, ids: DataFrame) -> DataFrame:
+        """Full works of some ids."""
+        return substrate.works(self.spark, self.sf_dir, self.cites, ids)
+
+    @cached_property
+    def seed(self):
+        return substrate.seed(self.ranks)
 
     @cached_property
     def expansion(self) -> Expansion:
-        return expand(self.works, self.cites, self.seed, CAPS)
+        return expand(self.ranks, self.cites, self.seed, CAPS)
 
     @cached_property
     def nodes(self) -> DataFrame:
         """The expansion's nodes as full records; capped, so written down once."""
-        return stored(self.expansion.nodes.drop("cited_by_count").join(self.works, "id"), "records")
+        e = self.expansion.nodes
+        return stored(e.drop("cited_by_count").join(self.records(e), "id"), "records")
 
     @property
     def edges(self) -> DataFrame:
@@ -56,10 +74,12 @@ class Setting:
     @cached_property
     def refs(self) -> DataFrame:
         """What the second source says of the seed's neighbours: made from the lines that tie the two orders, with spellings that differ."""
-        lines = read(self.spark, self.sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_returnflag").alias("flag"), F.max("l_discount").alias("discount"))
         cited = self.cites.where(F.col("src") == F.lit(self.seed)).select(F.col("tgt").alias("id"), F.lit("cited").alias("direction"), F.lit(0).alias("side"))
         citing = self.cites.where(F.col("tgt") == F.lit(self.seed)).select(F.col("src").alias("id"), F.lit("citing").alias("direction"), F.lit(1).alias("side"))
-        both = cited.unionByName(citing).join(lines, F.col("id") == F.col("l_orderkey"))
+        near = stored(cited.unionByName(citing), "neighbours")
+        lines = read(self.spark, self.sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_discount").join(near, F.col("l_orderkey") == F.col("id"), "left_semi")
+        lines = lines.groupBy("l_orderkey").agg(F.min("l_returnflag").alias("flag"), F.max("l_discount").alias("discount"))
+        both = near.join(lines, F.col("id") == F.col("l_orderkey"))
         key = F.col("id").cast("string")
         spelt = F.when(F.col("id") % 4 == 0, F.concat(F.lit("https://doi.org/10.0/"), key)).when(F.col("id") % 4 == 1, F.concat(F.lit(" DOI:10.0/"), key)).when(F.col("id") % 4 == 2, F.concat(F.lit("HTTP://doi.org/10.0/"), key)).otherwise(F.concat(F.lit("10.0/"), key))
         intent = F.when(F.col("flag") == "A", "methodology").when(F.col("flag") == "R", "result").otherwise("background")
@@ -67,7 +87,7 @@ class Setting:
 
     @cached_property
     def enriched(self) -> enrich.Enriched:
-        e = enrich.enrich(self.nodes, self.edges, self.works, self.refs, self.seed)
+        e = enrich.enrich(self.nodes, self.edges, self.ranks, self.refs, self.seed)
         return enrich.Enriched(e.nodes, stored(e.edges, "labelled"), e.report)
 
     @property
@@ -156,7 +176,8 @@ def parse_neighbour_record(spark, sf_dir):
 @query
 def reconstruct_abstract(spark, sf_dir):
     """Every document's words put into an inverted index and back; line breaks become single blanks."""
-    words = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"[ \t\n\r\f\x0B]+")).alias("pos", "word"))
+    whole = read(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")  # texts move once, their words stay where they are
+    words = whole.select("doc_id", F.posexplode(F.split("text", r"[ \t\n\r\f\x0B]+")).alias("pos", "word"))
     index = words.groupBy("doc_id", "word").agg(F.collect_list("pos").alias("at")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("index"))
     return index.select("doc_id", F.md5(text.abstract(F.lit(""), F.col("index"))).alias("abstract_md5"))
 
@@ -201,7 +222,7 @@ def bm25_top_k(spark, sf_dir):
 def search_seed_candidates(spark, sf_dir):
     s = Setting(spark, sf_dir)
     other = s.works.select((F.col("id") + 0).alias("id"), "title", "cited_by_count", F.upper("doi").alias("doi"))
-    title = s.works.where(F.col("id") == F.lit(s.seed)).first().title
+    title = s.records(s.ranks.where(F.col("id") == F.lit(s.seed))).first().title
     return lookup.seed_candidates(s.works, other, title, 10)
 
 
@@ -209,42 +230,42 @@ def search_seed_candidates(spark, sf_dir):
 def lookup_by_ids(spark, sf_dir):
     s = Setting(spark, sf_dir)
     asked = read(spark, sf_dir, "events").select((F.col("event_id") * 3).alias("id"))
-    found = lookup.by_ids(s.works, asked).select("id", F.lit("found").alias("state"))
-    return found.unionByName(lookup.missing(s.works, asked).select("id", F.lit("missing").alias("state")))
+    found = lookup.by_ids(s.ranks, asked).select("id", F.lit("found").alias("state"))
+    return found.unionByName(lookup.missing(s.ranks, asked).select("id", F.lit("missing").alias("state")))
 
 
 @query
 def lookup_by_doi(spark, sf_dir):
     s = Setting(spark, sf_dir)
-    twice = s.works.select("id", "doi").unionByName(s.works.select((F.col("id") + 10_000_000).alias("id"), F.upper("doi").alias("doi")))
+    twice = s.ranks.select("id", "doi", F.lit(1).alias("place")).unionByName(s.ranks.select((F.col("id") + 10_000_000).alias("id"), F.upper("doi").alias("doi"), F.lit(0).alias("place")))
     asked = _spellings(spark, sf_dir).select(F.col("raw_doi").alias("doi"))
-    return lookup.by_doi(twice, asked).select("asked_doi", "id")
+    return lookup.by_doi(twice, asked, "place").select("asked_doi", "id")
 
 
 @query
 def cache_merge(spark, sf_dir):
     s = Setting(spark, sf_dir)
-    cache = s.works.where("cited_by_count > 0").select("id", F.lit("cache").alias("origin"))
-    fetched = s.works.where("publication_year >= 1998").select("id", F.lit("fetched").alias("origin"))
+    cache = s.ranks.where("cited_by_count > 0").select("id", F.lit("cache").alias("origin"))
+    fetched = s.ranks.where("publication_year >= 1998").select("id", F.lit("fetched").alias("origin"))
     return lookup.cached_or_fetched(cache, fetched)
 
 
 @query
 def citing_works_top_n(spark, sf_dir):
     s = Setting(spark, sf_dir)
-    return lookup.citing(s.works, s.cites, s.works, 3).select("cited_id", "id", "cited_by_count", F.col("rank").cast("long").alias("rank"))
+    return lookup.citing(s.ranks, s.cites, s.ranks, 3).select("cited_id", "id", "cited_by_count", F.col("rank").cast("long").alias("rank"))
 
 
 @query
 def references_top_n(spark, sf_dir):
     s = Setting(spark, sf_dir)
-    return lookup.references(s.works, s.cites, s.works, 2).select("citing_id", "id", "cited_by_count", F.col("rank").cast("long").alias("rank"))
+    return lookup.references(s.ranks, s.cites, s.ranks, 2).select("citing_id", "id", "cited_by_count", F.col("rank").cast("long").alias("rank"))
 
 
 @query
 def citing_works_sample(spark, sf_dir):
     s = Setting(spark, sf_dir)
-    return lookup.citing(s.works, s.cites, s.works, 2, "random", 11).select("cited_id", "id")
+    return lookup.citing(s.ranks, s.cites, s.ranks, 2, "random", 11).select("cited_id", "id")
 
 
 # Expansion and enrichment
@@ -260,10 +281,22 @@ def expand_edges(spark, sf_dir):
     return Setting(spark, sf_dir).expansion.edges
 
 
+@query
+def expand_nodes_tight(spark, sf_dir):
+    s = Setting(spark, sf_dir)
+    return expand(s.ranks, s.cites, s.seed, TIGHT).nodes
+
+
+@query
+def expand_edges_tight(spark, sf_dir):
+    s = Setting(spark, sf_dir)
+    return expand(s.ranks, s.cites, s.seed, TIGHT).edges
+
+
 @query
 def expand_truncated(spark, sf_dir):
     s = Setting(spark, sf_dir)
-    return expand(s.works, s.cites, s.seed, Caps(total=10, fanout=3)).refused
+    return expand(s.ranks, s.cites, s.seed, Caps(total=10, fanout=3)).refused
 
 
 @query
@@ -293,7 +326,7 @@ def enrich_report(spark, sf_dir):
 @query
 def classify_directions(spark, sf_dir):
     s = Setting(spark, sf_dir)
-    return direction.classify(s.works, s.cites.select(F.col("src").alias("source"), F.col("tgt").alias("target")), s.seed)
+    return direction.classify(s.ranks, s.cites.select(F.col("src").alias("source"), F.col("tgt").alias("target")), s.seed)
 
 
 @query
@@ -383,7 +416,7 @@ GUESS = """Here you are: {"title": " Small ring ", "search_query": "small ring",
 
 @query
 def identify_seed_reply(spark, sf_dir):
-    reply = Setting(spark, sf_dir).reply(GUESS).select(F.regexp_extract("reply", r"(?s)\{.*\}", 0).alias("reply"))
+    reply = Setting(spark, sf_dir).reply(json.dumps(prompts.json_object(GUESS)))
     return prompts.guess_of(reply).select("title", "search_query", "year", F.array_join("alternatives", ",").alias("alternatives"))
 
 
@@ -394,14 +427,14 @@ def identify_seed_reply(spark, sf_dir):
 def year_layout(spark, sf_dir):
     s = Setting(spark, sf_dir)
     # Crowded years reach millions; three decimals are then all that a double adds up alike in any order.
-    return layout.by_year(s.works, s.seed).select("id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+    return layout.by_year(s.ranks, s.seed).select("id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
 @query
 def cluster_stats(spark, sf_dir):
     s = Setting(spark, sf_dir)
-    year = s.works.where(F.col("id") == F.lit(s.seed)).first().publication_year
-    got = layout.cluster_centres(layout.cluster_stats(s.works.withColumn("cluster_id", F.col("venue")), s.seed), F.lit(year))
+    year = s.ranks.where(F.col("id") == F.lit(s.seed)).first().publication_year
+    got = layout.cluster_centres(layout.cluster_stats(s.ranks.withColumn("cluster_id", F.col("venue")), s.seed), F.lit(year))
     return got.select("cluster_id", "n", F.col("median_year").cast("long").alias("median_year"), "span", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
@@ -415,7 +448,7 @@ def cluster_layout(spark, sf_dir):
 @query
 def contract_edges(spark, sf_dir):
     s = Setting(spark, sf_dir)
-    every = s.works.withColumn("cluster_id", F.when(F.col("id") != F.lit(s.seed), F.col("venue")))
+    every = s.ranks.withColumn("cluster_id", F.when(F.col("id") != F.lit(s.seed), F.col("venue")))
     cites = s.cites.select(F.col("src").alias("source"), F.col("tgt").alias("target"))
     return contract.contracted(cites, every, ["BUILDING"]).select("from", "to", "weight", F.round("width", 6).alias("width"), "label")
 
@@ -423,8 +456,8 @@ def contract_edges(spark, sf_dir):
 @query
 def node_payload(spark, sf_dir):
     s = Setting(spark, sf_dir)
-    place = layout.by_year(s.nodes, s.seed)
-    none = s.works.limit(0).select("id", F.lit("").alias("intent"))
+    place = layout.by_year(s.nodes, s.seed, spread=False)  # capped
+    none = s.ranks.limit(0).select("id", F.lit("").alias("intent"))
     told = s.nodes.withColumns({"score": F.lit(0.0), "why": F.lit(""), "cluster_id": F.lit(None).cast("string"), "importance": F.lit(None).cast("int")})
     p = contract.node_payload(told, s.seed, place, relate.relationships(s.nodes, s.enriched.edges, s.seed), none)
     return p.select("id", "label", "is_seed", "background", "border", F.round("size", 6).alias("size"), "border_width", F.col("font_size").cast("long").alias("font_size"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
@@ -513,4 +546,4 @@ def lineage_bm25(spark, sf_dir):
     from .lineage import keyword_lineage
 
     s = Setting(spark, sf_dir)
-    return keyword_lineage(s.works, s.cites, s.refs, s.seed, IDEA, CAPS, TOP_K)
+    return keyword_lineage(s.ranks, s.cites, s.refs, s.seed, IDEA, CAPS, TOP_K, s.records)

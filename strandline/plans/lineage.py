@@ -12,29 +12,39 @@ from pyspark.sql import functions as F
 from ..functions import wording as W
 from ..operators import contract, direction, layout, prompts, relate, select
 from ..operators.enrich import enrich
-from ..operators.expand import Caps, expand
+from ..operators.expand import Caps, Expansion, expand
 from ..sources.host import SourceError
 from ..sources.shared import stored
 
 
-def keyword_lineage(works: DataFrame, cites: DataFrame, refs: DataFrame, seed, idea: str, caps: Caps = Caps(), top_k: int = 40) -> DataFrame:
-    """The kept works of a keyword run, with score, rank, relationship and place."""
+#: Full works of a table of ids. Where they are costly to make, this makes only those asked for.
+Records = Callable[[DataFrame], DataFrame]
+
+
+def _records(e: Expansion, works: DataFrame, records: Records | None) -> DataFrame:
+    """The nodes of an expansion as full works; capped, so written down once."""
+    full = works if records is None else records(e.nodes)
+    return stored(e.nodes.select("id", "hop", "ord").join(full, "id"), "records")
+
+
+def keyword_lineage(works: DataFrame, cites: DataFrame, refs: DataFrame, seed, idea: str, caps: Caps = Caps(), top_k: int = 40, records: Records | None = None) -> DataFrame:
+    """The kept works of a keyword run, with score, rank, relationship and place. With ``records``, ``works`` needs id, cited_by_count and doi only."""
     e = expand(works, cites, seed, caps)
-    nodes = stored(e.nodes.drop("cited_by_count").join(works, "id"), "records")
+    nodes = _records(e, works, records)
     more = enrich(nodes, e.edges, works, refs, seed)
     g = select.filter_by_idea(stored(more.nodes, "nodes"), more.edges, seed, idea, top_k)
     g = select.Graph(stored(g.nodes, "kept"), stored(g.edges, "kept-edges"))
     bare = g.edges.select("source", "target", F.array().cast("array<string>").alias("intents"), F.lit(False).alias("is_influential"), "ord")
     told = relate.relationships(g.nodes, bare, seed)
-    placed = layout.by_year(g.nodes, seed)
+    placed = layout.by_year(g.nodes, seed, spread=False)  # top_k + 1 rows at most
     kept = g.nodes.join(told, "id").join(placed, "id")
     return kept.select("id", "title", "publication_year", "cited_by_count", F.col("hop").cast("long").alias("hop"), "score", F.col("rank").cast("long").alias("rank"), "relationship", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-def curated_lineage(works: DataFrame, cites: DataFrame, refs: DataFrame, seed, idea: str, chat: prompts.Chat | None, caps: Caps = Caps(), shortlist: int = 120, max_keep: int = 35, top_k: int = 40, mode: str = "auto", warn: Callable[[str], None] = lambda text: None) -> select.Graph:
+def curated_lineage(works: DataFrame, cites: DataFrame, refs: DataFrame, seed, idea: str, chat: prompts.Chat | None, caps: Caps = Caps(), shortlist: int = 120, max_keep: int = 35, top_k: int = 40, mode: str = "auto", warn: Callable[[str], None] = lambda text: None, records: Records | None = None) -> select.Graph:
     """A curator's choice where there is one and its reply can be used; else, unless ``mode`` is llm, the keyword choice with a warning."""
     e = expand(works, cites, seed, caps)
-    nodes = stored(e.nodes.drop("cited_by_count").join(works, "id"), "records")
+    nodes = _records(e, works, records)
     more = enrich(nodes, e.edges, works, refs, seed)
     plain = lambda: select.filter_by_idea(more.nodes, more.edges, seed, idea, top_k)
     if mode == "bm25":
@@ -122,7 +132,7 @@ def page(g: select.Graph, seed, idea: str, top_k: int, title: str, curation: str
     """A page that draws the kept graph (capped, so collected) and holds its JSON."""
     placed = {r.id: r for r in contract.node_payload(
         g.nodes.withColumns({c: F.lit(None).cast(k) for c, k in (("why", "string"), ("cluster_id", "string"), ("importance", "int")) if c not in g.nodes.columns}),
-        seed, layout.by_year(g.nodes, seed), relate.relationships(g.nodes, g.edges.withColumns({"intents": F.array().cast("array<string>"), "is_influential": F.lit(False)}) if "intents" not in g.edges.columns else g.edges, seed),
+        seed, layout.by_year(g.nodes, seed, spread=False), relate.relationships(g.nodes, g.edges.withColumns({"intents": F.array().cast("array<string>"), "is_influential": F.lit(False)}) if "intents" not in g.edges.columns else g.edges, seed),
         g.nodes.limit(0).select("id", F.lit("").alias("intent"))).collect()}
     edges = contract.edge_payload(g.edges).collect()
     xs, ys = [r.x for r in placed.values()] or [0], [r.y for r in placed.values()] or [0]

@@ -7,7 +7,7 @@ from ..operators.prompts import MAX_BEATS
 from ..sources.substrate import SQL as SUBSTRATE
 
 ORACLE_SQL: dict[str, str] = {}
-FANOUT, TOTAL, TOP_K, PREFILTER = 3, 60, 12, 20
+FANOUT, TOTAL, TOP_K, PREFILTER = 100, 500, 40, 120
 IDEA = ["small", "red", "ring", "of", "the", "ancient", "widget"]
 TOKENS = "regexp_extract_all(lower({}), '[a-z0-9]+')"
 
@@ -27,24 +27,24 @@ def _case(column: str, table: dict, default: str) -> str:
 # The expansion
 
 
-def _candidates(name: str, parents: str) -> str:
+def _candidates(name: str, parents: str, fanout: int) -> str:
     return f"""{name} AS (
-  SELECT parent, id, side, cited, pord, CASE WHEN side = 0 AND n <= {FANOUT} THEN pos ELSE rk END AS place FROM (
+  SELECT parent, id, side, cited, pord, CASE WHEN side = 0 AND n <= {fanout} THEN pos ELSE rk END AS place FROM (
     SELECT *, row_number() OVER (PARTITION BY parent, side ORDER BY cited DESC, pos, id) AS rk, count(*) OVER (PARTITION BY parent, side) AS n FROM (
       SELECT p.id AS parent, p.ord AS pord, tgt AS id, 0 AS side, pos, cited_by_count AS cited FROM {parents} p JOIN cites ON src = p.id JOIN works w ON w.id = tgt
-      UNION ALL SELECT p.id, p.ord, src, 1, 0, cited_by_count FROM {parents} p JOIN cites ON tgt = p.id JOIN works w ON w.id = src)) WHERE rk <= {FANOUT}
+      UNION ALL SELECT p.id, p.ord, src, 1, 0, cited_by_count FROM {parents} p JOIN cites ON tgt = p.id JOIN works w ON w.id = src)) WHERE rk <= {fanout}
 )"""
 
 
-def _expansion(total: int = TOTAL) -> str:
+def _expansion(total: int = TOTAL, fanout: int = FANOUT) -> str:
     admit = lambda cand, known, hop: f"""
     SELECT id, {hop} AS hop, cited, (SELECT count(*) FROM {known}) + row_number() OVER (ORDER BY cited DESC, pord, side, place, id) - 1 AS ord FROM (
       SELECT *, row_number() OVER (PARTITION BY id ORDER BY pord, side, place, id) AS k FROM {cand} WHERE id NOT IN (SELECT id FROM {known})) WHERE k = 1"""
     return f"""
 n0 AS (SELECT id, 0 AS hop, cited_by_count AS cited, CAST(0 AS BIGINT) AS ord FROM works WHERE id = (SELECT seed_id FROM seed)),
-{_candidates("c1", "n0")},
+{_candidates("c1", "n0", fanout)},
 a1 AS ({admit("c1", "n0", 1)}), l1 AS (SELECT * FROM a1 WHERE ord < {total}), n1 AS (SELECT * FROM n0 UNION ALL SELECT * FROM l1),
-{_candidates("c2", "l1")},
+{_candidates("c2", "l1", fanout)},
 a2 AS ({admit("c2", "n1", 2)}), n2 AS (SELECT * FROM n1 UNION ALL SELECT * FROM a2 WHERE ord < {total}),
 met AS (SELECT 1 AS hop, * FROM c1 UNION ALL SELECT 2, * FROM c2),
 pairs AS (SELECT CASE WHEN side = 0 THEN parent ELSE id END AS source, CASE WHEN side = 0 THEN id ELSE parent END AS target, hop, pord, side, place, id FROM met WHERE id IN (SELECT id FROM (SELECT id FROM n1 WHERE met.hop = 1 UNION ALL SELECT id FROM n2 WHERE met.hop = 2))),
@@ -130,17 +130,20 @@ found AS (SELECT id, 'title' AS matched_by, 0 AS source, CAST(0 AS DOUBLE) AS sc
 once AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY source) AS n FROM found)""", select="""
 SELECT o.id, title, publication_year, cited_by_count, matched_by, CAST(row_number() OVER (ORDER BY source, score DESC, o.id) AS INTEGER) AS place FROM once o JOIN works w ON o.id = w.id WHERE n = 1""")
 ORACLE_SQL["lookup_by_ids"] = _with(SUBSTRATE, "asked AS (SELECT DISTINCT event_id * 3 AS id FROM events)", select="SELECT a.id, CASE WHEN w.id IS NULL THEN 'missing' ELSE 'found' END AS state FROM asked a LEFT JOIN works w ON a.id = w.id")
-ORACLE_SQL["lookup_by_doi"] = _with(SUBSTRATE, SPELLINGS, select="SELECT DISTINCT b.doi AS asked_doi, w.id + 10000000 AS id FROM bare b JOIN works w ON b.doi = '10.0/' || w.id")
+ORACLE_SQL["lookup_by_doi"] = _with(SUBSTRATE, SPELLINGS, select="SELECT DISTINCT b.doi AS asked_doi, w.id FROM bare b JOIN works w ON b.doi = '10.0/' || w.id")
 ORACLE_SQL["cache_merge"] = _with(SUBSTRATE, select="SELECT id, CASE WHEN publication_year >= 1998 THEN 'fetched' ELSE 'cache' END AS origin FROM works WHERE cited_by_count > 0 OR publication_year >= 1998")
 _TOP = "SELECT {a} AS {name}, w.id, w.cited_by_count, row_number() OVER (PARTITION BY {a} ORDER BY w.cited_by_count DESC, w.id) AS rank FROM cites JOIN works w ON w.id = {b} JOIN works k ON k.id = {a} QUALIFY rank <= {n}"
 ORACLE_SQL["citing_works_top_n"] = _with(SUBSTRATE, select=_TOP.format(a="tgt", b="src", name="cited_id", n=3))
 ORACLE_SQL["references_top_n"] = _with(SUBSTRATE, select=_TOP.format(a="src", b="tgt", name="citing_id", n=2))
+ORACLE_SQL["citing_works_sample"] = _with(SUBSTRATE, select="SELECT tgt AS cited_id, w.id FROM cites JOIN works w ON w.id = src JOIN works k ON k.id = tgt QUALIFY row_number() OVER (PARTITION BY tgt ORDER BY md5(w.id || ':11'), w.id) <= 2")
 
 # Expansion and enrichment
 
 ORACLE_SQL["expand_nodes"] = _with(SUBSTRATE, EXPANSION, select="SELECT id, hop, cited_by_count, ord FROM nodes")
 ORACLE_SQL["expand_edges"] = _with(SUBSTRATE, EXPANSION, select="SELECT source, target, ord FROM edges")
-ORACLE_SQL["expand_truncated"] = _with(SUBSTRATE, _expansion(10), select="SELECT (SELECT count(*) FROM a1 WHERE ord >= 10) + (SELECT count(*) FROM a2 WHERE ord >= 10) > 0 AS truncated")
+ORACLE_SQL["expand_nodes_tight"] = _with(SUBSTRATE, _expansion(60, 3), select="SELECT id, hop, cited_by_count, ord FROM nodes")
+ORACLE_SQL["expand_edges_tight"] = _with(SUBSTRATE, _expansion(60, 3), select="SELECT source, target, ord FROM edges")
+ORACLE_SQL["expand_truncated"] = _with(SUBSTRATE, _expansion(10, 3), select="SELECT (SELECT count(*) FROM a1 WHERE ord >= 10) + (SELECT count(*) FROM a2 WHERE ord >= 10) > 0 AS truncated")
 ORACLE_SQL["expand_hop_counts"] = _with(SUBSTRATE, EXPANSION, select="SELECT CAST(hop AS BIGINT) AS hop, count(*) AS n FROM nodes GROUP BY hop")
 # Every neighbour's DOI resolves to the work with its number, however it is spelt.
 ENRICHED = """
@@ -310,6 +313,7 @@ WITH RECURSIVE a AS (
   FROM (SELECT a.key, a.id, a.k, a.us, a.failed, list_filter(f.recent, lambda t: a.us - t <= 259200000000) AS still FROM fold f JOIN a ON a.key = f.key AND a.k = f.k + 1)
 )
 SELECT key, id, blocked FROM fold WHERE k > 0"""
+ORACLE_SQL["login_throttle_stream"] = ORACLE_SQL["login_throttle"]
 ORACLE_SQL["request_spacing"] = """
 SELECT id, round(gap, 6) AS gap_s, round(greatest(0.0, 3600 - gap), 6) AS wait_s FROM (
   SELECT event_id AS id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id)) / 1000000.0 AS gap FROM events)"""

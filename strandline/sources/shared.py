@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used where the session names no shared folder, as in tests on one machine.
+#: Used where the session names no shared folder and all runs on one machine, as in tests.
 LOCAL_SHARED = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_SHARED
+    """The folder that driver and executors share, as the session names it; a cluster has to name one."""
+    if told := spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None):
+        return told
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return LOCAL_SHARED
 
 
 #: What this process has put into the shared folder.
@@ -46,6 +52,26 @@ def discard(df: DataFrame) -> None:
         _made.remove(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete at the end what was put into the shared folder meanwhile, but for tables handed to the function that it gives.
+
+    A result that still has to be computed from such tables must be written inside.
+    """
+    before, kept = set(_made), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.stored_at)
+        return df
+
+    try:
+        yield keep
+    finally:
+        for path in [p for p in _made if p not in before and p not in kept]:
+            _delete(spark, path)
+            _made.remove(path)
+
+
 def release(spark: SparkSession) -> None:
     """Delete all that this process has put into the shared folder; results that were not written elsewhere can't be read after."""
     while _made:

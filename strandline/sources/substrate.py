@@ -24,15 +24,30 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.where("tgt is not null and tgt <> src").distinct().withColumn("pos", F.col("tgt"))
 
 
-def works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``id, title, abstract, publication_year, cited_by_count, authors, venue, doi``."""
+def ranks(spark: SparkSession, sf_dir: str, cites: DataFrame | None = None) -> DataFrame:
+    """``id, publication_year, cited_by_count, venue, doi``: what works have but for the texts of their lines and documents; far cheaper to make."""
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id")).distinct()
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", F.year("o_orderdate").alias("publication_year")).join(lines, "id", "left_semi")
+    cited = (citations(spark, sf_dir) if cites is None else cites).groupBy(F.col("tgt").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    customers = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("venue"))
+    out = orders.join(cited, "id", "left").join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
+    return out.select("id", "publication_year", F.coalesce("n", F.lit(0)).alias("cited_by_count"), "venue", F.concat(F.lit("https://doi.org/10.0/"), F.col("id").cast("string")).alias("doi"))
+
+
+def works(spark: SparkSession, sf_dir: str, cites: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+    """``id, title, abstract, publication_year, cited_by_count, authors, venue, doi``; of the ids in ``only`` where it is given."""
     lines, orders = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
+    cites = citations(spark, sf_dir) if cites is None else cites
+    if only is not None:  # before anything is grouped or joined
+        ids = only.select(F.col("id").alias("__id"))
+        lines = lines.join(ids, F.col("l_orderkey") == F.col("__id"), "left_semi")
+        cites = cites.join(ids, F.col("tgt") == F.col("__id"), "left_semi")
     named = lines.join(read(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")).join(read(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
     told = named.groupBy("l_orderkey").agg(
         F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "p_name"))).alias("parts"),
         F.array_sort(F.collect_set("s_name")).alias("authors"),
     )
-    cited = citations(spark, sf_dir).groupBy("tgt").agg(F.count(F.lit(1)).alias("n"))
+    cited = cites.groupBy("tgt").agg(F.count(F.lit(1)).alias("n"))
     customers = read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     texts = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("abstract"))
     out = told.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(cited, F.col("o_orderkey") == F.col("tgt"), "left")
@@ -49,7 +64,7 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def seed(all_works: DataFrame) -> int:
+def seed(all_works: DataFrame):
     """The most cited work; of several the smallest id."""
     return all_works.orderBy(F.desc("cited_by_count"), "id").first().id
 
