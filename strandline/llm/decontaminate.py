@@ -16,6 +16,7 @@ the passage by word shingles.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,11 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return (w[:cut], w[cut:]) if cut else (w, w)
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
 def stride_of(n: int) -> int:
     stride = STRIDE
     while stride < n:
@@ -126,13 +132,15 @@ class Index:
 
     def wand(self, c: _Class, terms: list[int]) -> list[tuple[int, float]]:
         """Every item of a class whose gains for the distinct ``terms`` reach 1, with its share of its own score."""
+        # Views give plain numbers, which suit steps of one posting at a time.
+        items, gains, cut, top, nos, mosts, cuts = (x.data for x in (c.item, c.gain, c.cut, c.best, c.block_no, c.block_max, c.block_cut))
         found = []
-        cursors = [[int(c.item[c.cut[t]]), c.cut[t], t] for t in terms if c.cut[t] < c.cut[t + 1]]
+        cursors = [[items[cut[t]], cut[t], t, top[t]] for t in terms if cut[t] < cut[t + 1]]
         while cursors:
             cursors.sort()
             bound, pivot = 0.0, None
-            for p, (_, _, t) in enumerate(cursors):
-                bound += c.best[t]
+            for p, x in enumerate(cursors):
+                bound += x[3]
                 if bound >= 1:
                     pivot = p
                     break
@@ -142,24 +150,25 @@ class Index:
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == d:
                 pivot += 1
             block, most = d // BLOCK, 0.0
-            for _, _, t in cursors[: pivot + 1]:
-                a, b = c.block_cut[t], c.block_cut[t + 1]
-                k = a + np.searchsorted(c.block_no[a:b], block)
-                most += c.block_max[k] if k < b and c.block_no[k] == block else 0.0
+            for x in cursors[: pivot + 1]:
+                end = cuts[x[2] + 1]
+                k = bisect_left(nos, block, cuts[x[2]], end)
+                if k < end and nos[k] == block:
+                    most += mosts[k]
             if most >= 1:
                 if cursors[0][0] == d:
-                    score = float(sum(c.gain[k] for _, k, _ in sorted(cursors[: pivot + 1], key=lambda x: x[2])))
+                    score = sum(gains[x[1]] for x in sorted(cursors[: pivot + 1], key=lambda x: x[2]))
                     if score >= 1:
-                        found.append((d, score * max(self.least[d], 1e-6)))
+                        found.append((d, score * max(float(self.least[d]), 1e-6)))
                     to = d + 1
                 else:
                     to = d
             else:  # no item of this block can do, until another list joins in
                 to = min((block + 1) * BLOCK, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else 1 << 60)
             for x in cursors[: pivot + 1]:
-                end = c.cut[x[2] + 1]
-                k = x[1] + int(np.searchsorted(c.item[x[1] : end], to))
-                x[0], x[1] = int(c.item[k]) if k < end else -1, k
+                end = cut[x[2] + 1]
+                x[1] = k = bisect_left(items, to, x[1], end)
+                x[0] = items[k] if k < end else -1
             cursors = [x for x in cursors if x[0] >= 0]
         return found
 
@@ -187,7 +196,7 @@ class Index:
         d = doc[known]
         block = first_block[d] + (known - start[d]) // c.stride
         wide = len(self.term)
-        keys = np.unique(block * wide + ids[known])
+        keys = _distinct(block * wide + ids[known])
         if not len(keys):
             return
         kb, kt = keys // wide, keys % wide
@@ -203,8 +212,9 @@ class Index:
         alone = inner | (n_blocks[owner] == 1)  # a last block's window lies in the one before
         cand = np.flatnonzero(alone & (bound >= 1 - 1e-9))
         lo, hi = np.searchsorted(kb, np.arange(total)), np.searchsorted(kb, np.arange(total), "right")
-        for k in range(0, len(cand), 256):
-            self._blocks(c, cand[k : k + 256], inner, lo, hi, kt, owner, first_block, start, ids, size, out)
+        per = max(1, (1 << 22) // c.blocks)
+        for k in range(0, len(cand), per):
+            self._blocks(c, cand[k : k + per], inner, lo, hi, kt, owner, first_block, start, ids, size, out)
 
     def _blocks(self, c, cand, inner, lo, hi, kt, owner, first_block, start, ids, size, out) -> None:
         """Bound each window by blocks of items, then search and verify those left."""
@@ -212,13 +222,12 @@ class Index:
         n = end - lo[cand]
         w = np.repeat(np.arange(len(cand)), n)
         t = kt[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[cand], n)]
-        pairs = np.unique(w * len(self.term) + t)
+        pairs = _distinct(w * len(self.term) + t)
         w, t = pairs // len(self.term), pairs % len(self.term)
         m = c.block_cut[t + 1] - c.block_cut[t]
         at = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(c.block_cut[t], m)
-        place, where = np.unique(np.repeat(w, m) * c.blocks + c.block_no[at], return_inverse=True)
-        bound = np.bincount(where, c.block_max[at], len(place))
-        left = np.unique(place[bound >= 1 - 1e-9] // c.blocks)
+        bound = np.bincount(np.repeat(w, m) * c.blocks + c.block_no[at], c.block_max[at], len(cand) * c.blocks)
+        left = np.flatnonzero((bound.reshape(-1, c.blocks) >= 1 - 1e-9).any(1))
         a, b = np.searchsorted(w, left), np.searchsorted(w, left, "right")
         for i, x, y in zip(left, a, b):
             got = self.wand(c, t[x:y].tolist())
