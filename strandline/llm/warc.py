@@ -8,6 +8,7 @@ whole ARC archives of ARC_BYTES at most (or one page), and is written by Spark.
 from __future__ import annotations
 
 import gzip
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -124,11 +125,29 @@ def _name(spark, path: str) -> None:
             fs.rename(status.getPath(), at.suffix(f"/{name.removesuffix('.txt')}.warc.gz"))
 
 
+def _members(data: memoryview, step: int = 1 << 16):
+    """The gzip members of a file, unpacked; read in steps, as what lies behind a member is copied with it."""
+    at = 0
+    while at < len(data):
+        if not data[at]:
+            at += 1
+            continue
+        z, out = zlib.decompressobj(31), []
+        while not z.eof:
+            if at >= len(data):
+                raise ValueError("a member has no end")
+            part = data[at : at + step]
+            out.append(z.decompress(part))
+            at += len(part)
+        at -= len(z.unused_data)
+        yield b"".join(out)
+
+
 def _records(batches):
     for b in batches:
         for data in b.column(0):
             rows = []
-            for fields, block in read_warc(gzip.decompress(data.as_buffer())):
+            for fields, block in (r for m in _members(memoryview(data.as_buffer())) for r in read_warc(m)):
                 if fields["warc-type"] not in ("response", "revisit"):
                     continue
                 head, payload = payload_of(block)
