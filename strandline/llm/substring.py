@@ -81,8 +81,8 @@ def runs(text: bytes) -> tuple[list[bytes], list[int], list[int]]:
 
 def _all_runs(batches):
     for b in batches:
-        ids, said, digests, first, after, again = [], [], [], [], [], []
-        for doc_id, hash_, text in zip(*(c.to_pylist() for c in b.columns)):
+        ids, copies, digests, first, after, again = [], [], [], [], [], []
+        for doc_id, copy, text in zip(*(c.to_pylist() for c in b.columns)):
             if text:
                 d, f, a = runs(text)
                 met = set()
@@ -91,29 +91,36 @@ def _all_runs(batches):
                 first += f
                 after += a
                 ids += [doc_id] * len(d)
-                said += [hash_] * len(d)
+                copies += [copy] * len(d)
         h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-        cols = [pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(ids, pa.int64()), pa.array(said, pa.int64()), pa.array(first, pa.int32()), pa.array(after, pa.int32()), pa.array(again, pa.bool_())]
-        yield pa.RecordBatch.from_arrays(cols, names=["h1", "h2", "doc_id", "said", "first", "after", "again"])
+        cols = [pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(ids, pa.int64()), pa.array(copies, pa.int64()), pa.array(first, pa.int32()), pa.array(after, pa.int32()), pa.array(again, pa.bool_())]
+        yield pa.RecordBatch.from_arrays(cols, names=["h1", "h2", "doc_id", "copy", "first", "after", "again"])
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """``doc_id, said, first, after``: sentence ranges of ``docs(doc_id, said, text)`` that repeat an earlier run; ``said`` is a hash of the text."""
-    own = docs.where("doc_id is not null")
-    found = own.select("doc_id", "said", F.col("text").cast("binary").alias("text"))
-    found = stored(found.mapInArrow(_all_runs, "h1 long, h2 long, doc_id long, said long, first int, after int, again boolean"), "runs")
+def _several(docs: DataFrame) -> DataFrame:
+    """``doc_id`` of those that stand for more than one text."""
+    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min("said").alias("a"), F.max("said").alias("b")).where("a <> b")
+    return stored(ids.select("doc_id"), "ids-with-texts")
+
+
+def repeated_spans(docs: DataFrame, several: DataFrame | None = None) -> DataFrame:
+    """``doc_id, copy, first, after``: sentence ranges of ``docs(doc_id, copy, text)`` that repeat an earlier run.
+
+    ``copy`` tells the texts of one doc_id apart; it is 0 but for the ids in ``several``.
+    """
+    found = docs.where("doc_id is not null").select("doc_id", "copy", F.col("text").cast("binary").alias("text"))
+    found = stored(found.mapInArrow(_all_runs, "h1 long, h2 long, doc_id long, copy long, first int, after int, again boolean"), "runs")
     # A run's first place in its own document is known at once, so the corpus only has to find the first document.
-    heads = found.where("not again").groupBy("h1", "h2").agg(F.min("doc_id").alias("head_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    once = found.where("not again").drop("again")
+    heads = once.groupBy("h1", "h2").agg(F.min("doc_id").alias("head_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
     heads = stored(heads.select("h1", "h2", "head_id"), "run-heads")  # so that the join below reads two exchanges and can split a hot run
-    met = found.join(heads, ["h1", "h2"], "left")
-    place = ["doc_id", "said", "first", "after"]
-    spans = met.where("again or doc_id <> head_id").select(place)
-    several = own.groupBy("doc_id").agg(F.min("said").alias("a"), F.max("said").alias("b")).where("a <> b")
-    several = stored(several.select("doc_id"), "ids-with-texts")
-    if not several.isEmpty():  # of the texts of one doc_id, that with the smallest hash comes first
-        same = met.where("not again and doc_id = head_id").join(several, "doc_id", "left_semi")
-        least = same.groupBy("h1", "h2", "doc_id").agg(F.min("said").alias("least"))
-        spans = spans.unionByName(same.join(least, ["h1", "h2", "doc_id"]).where("said > least").select(place))
+    met = once.join(heads, ["h1", "h2"])
+    place = ["doc_id", "copy", "first", "after"]
+    spans = met.where("doc_id <> head_id").select(place).unionByName(found.where("again").select(place))
+    if several is not None:  # of the texts of one doc_id, that with the smallest hash comes first
+        same = met.where("doc_id = head_id").join(several, "doc_id", "left_semi")
+        least = same.groupBy("h1", "h2", "doc_id").agg(F.min("copy").alias("least"))
+        spans = spans.unionByName(same.join(least, ["h1", "h2", "doc_id"]).where("copy > least").select(place))
     return spans
 
 
@@ -150,11 +157,16 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     n_removed are replaced.
     """
     rest = [f for f in docs.schema if f.name not in ("text", "n_sentences", "n_removed")]
-    keyed = docs.select(F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("said"), F.col("text").cast("string").alias("text"), *(F.col(f"`{f.name}`").alias(f"k{i}") for i, f in enumerate(rest)))
-    spans = repeated_spans(keyed.select("doc_id", "said", "text"))
+    keyed = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(f"`{f.name}`").alias(f"k{i}") for i, f in enumerate(rest)))
+    said, several = F.xxhash64("text"), _several(keyed.select("doc_id", F.xxhash64("text").alias("said")))
+    if several.isEmpty():
+        keyed, several = keyed.withColumn("copy", F.lit(0).cast("long")), None
+    else:
+        keyed = keyed.join(several.select(F.col("doc_id").alias("__of")), F.col("doc_id") == F.col("__of"), "left").withColumn("copy", F.when(F.col("__of").isNotNull(), said).otherwise(0)).drop("__of")
+    spans = repeated_spans(keyed.select("doc_id", "copy", "text"), several)
     # A set, as a repeated row repeats its spans: so it is no larger than its text.
-    spans = spans.groupBy("doc_id", "said").agg(F.collect_set(F.col("first").cast("long") * (1 << 32) + F.col("after")).alias("spans"))
-    both = keyed.join(spans, ["doc_id", "said"], "left").select(F.col("text").cast("binary").alias("text"), "spans", *(f"k{i}" for i in range(len(rest))))
+    spans = spans.groupBy("doc_id", "copy").agg(F.collect_set(F.col("first").cast("long") * (1 << 32) + F.col("after")).alias("spans"))
+    both = keyed.join(spans, ["doc_id", "copy"], "left").select(F.col("text").cast("binary").alias("text"), "spans", *(f"k{i}" for i in range(len(rest))))
     cut = both.mapInArrow(_cut, ", ".join([*(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(rest)), "t binary", "n int", "r int"]))
     at, text = {f.name: i for i, f in enumerate(rest)}, F.col("t").cast("string")
     out = []
