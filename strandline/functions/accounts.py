@@ -10,6 +10,18 @@ LONGEST_EMAIL, EMAIL = 254, r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 EARLIEST_S, LATEST_S = -60, 30 * 24 * 3600
 
 
+#: Account tables, as Spark reads and writes them.
+USERS = "id long not null, email string not null, password_hash string not null, created_at timestamp not null, last_login_at timestamp"
+INVITES = "id long not null, code_hash string not null, note string, created_at timestamp not null, expires_at timestamp, used_at timestamp, used_by long"
+
+
+def select(spark, text: str, *values, **tables):
+    """Rows of a SQL text with ``?`` for each of ``values``, which are never part of the text; ``tables`` are its views."""
+    for name, table in tables.items():
+        table.createOrReplaceTempView(name)
+    return spark.sql(text, args=list(values))
+
+
 def email(c: Column) -> Column:
     """Trimmed and lower-cased; null unless it looks like an address of a lawful length."""
     value = F.lower(F.trim(c))

@@ -14,6 +14,9 @@ OTHER_COLOUR, SEED_COLOUR, SEED_BORDER, BORDER = "#cbd5e1", "#f2a900", "#7c4a03"
 ROLE_COLOURS = {"ancestor": "#2a9d8f", "descendant": "#8ecae6", "contemporary": "#c8b6e2"}
 ROLE_LABELS = {"ancestor": "Where the idea came from", "descendant": "What it grew into", "contemporary": "Parallel work"}
 HOP_LABELS = {0: "Seed", 1: "1 hop away", 2: "2 hops away"}
+SEED_LABEL = "Seed paper"
+VIA, BECAUSE = ('Two hops from the seed via "', '": ', "; ", "."), ("Reached ", " hop(s) from the seed during traversal, but the connecting paper(s) didn't make the relevance cutoff, so the direct path isn't shown.")
+CITED_FOR, INFLUENTIAL = "cited for ", "flagged as an influential citation"
 SEED_TEXT = "This is the seed paper the whole tree is built from."
 BUILT_ON = "The seed paper cites this one directly - it's part of what the seed built on."
 GREW_OUT = "This paper cites the seed directly - it's part of what grew out of the seed."
@@ -64,8 +67,8 @@ def joined(items: Column) -> Column:
 def intent_clause(intents: Column, influential: Column) -> Column:
     """What a citation was for; empty where nothing was looked up."""
     words = F.transform(intents, lambda x: lookup(x, INTENT_WORDS, x))
-    cited = F.when(F.size(intents) > 0, F.concat(F.lit("cited for "), joined(words)))
-    flag = F.when(influential, "flagged as an influential citation")
+    cited = F.when(F.size(intents) > 0, F.concat(F.lit(CITED_FOR), joined(words)))
+    flag = F.when(influential, INFLUENTIAL)
     return F.array_join(F.array_compact(F.array(cited, flag)), "; ")
 
 
@@ -83,11 +86,12 @@ def edge_phrase(forward: Column, title_a: Column, title_b: Column) -> Column:
 
 
 def bridge_text(bridge: Column, leg1: Column, leg2: Column) -> Column:
-    return F.concat(F.lit('Two hops from the seed via "'), bridge, F.lit('": '), leg1, F.lit("; "), leg2, F.lit("."))
+    parts = [F.lit(x) for x in VIA]
+    return F.concat(parts[0], bridge, parts[1], leg1, parts[2], leg2, parts[3])
 
 
 def fallback_text(hop: Column) -> Column:
-    return F.concat(F.lit("Reached "), hop.cast("string"), F.lit(" hop(s) from the seed during traversal, but the connecting paper(s) didn't make the relevance cutoff, so the direct path isn't shown."))
+    return F.concat(F.lit(BECAUSE[0]), hop.cast("string"), F.lit(BECAUSE[1]))
 
 
 def node_size(cited: Column) -> Column:

@@ -81,6 +81,21 @@ def in_clusters(nodes: DataFrame, seed, seed_year: Column, spread: bool = True)
     return placed.select("id", "cluster_id", (F.col("cx") + (column - (F.col("columns") - 1) / 2) * SPACING).alias("x"), (F.col("cy") + (row - (F.col("rows") - 1) / 2) * SPACING).alias("y"))
 
 
+def members(nodes: DataFrame, seed, spread: bool = True) -> DataFrame:
+    """``cluster_id, id, place``: a cluster's works as a list shows them, from 1, oldest first, those without a year before all."""
+    own = nodes.where((F.col("id") != F.lit(seed)) & (F.col("cluster_id") != "")).select("cluster_id", "id", F.coalesce("publication_year", F.lit(0)).alias("year"))
+    return in_order(own, ["cluster_id"], [F.col("year"), F.col("id")], spread).select("cluster_id", "id", (F.col("nth") + 1).alias("place"))
+
+
+def legend(payload: DataFrame) -> DataFrame:
+    """``place, label, colour`` of what ``payload(role, ord)``, the drawn clusters in order, shows: the seed, then each role where it is first seen. Roles are few."""
+    roles = payload.groupBy("role").agg(F.min("ord").alias("ord"))
+    place = F.row_number().over(Window.orderBy("ord", "role"))  # a row for each of three roles
+    rows = roles.select(place.alias("place"), W.role_label(F.col("role")).alias("label"), W.role_colour(F.col("role")).alias("colour"))
+    seed = roles.sparkSession.range(1).select(F.lit(0).alias("place"), F.lit(W.SEED_LABEL).alias("label"), F.lit(W.SEED_COLOUR).alias("colour"))
+    return seed.unionByName(rows)
+
+
 def positions(nodes: DataFrame, seed, spread: bool = True) -> DataFrame:
     """``id, x, y``: by cluster where there is one, else by year."""
     year = nodes.where(F.col("id") == F.lit(seed)).select("publication_year").first()
@@ -89,7 +104,7 @@ def positions(nodes: DataFrame, seed, spread: bool = True) -> DataFrame:
 
 
 def cluster_payload(clusters: DataFrame, nodes: DataFrame, seed, seed_year: Column, spread: bool = True) -> DataFrame:
-    """A drawn super-node for each of ``clusters(id, name, role, summary)`` with members."""
+    """A drawn super-node for each of ``clusters(id, name, role, summary, ord)`` with members."""
     c = cluster_centres(cluster_stats(nodes, seed), seed_year, spread).withColumnRenamed("x", "cx").withColumnRenamed("y", "cy")
     label = F.concat("name", F.lit("\n("), F.col("n").cast("string"), F.lit(" papers)"))
-    return clusters.join(c, clusters.id == c.cluster_id).select(F.concat(F.lit("cluster:"), "cluster_id").alias("id"), "cluster_id", label.alias("label"), "name", "summary", "role", W.role_label(F.col("role")).alias("role_label"), F.col("n").alias("count"), "span", F.col("cx").alias("x"), F.col("cy").alias("y"), W.role_colour(F.col("role")).alias("background"), W.cluster_size(F.col("n")).alias("size"))
+    return clusters.join(c, clusters.id == c.cluster_id).select(F.concat(F.lit("cluster:"), "cluster_id").alias("id"), "cluster_id", label.alias("label"), "name", "summary", "role", W.role_label(F.col("role")).alias("role_label"), F.col("n").alias("count"), "span", F.col("cx").alias("x"), F.col("cy").alias("y"), W.role_colour(F.col("role")).alias("background"), W.cluster_size(F.col("n")).alias("size"), "ord")

@@ -38,6 +38,13 @@ def json_object(reply: str) -> dict:
     raise ReplyError(f"no JSON object in the reply: {reply[:300]}")
 
 
+def cited_urls(message: dict) -> list[str]:
+    """The addresses that a model's reply cites in its annotations, in order, each once."""
+    notes = (note.get("url_citation") for note in message.get("annotations") or [] if isinstance(note, dict))
+    urls = (note.get("url") for note in notes if isinstance(note, dict))
+    return list(dict.fromkeys(url for url in urls if isinstance(url, str)))
+
+
 def descriptions(nodes: DataFrame) -> DataFrame:
     """``id, description``: a paper as a prompt shows it."""
     return nodes.select("id", W.description(F.col("title"), F.col("authors"), F.col("publication_year"), F.col("cited_by_count"), F.col("abstract")).alias("description"))
@@ -52,16 +59,16 @@ def candidate_lines(candidates: DataFrame) -> DataFrame:
 
 def curation_messages(seed_text: str, idea: str, lines: list[str], max_keep: int) -> list[dict]:
     system = (
-        "You choose which papers tell the story of an idea around a seed paper. Each candidate is numbered and marked ancestor, descendant, mixed or unrelated, some with what the citation was for. "
-        f"Keep between {max(5, max_keep // 3)} and {max_keep}. Answer with a JSON object: clusters (id, name, role: ancestor, descendant or contemporary, summary), keep (i, cluster, importance 1 to 5, why), dropped_summary."
+        "Pick the papers that show how an idea grew around one paper. Every candidate has a number and a side (ancestor, descendant, mixed, unrelated), some the purpose of a citation. "
+        f"Reply with one JSON object. clusters: id, name, role (ancestor, descendant or contemporary), summary. keep: i (the number), cluster, importance from 1 to 5, why; {max(5, max_keep // 3)} to {max_keep} of them. dropped_summary: what the others are about."
     )
-    user = "\n".join([f"SEED PAPER: {seed_text}", "", f"IDEA: {idea}", "", f"CANDIDATES ({len(lines)}):", *lines])
+    user = f"The idea to follow: {idea}\n\nThe paper it is followed around:\n{seed_text}\n\n{len(lines)} candidates:\n" + "\n".join(lines)
     return [{"role": "system", "content": system}, {"role": "user", "content": user}]
 
 
 def narrative_messages(seed_title: str, idea: str, clusters: list[str], papers: list[str]) -> list[dict]:
     system = f"You write how an idea came about, from the papers given and nothing else. Answer with a JSON object: headline, overview, beats (title, text, papers: their numbers), {MAX_BEATS} beats at most."
-    user = "\n".join([f"SEED PAPER: {seed_title}", "", f"IDEA: {idea}", "", "CLUSTERS:", *(clusters or ["(none)"]), "", f"PAPERS ({len(papers)}):", *papers])
+    user = f"The idea: {idea}\nIt is followed around: {seed_title}\n\nGroups:\n" + "\n".join(clusters or ["- none"]) + f"\n\n{len(papers)} papers:\n" + "\n".join(papers)
     return [{"role": "system", "content": system}, {"role": "user", "content": user}]
 
 

@@ -17,11 +17,14 @@ REPLY = "struct<clusters:array<struct<id:string,name:string,role:string,summary:
 
 @dataclass(frozen=True)
 class Graph:
-    """``nodes`` with score, rank and annotations, ``edges`` between them, ``clusters`` in order."""
+    """``nodes`` with score, rank and annotations, ``edges`` between them, ``clusters`` in order; how they were chosen, and the story told of them."""
 
     nodes: DataFrame
     edges: DataFrame
     clusters: DataFrame | None = None
+    curation: str = "bm25"
+    notes: str = ""
+    story: dict | None = None
 
 
 def scored(nodes: DataFrame, idea: str) -> DataFrame:
@@ -88,4 +91,4 @@ def curated(nodes: DataFrame, edges: DataFrame, candidates: DataFrame, reply: Da
     all_nodes = first.select(columns).unionByName(kept.select(columns))
     used = all_nodes.select(F.col("cluster_id").alias("id")).where("id is not null").distinct()
     spare = used.where(F.col("id") == OTHER).join(clusters.select("id"), "id", "left_anti").select("id", F.lit(OTHER_NAME).alias("name"), F.lit("contemporary").alias("role"), F.lit("").alias("summary"), F.lit(1 << 30).alias("ord"))
-    return Graph(all_nodes, induced(edges, all_nodes), clusters.join(used, "id", "left_semi").unionByName(spare))
+    return Graph(all_nodes, induced(edges, all_nodes), clusters.join(used, "id", "left_semi").unionByName(spare), "llm")

@@ -9,14 +9,14 @@ from __future__ import annotations
 import json
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import accounts, ids, text, wording
 from ..operators import contract, direction, enrich, layout, lookup, prompts, relate, select, throttle
 from ..operators.expand import Caps, Expansion, expand
 from ..sources import records, substrate
-from ..sources.shared import stored
+from ..sources.shared import new_path, stored
 from ..sources.substrate import read
 from .oracle import ORACLE_SQL
 
@@ -158,16 +158,27 @@ def parse_source_record(spark, sf_dir):
     return got.select("id", "title", "publication_year", "cited_by_count", F.array_join("authors", "|").alias("authors"), "venue", "doi", F.array_join("referenced_works", "|").alias("referenced_works"), F.col("external_ids")["doi"].alias("ext_doi"), F.col("external_ids")["arxiv"].alias("ext_arxiv"))
 
 
-@query
-def parse_neighbour_record(spark, sf_dir):
-    s = Setting(spark, sf_dir)
+def _paper() -> Column:
     key = F.col("id").cast("string")
-    paper = F.struct(
+    return F.struct(
         F.when(F.col("id") % 5 != 0, key).otherwise("").alias("paperId"),
         F.create_map(F.lit("DOI"), F.concat(F.lit("10.0/Q"), key), F.lit("ArXiv"), F.when(F.col("id") % 3 == 0, key)).alias("externalIds"),
         F.when(F.col("id") % 4 != 0, F.col("title")).alias("title"), F.col("publication_year").alias("year"), F.col("venue"), F.col("cited_by_count").alias("citationCount"),
         F.transform("authors", lambda a: F.struct(a.alias("name"))).alias("authors"),
     )
+
+
+@query
+def parse_paper_record(spark, sf_dir):
+    s = Setting(spark, sf_dir)
+    got = records.papers_from_json(s.works.select(F.to_json(_paper()).alias("raw")), "raw")
+    return got.select("id", "title", "publication_year", "cited_by_count", F.array_join("authors", "|").alias("authors"), "venue", "doi", F.col("external_ids")["arxiv"].alias("ext_arxiv"))
+
+
+@query
+def parse_neighbour_record(spark, sf_dir):
+    s = Setting(spark, sf_dir)
+    paper = _paper()
     item = F.struct(F.array(F.lit("background"), F.lit(" ")).alias("intents"), (F.col("id") % 2 == 0).alias("isInfluential"), paper.alias("citedPaper"))
     got = records.neighbours_from_json(s.works.select(F.to_json(F.struct(F.array(item).alias("data"))).alias("raw")), "raw", "citedPaper")
     return got.select("id", "title", "publication_year", "cited_by_count", F.array_join("authors", "|").alias("authors"), "venue", "doi", F.col("external_ids")["arxiv"].alias("ext_arxiv"), F.array_join("intents", "|").alias("intents"), "is_influential")
@@ -445,6 +456,33 @@ def cluster_layout(spark, sf_dir):
     return layout.in_clusters(s.clustered, s.seed, F.lit(year)).select("id", "cluster_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
+#: Clusters of the drawn graph, in the order of a curator's reply; the last one has no members.
+DRAWN = [("MACHINERY", "descendant"), ("AUTOMOBILE", "ancestor"), ("BUILDING", "ancestor"), ("FURNITURE", "contemporary"), ("HOUSEHOLD", "descendant"), ("NONE", "contemporary")]
+
+
+def _super_nodes(s: Setting) -> DataFrame:
+    clusters = s.spark.createDataFrame([(name, name.capitalize(), role, f"about {name}", k) for k, (name, role) in enumerate(DRAWN)], "id string, name string, role string, summary string, ord int")
+    year = s.nodes.where(F.col("id") == F.lit(s.seed)).first().publication_year
+    return layout.cluster_payload(clusters, s.clustered, s.seed, F.lit(year))
+
+
+@query
+def cluster_payload(spark, sf_dir):
+    p = _super_nodes(Setting(spark, sf_dir))
+    return p.select("id", "label", "summary", "role_label", "count", "span", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "background", F.round("size", 6).alias("size"))
+
+
+@query
+def legend_roles(spark, sf_dir):
+    return layout.legend(_super_nodes(Setting(spark, sf_dir))).select(F.col("place").cast("long").alias("place"), "label", "colour")
+
+
+@query
+def members_by_year(spark, sf_dir):
+    s = Setting(spark, sf_dir)
+    return layout.members(s.ranks.withColumn("cluster_id", F.col("venue")), s.seed).select("cluster_id", "id", F.col("place").cast("long").alias("place"))
+
+
 @query
 def contract_edges(spark, sf_dir):
     s = Setting(spark, sf_dir)
@@ -497,8 +535,6 @@ def login_throttle(spark, sf_dir):
 def login_throttle_stream(spark, sf_dir):
     """The same rule over the events table read as a stream, run until it has no more."""
     from ..streaming import login
-    from ..sources.shared import new_path
-
     # A file stream reads folders; a one-file table is found in its own by name.
     many = spark.read.parquet(f"{sf_dir}/events.parquet")
     stream = spark.readStream.schema(many.schema).option("pathGlobFilter", "*.parquet").parquet(_folder_of(spark, sf_dir, many))
@@ -511,8 +547,6 @@ def login_throttle_stream(spark, sf_dir):
 
 
 def _folder_of(spark, sf_dir, events) -> str:
-    from ..sources.shared import new_path
-
     folder = new_path(spark, "events")
     events.write.parquet(folder)
     return folder
@@ -524,20 +558,46 @@ def request_spacing(spark, sf_dir):
     return throttle.spacing(e, 3600.0).select("id", F.round("gap_s", 6).alias("gap_s"), F.round("wait_s", 6).alias("wait_s"))
 
 
+def _read_back(spark, json_row: DataFrame) -> dict[str, DataFrame]:
+    """A graph's JSON document written to a file and read again."""
+    from .lineage import write_text
+
+    path = new_path(spark, "graph") + ".json"
+    write_text(spark, path, json_row.first().json)
+    return records.read_graph(spark, path)
+
+
 @query
 def filtered_graph_json(spark, sf_dir):
+    """The kept graph as a JSON file, read back."""
     from .lineage import graph_json
 
     s = Setting(spark, sf_dir)
     g = select.filter_by_idea(s.nodes, s.edges, s.seed, IDEA, TOP_K)
-    return graph_json(g, s.seed, IDEA, TOP_K)
+    got = _read_back(spark, graph_json(g, s.seed, IDEA, TOP_K))
+    meta = got["meta"].select("seed_id", "idea_text", F.col("top_k").cast("long").alias("top_k"), "curation")
+    return got["nodes"].select("id", "title", "hop", "bm25_score", "ord").crossJoin(meta)  # one row
+
+
+@query
+def expansion_json(spark, sf_dir):
+    """The expansion as a JSON file, read back: its edges, with the nodes at their ends."""
+    from . import lineage
+
+    s = Setting(spark, sf_dir)
+    got = _read_back(spark, lineage.expansion_json(s.nodes, s.edges, s.seed, False))
+    n = got["nodes"].select("id", "hop", "cited_by_count")
+    ends = [n.select(*(F.col(c).alias(f"{side}_{c}") for c in n.columns)) for side in ("source", "target")]
+    out = got["edges"].select("source", "target", "ord").join(ends[0], F.col("source") == F.col("source_id")).join(ends[1], F.col("target") == F.col("target_id"))
+    return out.select("source", "target", "ord", "source_hop", "target_hop", "source_cited_by_count", "target_cited_by_count")
 
 
 @query
 def run_summary(spark, sf_dir):
+    from . import lineage
+
     s = Setting(spark, sf_dir)
-    g = _curated(s)
-    return g.nodes.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(g.edges.agg(F.count(F.lit(1)).alias("edges"))).crossJoin(g.clusters.agg(F.count(F.lit(1)).alias("clusters")))
+    return lineage.run_summary(s.expansion, _curated(s), s.enriched.report, s.seed)
 
 
 @query

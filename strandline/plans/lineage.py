@@ -5,14 +5,16 @@ from __future__ import annotations
 import html
 import json
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import wording as W
-from ..operators import contract, direction, layout, prompts, relate, select
+from ..operators import contract, direction, layout, lookup, prompts, relate, select
 from ..operators.enrich import enrich
 from ..operators.expand import Caps, Expansion, expand
+from ..sources import cache as works_cache
 from ..sources.host import SourceError
 from ..sources.shared import stored
 
@@ -21,16 +23,29 @@ from ..sources.shared import stored
 Records = Callable[[DataFrame], DataFrame]
 
 
-def _records(e: Expansion, works: DataFrame, records: Records | None) -> DataFrame:
-    """The nodes of an expansion as full works; capped, so written down once."""
-    full = works if records is None else records(e.nodes)
-    return stored(e.nodes.select("id", "hop", "ord").join(full, "id"), "records")
+def _records(e: Expansion, works: DataFrame, records: Records | None, seed=None, cache: str | None = None) -> DataFrame:
+    """The nodes of an expansion as full works; capped, so written down once.
 
+    With ``cache``, a folder, works that an earlier run of this seed has put
+    there are not made again, and new ones are added to it.
+    """
+    ids = e.nodes.select("id")
+    make = records or (lambda asked: works.join(asked, "id", "left_semi"))
+    if cache is None:
+        return stored(e.nodes.select("id", "hop", "ord").join(make(ids), "id"), "records")
+    blank = make(ids)
+    held = works_cache.read(works.sparkSession, cache, str(seed), blank.schema)
+    new = stored(make(lookup.missing(held, ids)), "fetched")
+    full = lookup.cached_or_fetched(held.join(ids, "id", "left_semi"), new)
+    out = stored(e.nodes.select("id", "hop", "ord").join(full, "id"), "records")
+    works_cache.save(new, cache, str(seed))
+    return out
 
-def keyword_lineage(works: DataFrame, cites: DataFrame, refs: DataFrame, seed, idea: str, caps: Caps = Caps(), top_k: int = 40, records: Records | None = None) -> DataFrame:
+
+def keyword_lineage(works: DataFrame, cites: DataFrame, refs: DataFrame, seed, idea: str, caps: Caps = Caps(), top_k: int = 40, records: Records | None = None, cache: str | None = None) -> DataFrame:
     """The kept works of a keyword run, with score, rank, relationship and place. With ``records``, ``works`` needs id, cited_by_count and doi only."""
     e = expand(works, cites, seed, caps)
-    nodes = _records(e, works, records)
+    nodes = _records(e, works, records, seed, cache)
     more = enrich(nodes, e.edges, works, refs, seed)
     g = select.filter_by_idea(stored(more.nodes, "nodes"), more.edges, seed, idea, top_k)
     g = select.Graph(stored(g.nodes, "kept"), stored(g.edges, "kept-edges"))
@@ -41,10 +56,13 @@ def keyword_lineage(works: DataFrame, cites: DataFrame, refs: DataFrame, seed, i
     return kept.select("id", "title", "publication_year", "cited_by_count", F.col("hop").cast("long").alias("hop"), "score", F.col("rank").cast("long").alias("rank"), "relationship", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-def curated_lineage(works: DataFrame, cites: DataFrame, refs: DataFrame, seed, idea: str, chat: prompts.Chat | None, caps: Caps = Caps(), shortlist: int = 120, max_keep: int = 35, top_k: int = 40, mode: str = "auto", warn: Callable[[str], None] = lambda text: None, records: Records | None = None) -> select.Graph:
-    """A curator's choice where there is one and its reply can be used; else, unless ``mode`` is llm, the keyword choice with a warning."""
+def curated_lineage(works: DataFrame, cites: DataFrame, refs: DataFrame, seed, idea: str, chat: prompts.Chat | None, caps: Caps = Caps(), shortlist: int = 120, max_keep: int = 35, top_k: int = 40, mode: str = "auto", warn: Callable[[str], None] = lambda text: None, records: Records | None = None, tell: bool = True, cache: str | None = None) -> select.Graph:
+    """A curator's choice where there is one and its reply can be used; else, unless ``mode`` is llm, the keyword choice with a warning.
+
+    With ``tell`` the model is then asked for the story of what it chose; where that fails, the graph comes without one, with a warning.
+    """
     e = expand(works, cites, seed, caps)
-    nodes = _records(e, works, records)
+    nodes = _records(e, works, records, seed, cache)
     more = enrich(nodes, e.edges, works, refs, seed)
     plain = lambda: select.filter_by_idea(more.nodes, more.edges, seed, idea, top_k)
     if mode == "bm25":
@@ -63,19 +81,25 @@ def curated_lineage(works: DataFrame, cites: DataFrame, refs: DataFrame, seed, i
         g = select.curated(more.nodes, more.edges, found, works.sparkSession.createDataFrame([(json.dumps(reply),)], "reply string"), seed, max_keep)
         if g.nodes.where(F.col("id") != F.lit(seed)).isEmpty():
             raise prompts.ReplyError("the reply keeps no candidate")
-        return g
     except (prompts.ReplyError, SourceError) as problem:
         if mode == "llm":
             raise
         warn(f"{problem}: kept by keywords")
         return plain()
+    g = replace(g, nodes=stored(g.nodes, "kept"), edges=stored(g.edges, "kept-edges"), notes=str(reply.get("dropped_summary") or "").strip())
+    if tell:
+        try:
+            g = replace(g, story=narrative(g, seed, idea, chat))
+        except (prompts.ReplyError, SourceError) as problem:
+            warn(f"{problem}: no story is told")
+    return g
 
 
 def narrative(g: select.Graph, seed, idea: str, chat: prompts.Chat) -> dict:
     """Headline, overview and beats that cite kept works by id."""
     clusters = g.clusters if g.clusters is not None else g.nodes.limit(0).select(F.lit("").alias("id"), F.lit("").alias("name"), F.lit("").alias("role"), F.lit("").alias("summary"), F.lit(0).alias("ord"))
     nodes = g.nodes if "why" in g.nodes.columns else g.nodes.withColumns({"why": F.lit(""), "cluster_id": F.lit(None).cast("string")})
-    numbered = prompts.paper_lines(nodes, clusters, seed).persist()
+    numbered = stored(prompts.paper_lines(nodes, clusters, seed), "numbered")
     papers = [r.line for r in numbered.orderBy("index").collect()]  # kept works
     groups = [f"- {r['name']} ({r['role']}): {r['summary']}" for r in clusters.orderBy("ord").collect()]
     title = nodes.where(F.col("id") == F.lit(seed)).first()
@@ -100,7 +124,7 @@ def identify_seed(spark, description: str, chat: prompts.Chat) -> DataFrame:
     return guess
 
 
-def graph_json(g: select.Graph, seed, idea: str, top_k: int, curation: str = "bm25", notes: str = "") -> DataFrame:
+def graph_json(g: select.Graph, seed, idea: str, top_k: int) -> DataFrame:
     """One row with the graph as a JSON document that can stand in a script element. A kept graph is capped, so it fits a row."""
     keep = [c for c in ("id", "title", "abstract", "authors", "venue", "publication_year", "cited_by_count", "doi", "hop", "score", "cluster_id", "importance", "why") if c in g.nodes.columns]
     node = F.struct("rank", *[F.col(c).cast("string").alias(c) if c == "id" else F.col(c).alias("bm25_score" if c == "score" else c) for c in keep])
@@ -110,10 +134,35 @@ def graph_json(g: select.Graph, seed, idea: str, top_k: int, curation: str = "bm
     both = nodes.crossJoin(edges)  # one row each
     if g.clusters is not None:
         both = both.crossJoin(g.clusters.agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "id", "name", "role", "summary"))), lambda c: c.dropFields("ord")).alias("clusters")))
-    meta = [F.lit(str(seed)).alias("seed_id"), F.lit(idea).alias("idea_text"), F.lit(top_k).alias("top_k"), F.lit(curation).alias("curation"), F.lit(notes).alias("curation_notes")]
+    meta = [F.lit(str(seed)).alias("seed_id"), F.lit(idea).alias("idea_text"), F.lit(top_k).alias("top_k"), F.lit(g.curation).alias("curation"), F.lit(g.notes).alias("curation_notes")]
+    if g.story is not None:
+        meta.append(F.from_json(F.lit(json.dumps(g.story)), STORY).alias("narrative"))
     return both.select(W.script_safe(F.to_json(F.struct(*meta, *both.columns))).alias("json"))
 
 
+STORY = "struct<headline:string,overview:string,beats:array<struct<title:string,text:string,node_ids:array<string>>>,model:string>"
+
+
+def expansion_json(nodes: DataFrame, edges: DataFrame, seed, truncated: bool) -> DataFrame:
+    """One row with an expansion (capped, so it fits) as the JSON document that ``records.read_graph`` reads."""
+    fields = [c for c in ("title", "publication_year", "cited_by_count", "authors", "venue", "abstract", "hop", "doi", "source") if c in nodes.columns]
+    node = F.struct("ord", F.col("id").cast("string").alias("id"), *fields)
+    edge = F.struct("ord", F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target"), *(c for c in ("intents", "is_influential") if c in edges.columns))
+    listed = lambda of, x, name: of.agg(F.transform(F.array_sort(F.collect_list(x)), lambda r: r.dropFields("ord")).alias(name))
+    both = listed(nodes, node, "nodes").crossJoin(listed(edges, edge, "edges"))  # one row each
+    return both.select(F.to_json(F.struct(F.lit(str(seed)).alias("seed_id"), F.lit(truncated).alias("truncated"), "nodes", "edges")).alias("json"))
+
+
+def run_summary(e: Expansion, g: select.Graph, report: DataFrame, seed) -> DataFrame:
+    """One row of what a run came to: the seed, how much was met, kept and labelled, how it was chosen."""
+    own = g.nodes.where(F.col("id") == F.lit(seed)).select(F.col("id").cast("string").alias("seed_id"), F.col("title").alias("seed_title"), F.col("publication_year").alias("seed_year"))
+    count = lambda of, name: of.agg(F.count(F.lit(1)).alias(name))
+    clusters = count(g.clusters, "clusters") if g.clusters is not None else own.sparkSession.range(1).select(F.lit(0).cast("long").alias("clusters"))
+    one = own.crossJoin(count(e.nodes, "expanded")).crossJoin(count(g.nodes, "kept")).crossJoin(count(g.edges, "edges")).crossJoin(clusters)  # one row each
+    one = one.crossJoin(e.refused).crossJoin(report.select(F.col("edges_annotated").alias("intents_labelled")))
+    return one.withColumns({"curation": F.lit(g.curation), "headline": F.lit((g.story or {}).get("headline", "")), "beats": F.lit(len((g.story or {}).get("beats", [])))})
+
+
 def write_text(spark, path: str, text: str) -> None:
     """One text file at ``path``, through Hadoop's file system, so that any store Spark writes to will do."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -123,23 +172,50 @@ def write_text(spark, path: str, text: str) -> None:
 
 
 PAGE = """<!doctype html><meta charset="utf-8"><title>{title}</title>
-<style>body{{font:14px sans-serif;margin:1em}}svg{{width:100%;height:80vh;border:1px solid #ccc}}line{{stroke:#94a3b8}}</style>
-<h1>{title}</h1><p>{stats}</p><p>{legend}</p><svg viewBox="{box}">{lines}{dots}</svg>
+<style>body{{font:14px sans-serif;margin:1em}}svg{{width:100%;height:80vh;border:1px solid #ccc}}line{{stroke:#94a3b8}}section{{max-width:60em}}</style>
+<h1>{title}</h1><p>{stats}</p><p>{legend}</p>{story}<svg viewBox="{box}">{groups}{lines}{dots}</svg>
 <script type="application/json" id="graph">{data}</script>"""
 
 
-def page(g: select.Graph, seed, idea: str, top_k: int, title: str, curation: str = "bm25") -> str:
-    """A page that draws the kept graph (capped, so collected) and holds its JSON."""
-    placed = {r.id: r for r in contract.node_payload(
-        g.nodes.withColumns({c: F.lit(None).cast(k) for c, k in (("why", "string"), ("cluster_id", "string"), ("importance", "int")) if c not in g.nodes.columns}),
-        seed, layout.by_year(g.nodes, seed, spread=False), relate.relationships(g.nodes, g.edges.withColumns({"intents": F.array().cast("array<string>"), "is_influential": F.lit(False)}) if "intents" not in g.edges.columns else g.edges, seed),
-        g.nodes.limit(0).select("id", F.lit("").alias("intent"))).collect()}
+def stats_line(nodes: int, edges: int, clusters: int, curation: str, top_k: int) -> str:
+    """What a page shows and how it was chosen."""
+    across = f" across {clusters} concept clusters" if clusters else ""
+    chosen = f"selected as the lineage of the stated idea{across}" if curation == "llm" else f"top-{top_k} by keyword relevance to the stated idea"
+    return f"{nodes} papers shown · {edges} citation edges · {chosen}"
+
+
+def _story(story: dict | None, titles: dict[str, str]) -> str:
+    if not story:
+        return ""
+    out = [f"<h2>{html.escape(story['headline'])}</h2>", *(f"<p>{html.escape(p.strip())}</p>" for p in story["overview"].split("\n\n") if p.strip())]
+    for beat in story["beats"]:
+        cited = "; ".join(titles[i] for i in beat["node_ids"] if i in titles)
+        out.append(f"<h3>{html.escape(beat['title'])}</h3><p>{html.escape(beat['text'])}</p>" + (f"<p><small>{html.escape(cited)}</small></p>" if cited else ""))
+    return "<section>" + "".join(out) + "</section>"
+
+
+def page(g: select.Graph, seed, idea: str, top_k: int, title: str) -> str:
+    """A page that draws the kept graph (capped, so collected), by clusters where it has some, tells its story and holds its JSON."""
+    lacking = {"why": "string", "cluster_id": "string", "importance": "int"}
+    nodes = stored(g.nodes.withColumns({c: F.lit(None).cast(k) for c, k in lacking.items() if c not in g.nodes.columns}), "drawn")
+    labelled = g.edges if "intents" in g.edges.columns else g.edges.withColumns({"intents": F.array().cast("array<string>"), "is_influential": F.lit(False)})
+    intents = direction.seed_edge_intents(labelled, seed)
+    where = layout.positions(nodes, seed, spread=False) if g.clusters is not None else layout.by_year(nodes, seed, spread=False)
+    drawn = {r.id: r for r in contract.node_payload(nodes, seed, where, relate.relationships(nodes, labelled, seed), intents).collect()}
+    groups, legend = [], [(W.HOP_LABELS[h], c) for h, c in W.HOP_COLOURS.items()]
+    if g.clusters is not None:
+        year = drawn[seed].publication_year if seed in drawn else None
+        payload = stored(layout.cluster_payload(g.clusters, nodes, seed, F.lit(year).cast("int"), spread=False), "super-nodes")
+        groups = payload.orderBy("ord").collect()
+        legend = [(r.label, r.colour) for r in layout.legend(payload).orderBy("place").collect()] if groups else legend
     edges = contract.edge_payload(g.edges).collect()
-    xs, ys = [r.x for r in placed.values()] or [0], [r.y for r in placed.values()] or [0]
-    box = f"{min(xs) - 80:.0f} {min(ys) - 80:.0f} {max(xs) - min(xs) + 160:.0f} {max(ys) - min(ys) + 160:.0f}"
-    lines = "".join(f'<line x1="{placed[a].x:.1f}" y1="{placed[a].y:.1f}" x2="{placed[b].x:.1f}" y2="{placed[b].y:.1f}"/>' for a, b in edges if a in placed and b in placed)
-    dots = "".join(f'<g><circle cx="{r.x:.1f}" cy="{r.y:.1f}" r="{r.size / 2:.1f}" fill="{r.background}" stroke="{r.border}"/><title>{html.escape(f"{r.title}: {r.relationship}")}</title></g>' for r in placed.values())
-    chosen = "selected as the lineage of the stated idea" if curation == "llm" else f"top-{top_k} by keyword relevance to the stated idea"
-    stats = f"{len(placed)} papers shown · {len(edges)} citation edges · {chosen}"
-    legend = " · ".join(f'<span style="color:{c}">{W.HOP_LABELS[h]}</span>' for h, c in W.HOP_COLOURS.items())
-    return PAGE.format(title=html.escape(title), stats=html.escape(stats), legend=legend, box=box, lines=lines, dots=dots, data=graph_json(g, seed, idea, top_k, curation).first().json)
+    points = [(r.x, r.y) for r in [*drawn.values(), *groups]] or [(0, 0)]
+    (x0, y0), (x1, y1) = (tuple(f(p[k] for p in points) for k in (0, 1)) for f in (min, max))
+    box = f"{x0 - 80:.0f} {y0 - 80:.0f} {x1 - x0 + 160:.0f} {y1 - y0 + 160:.0f}"
+    lines = "".join(f'<line x1="{drawn[a].x:.1f}" y1="{drawn[a].y:.1f}" x2="{drawn[b].x:.1f}" y2="{drawn[b].y:.1f}"/>' for a, b in edges if a in drawn and b in drawn)
+    dots = "".join(f'<g><circle cx="{r.x:.1f}" cy="{r.y:.1f}" r="{r.size / 2:.1f}" fill="{r.background}" stroke="{r.border}"/><title>{html.escape(f"{r.title}: {r.relationship}")}</title></g>' for r in drawn.values())
+    rings = "".join(f'<g><circle cx="{r.x:.1f}" cy="{r.y:.1f}" r="{r.size:.1f}" fill="{r.background}" fill-opacity="0.35"/><text x="{r.x:.1f}" y="{r.y - r.size - 6:.1f}">{html.escape(r.label)}</text><title>{html.escape(" ".join(x for x in (r.role_label, r.span, r.summary) if x))}</title></g>' for r in groups)
+    keys = " · ".join(f'<span style="color:{c}">{html.escape(label)}</span>' for label, c in legend)
+    stats = stats_line(len(drawn), len(edges), len(groups), g.curation, top_k)
+    story = _story(g.story, {str(r.id): r.title for r in drawn.values()})
+    return PAGE.format(title=html.escape(title), stats=html.escape(stats), legend=keys, story=story, box=box, groups=rings, lines=lines, dots=dots, data=graph_json(g, seed, idea, top_k).first().json)

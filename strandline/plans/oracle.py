@@ -106,6 +106,7 @@ ORACLE_SQL["parse_neighbour_record"] = _with(SUBSTRATE, select="""
 SELECT 'S2:' || id AS id, CASE WHEN id % 4 <> 0 THEN title ELSE '(untitled)' END AS title, publication_year, cited_by_count, array_to_string(authors, '|') AS authors, venue,
   'https://doi.org/10.0/Q' || id AS doi, CASE WHEN id % 3 = 0 THEN CAST(id AS VARCHAR) END AS ext_arxiv, 'background' AS intents, id % 2 = 0 AS is_influential
 FROM works WHERE id % 5 <> 0""")
+ORACLE_SQL["parse_paper_record"] = ORACLE_SQL["parse_neighbour_record"].replace(", 'background' AS intents, id % 2 = 0 AS is_influential", "")
 ORACLE_SQL["reconstruct_abstract"] = "SELECT doc_id, md5(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) AS abstract_md5 FROM documents"
 
 ORACLE_SQL["account_fields"] = """
@@ -252,7 +253,17 @@ numbers AS (SELECT beat, unnest(p) AS k, generate_subscripts(p, 1) AS place FROM
 SELECT CAST(beat AS BIGINT) AS beat, any_value(cited.title) AS title, any_value(text) AS text, coalesce(string_agg(CAST(id AS VARCHAR), ',' ORDER BY place), '') AS node_ids
 FROM cited LEFT JOIN numbers USING (beat) LEFT JOIN chosen ON rank = k + 1 WHERE beat <= {MAX_BEATS} GROUP BY beat""")
 ORACLE_SQL["identify_seed_reply"] = "SELECT 'Small ring' AS title, 'small ring' AS search_query, 2031 AS year, 'A,B,C' AS alternatives"
-ORACLE_SQL["run_summary"] = _with(*_E, CANDIDATES, CURATED, select="SELECT (SELECT count(*) FROM final) AS nodes, (SELECT count(*) FROM labelled WHERE source IN (SELECT id FROM final) AND target IN (SELECT id FROM final)) AS edges, CAST(3 AS BIGINT) AS clusters")
+ORACLE_SQL["run_summary"] = _with(*_E, CANDIDATES, CURATED, select="""
+SELECT CAST(id AS VARCHAR) AS seed_id, title AS seed_title, publication_year AS seed_year, (SELECT count(*) FROM nodes) AS expanded, (SELECT count(*) FROM final) AS kept,
+  (SELECT count(*) FROM labelled WHERE source IN (SELECT id FROM final) AND target IN (SELECT id FROM final)) AS edges, CAST(3 AS BIGINT) AS clusters,
+  (SELECT count(*) FROM a1 WHERE ord >= 500) + (SELECT count(*) FROM a2 WHERE ord >= 500) > 0 AS truncated, (SELECT count(*) FROM labelled WHERE intents <> '' OR is_influential) AS intents_labelled,
+  'llm' AS curation, '' AS headline, 0 AS beats
+FROM nodes WHERE id = (SELECT seed_id FROM seed)""")
+ORACLE_SQL["filtered_graph_json"] = _with(*_E, _kept("nodes"), select=f"""
+SELECT CAST(id AS VARCHAR) AS id, title, hop, score AS bm25_score, rank - 1 AS ord, CAST((SELECT seed_id FROM seed) AS VARCHAR) AS seed_id, '{" ".join(IDEA)}' AS idea_text, CAST({TOP_K} AS BIGINT) AS top_k, 'bm25' AS curation FROM kept""")
+ORACLE_SQL["expansion_json"] = _with(SUBSTRATE, EXPANSION, select="""
+SELECT CAST(source AS VARCHAR) AS source, CAST(target AS VARCHAR) AS target, e.ord, s.hop AS source_hop, t.hop AS target_hop, s.cited_by_count AS source_cited_by_count, t.cited_by_count AS target_cited_by_count
+FROM edges e JOIN nodes s ON s.id = source JOIN nodes t ON t.id = target""")
 
 # Layout and drawing
 
@@ -288,6 +299,17 @@ ORACLE_SQL["cluster_stats"] = _with(SUBSTRATE, _clusters("works"), select="SELEC
 ORACLE_SQL["cluster_layout"] = _with(SUBSTRATE, EXPANSION, _clusters("nodes"), """
 grid AS (SELECT m.id, m.cluster_id, row_number() OVER (PARTITION BY m.cluster_id ORDER BY coalesce(publication_year, 0), m.id) - 1 AS i, CAST(ceil(sqrt(n)) AS BIGINT) AS cols, CAST(ceil(n / ceil(sqrt(n))) AS BIGINT) AS rows, x, y FROM members m JOIN centres c USING (cluster_id))""", select="""
 SELECT id, cluster_id, round(x + (i % cols - (cols - 1) / 2.0) * 190, 6) AS x, round(y + (i // cols - (rows - 1) / 2.0) * 190, 6) AS y FROM grid""")
+_DRAWN = """
+drawn(id, name, role, ord) AS (VALUES ('MACHINERY', 'Machinery', 'descendant', 0), ('AUTOMOBILE', 'Automobile', 'ancestor', 1), ('BUILDING', 'Building', 'ancestor', 2), ('FURNITURE', 'Furniture', 'contemporary', 3), ('HOUSEHOLD', 'Household', 'descendant', 4), ('NONE', 'None', 'contemporary', 5)),
+shown AS (SELECT d.*, c.n, c.span, c.x, c.y FROM drawn d JOIN centres c ON d.id = c.cluster_id)"""
+_ROLE = {"label": _case("role", W.ROLE_LABELS, "role"), "colour": _case("role", W.ROLE_COLOURS, _text(W.OTHER_COLOUR))}
+ORACLE_SQL["cluster_payload"] = _with(SUBSTRATE, EXPANSION, _clusters("nodes"), _DRAWN, select=f"""
+SELECT 'cluster:' || id AS id, name || chr(10) || '(' || n || ' papers)' AS label, 'about ' || id AS summary, {_ROLE["label"]} AS role_label, n AS count, span, round(x, 6) AS x, round(y, 6) AS y,
+  {_ROLE["colour"]} AS background, round(26 + pow(least(n, 40), 0.6) * 6, 6) AS size FROM shown""")
+ORACLE_SQL["legend_roles"] = _with(SUBSTRATE, EXPANSION, _clusters("nodes"), _DRAWN, select=f"""
+SELECT CAST(0 AS BIGINT) AS place, {_text(W.SEED_LABEL)} AS label, {_text(W.SEED_COLOUR)} AS colour
+UNION ALL SELECT row_number() OVER (ORDER BY first), {_ROLE["label"]}, {_ROLE["colour"]} FROM (SELECT role, min(ord) AS first FROM shown GROUP BY role)""")
+ORACLE_SQL["members_by_year"] = _with(SUBSTRATE, select="SELECT venue AS cluster_id, id, row_number() OVER (PARTITION BY venue ORDER BY coalesce(publication_year, 0), id) AS place FROM works WHERE id <> (SELECT seed_id FROM seed)")
 ORACLE_SQL["contract_edges"] = _with(SUBSTRATE, "shown AS (SELECT id, CASE WHEN id = (SELECT seed_id FROM seed) OR venue = 'BUILDING' THEN CAST(id AS VARCHAR) ELSE 'cluster:' || venue END AS shown FROM works)", select="""
 SELECT t.shown AS "from", s.shown AS "to", count(*) AS weight, round(CAST(least(1.5 + (count(*) - 1) * 0.9, 7.0) AS DOUBLE), 6) AS width, CASE WHEN count(*) > 1 THEN CAST(count(*) AS VARCHAR) END AS label
 FROM cites JOIN shown t ON t.id = tgt JOIN shown s ON s.id = src WHERE t.shown <> s.shown GROUP BY t.shown, s.shown""")

@@ -43,6 +43,17 @@ class Settings:
     neighbour_interval_s: float = 1.1
     cache: bool = True
 
+    @staticmethod
+    def file_values(text: str) -> dict[str, str]:
+        """``NAME=value`` lines of a settings file; blank lines, comments, an ``export`` before and quotes around are skipped."""
+        out = {}
+        for line in text.splitlines():
+            name, mark, value = line.strip().removeprefix("export ").partition("=")
+            if mark and not name.startswith("#"):
+                value = value.strip()
+                out[name.strip()] = value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "'\"" else value
+        return out
+
     @classmethod
     def from_env(cls, env: Mapping[str, str] = os.environ, prefix: str = "STRANDLINE_") -> Settings:
         """Typed values of ``PREFIX_NAME`` variables; unset, empty and malformed ones keep the default."""

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,3 +182,77 @@ def test_lookups(spark):
     assert [r.id for r in lookup.by_ids(w, keys).collect()] == ["W1"] and [r.id for r in lookup.missing(w, keys).collect()] == ["W9"]
     got = lookup.by_doi(w, spark.createDataFrame([("DOI:10.1/a",), (None,), ("",)], "doi string")).collect()
     assert [(r.asked_doi, r.id) for r in got] == [("10.1/a", "W2")]
+
+
+def test_places_in_ranges_are_those_of_one_window(spark):
+    from strandline.operators.rank import placed
+
+    r = random.Random(2)
+    rows = [(i, None if i % 11 == 0 else (2000 if i % 3 else 2000 + r.randrange(5)), r.randrange(50)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, year int, x int").repartition(5)
+    got = [{(x.id, x.nth, x.n) for x in placed(df, ["year"], [F.col("x"), F.col("id")], spread).collect()} for spread in (True, False)]
+    assert got[0] == got[1] and len(got[0]) == 3000
+    flat = placed(df.select("id"), [], [F.col("id")]).collect()
+    assert all(x.id == x.nth and x.n == 3000 for x in flat) and placed(df.where("false"), ["year"], [F.col("id")]).count() == 0
+
+
+def test_two_dois_that_lead_to_one_node(spark):
+    from strandline.operators.enrich import enrich
+
+    nodes = spark.createDataFrame([("S", "10.1/s", "x", 0), ("N", "10.1/own", "", 1)], "id string, doi string, abstract string, ord long")
+    edges = spark.createDataFrame([("S", "N", 0)], "source string, target string, ord long")
+    works = spark.createDataFrame([("N", "10.1/other"), ("N", "10.1/own")], "id string, doi string")
+    refs = spark.createDataFrame([("10.1/other", "cited", ["result"], False, "text a", 0), ("10.1/own", "cited", ["methodology"], False, "text b", 1)], "doi string, direction string, intents array<string>, is_influential boolean, abstract string, ord long")
+    e = enrich(nodes, edges, works, refs, "S")
+    # Own DOIs are matched first, then the works table: the last one labels, the first one fills.
+    assert e.edges.first().intents == ["result"] and {r.id: r.abstract for r in e.nodes.collect()} == {"S": "x", "N": "text b"}
+
+
+def test_of_works_with_one_doi_the_last_to_arrive(spark):
+    from strandline.operators.lookup import by_doi
+
+    works = spark.createDataFrame([(1, "10.1/A", 5), (2, "https://doi.org/10.1/a", 3)], "id long, doi string, place int")
+    keys = spark.createDataFrame([("DOI:10.1/a",)], "doi string")
+    assert by_doi(works, keys).first().id == 2 and by_doi(works, keys, "place").first().id == 1
+
+
+def test_numbers_in_replies(spark):
+    from strandline.functions import wording as W
+    from strandline.operators.select import kept_of
+
+    told = {"5": 5, "100000000000": 5, "-99999999999999999999": 1, "0": 3, "x": 3, "3.0": 3, "+2": 2}
+    got = {r.t: r.n for r in spark.createDataFrame([(t,) for t in told], "t string").select("t", W.importance(F.col("t")).alias("n")).collect()}
+    assert got == told
+    reply = spark.createDataFrame([('{"keep": [{"i": null, "index": 1}, {"index": 2}, {"i": "3", "index": 1}]}',)], "reply string")
+    candidates = spark.createDataFrame([(k,) for k in (1, 2, 3)], "index int")
+    none = spark.createDataFrame([], "id string, name string, role string, summary string, ord int")
+    assert sorted(r["index"] for r in kept_of(reply, candidates, none).collect()) == [2, 3]
+
+
+def test_login_rule_is_the_plain_fold(spark):
+    from strandline.operators.throttle import login_decisions
+
+    r = random.Random(7)
+    rows = [(r.choice([1, 1, 1, 2, None]), f"2020-01-01 00:{r.randrange(60):02d}:{r.randrange(60):02d}", i, r.random() < 0.8) for i in range(2500)] + [(1, None, 9999, True)]
+    df = spark.createDataFrame(rows, "key int, t string, id long, failed boolean").withColumn("ts", F.col("t").cast("timestamp"))
+    want, recent = {}, {}
+    for key, t, i, failed in sorted((x for x in rows if x[1]), key=lambda x: (x[1], x[2])):
+        now = int(t[14:16]) * 60 + int(t[17:])
+        mine = [x for x in recent.get(key, []) if now - x <= 60]
+        want[i] = len(mine) >= 3
+        recent[key] = mine if want[i] else [*mine, now] if failed else []
+    assert {x.id: x.blocked for x in login_decisions(df, 60, 3).collect()} == want and len(set(want.values())) == 2
+
+
+def test_scratch_tables_go_and_a_cluster_must_name_its_folder(spark):
+    from types import SimpleNamespace
+
+    from strandline.sources import shared
+
+    with shared.scratch(spark) as keep:
+        gone, kept = shared.stored(spark.range(3), "gone"), keep(shared.stored(spark.range(3), "kept"))
+    assert kept.count() == 3 and gone.stored_at not in shared._made and kept.stored_at in shared._made
+    shared.discard(kept)
+    bare = SimpleNamespace(sparkContext=SimpleNamespace(getConf=dict, master="spark://x"), conf={})
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared.shared_dir(bare)

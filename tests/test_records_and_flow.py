@@ -113,20 +113,21 @@ def test_curated_run_narrative_and_page(spark, tmp_path):
 
     def chat(messages):
         seen.append(messages[1]["content"])
-        if "CANDIDATES" in messages[1]["content"]:
-            return '{"clusters": [{"id": "a", "name": "Roots", "role": "ancestor"}], "keep": [{"i": 1, "cluster": "a", "importance": 4, "why": "</script>"}]}'
+        if "candidates:" in messages[1]["content"]:
+            return '{"clusters": [{"id": "a", "name": "Roots", "role": "ancestor"}], "keep": [{"i": 1, "cluster": "a", "importance": 4, "why": "</script>"}], "dropped_summary": "rest"}'
         return '{"headline": "h", "overview": "o", "beats": [{"title": "t", "text": "x", "papers": [1, 9, 1]}]}'
 
     g = lineage.curated_lineage(w, c, refs, "S", "small ring", chat)
     assert "[1] (ancestor, citation intent: methodology, influential) small ring (C, 2000, 5 citations)" in seen[0]
-    story = lineage.narrative(g, "S", "small ring", chat)
-    assert story["beats"] == [{"title": "t", "text": "x", "node_ids": ["R"]}]
-    doc = lineage.graph_json(g, "S", "small ring", 1, "llm").first().json
+    assert g.story == {"headline": "h", "overview": "o", "beats": [{"title": "t", "text": "x", "node_ids": ["R"]}]} and g.notes == "rest"
+    doc = lineage.graph_json(g, "S", "small ring", 1).first().json
     assert "</script>" not in doc
     back = json.loads(doc.replace("<\\/", "</"))
     assert [n["id"] for n in back["nodes"]] == ["S", "R"] and back["edges"][0]["intents"] == ["methodology"] and back["clusters"][0]["name"] == "Roots"
-    page = lineage.page(g, "S", "small ring", 1, "A <title>", "llm")
-    assert page.count("<circle") == 2 and "A &lt;title&gt;" in page
+    assert back["narrative"]["beats"][0]["node_ids"] == ["R"] and back["curation"] == "llm" and back["curation_notes"] == "rest"
+    page = lineage.page(g, "S", "small ring", 1, "A <title>")
+    assert page.count("<circle") == 3 and "A &lt;title&gt;" in page and "across 1 concept clusters" in page  # two works and their cluster
+    assert "<h2>h</h2>" in page and "Seed paper" in page and "Where the idea came from" in page and "Roots\n(1 papers)" in page
     lineage.write_text(spark, str(tmp_path / "p.html"), page)
     assert (tmp_path / "p.html").read_text() == page
 
@@ -143,3 +144,103 @@ def test_keyword_run(spark):
     w, c, refs = tiny(spark)
     got = {r.id: r for r in lineage.keyword_lineage(w, c, refs, "S", "small ring", top_k=1).collect()}
     assert set(got) == {"S", "R"} and (got["S"].x, got["S"].y) == (0, 0) and got["R"].relationship.startswith("The seed paper cites")
+
+
+def test_a_story_that_fails_leaves_the_graph(spark):
+    w, c, refs = tiny(spark)
+    said = []
+    chat = lambda m: '{"clusters": [], "keep": [{"i": 1}]}' if "candidates:" in m[1]["content"] else '{"headline": "h"}'
+    g = lineage.curated_lineage(w, c, refs, "S", "small ring", chat, warn=said.append)
+    assert g.story is None and g.curation == "llm" and len(said) == 1 and "no story" in said[0]
+    assert "narrative" not in json.loads(lineage.graph_json(g, "S", "x", 1).first().json)
+    assert lineage.curated_lineage(w, c, refs, "S", "small ring", chat, tell=False, warn=said.append).story is None and len(said) == 1
+
+
+def test_expansion_document_round_trip_and_summary(spark, tmp_path):
+    from strandline.operators.enrich import enrich
+    from strandline.operators.expand import expand
+    from strandline.operators.select import filter_by_idea
+    from strandline.sources.records import read_graph
+
+    w, c, refs = tiny(spark)
+    e = expand(w, c, "S")
+    nodes = e.nodes.select("id", "hop", "ord").join(w, "id")
+    path = str(tmp_path / "deep" / "e.json")
+    lineage.write_text(spark, path, lineage.expansion_json(nodes, e.edges, "S", True).first().json)
+    got = read_graph(spark, path)
+    assert got["meta"].first().truncated and [r.id for r in got["nodes"].orderBy("ord").collect()][0] == "S"
+    assert {(r.source, r.target) for r in got["edges"].collect()} == {("S", "R"), ("F", "S")}
+    more = enrich(nodes, e.edges, w, refs, "S")
+    row = lineage.run_summary(e, filter_by_idea(more.nodes, more.edges, "S", "ring", 1), more.report, "S").first()
+    assert (row.seed_id, row.expanded, row.kept, row.truncated, row.intents_labelled, row.curation, row.clusters) == ("S", 3, 2, False, 1, "bm25", 0)
+
+
+def test_works_once_fetched_come_from_the_cache(spark, tmp_path):
+    w, c, refs = tiny(spark)
+    asked = []
+
+    def records(ids):
+        found = w.join(ids, "id", "left_semi")
+        asked.append(ids.count())
+        return found
+
+    runs = [sorted(tuple(r) for r in lineage.keyword_lineage(w, c, refs, "S", "ring", records=records, cache=str(tmp_path)).collect()) for _ in range(2)]
+    assert runs[0] == runs[1] and asked == [3, 3, 3, 0]  # each run asks for the schema first, then for what is missing
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from strandline import cli
+
+    w, c, refs = tiny(spark)
+    for name, t in (("w", w), ("c", c), ("r", refs)):
+        t.write.parquet(str(tmp_path / name))
+    at = lambda name: str(tmp_path / name)
+    assert cli.main(["search-seed", "--works", at("w"), "small ring", "--limit", "1"], spark) == 0
+    assert json.loads(capsys.readouterr().out)["id"] in ("F", "R", "S")
+    assert cli.main(["expand", "--works", at("w"), "--cites", at("c"), "--seed", "S", "--out", at("e.json")], spark) == 0
+    assert cli.main(["filter", "--expansion", at("e.json"), "--idea", "small ring", "--top-k", "1", "--out", at("f.json")], spark) == 0
+    assert {n["id"] for n in json.loads((tmp_path / "f.json").read_text())["nodes"]} == {"R", "S"}
+    assert cli.main(["render", "--expansion", at("e.json"), "--idea", "small ring", "--out", at("p.html")], spark) == 0
+    assert cli.main(["run", "--works", at("w"), "--cites", at("c"), "--refs", at("r"), "--seed", "S", "--idea", "ring", "--out", at("run.html")], spark) == 0
+    assert "<svg" in (tmp_path / "run.html").read_text() and "warning: no language model" in capsys.readouterr().err
+    assert cli.main(["expand", "--works", at("w"), "--cites", at("c"), "--seed", "none", "--out", at("x")], spark) == 1
+
+
+def test_second_source_gives_both_lists_or_none(spark):
+    from strandline.sources.host import SourceError
+    from strandline.sources.neighbours import paper_of, refs_of
+
+    paper = lambda k: {"paperId": f"p{k}", "externalIds": {"DOI": f"10.1/{k}"}, "title": f"t{k}", "abstract": "a"}
+    asked = []
+
+    def fetch(path):
+        asked.append(path)
+        if "/references" in path:
+            return {"data": [{"intents": ["result"], "isInfluential": True, "citedPaper": paper(k)} for k in (1, 2, 3)]}
+        if "/citations" in path:
+            return {"data": [{"citingPaper": paper(9)}, {"citingPaper": {"paperId": None}}]}
+        return paper(7)
+
+    rows = refs_of(spark, fetch, "DOI:10.1/s", limit=2).orderBy("ord").collect()
+    assert [(r.doi, r.direction, r.intents, r.is_influential, r.ord) for r in rows] == [("https://doi.org/10.1/1", "cited", ["result"], True, 0), ("https://doi.org/10.1/2", "cited", ["result"], True, 1), ("https://doi.org/10.1/9", "citing", [], False, 2)]
+    assert all("limit=2" in p and "DOI:10.1/s" in p.replace("%2F", "/") for p in asked)
+    assert paper_of(spark, fetch, "DOI:10.1/7").first().id == "S2:p7"
+
+    def broken(path):
+        if "/citations" in path:
+            raise SourceError("no")
+        return fetch(path)
+
+    with pytest.raises(SourceError):
+        refs_of(spark, broken, "DOI:10.1/s")
+
+
+def test_cited_addresses_and_account_tables(spark):
+    from strandline.functions import accounts
+
+    message = {"annotations": [{"url_citation": {"url": "u1"}}, "x", {"url_citation": None}, {"url_citation": {"url": 3}}, {"url_citation": {"url": "u2"}}, {"url_citation": {"url": "u1"}}]}
+    assert prompts.cited_urls(message) == ["u1", "u2"] and prompts.cited_urls({}) == []
+    users = spark.createDataFrame([(1, "a@b.c", "h", __import__("datetime").datetime(2020, 1, 1), None)], accounts.USERS)
+    assert spark.createDataFrame([], accounts.INVITES).count() == 0
+    assert accounts.select(spark, "select id from people where email = ?", "a@b.c", people=users).first().id == 1
+    assert accounts.select(spark, "select id from people where email = ?", "' or 1=1 --", people=users).count() == 0
