@@ -3,18 +3,30 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import discard, new_path, stored
+from ..sources.shared import discard, new_path, scratch, stored
 
-__all__ = ["Forest", "components", "discard", "new_path", "stored", "table"]
+__all__ = ["Forest", "components", "discard", "new_path", "scratch", "sliced", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sliced(batches, most: int = 4 << 20):
+    """Batches whose first column (text or binary) is cut so that each part holds about ``most`` bytes of it, or one row, and a part's Python objects stay few."""
+    for b in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(b.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node moves to the smallest node around it."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))

@@ -26,8 +26,8 @@ from .common import stored
 
 #: Permitted sequence lengths, in words with one end mark a document.
 SIZES = (1024, 2048, 4096, 8192)
-#: Hash groups that share the ranking of one length.
-GROUPS = 512
+#: Hash groups that share the ranking of one length, at least; and pieces for each of them beyond that.
+GROUPS, A_GROUP = 512, 1 << 20
 
 
 def cost(size: int) -> float:
@@ -118,7 +118,11 @@ def pack(docs: DataFrame, sizes: tuple[int, ...] = SIZES, cost=cost) -> DataFram
     doc_id is packed like any other. An empty table gives no rows.
     """
     spark, largest = docs.sparkSession, max(sizes)
-    all_pieces = stored(pieces(docs, largest).withColumn("g", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(GROUPS)).cast("int")), "pieces")
+    # Pieces without doc_id are told apart by where they came from, so that they aren't one group.
+    whence = F.when(F.col("doc_id").isNull(), F.spark_partition_id()).otherwise(0)
+    all_pieces = stored(pieces(docs, largest).withColumn("whence", whence), "pieces")
+    groups = max(GROUPS, all_pieces.count() // A_GROUP)
+    all_pieces = all_pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "whence"), F.lit(groups)).cast("int"))
     counts = stored(all_pieces.groupBy("length", "g").agg(F.count(F.lit(1)).alias("n")), "lengths")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # a row for each length: capacity at most
     plan, _ = Packer(tuple(sizes), cost).pack(histogram)
