@@ -14,7 +14,7 @@ import heapq
 import numpy as np
 
 #: Texts that are read side by side, and positions whose states are held at once.
-LANES, HELD = 256, 1 << 20
+LANES, HELD = 256, 1 << 19
 
 
 def _sigmoid(a: np.ndarray) -> np.ndarray:
@@ -110,9 +110,11 @@ class BiGRU:
             h = self._scan([x[a:b], x[a:b][::-1]], np.concatenate([before.pop(), back]), resets, keep[:n], slice(0, 2))
             back = h[1:].copy()
             place = [bisect.bisect_right(s, a) - 1 for s in starts]
-            for k in range(0, n, 1024):
-                e = min(n, k + 1024)
-                q = np.matmul(v[0], keep[k:e, 0]) + np.matmul(v[1], keep[n - e : n - k, 1][::-1]) + c
+            for k in range(0, n, 512):
+                e = min(n, k + 512)
+                q = np.matmul(v[0], keep[k:e, 0])
+                q += np.matmul(v[1], keep[n - e : n - k, 1][::-1])
+                q += c
                 q -= q.max(1, keepdims=True)
                 np.exp(q, out=q)
                 q /= q.sum(1, keepdims=True)

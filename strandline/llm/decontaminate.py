@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import sliced, stored
 
 K1, B = 1.2, 0.75
 #: Least share of an item's shingles in a passage, or of its question's and then its answer's.
@@ -270,7 +270,7 @@ def _parted(items: DataFrame) -> tuple[int, float, DataFrame]:
     return n, (length or 0) / max(1, n), stored(df, "item-df")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, batch_words: int = 1 << 19) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Which rows of ``docs(doc_id, text)`` hold which of ``items(item_id, text)``.
 
     Returns ``doc_id, item_id, bm25_share, overlap, question_overlap,
@@ -300,22 +300,15 @@ def contaminated(docs: DataFrame, items: DataFrame, batch_words: int = 1 << 19)
 
         def run(batches, held=held):
             index = held.value
-            for b in batches:
-                doc_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-                rows, i = [], 0
-                while i < len(texts):
-                    j, chars = i, 0
-                    while j < len(texts) and (j == i or chars < 4 * batch_words):
-                        chars += len(texts[j] or "")
-                        j += 1
-                    for doc_id, got in zip(doc_ids[i:j], index.search(texts[i:j])):
-                        rows += [(doc_id, index.ids[item], *map(float, x[:4]), x[4]) for item, x in sorted(got.items())]
-                    i = j
+            for b in sliced(batches):
+                rows = []
+                for doc_id, got in zip(b.column(1).to_pylist(), index.search(b.column(0).to_pylist())):
+                    rows += [(doc_id, index.ids[item], *map(float, x[:4]), x[4]) for item, x in sorted(got.items())]
                 cols = list(zip(*rows)) or [()] * 7
                 kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 4, pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[c.split()[0] for c in schema.split(", ")])
 
-        found = docs.select("doc_id", "text").mapInArrow(run, schema)
+        found = docs.select("text", "doc_id").mapInArrow(run, schema)
         out = found if out is None else out.unionAll(found)
     return out
 

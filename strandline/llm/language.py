@@ -96,13 +96,14 @@ def predict(docs: DataFrame, net: BiGRU | None) -> DataFrame:
     def run(batches):
         net = held.value
         for b in batches:
-            texts = b.column(0).to_pylist()
-            lang, score, none = [UNDETERMINED] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
-            i = 0 if net else len(texts)
-            while i < len(texts):
+            texts, n = b.column(0), b.num_rows
+            lang, score, none = [UNDETERMINED] * n, [0.0] * n, [0.0] * n
+            i = 0 if net else n
+            while i < n:
                 group, size, at = [], 0, i
-                while i < len(texts) and (i == at or size < GROUP):
-                    group.append(as_bytes(texts[i]) if has_letter(texts[i]) else b"")
+                while i < n and (i == at or size < GROUP):
+                    text = texts[i].as_py()
+                    group.append(as_bytes(text) if has_letter(text) else b"")
                     size += len(group[-1])
                     i += 1
                 sums = net.pooled(group)

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 #: Short notices name a licence in one of these frames.
 FRAMES = ("licensed under {}", "released under {}", "distributed under {}", "available under {}", "this work is licensed under {}", "this project is licensed under {}", "this software is licensed under {}", "code released under {}", "published under {}", "this code is licensed under {}", "the code is licensed under {}", "this file is licensed under {}", "this library is licensed under {}", "this package is licensed under {}", "this program is licensed under {}", "this repository is licensed under {}", "this document is licensed under {}")
 #: A tag names a licence by its identifier, where "+" is written out.
@@ -175,12 +177,12 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         know = Recogniser()
-        for b in batches:
-            seqs = [know.sequence(t) if t else [] for t in b.column(1).to_pylist()]
-            cols = [b.column(0), pa.array([len(s) for s in seqs], pa.int32()), pa.array([",".join(map(str, s)) for s in seqs]), pa.array([",".join(know.licences(s)) for s in seqs])]
+        for b in sliced(batches):
+            seqs = [know.sequence(t) if t else [] for t in b.column(0).to_pylist()]
+            cols = [b.column(1), pa.array([len(s) for s in seqs], pa.int32()), pa.array([",".join(map(str, s)) for s in seqs]), pa.array([",".join(know.licences(s)) for s in seqs])]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_sentences", "sentence_ids", "licences"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_sentences int, sentence_ids string, licences string")
+    return docs.select(F.col("text").cast("binary").alias("text"), "doc_id").mapInArrow(run, "doc_id long, n_sentences int, sentence_ids string, licences string")
 
 
 def sql() -> str:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Boosted
+from .common import sliced
 from .language import held_out
 
 #: Labelled rows to learn from, at most; picked by hash.
@@ -64,7 +65,7 @@ def statistics(text: bytes | None) -> list[float]:
 
 
 def _measured(batches):
-    for b in batches:
+    for b in sliced(batches):
         rows = [statistics(t) for t in b.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
@@ -97,10 +98,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches):
         model = held.value
-        for b in batches:
-            x = np.array([statistics(t) for t in b.column(1).to_pylist()]).reshape(b.num_rows, len(FEATURES))
+        for b in sliced(batches):
+            x = np.array([statistics(t) for t in b.column(0).to_pylist()]).reshape(b.num_rows, len(FEATURES))
             score = model.score(x) if model else np.full(b.num_rows, 0.5)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array((score >= GOOD).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(score), pa.array((score >= GOOD).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    scored = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    scored = docs.select(F.col("text").cast("binary").alias("text"), "doc_id").mapInArrow(run, "doc_id long, score double, predicted int")
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")

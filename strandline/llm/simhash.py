@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import components, sliced, stored
 
 SHINGLE, SEED, MAX_BITS, MIN_BYTES = 4, 42, 4, 4
 #: Members of a list from which it is dealt by one byte more; members up to which all its pairs are tallied at once.
@@ -101,10 +101,10 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, said, fp`` (longs) for each row of ``docs``; ``said`` is a hash of the text."""
 
     def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fingerprints(b.column(2).to_pylist()))], names=["doc_id", "said", "fp"])
+        for b in sliced(batches):
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(fingerprints(b.column(0).to_pylist()))], names=["doc_id", "said", "fp"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("said"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, said long, fp long")
+    return docs.select(F.col("text").cast("binary").alias("text"), "doc_id", F.xxhash64("text").alias("said")).mapInArrow(run, "doc_id long, said long, fp long")
 
 
 def _bits(a: np.ndarray, b) -> np.ndarray:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import sliced, stored
 
 LONG, RUN_SENTENCES, RUN_WORDS = 25, 2, 20
 #: Of so many neighbouring pairs of words, a cut parts the one with the least hash. Of 51 words in a row in long
@@ -39,62 +39,78 @@ def _cuts(words: list[bytes]) -> np.ndarray:
     return np.unique(np.arange(len(near)) + NEAR - near.argmin(1))
 
 
-def sentences(text: bytes) -> list[bytes]:
-    """The sentences with the white space that follows each; joined they give the text."""
-    out, at = [], 0
-    for end in [*(m.end() for m in STOP.finditer(text)), len(text)]:
+def _split(text: bytes) -> tuple[list[int], list[list[bytes]]]:
+    """Where each sentence ends, with the white space that follows it, and its words, lowered."""
+    low, ends, words, at = text.lower(), [], [], 0
+    for end in [*(m.end() for m in STOP.finditer(low)), len(low)]:
         if end > at:
-            s = text[at:end]
-            if len(s) > 2 * LONG and len(words := s.lower().split()) > LONG:
-                ends = [m.end() for m in WORD.finditer(s)]
-                ends = [ends[k - 1] for k in _cuts(words)]
-                out += [s[a:b] for a, b in zip([0, *ends], ends)]
-                s = s[ends[-1] :]
-            out.append(s)
+            w = low[at:end].split()
+            if len(w) > LONG and end - at > 2 * LONG:
+                behind, k = [m.end() for m in WORD.finditer(low, at, end)], 0
+                for c in _cuts(w).tolist():
+                    ends.append(behind[c - 1])
+                    words.append(w[k:c])
+                    k = c
+                w = w[k:]
+            ends.append(end)
+            words.append(w)
             at = end
-    return out
+    return ends, words
+
+
+def sentences(text: bytes) -> list[bytes]:
+    """The sentences with the white space that follows each; joined they give the text."""
+    ends, _ = _split(text)
+    return [text[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def runs(text: bytes) -> tuple[list[bytes], list[int], list[int]]:
-    """Digest, index of the first sentence and index after the last one, for each run of a text."""
-    norm, size, index = [], [], []
-    for i, s in enumerate(sentences(text)):
-        if w := s.lower().split():
-            norm.append(b" ".join(w))
-            size.append(len(w))
-            index.append(i)
+def runs(text: bytes) -> tuple[list[bytes], list[int], list[int], int]:
+    """Digest, index of the first sentence and index after the last one, for each run of a text; and how many sentences it has."""
+    _, words = _split(text)
+    index = [i for i, w in enumerate(words) if w]
+    size = [len(words[i]) for i in index]
+    own = [xxhash.xxh3_128_digest(b" ".join(words[i])) for i in index]
     digests, first, after = [], [], []
-    end, words = 0, 0  # of the run that starts at i
-    for i in range(len(norm)):
+    end, n = 0, 0  # of the run that starts at i
+    for i in range(len(own)):
         end = max(end, i)
-        while end < len(norm) and (words < RUN_WORDS or end - i < RUN_SENTENCES):
-            words += size[end]
+        while end < len(own) and (n < RUN_WORDS or end - i < RUN_SENTENCES):
+            n += size[end]
             end += 1
-        if words < RUN_WORDS or end - i < RUN_SENTENCES:
+        if n < RUN_WORDS or end - i < RUN_SENTENCES:
             break
-        digests.append(xxhash.xxh3_128_digest(b"\n".join(norm[i:end])))
+        digests.append(xxhash.xxh3_128_digest(b"".join(own[i:end])))
         first.append(index[i])
         after.append(index[end - 1] + 1)
-        words -= size[i]
-    return digests, first, after
-
-
-def _all_runs(batches):
-    for b in batches:
-        ids, copies, digests, first, after, again = [], [], [], [], [], []
-        for doc_id, copy, text in zip(*(c.to_pylist() for c in b.columns)):
-            if text:
-                d, f, a = runs(text)
-                met = set()
-                again += [x in met or met.add(x) is not None for x in d]
-                digests += d
-                first += f
-                after += a
-                ids += [doc_id] * len(d)
-                copies += [copy] * len(d)
+        n -= size[i]
+    return digests, first, after, len(words)
+
+
+def _all_runs(batches, most: int = 1 << 16):
+    """text, doc_id, copy -> a row for each run; and one for each text with ``again`` null and its number of sentences as ``first``."""
+    rows: list[tuple] = []
+    digests: list[bytes] = []
+
+    def out():
         h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-        cols = [pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(ids, pa.int64()), pa.array(copies, pa.int64()), pa.array(first, pa.int32()), pa.array(after, pa.int32()), pa.array(again, pa.bool_())]
-        yield pa.RecordBatch.from_arrays(cols, names=["h1", "h2", "doc_id", "copy", "first", "after", "again"])
+        cols = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 5, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()))]
+        batch = pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), *cols], names=["h1", "h2", "doc_id", "copy", "first", "after", "again"])
+        rows.clear(), digests.clear()
+        return batch
+
+    for b in sliced(batches):
+        for text, i, k in zip(*(c.to_pylist() for c in b.columns)):
+            if not text:
+                continue
+            d, first, after, n = runs(text)
+            met = set()
+            rows.extend((i, k, f, a, x in met or met.add(x) is not None) for x, f, a in zip(d, first, after))
+            rows.append((i, k, n, -1, None))
+            digests.extend(d)
+            digests.append(bytes(16))
+            if len(rows) >= most:
+                yield out()
+    yield out()
 
 
 def _several(docs: DataFrame) -> DataFrame:
@@ -106,9 +122,10 @@ def _several(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, several: DataFrame | None = None) -> DataFrame:
     """``doc_id, copy, first, after``: sentence ranges of ``docs(doc_id, copy, text)`` that repeat an earlier run.
 
+    Besides, a row (number of sentences, -1) for each text that is not empty.
     ``copy`` tells the texts of one doc_id apart; it is 0 but for the ids in ``several``.
     """
-    found = docs.where("doc_id is not null").select("doc_id", "copy", F.col("text").cast("binary").alias("text"))
+    found = docs.where("doc_id is not null").select(F.col("text").cast("binary").alias("text"), "doc_id", "copy")
     found = stored(found.mapInArrow(_all_runs, "h1 long, h2 long, doc_id long, copy long, first int, after int, again boolean"), "runs")
     # A run's first place in its own document is known at once, so the corpus only has to find the first document.
     once = found.where("not again").drop("again")
@@ -116,7 +133,7 @@ def repeated_spans(docs: DataFrame, several: DataFrame | None = None) -> DataFra
     heads = stored(heads.select("h1", "h2", "head_id"), "run-heads")  # so that the join below reads two exchanges and can split a hot run
     met = once.join(heads, ["h1", "h2"])
     place = ["doc_id", "copy", "first", "after"]
-    spans = met.where("doc_id <> head_id").select(place).unionByName(found.where("again").select(place))
+    spans = met.where("doc_id <> head_id").select(place).unionByName(found.where("again or again is null").select(place))
     if several is not None:  # of the texts of one doc_id, that with the smallest hash comes first
         same = met.where("doc_id = head_id").join(several, "doc_id", "left_semi")
         least = same.groupBy("h1", "h2", "doc_id").agg(F.min("copy").alias("least"))
@@ -125,21 +142,24 @@ def repeated_spans(docs: DataFrame, several: DataFrame | None = None) -> DataFra
 
 
 def _cut(batches):
-    """text, spans, ... -> ..., text, n_sentences, n_removed."""
-    for b in batches:
+    """text, spans, ... -> ..., text, n_sentences, n_removed. Spans are first * 2**32 + after; one below 0 is -1 less the number of sentences."""
+    for b in sliced(batches):
         texts, total, gone = [], [], []
         for text, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            s = sentences(text or b"")
-            total.append(len(s))
-            if spans is None:
+            at = np.array(spans or [], np.int64)
+            n = at[at < 0]
+            at = at[at >= 0]
+            if not len(at):
                 texts.append(text)
+                total.append(int(-1 - n[0]) if len(n) else len(_split(text or b"")[0]))
                 gone.append(0)
                 continue
-            at = np.array(spans, np.int64)
+            s = sentences(text)
             mark = np.zeros(len(s) + 1, np.int32)
             np.add.at(mark, at >> 32, 1)
             np.add.at(mark, at & 0xFFFFFFFF, -1)
             out = np.cumsum(mark)[:-1] > 0
+            total.append(len(s))
             gone.append(int(out.sum()))
             texts.append(b"".join([x for x, drop in zip(s, out) if not drop]))
         yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(texts, pa.binary()), pa.array(total, pa.int32()), pa.array(gone, pa.int32())], names=[*b.schema.names[2:], "t", "n", "r"])
@@ -165,7 +185,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         keyed = keyed.join(several.select(F.col("doc_id").alias("__of")), F.col("doc_id") == F.col("__of"), "left").withColumn("copy", F.when(F.col("__of").isNotNull(), said).otherwise(0)).drop("__of")
     spans = repeated_spans(keyed.select("doc_id", "copy", "text"), several)
     # A set, as a repeated row repeats its spans: so it is no larger than its text.
-    spans = spans.groupBy("doc_id", "copy").agg(F.collect_set(F.col("first").cast("long") * (1 << 32) + F.col("after")).alias("spans"))
+    place = F.when(F.col("after") < 0, -1 - F.col("first").cast("long")).otherwise(F.col("first").cast("long") * (1 << 32) + F.col("after"))
+    spans = spans.groupBy("doc_id", "copy").agg(F.collect_set(place).alias("spans"))
     both = keyed.join(spans, ["doc_id", "copy"], "left").select(F.col("text").cast("binary").alias("text"), "spans", *(f"k{i}" for i in range(len(rest))))
     cut = both.mapInArrow(_cut, ", ".join([*(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(rest)), "t binary", "n int", "r int"]))
     at, text = {f.name: i for i, f in enumerate(rest)}, F.col("t").cast("string")

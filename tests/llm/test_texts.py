@@ -340,6 +340,9 @@ def test_quality(spark, docs_of, prose):
     assert len(got) == 304 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
     assert all(r.predicted == r.doc_id % 2 for r in got if r.held_out and r.doc_id < 300)
     assert {r.score for r in quality.classify(docs_of(rows), labels.where("false")).collect()} == {0.5}
+    long = [(1001, prose(7, 40_000)), (1002, "buy$$$ now!!! " * 300_000), (1003, None)]
+    scores = {r.doc_id: r.score for r in quality.classify(docs_of(rows + long), labels).collect() if r.doc_id and r.doc_id > 1000}
+    assert scores[1001] > 0.3 > scores[1002] and 0 <= scores[1003] <= 1
     assert quality.classify(docs_of(rows).where("false"), labels).count() == 0
 
 
