@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,14 +14,41 @@ from ..sources.shared import new_path
 FEW = 200_000
 
 
-def reached(edges: DataFrame, seed) -> DataFrame:
+def _walked(edges: DataFrame, seed) -> DataFrame:
+    """``reached`` in one task."""
+    text = dict(edges.dtypes)["source"] == "string"
+
+    def walk(batches):
+        ways = (defaultdict(list), defaultdict(list))
+        for b in batches:
+            for a, c in zip(*(x.to_pylist() for x in b.columns)):
+                if a is not None and c is not None:
+                    ways[0][a].append(c)
+                    ways[1][c].append(a)
+        for up, way in ((True, ways[0]), (False, ways[1])):
+            met, front = {seed}, [seed]
+            while front:
+                front = [x for x in dict.fromkeys(y for at in front for y in way[at]) if x not in met]
+                met.update(front)
+            ids = pa.array([x for x in met if x != seed], pa.string() if text else pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, pa.array([up] * len(ids), pa.bool_())], names=["id", "up"])
+
+    return edges.select("source", "target").coalesce(1).mapInArrow(walk, f"id {'string' if text else 'long'}, up boolean")
+
+
+def reached(edges: DataFrame, seed, capped: bool = False) -> DataFrame:
     """``id, up``: what the seed cites (up) and what cites it, over any number of steps; cycles end by themselves.
 
+    The edges of an expansion, which its caps bound, are ``capped``: one task
+    walks them, without a job for each level. Any others go level by level.
+
     Breadth first. A level is counted when it is written; up to FEW works it is
     the broadcast side, so that the citations (stored or persisted by the
     caller) are scanned and not shuffled, and beyond that both are dealt by
     key. All levels are one table, from which a new one leaves out what it has.
     """
+    if capped:
+        return _walked(edges, seed)
     spark = edges.sparkSession
     known = edges.where("source is not null and target is not null").select("source", "target")
     front = spark.range(1).select(F.lit(seed).cast(dict(known.dtypes)["source"]).alias("id"), F.explode(F.array(F.lit(True), F.lit(False))).alias("up"))
@@ -37,9 +67,9 @@ def reached(edges: DataFrame, seed) -> DataFrame:
     return table(0).where(F.col("id") != F.lit(seed))
 
 
-def classify(nodes: DataFrame, edges: DataFrame, seed) -> DataFrame:
-    """``id, direction`` of every node but the seed: ancestor, descendant, mixed or unrelated."""
-    sides = reached(edges, seed).groupBy("id").agg(F.bool_or("up").alias("up"), F.bool_or(~F.col("up")).alias("down"))
+def classify(nodes: DataFrame, edges: DataFrame, seed, capped: bool = False) -> DataFrame:
+    """``id, direction`` of every node but the seed: ancestor, descendant, mixed or unrelated; ``capped`` as in ``reached``."""
+    sides = reached(edges, seed, capped).groupBy("id").agg(F.bool_or("up").alias("up"), F.bool_or(~F.col("up")).alias("down"))
     label = F.when(F.col("up") & F.col("down"), "mixed").when(F.col("up"), "ancestor").when(F.col("down"), "descendant").otherwise("unrelated")
     return nodes.where(F.col("id") != F.lit(seed)).select("id").join(sides, "id", "left").select("id", label.alias("direction"))
 

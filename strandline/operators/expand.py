@@ -83,13 +83,14 @@ def expand(works: DataFrame, cites: DataFrame, seed, caps: Caps = Caps()) -> Exp
     the citation table is read, never shuffled, before its rows are cut to it.
     """
     nodes = stored(works.where(F.col("id") == F.lit(seed)).limit(1).select("id", F.lit(0).alias("hop"), "cited_by_count", F.lit(0).cast("long").alias("ord")), "nodes")
-    parents, edges, refused = nodes, None, None
+    parents, edges, refused, already = nodes, None, None, nodes.count()
     for hop in (1, 2):
         # Both are capped by now; written down, they keep the plans of the next hop and of whoever reads the result small.
         met = stored(neighbours(parents, works, cites, caps), "met")
-        let_in, no = _admit(nodes, met, hop, caps, nodes.count())
+        let_in, no = _admit(nodes, met, hop, caps, already)
         let_in = stored(let_in, "let-in")
-        nodes = stored(nodes.unionByName(let_in), "nodes")
+        already += let_in.count()
+        nodes = nodes.unionByName(let_in)
         inside = met.join(F.broadcast(nodes.select("id")), "id", "left_semi")
         pair = inside.select(F.when(F.col("backward"), F.col("parent")).otherwise(F.col("id")).alias("source"), F.when(F.col("backward"), F.col("id")).otherwise(F.col("parent")).alias("target"), F.struct(F.lit(hop).alias("hop"), "ord").alias("at"))
         edges = pair if edges is None else edges.unionByName(pair)

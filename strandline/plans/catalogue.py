@@ -374,7 +374,7 @@ def filter_by_idea_edges(spark, sf_dir):
 
 
 def _candidates(s: Setting) -> DataFrame:
-    return stored(select.prefilter(s.nodes, direction.classify(s.nodes, s.edges, s.seed), direction.seed_edge_intents(s.enriched.edges, s.seed), s.seed, IDEA, PREFILTER), "candidates")
+    return stored(select.prefilter(s.nodes, direction.classify(s.nodes, s.edges, s.seed, capped=True), direction.seed_edge_intents(s.enriched.edges, s.seed), s.seed, IDEA, PREFILTER), "candidates")
 
 
 @query

@@ -73,7 +73,7 @@ def curated_lineage(works: DataFrame, cites: DataFrame, refs: DataFrame, seed, i
         warn("no language model: kept by keywords")
         return plain()
     try:
-        found = select.prefilter(more.nodes, direction.classify(nodes, e.edges, seed), direction.seed_edge_intents(more.edges, seed), seed, idea, shortlist)
+        found = select.prefilter(more.nodes, direction.classify(nodes, e.edges, seed, capped=True), direction.seed_edge_intents(more.edges, seed), seed, idea, shortlist)
         found = stored(found, "candidates")
         lines = [r.line for r in prompts.candidate_lines(found).orderBy("index").collect()]  # shortlist rows
         about = prompts.descriptions(more.nodes.where(F.col("id") == F.lit(seed))).first().description

@@ -34,7 +34,7 @@ def refs_of(spark: SparkSession, fetch: Callable[[str], dict], reference: str, l
     out = None
     for k, (direction, key, raw) in enumerate(replies):
         rows = neighbours_from_json(spark.createDataFrame([(raw,)], "raw string"), "raw", key)
-        rows = rows.select(blank_to_null("doi").alias("doi"), F.lit(direction).alias("direction"), "intents", "is_influential", "abstract", (F.col("place") + F.lit(k) * limit).cast("long").alias("ord"))
+        rows = rows.select(blank_to_null(F.col("doi")).alias("doi"), F.lit(direction).alias("direction"), "intents", "is_influential", "abstract", (F.col("place") + F.lit(k) * limit).cast("long").alias("ord"))
         rows = rows.where(F.col("ord") < (k + 1) * limit)
         out = rows if out is None else out.unionByName(rows)
     return out

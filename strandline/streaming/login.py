@@ -12,7 +12,7 @@ from ..operators.throttle import LIMIT, WINDOW_S
 
 
 def login_decisions(attempts: DataFrame, window_s: float = WINDOW_S, limit: int = LIMIT) -> DataFrame:
-    """``key, id, blocked`` of a stream ``attempts(key, ts, id, failed)``; attempts of a key are taken in order of time within a batch."""
+    """``key, id, blocked`` of a stream ``attempts(key, ts, id, failed)``; attempts of a key are taken in order of time within a batch, those without a time left out."""
     us = int(window_s * 1_000_000)
 
     def decide(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -28,7 +28,7 @@ def login_decisions(attempts: DataFrame, window_s: float = WINDOW_S, limit: int
         state.update((recent,))
         yield pd.DataFrame(said, columns=["key", "id", "blocked"])
 
-    timed = attempts.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).select("key", "id", "failed", "us")
+    timed = attempts.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).where("us is not null").select("key", "id", "failed", "us")
     return timed.groupBy("key").applyInPandasWithState(decide, "key long, id long, blocked boolean", "recent array<long>", "append", "NoTimeout")
 
 

@@ -71,7 +71,9 @@ def edges(spark, ps, labels=None):
 
 def kinds(spark, ps, names, seed="S"):
     n = spark.createDataFrame([(x,) for x in names], "id string")
-    return {r.id: r.direction for r in direction.classify(n, edges(spark, ps), seed).collect()}
+    levels, walked = ({r.id: r.direction for r in direction.classify(n, edges(spark, ps), seed, capped).collect()} for capped in (False, True))
+    assert levels == walked
+    return levels
 
 
 def test_directions_are_transitive_and_end_on_cycles(spark):
@@ -80,6 +82,15 @@ def test_directions_are_transitive_and_end_on_cycles(spark):
     assert kinds(spark, [], ["S", "A"]) == {"A": "unrelated"}
 
 
+def test_frontiers_that_are_dealt_by_key(spark, monkeypatch):
+    r = random.Random(3)
+    ps = [(f"n{r.randrange(60)}", f"n{r.randrange(60)}") for _ in range(90)] + [(None, "n1"), ("n1", None), ("n2", "n2")]
+    names = [f"n{i}" for i in range(60)]
+    few = kinds(spark, ps, names, "n1")
+    monkeypatch.setattr(direction, "FEW", 0)
+    assert kinds(spark, ps, names, "n1") == few and len(set(few.values())) > 1
+
+
 def test_seed_edge_intents_last_label_counts(spark):
     e = edges(spark, [("S", "A"), ("A", "S"), ("A", "B")], {("S", "A"): (["background"], False), ("A", "S"): (["methodology"], True)})
     assert [tuple(r) for r in direction.seed_edge_intents(e, "S").collect()] == [("A", "methodology, influential")]
