@@ -8,11 +8,12 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .errors import LineageError
 from .operators.expand import Caps, expand
 from .operators.lookup import search
 from .operators.select import filter_by_idea
 from .plans.lineage import curated_lineage, expansion_json, graph_json, page, write_text
-from .sources.host import Settings, SourceError
+from .sources.host import Settings
 from .sources.records import read_graph
 
 
@@ -50,7 +51,7 @@ def _seed(works, text: str):
     """The seed in the type of the works' ids."""
     row = works.where(F.col("id").cast("string") == text).select("id").first()
     if row is None:
-        raise SourceError(f"no work has the id {text}")
+        raise LineageError(f"no work has the id {text}")
     return row.id
 
 
@@ -84,7 +85,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         g = curated_lineage(works, cites, refs, seed, a.idea, None, caps, told.shortlist, told.max_keep, top_k, warn=lambda text: print(f"warning: {text}", file=sys.stderr))
         write_text(spark, a.out, page(g, seed, a.idea, top_k, a.title))
         return 0
-    except (SourceError, ValueError) as problem:
+    except (LineageError, ValueError) as problem:
         print(f"error: {problem}", file=sys.stderr)
         return 1
 

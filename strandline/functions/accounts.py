@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,6 +49,29 @@ def token_is_current(issued_s: Column, now_s: Column) -> Column:
     return (now_s - issued_s).between(EARLIEST_S, LATEST_S)
 
 
+def _mac(message: Column, secret: str) -> Column:
+    """HMAC-SHA256 in hex: the padded key goes before the message, and again before that hash."""
+    key = secret.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(k ^ pad for k in key)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
+
+
+def session_token(user_id: Column, issued_s: Column, secret: str) -> Column:
+    """``user.issued.signature``."""
+    message = F.concat_ws(".", user_id.cast("string"), issued_s.cast("string"))
+    return F.concat_ws(".", message, _mac(message, secret))
+
+
+def session_user(token: Column, now_s: Column, secret: str) -> Column:
+    """Whom a token was signed for; null if it is forged, malformed or not current."""
+    parts = F.split(token, r"\.")
+    user, issued = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    lawful = (F.size(parts) == 3) & user.rlike("^[0-9]{1,18}$") & issued.rlike("^[0-9]{1,18}$")
+    signed = F.get(parts, F.lit(2)) == _mac(F.concat_ws(".", user, issued), secret)
+    return F.when(lawful & signed & token_is_current(issued.try_cast("long"), now_s), user.try_cast("long"))
+
+
 def to_iso(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
 

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import ReplyError
 from ..functions import wording as W
 
 MAX_BEATS, MAX_ALTERNATIVES = 6, 3
@@ -17,10 +18,6 @@ NARRATIVE = "struct<headline:string,overview:string,beats:array<struct<title:str
 GUESS = "struct<title:string,search_query:string,authors:string,year:string,confidence:string,reasoning:string,alternatives:array<struct<title:string,note:string>>>"
 
 
-class ReplyError(ValueError):
-    """A model's reply can't be used."""
-
-
 def json_object(reply: str) -> dict:
     """The JSON object in a reply, which may stand in a code fence or between sentences."""
     text = reply.strip()

@@ -204,6 +204,16 @@ def account_fields(spark, sf_dir):
     return o.select("o_orderkey", accounts.email(raw).alias("email"), accounts.invite_hash(code).alias("invite"), token.alias("token"), accounts.from_url_base64(token).cast("string").alias("token_text"), accounts.to_iso(F.col("at")).alias("created"), accounts.token_is_current(F.unix_seconds("at"), F.lit(900_000_000)).alias("current"))
 
 
+@query
+def session_tokens(spark, sf_dir):
+    """Tokens signed at each order's time, some of them altered, and whom they are good for."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("at"))
+    token = accounts.session_token(F.col("o_custkey"), F.col("at"), "a secret")
+    sent = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("1"), token)).when(F.col("o_orderkey") % 5 == 1, F.concat(token, F.lit(".x"))).otherwise(token)
+    now = F.col("at") + (F.col("o_orderkey") % 3 - 1) * (20 * 24 * 3600)
+    return o.select("o_orderkey", token.alias("token"), accounts.session_user(sent, now, "a secret").alias("user_id"))
+
+
 # Text and search
 
 

@@ -10,12 +10,12 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import LineageError, ReplyError
 from ..functions import wording as W
 from ..operators import contract, direction, layout, lookup, prompts, relate, select
 from ..operators.enrich import enrich
 from ..operators.expand import Caps, Expansion, expand
 from ..sources import cache as works_cache
-from ..sources.host import SourceError
 from ..sources.shared import stored
 
 
@@ -69,7 +69,7 @@ def curated_lineage(works: DataFrame, cites: DataFrame, refs: DataFrame, seed, i
         return plain()
     if chat is None:
         if mode == "llm":
-            raise prompts.ReplyError("no language model to ask")
+            raise ReplyError("no language model to ask")
         warn("no language model: kept by keywords")
         return plain()
     try:
@@ -80,8 +80,8 @@ def curated_lineage(works: DataFrame, cites: DataFrame, refs: DataFrame, seed, i
         reply = prompts.json_object(chat(prompts.curation_messages(about, idea, lines, max_keep)))
         g = select.curated(more.nodes, more.edges, found, works.sparkSession.createDataFrame([(json.dumps(reply),)], "reply string"), seed, max_keep)
         if g.nodes.where(F.col("id") != F.lit(seed)).isEmpty():
-            raise prompts.ReplyError("the reply keeps no candidate")
-    except (prompts.ReplyError, SourceError) as problem:
+            raise ReplyError("the reply keeps no candidate")
+    except LineageError as problem:
         if mode == "llm":
             raise
         warn(f"{problem}: kept by keywords")
@@ -90,7 +90,7 @@ def curated_lineage(works: DataFrame, cites: DataFrame, refs: DataFrame, seed, i
     if tell:
         try:
             g = replace(g, story=narrative(g, seed, idea, chat))
-        except (prompts.ReplyError, SourceError) as problem:
+        except LineageError as problem:
             warn(f"{problem}: no story is told")
     return g
 
@@ -104,11 +104,11 @@ def narrative(g: select.Graph, seed, idea: str, chat: prompts.Chat) -> dict:
     groups = [f"- {r['name']} ({r['role']}): {r['summary']}" for r in clusters.orderBy("ord").collect()]
     title = nodes.where(F.col("id") == F.lit(seed)).first()
     if title is None or not papers:
-        raise prompts.ReplyError("there is nothing to write about")
+        raise ReplyError("there is nothing to write about")
     reply = prompts.json_object(chat(prompts.narrative_messages(title.title, idea, groups, papers)))
     overview = str(reply.get("overview") or "").strip()
     if not overview:
-        raise prompts.ReplyError("the reply has no overview")
+        raise ReplyError("the reply has no overview")
     frame = nodes.sparkSession.createDataFrame([(json.dumps(reply),)], "reply string")
     beats = [{"title": r.title, "text": r.text, "node_ids": list(r.node_ids)} for r in prompts.beats_of(frame, numbered).orderBy("beat").collect()]
     return {"headline": str(reply.get("headline") or "").strip(), "overview": overview, "beats": beats}
@@ -120,7 +120,7 @@ def identify_seed(spark, description: str, chat: prompts.Chat) -> DataFrame:
     reply = prompts.json_object(chat([{"role": "system", "content": ask}, {"role": "user", "content": description}]))
     guess = prompts.guess_of(spark.createDataFrame([(json.dumps(reply),)], "reply string"))
     if guess.isEmpty():
-        raise prompts.ReplyError("the reply has no search_query")
+        raise ReplyError("the reply has no search_query")
     return guess
 
 

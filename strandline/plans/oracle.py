@@ -115,6 +115,12 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'user' || o_custkey || '@ex
   strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S+00:00') AS created, 900000000 - epoch_us(o_orderdate) // 1000000 BETWEEN -60 AND 2592000 AS current
 FROM orders"""
 
+_PADS = ["'" + "".join(f"\\x{k ^ pad:02X}" for k in b"a secret".ljust(64, b"\0")) + "'::BLOB" for pad in (0x36, 0x5C)]
+ORACLE_SQL["session_tokens"] = f"""
+WITH o AS (SELECT o_orderkey, o_custkey, epoch_us(o_orderdate) // 1000000 AS at, o_custkey || '.' || epoch_us(o_orderdate) // 1000000 AS said FROM orders)
+SELECT o_orderkey, said || '.' || sha256({_PADS[1]} || unhex(sha256({_PADS[0]} || CAST(said AS BLOB)))) AS token,
+  CASE WHEN o_orderkey % 5 > 1 AND o_orderkey % 3 >= 1 THEN o_custkey END AS user_id FROM o"""
+
 # Text and search
 
 ORACLE_SQL["tokenize_documents"] = f"""

@@ -14,20 +14,14 @@ from dataclasses import dataclass, fields
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..errors import OverBudget, SourceError
+
 #: Fixed values of the sources' protocols.
 RETRIED = (429, 500, 502, 503, 504)
 LONGEST_WAIT, IDS_AT_ONCE, DOIS_AT_ONCE = 10.0, 50, 25
 NEIGHBOUR_FIELDS, PAPER_FIELDS = ("intents", "isInfluential"), ("paperId", "externalIds", "title", "abstract", "year", "venue", "citationCount", "authors")
 
 
-class SourceError(Exception):
-    """A source can't answer."""
-
-
-class OverBudget(SourceError):
-    """The requests of a run are used up."""
-
-
 @dataclass(frozen=True)
 class Settings:
     total_cap: int = 500
@@ -54,6 +48,16 @@ class Settings:
                 out[name.strip()] = value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "'\"" else value
         return out
 
+    @classmethod
+    def load(cls, path: str, env: Mapping[str, str] = os.environ) -> Settings:
+        """Values of a settings file, where there is one, under those of the environment."""
+        try:
+            with open(path, encoding="utf-8") as f:
+                told = cls.file_values(f.read())
+        except FileNotFoundError:
+            told = {}
+        return cls.from_env(told | dict(env))
+
     @classmethod
     def from_env(cls, env: Mapping[str, str] = os.environ, prefix: str = "STRANDLINE_") -> Settings:
         """Typed values of ``PREFIX_NAME`` variables; unset, empty and malformed ones keep the default."""
@@ -97,6 +101,13 @@ class Client:
         self.get, self.retries, self.budget, self.interval, self.sleep, self.clock = get, retries, budget, interval_s, sleep, clock
         self.made, self.last, self.lock = 0, None, threading.Lock()
 
+    def __enter__(self) -> Client:
+        return self
+
+    def __exit__(self, *problem) -> None:
+        """A closed client has no budget left; ``made`` still tells its requests."""
+        self.budget = self.made
+
     def fetch(self, url: str) -> dict:
         if self.budget is not None and self.made >= self.budget:
             raise OverBudget(f"{self.made} requests were made")
@@ -173,8 +184,8 @@ class JsonApi(DataSource):
 
     Options: ``url`` with ``{keys}`` where a batch goes, ``keys`` (commas
     between), ``batch`` (50), ``separator`` (``|``), ``results`` (the reply's
-    list, ``results``), ``params`` (more query text, as credentials), ``retries``
-    and ``timeout``. A batch is a partition, so a failed one is asked for again
+    list, ``results``), ``mailto`` and ``api_key`` (who asks), ``params`` (more
+    query text), ``retries`` and ``timeout``. A batch is a partition, so a failed one is asked for again
     by Spark as well.
     """
 
@@ -204,7 +215,9 @@ class JsonApiReader(DataSourceReader):
         client = Client(http_get(float(o.get("timeout", 30))), int(o.get("retries", 3)))
         asked = urllib.parse.quote(o.get("separator", "|").join(partition.keys), safe=":/|,")
         url = o["url"].replace("{keys}", asked)
-        if o.get("params"):
-            url += ("&" if "?" in url else "?") + o["params"]
+        who = urllib.parse.urlencode({k: o[k] for k in ("mailto", "api_key") if o.get(k)})
+        for more in (who, o.get("params")):
+            if more:
+                url += ("&" if "?" in url else "?") + more
         for record in client.fetch(url).get(o.get("results", "results")) or []:
             yield (json.dumps(record),)

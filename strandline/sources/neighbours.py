@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import blank_to_null
-from .host import NEIGHBOUR_FIELDS, PAPER_FIELDS
+from .host import PAPER_FIELDS, nested_fields
 from .records import neighbours_from_json, papers_from_json
 
 #: Neighbours of each list at most.
@@ -18,8 +18,7 @@ LIMIT = 500
 
 
 def _asked(path: str, of: str, limit: int) -> str:
-    fields = ",".join([*NEIGHBOUR_FIELDS, *(f"{of}.{f}" for f in PAPER_FIELDS)])
-    return f"{path}?fields={fields}&limit={limit}"
+    return f"{path}?fields={nested_fields(of)}&limit={limit}"
 
 
 def refs_of(spark: SparkSession, fetch: Callable[[str], dict], reference: str, limit: int = LIMIT) -> DataFrame:

@@ -111,3 +111,17 @@ def test_cut_abstract_drops_the_broken_word(spark):
 def test_script_safe_and_paragraphs(spark):
     assert one(spark, wording.script_safe(F.lit("a</script>"))) == "a<\\/script>"
     assert one(spark, wording.paragraphs(F.lit("a\n \n b \n\n\n"))) == ["a", "b"]
+
+
+def test_session_tokens(spark):
+    import hashlib
+    import hmac
+
+    from strandline.functions import accounts
+
+    for secret in ("s", "k" * 100):
+        good = "7.1000." + hmac.new(secret.encode(), b"7.1000", hashlib.sha256).hexdigest()
+        odd = {good: 7, good + "0": None, "8" + good[1:]: None, "7.1000": None, "": None, "x.1000." + good[7:]: None, good + ".x": None}
+        df = spark.createDataFrame([(t,) for t in odd], "t string")
+        said = df.select("t", accounts.session_user(F.col("t"), F.lit(1500), secret).alias("u"), accounts.session_user(F.col("t"), F.lit(1000 + 31 * 24 * 3600), secret).alias("late"), accounts.session_token(F.lit(7), F.lit(1000), secret).alias("own")).collect()
+        assert {r.t: r.u for r in said} == odd and {r.late for r in said} == {None} and {r.own for r in said} == {good}

@@ -6,6 +6,7 @@ from urllib.parse import parse_qs, urlparse
 import pytest
 from pyspark.sql import functions as F
 
+from strandline.errors import LineageError
 from strandline.functions import accounts
 from strandline.sources import cache, host, records
 
@@ -119,3 +120,20 @@ def test_stored_tables_are_released(spark):
     shared.release(spark)
     assert not Path(b.stored_at).exists()
     shared._made[:] = kept
+
+
+def test_settings_file_under_the_environment(tmp_path):
+    path = tmp_path / "settings"
+    path.write_text("# caps\nexport STRANDLINE_TOTAL_CAP = 7\nSTRANDLINE_TOP_K='9'\nSTRANDLINE_CACHE=no\n\nbroken line\nSTRANDLINE_FANOUT_CAP=x\n")
+    got = host.Settings.load(str(path), {"STRANDLINE_TOP_K": "11"})
+    assert (got.total_cap, got.top_k, got.cache, got.fanout_cap) == (7, 11, False, 100)
+    assert host.Settings.load(str(tmp_path / "none"), {}) == host.Settings()
+
+
+def test_a_closed_client_asks_no_more():
+    with host.Client(lambda url: (200, {}, b"{}")) as c:
+        assert c.fetch("u") == {}
+    assert c.made == 1
+    with pytest.raises(host.OverBudget):
+        c.fetch("u")
+    assert issubclass(host.OverBudget, LineageError)
