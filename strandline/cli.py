@@ -12,7 +12,7 @@ from .errors import LineageError
 from .operators.expand import Caps, expand
 from .operators.lookup import search
 from .operators.select import filter_by_idea
-from .plans.lineage import curated_lineage, expansion_json, graph_json, page, write_text
+from .plans.lineage import curated_lineage, expansion_json, graph_json, load_graph, page, write_text
 from .sources.host import Settings
 from .sources.records import read_graph
 
@@ -40,10 +40,12 @@ def parser() -> argparse.ArgumentParser:
         else:
             p.add_argument("--refs", help="table of what the second source says")
             p.add_argument("--title", default="Lineage")
-    for name in ("filter", "render"):
-        p = sub.add_parser(name, parents=[asked], help="an expansion's JSON to a filtered graph's, or to a page")
-        p.add_argument("--expansion", required=True)
-        p.add_argument("--title", default="Lineage")
+    p = sub.add_parser("filter", parents=[asked], help="an expansion's JSON to a filtered graph's")
+    p.add_argument("--expansion", required=True)
+    p = sub.add_parser("render", help="a filtered graph's JSON to a page")
+    for option in ("--graph", "--out"):
+        p.add_argument(option, required=True)
+    p.add_argument("--title", default="Lineage")
     return out
 
 
@@ -66,12 +68,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             for line in found.drop("abstract").toJSON().collect():  # limit rows
                 print(line)
             return 0
-        if a.command in ("filter", "render"):
+        if a.command == "render":
+            g, seed, idea, top_k = load_graph(spark, a.graph)
+            write_text(spark, a.out, page(g, seed, idea, top_k, a.title))
+            return 0
+        if a.command == "filter":
             g = read_graph(spark, a.expansion)
             seed, top_k = g["meta"].first().seed_id, a.top_k or told.top_k
             kept = filter_by_idea(g["nodes"], g["edges"], seed, a.idea, top_k)
-            text = graph_json(kept, seed, a.idea, top_k).first().json if a.command == "filter" else page(kept, seed, a.idea, top_k, a.title)
-            write_text(spark, a.out, text)
+            write_text(spark, a.out, graph_json(kept, seed, a.idea, top_k).first().json)
             return 0
         works, cites = spark.read.parquet(a.works), spark.read.parquet(a.cites)
         seed, caps = _seed(works, a.seed), Caps(a.total or told.total_cap, a.fanout or told.fanout_cap, told.strategy)

@@ -16,6 +16,7 @@ from ..operators import contract, direction, layout, lookup, prompts, relate, se
 from ..operators.enrich import enrich
 from ..operators.expand import Caps, Expansion, expand
 from ..sources import cache as works_cache
+from ..sources.records import read_graph
 from ..sources.shared import stored
 
 
@@ -153,6 +154,16 @@ def expansion_json(nodes: DataFrame, edges: DataFrame, seed, truncated: bool) ->
     return both.select(F.to_json(F.struct(F.lit(str(seed)).alias("seed_id"), F.lit(truncated).alias("truncated"), "nodes", "edges")).alias("json"))
 
 
+def load_graph(spark, path: str) -> tuple[select.Graph, str, str, int]:
+    """A filtered graph from the JSON that ``graph_json`` makes, older ones too, with its seed, idea and top_k; ready to be drawn or summed up."""
+    got = read_graph(spark, path)
+    meta = got["meta"].first()
+    nodes = got["nodes"].withColumnRenamed("bm25_score", "score").withColumn("rank", (F.col("ord") + 1).cast("int"))
+    clusters = None if got["clusters"].isEmpty() else got["clusters"]
+    story = meta.narrative.asDict(recursive=True) if meta.narrative else None
+    return select.Graph(nodes, got["edges"], clusters, meta.curation, meta.curation_notes, story), meta.seed_id, meta.idea_text, meta.top_k
+
+
 def run_summary(e: Expansion, g: select.Graph, report: DataFrame, seed) -> DataFrame:
     """One row of what a run came to: the seed, how much was met, kept and labelled, how it was chosen."""
     own = g.nodes.where(F.col("id") == F.lit(seed)).select(F.col("id").cast("string").alias("seed_id"), F.col("title").alias("seed_title"), F.col("publication_year").alias("seed_year"))

@@ -127,6 +127,9 @@ def test_curated_run_narrative_and_page(spark, tmp_path):
     assert back["narrative"]["beats"][0]["node_ids"] == ["R"] and back["curation"] == "llm" and back["curation_notes"] == "rest"
     page = lineage.page(g, "S", "small ring", 1, "A <title>")
     assert page.count("<circle") == 3 and "A &lt;title&gt;" in page and "across 1 concept clusters" in page  # two works and their cluster
+    lineage.write_text(spark, str(tmp_path / "g.json"), doc)
+    back, seed, idea, top_k = lineage.load_graph(spark, str(tmp_path / "g.json"))
+    assert (seed, idea, top_k) == ("S", "small ring", 1) and back.story["beats"][0]["node_ids"] == ["R"] and lineage.page(back, seed, idea, top_k, "A <title>").count("<circle") == 3
     assert "<h2>h</h2>" in page and "Seed paper" in page and "Where the idea came from" in page and "Roots\n(1 papers)" in page
     lineage.write_text(spark, str(tmp_path / "p.html"), page)
     assert (tmp_path / "p.html").read_text() == page
@@ -200,7 +203,8 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["expand", "--works", at("w"), "--cites", at("c"), "--seed", "S", "--out", at("e.json")], spark) == 0
     assert cli.main(["filter", "--expansion", at("e.json"), "--idea", "small ring", "--top-k", "1", "--out", at("f.json")], spark) == 0
     assert {n["id"] for n in json.loads((tmp_path / "f.json").read_text())["nodes"]} == {"R", "S"}
-    assert cli.main(["render", "--expansion", at("e.json"), "--idea", "small ring", "--out", at("p.html")], spark) == 0
+    assert cli.main(["render", "--graph", at("f.json"), "--out", at("p.html")], spark) == 0
+    assert (tmp_path / "p.html").read_text().count("<circle") == 2
     assert cli.main(["run", "--works", at("w"), "--cites", at("c"), "--refs", at("r"), "--seed", "S", "--idea", "ring", "--out", at("run.html")], spark) == 0
     assert "<svg" in (tmp_path / "run.html").read_text() and "warning: no language model" in capsys.readouterr().err
     assert cli.main(["expand", "--works", at("w"), "--cites", at("c"), "--seed", "none", "--out", at("x")], spark) == 1
