@@ -14,7 +14,7 @@ import heapq
 import numpy as np
 
 #: Texts that are read side by side, and positions whose states are held at once.
-LANES, HELD = 256, 1 << 19
+LANES, HELD = 256, 1 << 18
 
 
 def _sigmoid(a: np.ndarray) -> np.ndarray:

@@ -89,32 +89,32 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> BiGRU | None:
     return BiGRU([*langs, NOISE]).train(data)
 
 
-def predict(docs: DataFrame, net: BiGRU | None) -> DataFrame:
-    """Every column of ``docs`` as k0, k1, ... with ``lang_pred``, ``score``, and ``noise`` (the share of no language) behind, for whole texts."""
-    held = docs.sparkSession.sparkContext.broadcast(net)
+def predict(docs: DataFrame, net: BiGRU | None, text_too: bool = True) -> DataFrame:
+    """Every column of ``docs`` as k0, k1, ... with ``lang_pred``, ``score``, and ``noise`` (the share of no language) behind, for whole texts; the text itself, if ``text_too``."""
+    held, at = docs.sparkSession.sparkContext.broadcast(net), docs.columns.index("text")
+    back = [i for i in range(len(docs.columns)) if text_too or i != at]
 
     def run(batches):
         net = held.value
         for b in batches:
-            texts, n = b.column(0), b.num_rows
-            lang, score, none = [UNDETERMINED] * n, [0.0] * n, [0.0] * n
-            i = 0 if net else n
-            while i < n:
-                group, size, at = [], 0, i
-                while i < n and (i == at or size < GROUP):
-                    text = texts[i].as_py()
-                    group.append(as_bytes(text) if has_letter(text) else b"")
+            i = 0
+            while i < b.num_rows:
+                group, size, first = [], 0, i
+                while i < b.num_rows and (i == first or size < GROUP):
+                    text = b.column(at)[i].as_py()
+                    group.append(as_bytes(text) if net and has_letter(text) else b"")
                     size += len(group[-1])
                     i += 1
-                sums = net.pooled(group)
-                for k, (t, p) in enumerate(zip(group, sums), at):
+                lang, score, none = [UNDETERMINED] * len(group), [0.0] * len(group), [0.0] * len(group)
+                for k, (t, p) in enumerate(zip(group, net.pooled(group) if net else group)):
                     if t:
                         best = int(p[:-1].argmax())
                         lang[k], score[k], none[k] = net.classes[best], float(p[best] / max(p[:-1].sum(), 1e-30)), float(p[-1] / p.sum())
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(none, pa.float64())], names=[*b.schema.names[1:], "lang_pred", "score", "noise"])
+                part = b.slice(first, len(group))
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in back), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(none, pa.float64())], names=[*(f"k{i}" for i in back), "lang_pred", "score", "noise"])
 
-    schema = ", ".join([*(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema)), "lang_pred string", "score double", "noise double"])
-    return docs.select(F.col("text").alias("t"), *(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(docs.columns))).mapInArrow(run, schema)
+    schema = ", ".join([*(f"k{i} {docs.schema[i].dataType.simpleString()}" for i in back), "lang_pred string", "score double", "noise double"])
+    return docs.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(docs.columns))).mapInArrow(run, schema)
 
 
 def determined(docs: DataFrame) -> DataFrame:
@@ -146,5 +146,5 @@ def identify(docs: DataFrame) -> DataFrame:
     about its size. Repeated rows are labelled each; other columns are ignored.
     """
     net = learn(docs.where(~held_out()))
-    told = predict(docs.select("doc_id", "text"), net)
+    told = predict(docs.select("doc_id", "text"), net, text_too=False)
     return told.select(F.col("k0").alias("doc_id"), held_out("k0").alias("held_out"), "lang_pred", F.least("score", F.lit(1.0)).alias("score"), "noise")
