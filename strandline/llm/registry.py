@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, embedding, language, licenses, packing, quality, simhash, substring, warc
+from . import chat, decontaminate, embedding, language, licenses, mixing, packing, quality, simhash, substring, warc
 from .common import table
 
 
@@ -47,6 +47,10 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op12_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents")).taken().drop("source")
+
+
 QUERIES = {
     "op1_substring": op1_substring,
     "op2_embedding": op2_embedding,
@@ -58,6 +62,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
     "op10_simhash": op10_simhash,
+    "op12_mixing": op12_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
