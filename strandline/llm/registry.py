@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, embedding, language, licenses, mixing, packing, quality, simhash, substring, warc
+from . import chat, collocation, decontaminate, embedding, language, licenses, mixing, packing, quality, simhash, spelling, substring, warc
 from .common import table
 
 
@@ -47,10 +47,18 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op11_spelling(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).taken().drop("source")
 
 
+def op13_collocation(spark, sf_dir):
+    return collocation.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring": op1_substring,
     "op2_embedding": op2_embedding,
@@ -62,7 +70,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
     "op10_simhash": op10_simhash,
+    "op11_spelling": op11_spelling,
     "op12_mixing": op12_mixing,
+    "op13_collocation": op13_collocation,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -72,4 +82,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_licenses": licenses.sql(),
     "op8_warc": warc.SQL,
     "op9_decontaminate": decontaminate.sql(),
+    "op11_spelling": spelling.SQL,
+    "op13_collocation": collocation.SQL,
 }
