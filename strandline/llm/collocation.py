@@ -33,7 +33,9 @@ LONGEST, LEAST, COVERED = 5, 100, 100
 #: Phrases of a language that are returned.
 TOP = 2000
 #: Suffixes picked by hash to balance ranges, at most, and bytes kept of each; suffixes of a range, about.
-SAMPLE, SAMPLE_BYTES, A_RANGE = 20_000, 96, 2_000_000
+SAMPLE, SAMPLE_BYTES, A_RANGE = 20_000, 96, 1_000_000
+#: Bytes of texts whose suffixes are held at once.
+WINDOW = 1 << 20
 #: Bits of the bitmap of frequent words, at least and at most: 32 MB.
 BITS = (1 << 20, 1 << 28)
 
@@ -92,7 +94,7 @@ def _words_counted(longest: int, sample: int):
     def count(batches):
         for b in batches:
             lang, names = _langs(b.column(1))
-            for w in words(b, PIECES, longest - 1):
+            for w in words(b, PIECES, longest - 1, WINDOW):
                 code, which, text = _coded(w, lang, names)
                 own = len(code) - w.ahead
                 n = np.bincount(code[:own], minlength=len(which))
@@ -170,7 +172,7 @@ def _emitted(held, cuts, longest: int):
         for b in batches:
             lang, names = _langs(b.column(1))
             safe = _escaped(pa.array(names, pa.string())).to_pylist()
-            for w in words(b, PIECES, longest - 1):
+            for w in words(b, PIECES, longest - 1, WINDOW):
                 code, which, text = _coded(w, lang, names)
                 at = np.array([_bit(names[k], x, bits) for k, x in zip(which, text.to_pylist())], np.int64)
                 rare = (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1) == 0
@@ -179,7 +181,7 @@ def _emitted(held, cuts, longest: int):
                 suffix = suffix[suffix[:, 0] >= 0]
                 if not len(suffix):
                     continue
-                suffix, n = _different(suffix)
+                suffix, n = _different(suffix, len(which))
                 text = _escaped(text)
                 columns = [pa.array([safe[k] for k in which], pa.string()).take(pa.array(suffix[:, 0]))]
                 for k in range(longest):
@@ -193,10 +195,17 @@ def _emitted(held, cuts, longest: int):
     return emit
 
 
-def _different(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Different rows and how often each stands there."""
-    order = np.lexsort(rows.T[::-1])
-    rows = rows[order]
+def _different(rows: np.ndarray, codes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different rows and how often each stands there, by first two words; where hashes of the others meet, a row may come twice."""
+    bits = np.uint64(max(1, codes.bit_length()))
+    rest = np.zeros(len(rows), np.uint64)
+    for k in range(2, rows.shape[1]):
+        rest = (rest ^ (rows[:, k] + 1).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        rest ^= rest >> np.uint64(31)
+    key = rows[:, 0].astype(np.uint64) << (np.uint64(64) - bits) | rest >> (np.uint64(2) * bits)
+    if rows.shape[1] > 1:
+        key |= (rows[:, 1] + 1).astype(np.uint64) << (np.uint64(64) - np.uint64(2) * bits)
+    rows = rows[np.argsort(key)]
     new = np.append(True, (rows[1:] != rows[:-1]).any(axis=1))
     at = np.flatnonzero(new)
     return rows[at], np.diff(np.append(at, len(rows)))
@@ -358,7 +367,7 @@ def phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, a_range
     cuts = ranges_of([(r.lang, r.word) for r in picked], bitmap, ranges, longest)
     sc = spark.sparkContext
     suffixes = texts.mapInArrow(_emitted(sc.broadcast(bitmap), sc.broadcast(cuts), longest), "part int, key binary, n long")
-    dealt = suffixes.repartition(ranges, "part").sortWithinPartitions("part", F.desc("key"))
+    dealt = suffixes.repartition(ranges, "part").sortWithinPartitions(F.desc("key"))  # ranges follow each other by key
     found = dealt.mapInArrow(_stacked(longest, least), "lang string, phrase string, size int, f long")
     # What reaches over a cut has several counts.
     return found.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least), total

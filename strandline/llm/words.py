@@ -61,7 +61,7 @@ PIECES[[0x20, 0x09]] = GAP
 PIECES[[*b".,;:!?\n\x0b\x0c\r"]] = STOP
 
 
-def words(batch: pa.RecordBatch, table: np.ndarray | None = PIECES, context: int = 0) -> Iterator[Words]:
+def words(batch: pa.RecordBatch, table: np.ndarray | None = PIECES, context: int = 0, window: int | None = None) -> Iterator[Words]:
     """Words of the first column (binary; null: none), cut by ``table``, or runs of Latin-1 letters without one.
 
     Short texts are cut many at once, long ones a window at a time, which ends
@@ -71,7 +71,7 @@ def words(batch: pa.RecordBatch, table: np.ndarray | None = PIECES, context: int
     column = batch.column(0).cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     whole = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-    n, at, window = len(column), 0, WINDOW
+    n, at, window = len(column), 0, window or WINDOW
     while at < n:
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + window, "right")) - 1)
         data = whole[offsets[at] : offsets[end]]

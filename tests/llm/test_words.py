@@ -131,7 +131,7 @@ COLUMNS = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
 
 @pytest.mark.parametrize(("window", "a_range"), [(1 << 20, 1 << 20), (64, 20)])
 def test_collocations_are_plain_counts(docs_of, monkeypatch, window, a_range):
-    monkeypatch.setattr(words, "WINDOW", window)
+    monkeypatch.setattr(collocation, "WINDOW", window)
     r = random.Random(a_range)
     vocabulary = ["the", "a", "a\x01", "a\x00", "\x00", "\x01", "of", "Été", "|", "x" * 80, "x" * 80 + "y", *(f"w{i}" for i in range(30))]
     rows = []
