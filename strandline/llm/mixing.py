@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.rank import placed
@@ -27,15 +27,19 @@ A_BUCKET, A_RUN = 50_000, 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def permuted(x: Column, n: Column, *salt) -> Column:
-    """A pseudorandom permutation of 0..n-1, another for every ``salt``: the swap-or-not shuffle, ROUNDS times a partner and a coin that both of a pair see alike."""
-    salt = [F.lit(s) for s in salt]
+def permuted(rows: DataFrame, x: str, n: str, salt: list) -> DataFrame:
+    """``rows`` with column ``x`` sent through a pseudorandom permutation of 0..``n``-1, another for every ``salt``.
 
-    def step(x, r):
-        y = F.pmod(F.pmod(F.xxhash64(*salt, r), n) - x, n)
-        return F.when(F.xxhash64(*salt, r, F.greatest(x, y)).bitwiseAND(1) == 1, y).otherwise(x)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x.cast("long"), step)
+    The swap-or-not shuffle: ROUNDS times a partner and a coin that both of a
+    pair see alike. A round is a projection of its own, which compiles; the
+    result is to be written down before it is filtered or joined, as a filter
+    pushed below would repeat all rounds.
+    """
+    for r in range(ROUNDS):
+        other = F.pmod(F.pmod(F.xxhash64(*salt, F.lit(r)), F.col(n)) - F.col(x), F.col(n))
+        heads = F.xxhash64(F.greatest(x, other), *salt, F.lit(r)).bitwiseAND(1) == 1
+        rows = rows.withColumn(x, F.when(heads, other).otherwise(F.col(x)))
+    return rows
 
 
 def running(rows: DataFrame, keys: list[str], at: str, value: str, out: str) -> DataFrame:
@@ -130,14 +134,18 @@ def slots_of(sources: DataFrame, shard: int, seed: int) -> DataFrame:
     each = stored(running(running(each, [], "no", "over", "over_at"), [], "no", "short", "lo"), "mix-settled")
     spare = max(each.agg(F.sum("over")).first()[0] or 0, 1)
     first = running(counts, ["no"], "shard", "c", "first").join(each.select("no", "blocks", "quota", "drawn", "over_at"), "no")
-    slots = first.withColumn("k", F.explode(F.sequence("first", F.col("first") + F.col("c") - 1)))
-    slots = slots.select("shard", F.xxhash64("no", "k", F.lit(seed)).alias("turn"), "no", "blocks", "quota", "over_at", permuted(F.col("k"), F.col("drawn"), seed, F.lit("draw"), F.col("no")).alias("i"))
+    tasks = max(spark.sparkContext.defaultParallelism, total >> 20)
+    slots = first.repartition(tasks, "shard", "no").withColumn("i", F.explode(F.sequence("first", F.col("first") + F.col("c") - 1)))
+    slots = slots.select("shard", F.xxhash64("no", "i", F.lit(seed)).alias("turn"), "no", "blocks", "quota", "drawn", "over_at", "i")
+    slots = stored(permuted(slots, "i", "drawn", [F.lit(seed), F.lit("draw"), F.col("no")]).drop("drawn"), "mix-slots")
     own = slots.where("i < quota").select("shard", "turn", "no", "blocks", "i")
-    over = slots.where("i >= quota").select("shard", "turn", permuted(F.col("over_at") + F.col("i") - F.col("quota"), F.lit(spare), seed, F.lit("over")).alias("e"))
+    over = slots.where("i >= quota").select("shard", "turn", (F.col("over_at") + F.col("i") - F.col("quota")).alias("e"), F.lit(spare).cast("long").alias("spare"))
+    over = stored(permuted(over, "e", "spare", [F.lit(seed), F.lit("over")]), "mix-over")
     short = each.select("no", "blocks", "drawn", "lo", (F.col("lo") + F.col("short")).alias("hi"))
     given = located(over, "e", short, spare, n).select("shard", "turn", "no", "blocks", (F.col("drawn") + F.col("e") - F.col("lo")).alias("i"))
     both = own.unionByName(given).withColumn("pass", F.expr("i div blocks"))
-    return both.select("shard", "turn", "no", permuted(F.col("i") - F.col("pass") * F.col("blocks"), F.col("blocks"), seed, F.lit("block"), F.col("no"), F.col("pass")).alias("block"))
+    both = both.select("shard", "turn", "no", "pass", "blocks", (F.col("i") - F.col("pass") * F.col("blocks")).alias("block"))
+    return stored(permuted(both, "block", "blocks", [F.lit(seed), F.lit("block"), F.col("no"), F.col("pass")]).select("shard", "turn", "no", "block"), "mix-blocks")
 
 
 class Mix:
@@ -145,12 +153,13 @@ class Mix:
 
     def __init__(self, docs: DataFrame, weights, share: float, repeats: int, block: int, shard: int, seed: int):
         self.docs = docs.select("doc_id", "source", F.col("text").alias("text"))
-        self.block, self.shard, self.seed = block, shard, seed
+        self.block = block
         size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
         sizes = self.docs.select("doc_id", "source", F.xxhash64("text").alias("tie"), size.alias("size"))
         self.sizes = stored(sizes.groupBy("doc_id", "source", "tie", "size").agg(F.count(F.lit(1)).alias("copies")), "mix-sizes")
         self.sources = sources_of(self.sizes, weights, share, repeats, block)
         self.entries = stored(entries_of(self.sizes, self.sources), "mix-entries")
+        self.slots = slots_of(self.sources, shard, seed)
 
     def pieces(self) -> DataFrame:
         """The mix: ``shard, turn, no, block, offset, doc_id, tie, bucket, nth, copy, size, first_word, n_words``, a row for each document in a slot."""
@@ -158,7 +167,7 @@ class Mix:
         d = d.withColumn("block", F.explode(F.sequence(F.expr(f"start div {size}"), F.expr(f"(start + size - 1) div {size}"))))
         begin, end = F.greatest("start", F.col("block") * size), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * size)
         d = d.withColumns({"offset": begin - F.col("block") * size, "first_word": begin - F.col("start"), "n_words": end - begin})
-        return slots_of(self.sources, self.shard, self.seed).join(d.drop("start"), ["no", "block"])
+        return self.slots.join(d.drop("start"), ["no", "block"])
 
     def taken(self) -> DataFrame:
         """A row per document: ``doc_id, source, size, source_size, target, taken``."""
