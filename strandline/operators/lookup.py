@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import doi
 from ..functions.text import bm25, document_text, tokens
+from .titles import ALIKE, grams, plain, similarity
 
 
 def by_ids(works: DataFrame, keys: DataFrame) -> DataFrame:
@@ -56,10 +57,11 @@ def search(works: DataFrame, query: str, limit: int = 5) -> DataFrame:
     return corpus.withColumn("score", F.round(stats.score(F.col("tokens")), 6)).drop("tokens").orderBy(F.desc("score"), "id").limit(limit)
 
 
-def title_match(works: DataFrame, query: str) -> DataFrame:
-    """The work whose tokens of the title are the query's; of several the most cited, then the smallest id."""
-    same = F.array_join(tokens(F.col("title")), " ") == F.array_join(tokens(F.lit(query)), " ")
-    return works.where(same).orderBy(F.desc("cited_by_count"), "id").limit(1)
+def title_match(works: DataFrame, query: str, least: float = ALIKE) -> DataFrame:
+    """The work whose tokens of the title are the query's; if there is none, the one whose title is most alike, from ``least`` on. Of several the most cited, then the smallest id."""
+    asked, own = plain(F.lit(query)), plain(F.col("title"))
+    near = works.withColumns({"__same": own == asked, "__like": similarity(grams(own), grams(asked))}).where(F.col("__same") | (F.col("__like") >= least))
+    return near.orderBy(F.desc("__same"), F.desc("__like"), F.desc("cited_by_count"), "id").limit(1).drop("__same", "__like")
 
 
 def seed_candidates(works: DataFrame, other: DataFrame, query: str, limit: int = 5) -> DataFrame:

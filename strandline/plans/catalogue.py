@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import accounts, ids, text, wording
-from ..operators import contract, direction, enrich, layout, lookup, prompts, relate, select, throttle
+from ..operators import contract, direction, enrich, index, layout, lookup, prompts, relate, select, throttle, titles
 from ..operators.expand import Caps, Expansion, expand
-from ..sources import records, substrate
+from ..sources import cache, records, substrate
 from ..sources.shared import new_path, stored
 from ..sources.substrate import read
 from .oracle import ORACLE_SQL
@@ -239,6 +239,38 @@ def bm25_top_k(spark, sf_dir):
     return lookup.search(Setting(spark, sf_dir).works, IDEA, 25).select("id", "score")
 
 
+@query
+def bm25_indexed_top_k(spark, sf_dir):
+    """The same result from a stored index, to which a third of the works came later."""
+    folder = new_path(spark, "index")
+    w = Setting(spark, sf_dir).works.select("id", text.tokens(text.document_text(F.col("title"), F.col("abstract"))).alias("tokens"))
+    for part in ("id % 3 <> 0", "true"):  # what is there already is left out
+        index.add(w.where(part), folder)
+    return index.search(spark, folder, IDEA, 25)
+
+
+@query
+def title_similarity_join(spark, sf_dir):
+    """Titles of every fiftieth work, misspelt, and the works with titles like them."""
+    w = Setting(spark, sf_dir).works.select("id", "title")
+    wrong = F.when(F.col("id") % 3 == 0, F.concat(F.substring("title", 1, 4), F.expr("substring(title, 6)"))).when(F.col("id") % 3 == 1, F.concat(F.substring("title", 1, 7), F.lit("x"), F.expr("substring(title, 8)"))).otherwise(F.upper(F.reverse(F.reverse("title"))))
+    asked = w.where("id % 50 = 0").select("id", wrong.alias("title"))
+    return titles.alike(asked, w).select("asked_id", "id", F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def cache_segments(spark, sf_dir):
+    """Works saved in three goes, two of which are made one, and those of them that the events ask for."""
+    r, folder = Setting(spark, sf_dir).ranks, new_path(spark, "works-cache")
+    rows = lambda when, go: r.where(when).select("id", F.lit(go).alias("origin"))
+    cache.save(rows("id % 2 = 0", "first"), folder, "S")
+    cache.save(rows("id % 3 = 0", "second"), folder, "S")
+    cache.compact(spark, folder, "S", "id long, origin string")
+    cache.save(rows("id % 5 = 0 and id < 30000", "third"), folder, "S")
+    asked = read(spark, sf_dir, "events").select((F.col("event_id") * 3).alias("id"))
+    return cache.lookup(spark, folder, "S", "id long, origin string", asked)
+
+
 @query
 def search_seed_candidates(spark, sf_dir):
     s = Setting(spark, sf_dir)

@@ -35,9 +35,9 @@ def _records(e: Expansion, works: DataFrame, records: Records | None, seed=None,
     if cache is None:
         return stored(e.nodes.select("id", "hop", "ord").join(make(ids), "id"), "records")
     blank = make(ids)
-    held = works_cache.read(works.sparkSession, cache, str(seed), blank.schema)
+    held = works_cache.lookup(works.sparkSession, cache, str(seed), blank.schema, ids)
     new = stored(make(lookup.missing(held, ids)), "fetched")
-    full = lookup.cached_or_fetched(held.join(ids, "id", "left_semi"), new)
+    full = lookup.cached_or_fetched(held, new)
     out = stored(e.nodes.select("id", "hop", "ord").join(full, "id"), "records")
     works_cache.save(new, cache, str(seed))
     return out

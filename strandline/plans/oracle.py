@@ -129,6 +129,15 @@ FROM (SELECT doc_id, {TOKENS.format("text")} AS t FROM documents)"""
 ORACLE_SQL["bm25_scores_orders"] = _with(SUBSTRATE, _bm25("works", IDEA), select="SELECT id, score FROM scores")
 ORACLE_SQL["bm25_scores_documents"] = _with("d AS (SELECT doc_id AS id, '' AS title, text AS abstract FROM documents)", _bm25("d", ["the", "reer", "of", "heonand"]), select="SELECT id, score FROM scores")
 ORACLE_SQL["bm25_top_k"] = _with(SUBSTRATE, _bm25("works", IDEA), select="SELECT id, score FROM scores ORDER BY score DESC, id LIMIT 25")
+ORACLE_SQL["bm25_indexed_top_k"] = ORACLE_SQL["bm25_top_k"]
+ORACLE_SQL["title_similarity_join"] = _with(SUBSTRATE, f"""
+wrong AS (SELECT id, CASE WHEN id % 3 = 0 THEN substr(title, 1, 4) || substr(title, 6) WHEN id % 3 = 1 THEN substr(title, 1, 7) || 'x' || substr(title, 8) ELSE upper(title) END AS title FROM works WHERE id % 50 = 0),
+named AS (SELECT 0 AS side, id, array_to_string({TOKENS.format("title")}, ' ') AS t FROM wrong UNION ALL SELECT 1, id, array_to_string({TOKENS.format("title")}, ' ') FROM works),
+grams AS (SELECT side, id, CASE WHEN length(t) >= 3 THEN list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) WHEN t <> '' THEN [t] ELSE [] END AS g FROM named),
+each AS (SELECT side, id, len(g) AS n, unnest(g) AS gram FROM grams),
+shared AS (SELECT a.id AS asked_id, b.id, a.n, b.n AS m, count(*) AS c FROM each a JOIN each b ON a.gram = b.gram AND b.n * 0.79 <= a.n AND a.n * 0.79 <= b.n WHERE a.side = 0 AND b.side = 1 GROUP BY ALL)""", select="""
+SELECT asked_id, id, round(c::double / (n + m - c), 6) AS similarity FROM shared WHERE c::double / (n + m - c) >= 0.8""")
+ORACLE_SQL["cache_segments"] = _with(SUBSTRATE, "asked AS (SELECT DISTINCT event_id * 3 AS id FROM events)", select="SELECT id, CASE WHEN id % 5 = 0 AND id < 30000 THEN 'third' WHEN id % 3 = 0 THEN 'second' ELSE 'first' END AS origin FROM works JOIN asked USING (id) WHERE id % 2 = 0 OR id % 3 = 0 OR (id % 5 = 0 AND id < 30000)")
 # The query is the seed's own title, so its words are read from the table.
 _OWN = "asked AS (SELECT word, count(*) AS times FROM (SELECT unnest(" + TOKENS.format("title") + ") AS word FROM works WHERE id = (SELECT seed_id FROM seed)) GROUP BY word)"
 ORACLE_SQL["search_seed_candidates"] = _with(SUBSTRATE, _OWN, _bm25("works", ["x"]).replace("(VALUES ('x', 1)) q(word, times)", "asked q"), f"""
