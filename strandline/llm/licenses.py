@@ -19,29 +19,33 @@ from pyspark.sql import functions as F
 
 from .common import sliced
 
-#: Short notices name a licence in one of these frames.
-FRAMES = ("licensed under {}", "released under {}", "distributed under {}", "available under {}", "this work is licensed under {}", "this project is licensed under {}", "this software is licensed under {}", "code released under {}", "published under {}", "this code is licensed under {}", "the code is licensed under {}", "this file is licensed under {}", "this library is licensed under {}", "this package is licensed under {}", "this program is licensed under {}", "this repository is licensed under {}", "this document is licensed under {}")
-#: A tag names a licence by its identifier, where "+" is written out.
-TAG, TAG_ENDS = "spdx license identifier {}", {"GPL-2.0": ("gpl 2 0", "gpl 2 0 only", "gpl 2 0 or later"), "GPL-3.0": ("gpl 3 0", "gpl 3 0 only", "gpl 3 0 or later"), "LGPL-3.0": ("lgpl 3 0", "lgpl 3 0 only", "lgpl 3 0 or later"), "AGPL-3.0": ("agpl 3 0", "agpl 3 0 only", "agpl 3 0 or later")}
+#: What notices call a licence, behind "licensed under", as ``plain`` leaves it.
 NAMES = {
-    "MIT": ("the mit license", "mit", "the mit licence"),
-    "Apache-2.0": ("the apache license version 2 0", "apache license 2 0", "the apache license 2 0", "apache 2 0"),
-    "GPL-2.0": ("the gnu general public license version 2", "gpl v2", "the gplv2"),
-    "GPL-3.0": ("the gnu general public license version 3", "gpl v3", "the gplv3", "the gnu general public license v3 0"),
-    "LGPL-3.0": ("the gnu lesser general public license version 3", "lgpl v3"),
-    "AGPL-3.0": ("the gnu affero general public license version 3", "agpl v3"),
-    "MPL-2.0": ("the mozilla public license version 2 0", "the mozilla public license v 2 0", "mpl 2 0"),
-    "BSD-2-Clause": ("the bsd 2 clause license", "the simplified bsd license"),
-    "BSD-3-Clause": ("the bsd 3 clause license", "the new bsd license", "the modified bsd license"),
-    "ISC": ("the isc license",),
-    "Unlicense": ("the unlicense",),
-    "CC0-1.0": ("cc0", "cc0 1 0", "the creative commons zero v1 0 universal license"),
-    "CC-BY-4.0": ("cc by 4 0", "the creative commons attribution 4 0 international license", "a creative commons attribution 4 0 international license"),
-    "CC-BY-SA-4.0": ("cc by sa 4 0", "the creative commons attribution sharealike 4 0 international license", "a creative commons attribution sharealike 4 0 international license"),
-    "CC-BY-NC-4.0": ("cc by nc 4 0", "the creative commons attribution noncommercial 4 0 international license", "a creative commons attribution noncommercial 4 0 international license"),
-    "CC-BY-NC-SA-4.0": ("cc by nc sa 4 0",),
-    "CC-BY-ND-4.0": ("cc by nd 4 0",),
+    "MIT": ("mit", "mit expat", "expat", "mit x11"),
+    "Apache-2.0": ("apache 2 0", "apache 2", "apache license 2 0", "apache license 2", "apache software license 2 0"),
+    "GPL-2.0": ("gpl 2", "gpl 2 0", "gnu gpl 2", "gnu general public license 2", "gnu general public license 2 0"),
+    "GPL-3.0": ("gpl 3", "gpl 3 0", "gnu gpl 3", "gnu general public license 3", "gnu general public license 3 0"),
+    "LGPL-2.1": ("lgpl 2 1", "gnu lgpl 2 1", "gnu lesser general public license 2 1"),
+    "LGPL-3.0": ("lgpl 3", "lgpl 3 0", "gnu lgpl 3", "gnu lesser general public license 3", "gnu lesser general public license 3 0"),
+    "AGPL-3.0": ("agpl 3", "agpl 3 0", "gnu agpl 3", "gnu affero general public license 3", "gnu affero general public license 3 0"),
+    "MPL-2.0": ("mpl 2 0", "mozilla public license 2 0"),
+    "EPL-2.0": ("epl 2 0", "eclipse public license 2 0"),
+    "BSL-1.0": ("boost software license 1 0", "boost software 1 0"),
+    "BSD-2-Clause": ("bsd 2 clause", "2 clause bsd", "simplified bsd"),
+    "BSD-3-Clause": ("bsd 3 clause", "3 clause bsd", "new bsd", "modified bsd"),
+    "ISC": ("isc",),
+    "Zlib": ("zlib", "zlib libpng"),
+    "PostgreSQL": ("postgresql",),
+    "Unlicense": ("unlicense",),
+    "CC0-1.0": ("cc0", "cc0 1 0", "creative commons zero 1 0 universal"),
+    "CC-BY-4.0": ("cc by 4 0", "creative commons attribution 4 0 international"),
+    "CC-BY-SA-4.0": ("cc by sa 4 0", "creative commons attribution sharealike 4 0 international"),
+    "CC-BY-NC-4.0": ("cc by nc 4 0", "creative commons attribution noncommercial 4 0 international"),
+    "CC-BY-NC-SA-4.0": ("cc by nc sa 4 0", "creative commons attribution noncommercial sharealike 4 0 international"),
+    "CC-BY-ND-4.0": ("cc by nd 4 0", "creative commons attribution noderivatives 4 0 international"),
 }
+#: A tag names a licence by its identifier; these may go on.
+TAG, FAMILIES = "spdx license identifier {}", ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")
 #: Sentences of whole licence texts and headers, as their publishers word them.
 TEXTS = {
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
@@ -69,10 +73,18 @@ TEXTS = {
     "gpl-fitness": "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
     "gpl-details": "See the GNU General Public License for more details",
     "gpl-copy": "You should have received a copy of the GNU General Public License along with this program",
-    "lgpl-free": "This library is free software",
     "lgpl-terms-3": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
     "agpl-terms-3": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
     "mpl-subject": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "lgpl-terms-2": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "lgpl-version-2.1": "either version 2.1 of the License, or (at your option) any later version",
+    "lgpl-terms-2.1": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "zlib-origin": "The origin of this software must not be misrepresented",
+    "zlib-altered": "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software",
+    "zlib-notice": "This notice may not be removed or altered from any source distribution",
+    "postgresql-grant": "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies",
+    "boost-grant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following",
     "unlicense-domain": "This is free and unencumbered software released into the public domain",
 }
 #: Ordered rules over the sentences above; every short notice is a rule of its own.
@@ -84,29 +96,59 @@ RULES = (
     ("Apache-2.0", ("apache-comply", "apache-obtain", "apache-as-is")),
     ("GPL-3.0", ("gpl-free", "gpl-terms-3")),
     ("GPL-2.0", ("gpl-free", "gpl-terms-2", "gpl-version-2")),
-    ("LGPL-3.0", ("lgpl-free", "lgpl-terms-3")),
     ("LGPL-3.0", ("gpl-free", "lgpl-terms-3")),
+    ("LGPL-2.1", ("gpl-free", "lgpl-terms-2", "lgpl-version-2.1")),
+    ("LGPL-2.1", ("gpl-free", "lgpl-terms-2.1")),
+    ("Zlib", ("zlib-grant",)),
+    ("PostgreSQL", ("postgresql-grant",)),
+    ("BSL-1.0", ("boost-grant",)),
     ("AGPL-3.0", ("gpl-free", "agpl-terms-3")),
     ("MPL-2.0", ("mpl-subject",)),
     ("Unlicense", ("unlicense-domain",)),
 )
 
 STOP = re.compile(rb"([.;:!?][ \t-\r]+|\n)")
-#: Comment marks that would be read as stops.
-MARK = re.compile(rb"(?m)^[ \t]*[;!]+[ \t]+")
+#: Taken out of the lower-cased text first, each in all places: comment marks that would be read as stops, the stop of what a holder is called, and the colon behind a tag.
+BEFORE = ((r"(?m)^[ \t]*[;!]+[ \t]+", ""), (r"\b(inc|ltd|corp|llc|co)\.[ \t]+", r"\1 "), (r"(spdx-license-identifier|license|licence):[ \t]*", r"\1 "))
 OTHER = re.compile(rb"[^a-z0-9]+")
-#: A tag's colon is no stop.
-TAGGED = re.compile(rb"(spdx-license-identifier):[ \t]*")
+#: How a normalised sentence that is not known as it is becomes a template's: list marks go, any holder and any subject count, a heading and a notice say the same, versions and families are written in one way.
+PLAIN = (
+    ("^(?:[0-9]{1,2}|[a-z]|ii|iii|iv) ((?:redistributions|neither|the names?|altered|the origin|this notice) .*)$", r"\1"),
+    ("^(?:neither the names? of .{1,200} nor (?:the )?names? of .{1,100}|the names? of .{1,200}) (?:may|must) (?:not )?be used to endorse or promote products derived from this software.*$", "{endorse}"),
+    ("^.{1,60} is free software$", "this program is free software"),
+    (" (?:version|v) ?([0-9])", r" \1"),
+    ("gplv([0-9])", r"gpl \1"),
+    (" or (?:any )?later", " later"),
+    (" (?:[0-9]{1,2} )?(?:january|february|june|july|november) [0-9]{4}$", ""),
+    (r"^.{0,200}\b(?:licensed|released|distributed|available|published|provided) under (?:a |the )?(?:terms of )?(?:a |the )?(.*)$", r"licensed under \1"),
+    ("^(?:license|licence) (.*)$", r"licensed under \1"),
+    ("^(?:the )?((?:gnu|apache|mozilla|eclipse|boost|creative) .{1,80})$", r"licensed under \1"),
+    ("^(?:the )?(.{1,40}) (?:license|licence)$", r"licensed under \1"),
+    ("^licensed under licensed under (.*)$", r"licensed under \1"),
+    ("^(licensed under .*?)(?: (?:see|which|as published|a copy|for details|only|later) ?.*)?$", r"\1"),
+    ("^(licensed under .*) (?:license|licence)$", r"\1"),
+)
+#: Without one of these no template makes a sentence a known one.
+CUE = re.compile("^(?:[0-9]{1,2}|[a-z]|ii|iii|iv) |endorse|free software|under |licen|^(?:the )?(?:gnu|apache|mozilla|eclipse|boost|creative) ")
+#: Letters that a holder adds to a sentence, at most.
+GAP = 300
+#: What parts an expression of identifiers.
+EXPRESSION = re.compile(" (?:or|and|with) ")
 
 
 def normalise(sentence: bytes) -> str:
     return OTHER.sub(b" ", sentence.lower()).strip().decode()
 
 
+def _plain() -> list[tuple[str, str]]:
+    return [(p, to.replace("{endorse}", normalise(TEXTS["bsd-endorse"].encode()))) for p, to in PLAIN]
+
+
 def _notices() -> list[tuple[str, str]]:
-    """(licence, sentence) of all that name a licence: each name in each frame, and its tags."""
-    named = [(licence, frame.format(name)) for licence, names in NAMES.items() for name in names for frame in FRAMES]
-    return named + [(licence, TAG.format(tag)) for licence in NAMES for tag in TAG_ENDS.get(licence, (normalise(licence.encode()),))]
+    """(licence, sentence) of all that name a licence: notices and tags."""
+    named = [(licence, f"licensed under {name}") for licence, names in NAMES.items() for name in names]
+    tag = lambda licence: TAG.format(normalise(licence.encode()))
+    return named + [(licence, tag(licence) + more) for licence in NAMES for more in (("", " only", " later") if licence in FAMILIES else ("",))]
 
 
 def sentence_table() -> dict[str, int]:
@@ -131,20 +173,39 @@ class Recogniser:
         self.first: dict[int, list[tuple[str, tuple[int, ...]]]] = {}
         for licence, rule in rule_table():
             self.first.setdefault(rule[0], []).append((licence, rule))
-        self.longest = max(map(len, self.ids))
-        words = {s.split(" ", 1)[0].encode() for s in self.ids}
-        #: A sentence's first word must be one of these, so that most sentences are never normalised.
-        self.starts = re.compile(rb"[^a-z0-9]*(?:%s)(?![a-z0-9])" % b"|".join(sorted(words)))
+        self.longest = max(map(len, self.ids)) + GAP
+        self.plain = [(re.compile(p), to) for p, to in _plain()]
+        self.before = [(re.compile(p.encode()), to.encode()) for p, to in BEFORE]
+        words = {s.split(" ", 1)[0].encode() for s in self.ids} | {b"license", b"licence", b"neither", b"gnu", b"apache", b"mozilla", b"eclipse", b"boost", b"creative"}
+        #: A sentence begins so, behind a list mark, or holds one of the words that templates are told by, so that most sentences are never normalised.
+        self.starts = re.compile(rb"[^a-z0-9]*(?:(?:[0-9]{1,2}|[a-z]|ii|iii|iv)[^a-z0-9]+)?(?:%s)(?![a-z0-9])|(?:.*[^a-z0-9])?under(?![a-z0-9])|.*(?:free[^a-z0-9]+software|licen[sc]e[^a-z0-9]*$)" % b"|".join(sorted(words)))
+        self.tag = TAG.format("")
+
+    def known(self, sentence: str) -> list[int]:
+        """Identifiers that a normalised sentence stands for: one, or those of a tag's expression."""
+        if k := self.ids.get(sentence):
+            return [k]
+        if len(sentence) > self.longest or not CUE.search(sentence):
+            return []
+        for p, to in self.plain:
+            sentence = p.sub(to, sentence)
+        if sentence.startswith(self.tag):
+            return [k for part in EXPRESSION.split(sentence[len(self.tag) :]) if (k := self.ids.get(self.tag + part))]
+        k = self.ids.get(sentence)
+        return [k] if k else []
 
     def sequence(self, text: bytes) -> list[int]:
         """Identifiers in order; of the known sentences that begin at one line, the one over most lines."""
-        parts = STOP.split(TAGGED.sub(rb"\1 ", MARK.sub(b"", text.lower())))
+        text = text.lower()
+        for p, to in self.before:
+            text = p.sub(to, text)
+        parts = STOP.split(text)
         out, upto = [], 0
         for i in range(0, len(parts), 2):
             if i >= upto and self.starts.match(parts[i]):
                 j, joined, found = i, normalise(parts[i]), None
-                while True:
-                    if k := self.ids.get(joined):
+                while joined:
+                    if k := self.known(joined):
                         found, upto = k, j + 2
                     if j + 2 >= len(parts) or parts[j + 1] != b"\n" or len(joined) > self.longest:
                         break
@@ -153,7 +214,7 @@ class Recogniser:
                         break
                     joined += " " + line
                 if found:
-                    out.append(found)
+                    out += found
         return out
 
     def licences(self, seq: list[int]) -> list[str]:
@@ -185,15 +246,23 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("binary").alias("text"), "doc_id").mapInArrow(run, "doc_id long, n_sentences int, sentence_ids string, licences string")
 
 
+def _replaced(text: str, steps) -> str:
+    """DuckDB text that replaces step by step."""
+    for p, to in steps:
+        text = f"regexp_replace({text}, '{p}', '{to}', 'g')"
+    return text
+
+
 def sql() -> str:
     known = ", ".join(f"({k}, '{s}')" for s, k in sentence_table().items())
     told = lambda ids: f",{','.join(map(str, ids))}," if ids else ""
     longer = lambda ids: next((r for _, r in rule_table() if len(r) > len(ids) and r[: len(ids)] == ids), ())
     rules = ", ".join(f"('{name}', '{told(rule)}', '{told(longer(rule))}')" for name, rule in rule_table())
+    longest, tag = max(map(len, sentence_table())) + GAP, TAG.format("")
     return rf"""
 WITH known(id, sentence) AS (VALUES {known}), rules(licence, rule, longer) AS (VALUES {rules}),
 lowered AS (
-  SELECT doc_id, regexp_replace(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(?m)^[ \t]*[;!]+[ \t]+', '', 'g'), '(spdx-license-identifier):[ \t]*', '\1 ', 'g') AS t FROM documents
+  SELECT doc_id, {_replaced("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')", BEFORE)} AS t FROM documents
 ), stops AS (
   SELECT doc_id, unnest(string_split(regexp_replace(t, '[.;:!?][ \t-\r]+', chr(2), 'g'), chr(2))) AS s,
          generate_subscripts(string_split(regexp_replace(t, '[.;:!?][ \t-\r]+', chr(2), 'g'), chr(2)), 1) AS a FROM lowered
@@ -207,15 +276,24 @@ lowered AS (
   SELECT doc_id, a, g, list(norm ORDER BY b) AS ns FROM parted WHERE norm <> '' GROUP BY doc_id, a, g
 ), begun AS (
   SELECT doc_id, a, g, ns, unnest(range(1, len(ns) + 1)) AS i FROM joined
-), first AS (SELECT DISTINCT split_part(sentence, ' ', 1) AS word FROM known
 ), tried AS (
-  SELECT doc_id, a, g, i, ns, unnest(range(i, least(len(ns), i + 300) + 1)) AS j FROM begun WHERE split_part(ns[i], ' ', 1) IN (SELECT word FROM first)
+  SELECT doc_id, a, g, i, unnest(range(i, least(len(ns), i + 300) + 1)) AS j, ns FROM begun
+  WHERE regexp_matches(ns[i], '^(?:(?:[0-9]{{1,2}}|[a-z]|ii|iii|iv) )?(?:license|licence|neither|gnu|apache|mozilla|eclipse|boost|creative|{"|".join(sorted({x.split(" ")[0] for x in sentence_table()}))})\b|free software|(?:^| )under\b|licen[sc]e$')
+), spoken AS (
+  SELECT doc_id, a, g, i, j, sentence, {_replaced("sentence", _plain())} AS plain FROM (SELECT *, array_to_string(ns[i:j], ' ') AS sentence FROM tried) WHERE length(sentence) <= {longest}
+), parts AS (
+  SELECT doc_id, a, g, i, j, 0 AS k, sentence AS part FROM spoken WHERE sentence IN (SELECT sentence FROM known)
+  UNION ALL SELECT doc_id, a, g, i, j, 0, plain FROM spoken WHERE sentence NOT IN (SELECT sentence FROM known) AND NOT starts_with(plain, '{tag}')
+  UNION ALL SELECT doc_id, a, g, i, j, unnest(range(len(e))), '{tag}' || unnest(e) FROM (SELECT *, regexp_split_to_array(substr(plain, {len(tag) + 1}), ' (?:or|and|with) ') AS e FROM spoken WHERE sentence NOT IN (SELECT sentence FROM known) AND starts_with(plain, '{tag}'))
 ), met AS (
-  SELECT doc_id, a, g, i, max(j) AS j, max_by(id, j) AS id FROM (SELECT *, array_to_string(ns[i:j], ' ') AS sentence FROM tried) JOIN known USING (sentence) GROUP BY doc_id, a, g, i
+  SELECT doc_id, a, g, i, j, list(id ORDER BY k) AS ids FROM parts JOIN known ON sentence = part GROUP BY doc_id, a, g, i, j QUALIFY row_number() OVER (PARTITION BY doc_id, a, g, i ORDER BY j DESC) = 1
+), walked AS (
+  SELECT doc_id, a, g, list_sort(list([i, j])) AS spans FROM met GROUP BY doc_id, a, g
 ), told AS (
-  SELECT * FROM met m WHERE NOT EXISTS (SELECT 1 FROM met e WHERE e.doc_id = m.doc_id AND e.a = m.a AND e.g = m.g AND e.i < m.i AND e.j >= m.i)
+  SELECT m.* FROM met m JOIN (SELECT doc_id, a, g, unnest(list_filter(list_transform(range(1, len(spans) + 1), lambda x: CASE WHEN list_reduce(list_prepend(0::bigint, list_transform(spans[1:x - 1], lambda y: y[1] * 1000000 + y[2])), lambda e, y: CASE WHEN y // 1000000 > e THEN y % 1000000 ELSE e END) < spans[x][1] THEN spans[x][1] END), lambda x: x IS NOT NULL)) AS i FROM walked) w
+  ON m.doc_id = w.doc_id AND m.a = w.a AND m.g = w.g AND m.i = w.i
 ), seq AS (
-  SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY a, g, i) AS ids FROM told GROUP BY doc_id
+  SELECT doc_id, sum(len(ids)) AS n, string_agg(array_to_string(ids, ','), ',' ORDER BY a, g, i) AS ids FROM told GROUP BY doc_id
 ), found AS (
   SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences FROM seq JOIN rules ON contains(CASE WHEN longer = '' THEN ',' || ids || ',' ELSE replace(',' || ids || ',', longer, ',') END, rule) GROUP BY doc_id
 )

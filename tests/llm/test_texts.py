@@ -145,6 +145,40 @@ SOFTWARE."""
 NOTICES = [("SPDX-License-Identifier: MIT", "MIT"), ("SPDX-License-Identifier:Apache-2.0", "Apache-2.0"), ("SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"), ("This code is licensed under the MIT license.", "MIT"), ("This library is free software: you can redistribute it and/or modify\nit under the terms of the GNU Lesser General Public License as published\nby the Free Software Foundation, either version 3 of the License, or (at\nyour option) any later version.", "LGPL-3.0")]
 
 
+NAMED = BSD + """
+
+3. Neither the name of the Example University, Inc. nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+LGPL21 = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version."""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:"""
+#: What round 2 named wrongly or not at all.
+MISSED = [
+    (NAMED, "BSD-3-Clause"), (NAMED.replace("1. R", "(1) R").replace("2. R", "(2) R").replace("3. N", "(3) N"), "BSD-3-Clause"), (BSD.replace("1. R", "a) R").replace("2. R", "b) R"), "BSD-2-Clause"),
+    (BSD + "\n3. The name of the author may not be used to endorse or promote products\n   derived from this software without specific prior written permission.", "BSD-3-Clause"),
+    ("MIT License", "MIT"), ("The MIT License", "MIT"), ("License: MIT", "MIT"), ("This code is licensed under GPLv3.", "GPL-3.0"), ("Our widget server is released under the terms of the Apache License, Version 2.0 (see LICENSE).", "Apache-2.0"),
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", "Apache-2.0,MIT"), ("SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0) AND BSD-3-Clause", "BSD-3-Clause,GPL-2.0"), ("SPDX-License-Identifier: LGPL-2.1-only", "LGPL-2.1"),
+    (LGPL21, "LGPL-2.1"), (ZLIB, "Zlib"), ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "GPL-3.0"), ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at", "EPL-2.0"),
+    ("Driving without a license", ""), ("the licence", ""), ("they work under the mit of glass", ""), ("mit", ""), ("Neither the name of the wind nor the names of its storms may be used to promote rain.", ""),
+]
+
+
+def test_what_was_missed_is_named_alike_in_sql(docs_of):
+    rows = [(k, f"Some prose.\n\n{t}\n\nmore") for k, (t, _) in enumerate(MISSED)] + [(100 + k, t) for k, (t, _) in enumerate(MISSED)]
+    found = licenses.scan(docs_of(rows)).collect()
+    assert {r.doc_id: r.licences for r in found} == {k + more: name for k, (_, name) in enumerate(MISSED) for more in (0, 100)}
+    documents = docs_of(rows).toPandas()  # noqa: F841  read by name
+    assert {r[0]: r[1:] for r in duckdb.sql(licenses.sql()).fetchall()} == {r.doc_id: (r.n_sentences, r.sentence_ids, r.licences) for r in found}
+
+
 def test_wrapped_and_tagged_licences_in_documents_and_sql(docs_of):
     """Whole files with marks, repeated rows, very long texts, and what is none; alike in SQL."""
     texts = [(t, n) for t, n in [*WRAPPED, *NOTICES, (MIT + DISCLAIMED, "MIT")]]
