@@ -178,9 +178,9 @@ def _said(batches):
         for i, k, text in zip(*(c.to_pylist() for c in b.columns)):
             try:
                 value = json.loads(text) if text else None
-            except ValueError:
-                value = None
-            said = turns_of(value) if isinstance(value, dict) else None
+                said = turns_of(value) if isinstance(value, dict) else None
+            except (ValueError, RecursionError):  # no JSON, or nested too deep to be read
+                said = None
             rows += [(i, k, role, t) for role, t in said or []]
         cols = list(zip(*rows)) or [()] * 4
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -191,8 +191,10 @@ def format_records(records: DataFrame, arranged: bool = False) -> DataFrame:
     """Conversations of JSON records ``conv_id, ord, record`` in the template, as ``format_turns`` gives them.
 
     Each record's layout is chosen by the fingerprint of its own field paths; a
-    null or broken record, and one without a layout, says nothing, and a
-    conversation without a turn gives no row. Records are ordered by ord, then
+    null or broken record, one nested too deep to be read, and one without a
+    layout, says nothing, and a conversation without a turn gives no row. A
+    role or text that is a number counts as written, a list as its parts' texts
+    (see ``layouts.written``); lone surrogates become U+FFFD. Records are ordered by ord, then
     record. ``arranged`` tells that each conversation stands in one place and
     in order already, as ``as_records`` leaves it.
     """

@@ -9,13 +9,18 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import discard, new_path, scratch, stored
 
-__all__ = ["Forest", "components", "discard", "new_path", "scratch", "sliced", "stored", "table"]
+__all__ = ["Forest", "components", "discard", "new_path", "quoted", "scratch", "sliced", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark's texts take it, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def sliced(batches, most: int = 4 << 20):
     """Batches whose first column (text or binary) is cut so that each part holds about ``most`` bytes of it, or one row, and a part's Python objects stay few."""
     for b in batches:

@@ -314,10 +314,12 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without those that hold an item; all columns, and rows without doc_id, stay. All rows of a doc_id go with one of them."""
+    """``docs`` without those that hold an item; columns of any name and type, and rows without doc_id, stay. All rows of a doc_id go with one of them."""
     # Written first, so that Spark knows how few they are before it chooses how to leave them out.
     leaks = stored(contaminated(docs, items).select(F.col("doc_id").alias("__id")).distinct(), "leaks")
-    return docs.join(leaks, F.col("doc_id") == F.col("__id"), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    names = docs.columns
+    docs = docs.toDF(*(f"k{i}" for i in range(len(names))))  # no name can clash
+    return docs.join(leaks, F.col(f"k{names.index('doc_id')}") == F.col("__id"), "left_anti").toDF(*names)
 
 
 def rounded(found: DataFrame) -> DataFrame:

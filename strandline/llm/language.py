@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bigru import BiGRU
+from .common import quoted
 
 #: Labelled texts to learn from, so many different ones of each language, picked by hash; and from each of them so many
 #: windows of these many bytes, placed by hash over the whole text.
@@ -114,7 +115,7 @@ def predict(docs: DataFrame, net: BiGRU | None, text_too: bool = True) -> DataFr
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in back), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(none, pa.float64())], names=[*(f"k{i}" for i in back), "lang_pred", "score", "noise"])
 
     schema = ", ".join([*(f"k{i} {docs.schema[i].dataType.simpleString()}" for i in back), "lang_pred string", "score double", "noise double"])
-    return docs.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(docs.columns))).mapInArrow(run, schema)
+    return docs.select(*(F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(docs.columns))).mapInArrow(run, schema)
 
 
 def determined(docs: DataFrame) -> DataFrame:

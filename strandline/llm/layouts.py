@@ -43,6 +43,7 @@ class Layout:
 LAYOUTS = (
     Layout("turn rows", flat=("conv_id", "turn", "role", "text")),
     Layout("messages", fields=(("system", ("system",)),), turns=("messages", "role", "content"), optional=("system",)),
+    Layout("messages of parts", fields=(("system", ("system",)),), turns=("messages", "role", "content[].text"), optional=("system",)),
     Layout("messages in data", turns=("data.messages", "role", "content")),
     Layout("conversations", fields=(("system", ("system",)),), turns=("conversations", "from", "value"), optional=("system",)),
     Layout("instruction", fields=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",))), optional=("system", "input")),
@@ -97,8 +98,22 @@ def _get(value, path: str):
     return value
 
 
-def canonical_role(role: str | None) -> str:
-    role = (role or "").strip().lower()
+def written(value) -> str:
+    """A field's value as text: null is empty, a number is as written; a list is its texts and those of its parts, with empty lines between, and what else stands there says nothing. Half of a surrogate pair, which is no character, becomes U+FFFD."""
+    if isinstance(value, list):
+        return "\n\n".join(t for x in value if (t := written(x.get("text") if isinstance(x, dict) else x)))
+    if value is None or isinstance(value, dict):
+        return ""
+    text = value if isinstance(value, str) else str(value)
+    try:
+        text.encode()
+    except UnicodeEncodeError:
+        text = text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    return text
+
+
+def canonical_role(role) -> str:
+    role = written(role).strip().lower()
     return ROLES.get(role, role)
 
 
@@ -108,15 +123,16 @@ def turns_of(record: dict) -> list[tuple[str, str]] | None:
     if layout is None:
         return None
     if layout.flat:
-        return [tuple("" if record.get(k) is None else str(record[k]) for k in layout.flat[2:])]
+        return [tuple(written(record.get(k)) for k in layout.flat[2:])]
     out = []
     for role, fields in layout.fields:
-        said = [str(x) for p in fields if (x := _get(record, p)) not in (None, "")]
+        said = [x for p in fields if (x := written(_get(record, p)))]
         if said or not set(fields) <= set(layout.optional):
             out.append((role, "\n\n".join(said)))
     if layout.turns:
         at, role, text = layout.turns
-        out += [(canonical_role(t.get(role)), "" if t.get(text) is None else str(t.get(text))) for t in _get(record, at) or [] if isinstance(t, dict)]
+        listed = _get(record, at)
+        out += [(canonical_role(t.get(role)), written(t.get(text.split("[]")[0]))) for t in (listed if isinstance(listed, list) else []) if isinstance(t, dict)]
     return out
 
 

@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from .common import components, sliced, stored
 
@@ -253,15 +254,27 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` without near-duplicates: of each component the document with the smallest doc_id stays, with all its columns.
 
     Of rows that repeat its doc_id one stays: of those in the component, that
-    with the smallest hash of its text, and of these the least by its columns.
-    Rows without doc_id can't be told apart by it, take no part and stay.
+    with the smallest hash of its text, and of these that with the smallest
+    hash of all its columns, maps by their sorted entries; of rows that are
+    alike in all, any one. Rows without doc_id can't be told apart by it, take
+    no part and stay. Columns of any name and type come along.
     """
-    own, mine = docs.where("doc_id is not null"), F.col("doc_id") == F.col("component_id")
-    state = near_duplicates(own).groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n"), F.min(F.when(mine, F.col("said"))).alias("__said"))
+    names, kinds = docs.columns, [f.dataType for f in docs.schema.fields]
+    # Under other names, so that none can clash with what is added.
+    docs = docs.toDF(*(f"k{i}" for i in range(len(names))))
+    key, said = F.col(f"k{names.index('doc_id')}"), F.xxhash64(f"k{names.index('text')}")
+    own, mine = docs.where(key.isNotNull()), F.col("doc_id") == F.col("component_id")
+    state = near_duplicates(own.select(key.alias("doc_id"), F.col(f"k{names.index('text')}").alias("text"))).groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n"), F.min(F.when(mine, F.col("said"))).alias("__said"))
     # Most rows are neither copies nor repeated, so what is known of the others is the small side, which Spark measures.
     odd = stored(state.where("__n > 1 or __said is null"), "fp-odd")
-    single = own.join(odd.select("__id"), F.col("doc_id") == F.col("__id"), "left_anti")
+    single = own.join(odd.select("__id"), key == F.col("__id"), "left_anti")
     firsts = odd.where("__n > 1 and __said is not null")
-    again = own.join(firsts, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__said")))
-    one = again.groupBy("__id").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
-    return single.unionAll(one).unionAll(docs.where("doc_id is null"))
+    again = own.join(firsts, (key == F.col("__id")) & (said == F.col("__said")))
+    plain = [F.to_json(F.struct(F.array_sort(F.map_entries(c)))) if isinstance(t, MapType) else (F.to_json(F.struct(c)) if _holds_map(t) else F.col(c)) for c, t in zip(docs.columns, kinds)]
+    one = again.withColumn("__hash", F.xxhash64(*plain)).groupBy("__id").agg(F.min_by(F.struct(*docs.columns), "__hash").alias("__row")).select("__row.*")
+    return single.unionAll(one).unionAll(docs.where(key.isNull())).toDF(*names)
+
+
+def _holds_map(kind) -> bool:
+    """Whether a value of this type can hold a map, which has no hash."""
+    return isinstance(kind, (ArrayType, StructType, MapType)) and "map<" in kind.simpleString()

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, stored
+from .common import quoted, sliced, stored
 
 LONG, RUN_SENTENCES, RUN_WORDS = 25, 2, 20
 #: Of so many neighbouring pairs of words, a cut parts the one with the least hash. Of 51 words in a row in long
@@ -177,7 +177,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     n_removed are replaced.
     """
     rest = [f for f in docs.schema if f.name not in ("text", "n_sentences", "n_removed")]
-    keyed = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(f"`{f.name}`").alias(f"k{i}") for i, f in enumerate(rest)))
+    keyed = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(quoted(f.name)).alias(f"k{i}") for i, f in enumerate(rest)))
     said, several = F.xxhash64("text"), _several(keyed.select("doc_id", F.xxhash64("text").alias("said")))
     if several.isEmpty():
         keyed, several = keyed.withColumn("copy", F.lit(0).cast("long")), None

@@ -120,6 +120,26 @@ def pages_of(spark, rows):
     return spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, first string, sha1 int")
 
 
+def test_no_record_ends_a_task(spark):
+    deep = "[" * 100_000 + "]" * 100_000
+    records = [
+        (1, '{"messages": [{"role": 7, "content": "a"}, {"role": true, "content": 3}, {"role": null, "content": null}, "x", 4]}'),
+        (2, '{"messages": [{"role": "user", "content": "half \\ud83d of a pair, and a whole \\ud83d\\ude00"}]}'),
+        (3, '{"messages": ' + deep + "}"), (4, '{"prompt": ' + '{"a":' * 5000 + "1" + "}" * 5000 + ', "response": "r"}'),
+        (5, '{"messages": [{"role": "user", "content": [{"type": "text", "text": "look"}, {"type": "image", "url": "u"}, {"type": "text", "text": "here"}]}, {"role": "gpt", "content": "plain"}]}'),
+        (6, '{"messages": [{"role": "user", "content": [{"type": "text", "text": "parts alone"}]}]}'),
+        (7, '{"messages": {"role": "user", "content": "no list"}}'), (8, '{"prompt": ["a", "b"], "response": {"x": 1}}'), (9, "{broken"), (10, None), (11, "[1]"), (12, '{"prompt": 1e400, "response": ' + "9" * 5000 + "}"),
+    ]
+    df = spark.createDataFrame([(i, 0, r) for i, r in records], "conv_id long, ord long, record string")
+    got = {r.conv_id: (r.n_turns, r.turns_sha256) for r in chat.read_back(chat.format_records(df)).collect()}
+    said = {}
+    for r in chat.turns_from_json(df, "conv_id", "record").orderBy("conv_id", "turn").collect():
+        said.setdefault(r.conv_id, []).append((r.role, r.text))
+    assert said[1] == [("7", "a"), ("true", "3"), ("", "")] and said[2] == [("user", "half \ufffd of a pair, and a whole \U0001f600")]
+    assert said[5] == [("user", "look\n\nhere"), ("assistant", "plain")] and said[6] == [("user", "parts alone")]
+    assert set(said) == set(got) == {1, 2, 5, 6} and got[5][0] == 2
+
+
 def test_archives_read_back(spark):
     rows = [(3, "u", "same"), (1, None, "same"), (2, "a b\nc", None), (5, "v", ""), (4, "w", "é\r\n\r\nWARC/1.1\r\n"), (1, None, "same"), (None, "n", "same")]
     got = sorted(((r.page_id or -1), r.payload_bytes, r.record_type, r.refers_to) for r in warc.archived(pages_of(spark, rows)).collect())
