@@ -3,14 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the one before
 kept; its result is written as Parquet and read again. All but the last return
 the columns of ``documents``. Whatever the stage: an empty table gives an empty
-one, other columns come along as they are, and of rows without doc_id or with a
+one, other columns, of any name and type, come along as they are, and of rows without doc_id or with a
 repeated one each docstring says what becomes.
 """
 
 from __future__ import annotations
 
 from strandline.llm import decontaminate, language, packing, simhash, substring
-from strandline.llm.common import scratch, stored, table
+from strandline.llm.common import quoted, scratch, stored, table
 
 
 def known_language(spark, docs, sf_dir):
@@ -30,7 +30,7 @@ def first_copies(spark, docs, sf_dir):
 
 def without_repeats(spark, docs, sf_dir):
     """Texts without spans that repeat an earlier document's or their own; every row stays. Texts of rows without doc_id, and null ones, stay as they are."""
-    return substring.without_repeats(docs).select(docs.columns)
+    return substring.without_repeats(docs).select([quoted(c) for c in docs.columns])
 
 
 def without_leaks(spark, docs, sf_dir):
