@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..sources.shared import new_path
+from ..sources.shared import new_path, stored
 
 #: Works of a level up to which it is sent to the citations, which then stay where they are.
 FEW = 200_000
+#: Edges that one task walks, at most.
+CAPPED = 1_000_000
 
 
 def _walked(edges: DataFrame, seed) -> DataFrame:
@@ -36,42 +38,64 @@ def _walked(edges: DataFrame, seed) -> DataFrame:
     return edges.select("source", "target").coalesce(1).mapInArrow(walk, f"id {'string' if text else 'long'}, up boolean")
 
 
-def reached(edges: DataFrame, seed, capped: bool = False) -> DataFrame:
-    """``id, up``: what the seed cites (up) and what cites it, over any number of steps; cycles end by themselves.
-
-    The edges of an expansion, which its caps bound, are ``capped``: one task
-    walks them, without a job for each level. Any others go level by level.
+def reached_from(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``seed, id, up`` for each of ``seeds(id)``: what it cites (up) and what cites it, over any number of steps; cycles end by themselves.
 
-    Breadth first. A level is counted when it is written; up to FEW works it is
-    the broadcast side, so that the citations (stored or persisted by the
-    caller) are scanned and not shuffled, and beyond that both are dealt by
-    key. All levels are one table, from which a new one leaves out what it has.
+    All seeds walk together, breadth first: a level is one scan of the
+    citations, which are written down once with the step each can be taken for,
+    and one look at what is reached already. A level is counted as it is
+    written; up to FEW rows it is sent to the citations, beyond that both are
+    dealt by key, where a work that many levels meet can be split. What a level
+    makes grows with seeds and works reached, not with their pairs of paths.
     """
-    if capped:
-        return _walked(edges, seed)
-    spark = edges.sparkSession
-    known = edges.where("source is not null and target is not null").select("source", "target")
-    front = spark.range(1).select(F.lit(seed).cast(dict(known.dtypes)["source"]).alias("id"), F.explode(F.array(F.lit(True), F.lit(False))).alias("up"))
-    base, level, n = new_path(spark, "reached"), 0, 2
-    at = lambda k: f"{base}/{k}"
-    table = lambda first: spark.read.schema(front.schema).parquet(*[at(k) for k in range(first, level + 1)])
-    front.write.parquet(at(0))
+    spark, kind = edges.sparkSession, dict(edges.dtypes)["source"]
+    known = edges.where("source is not null and target is not null")
+    ways = F.array(F.struct(F.col("source").alias("at"), F.col("target").alias("to"), F.lit(True).alias("way")), F.struct(F.col("target").alias("at"), F.col("source").alias("to"), F.lit(False).alias("way")))
+    steps = stored(known.select(F.explode(ways).alias("s")).select("s.*"), "steps")
+    front = seeds.where("id is not null").select(F.col("id").cast(kind).alias("id")).distinct().select(F.col("id").alias("seed"), "id", F.explode(F.array(F.lit(True), F.lit(False))).alias("up"))
+    base, level, schema = new_path(spark, "reached"), 0, f"seed {kind}, id {kind}, up boolean"
+    table = lambda first: spark.read.schema(schema).parquet(*[f"{base}/{k}" for k in range(first, level + 1)])
+
+    def write(rows: DataFrame) -> int:
+        seen = Observation()
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{base}/{level}")
+        return seen.get["n"]
+
+    n = write(front)
     while n:
         sent = F.broadcast(table(level)) if n <= FEW else table(level)
-        up = known.join(sent.where("up"), F.col("source") == F.col("id")).select(F.col("target").alias("id"), F.lit(True).alias("up"))
-        down = known.join(sent.where("not up"), F.col("target") == F.col("id")).select(F.col("source").alias("id"), F.lit(False).alias("up"))
-        new = up.unionByName(down).distinct().join(table(0), ["id", "up"], "left_anti")
-        new.write.parquet(at(level + 1))
+        new = steps.join(sent, (F.col("at") == F.col("id")) & (F.col("way") == F.col("up"))).select("seed", F.col("to").alias("id"), "up").distinct()
+        new = new.join(table(0), ["seed", "id", "up"], "left_anti")
         level += 1
-        n = table(level).count()
-    return table(0).where(F.col("id") != F.lit(seed))
+        n = write(new)
+    return table(0).where(F.col("id") != F.col("seed"))
+
+
+def reached(edges: DataFrame, seed, capped: bool = False) -> DataFrame:
+    """``id, up``: what one seed cites (up) and what cites it, as ``reached_from`` finds it.
+
+    The edges of an expansion, which its caps bound, are ``capped``: one task
+    walks them, without a job for each level, if there are no more than CAPPED.
+    """
+    if capped and edges.limit(CAPPED + 1).count() <= CAPPED:
+        return _walked(edges, seed)
+    return reached_from(edges, edges.sparkSession.range(1).select(F.lit(seed).alias("id"))).select("id", "up")
+
+
+def _direction() -> Column:
+    return F.when(F.col("up") & F.col("down"), "mixed").when(F.col("up"), "ancestor").when(F.col("down"), "descendant").otherwise("unrelated")
 
 
 def classify(nodes: DataFrame, edges: DataFrame, seed, capped: bool = False) -> DataFrame:
     """``id, direction`` of every node but the seed: ancestor, descendant, mixed or unrelated; ``capped`` as in ``reached``."""
     sides = reached(edges, seed, capped).groupBy("id").agg(F.bool_or("up").alias("up"), F.bool_or(~F.col("up")).alias("down"))
-    label = F.when(F.col("up") & F.col("down"), "mixed").when(F.col("up"), "ancestor").when(F.col("down"), "descendant").otherwise("unrelated")
-    return nodes.where(F.col("id") != F.lit(seed)).select("id").join(sides, "id", "left").select("id", label.alias("direction"))
+    return nodes.where(F.col("id") != F.lit(seed)).select("id").join(sides, "id", "left").select("id", _direction().alias("direction"))
+
+
+def classify_from(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``seed, id, direction`` for each of ``seeds(id)`` and every work that it is related to."""
+    sides = reached_from(edges, seeds).groupBy("seed", "id").agg(F.bool_or("up").alias("up"), F.bool_or(~F.col("up")).alias("down"))
+    return sides.select("seed", "id", _direction().alias("direction"))
 
 
 def seed_edge_intents(edges: DataFrame, seed) -> DataFrame:

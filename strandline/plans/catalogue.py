@@ -382,6 +382,14 @@ def classify_directions(spark, sf_dir):
     return direction.classify(s.ranks, s.cites.select(F.col("src").alias("source"), F.col("tgt").alias("target")), s.seed)
 
 
+@query
+def classify_many_seeds(spark, sf_dir):
+    """Ancestors, descendants and mixed of a hundred seeds at once, those whose hash is smallest."""
+    s = Setting(spark, sf_dir)
+    seeds = s.ranks.orderBy(F.md5(F.col("id").cast("string")), "id").limit(100)
+    return direction.classify_from(s.cites.select(F.col("src").alias("source"), F.col("tgt").alias("target")), seeds)
+
+
 @query
 def seed_edge_intents(spark, sf_dir):
     s = Setting(spark, sf_dir)

@@ -195,6 +195,11 @@ down(id) AS (SELECT {source} FROM {edges} WHERE {target} = (SELECT seed_id FROM
 
 _SIDE = "CASE WHEN {0} IN (SELECT id FROM up) AND {0} IN (SELECT id FROM down) THEN 'mixed' WHEN {0} IN (SELECT id FROM up) THEN 'ancestor' WHEN {0} IN (SELECT id FROM down) THEN 'descendant' ELSE 'unrelated' END"
 ORACLE_SQL["classify_directions"] = _with(SUBSTRATE, _reach("cites", "src", "tgt"), select=f"SELECT id, {_SIDE.format('works.id')} AS direction FROM works WHERE id <> (SELECT seed_id FROM seed)")
+ORACLE_SQL["classify_many_seeds"] = _with(SUBSTRATE, """
+hundred AS (SELECT id FROM works ORDER BY md5(CAST(id AS VARCHAR)), id LIMIT 100),
+far_up AS (SELECT id AS seed, id FROM hundred UNION SELECT u.seed, c.tgt FROM far_up u JOIN cites c ON c.src = u.id),
+far_down AS (SELECT id AS seed, id FROM hundred UNION SELECT d.seed, c.src FROM far_down d JOIN cites c ON c.tgt = d.id),
+met AS (SELECT seed, id, 1 AS side FROM far_up UNION ALL SELECT seed, id, 2 FROM far_down)""", select="SELECT seed, id, CASE sum(side) WHEN 1 THEN 'ancestor' WHEN 2 THEN 'descendant' ELSE 'mixed' END AS direction FROM met WHERE seed <> id GROUP BY seed, id")
 SEED_INTENT = """
 seed_intent AS (
   SELECT CASE WHEN source = (SELECT seed_id FROM seed) THEN target ELSE source END AS id, arg_max(concat_ws(', ', nullif(intents, ''), CASE WHEN is_influential THEN 'influential' END), ord) AS intent

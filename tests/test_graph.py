@@ -76,6 +76,39 @@ def kinds(spark, ps, names, seed="S"):
     return levels
 
 
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_many_seeds_walk_together_over_cycles(spark, monkeypatch, few):
+    monkeypatch.setattr(direction, "FEW", few)
+    r = random.Random(few)
+    ps = [(f"n{r.randrange(30)}", f"n{r.randrange(30)}") for _ in range(45)] + [("n1", "n1"), ("c1", "c2"), ("c2", "c3"), ("c3", "c1"), ("c3", "n0"), ("n0", None), (None, "c1")]
+    way = {}
+    for a, b in ps:
+        way.setdefault((a, True), set()).add(b)
+        way.setdefault((b, False), set()).add(a)
+
+    def far(x, up):
+        met, todo = set(), [x]
+        while todo:
+            for y in way.get((todo.pop(), up), ()):
+                if y is not None and y not in met:
+                    met.add(y)
+                    todo.append(y)
+        return met - {x}
+
+    seeds = [f"n{i}" for i in range(0, 30, 3)] + ["c1", "c3", "nobody", "c1", None]
+    want = {(s, x, "mixed" if x in far(s, True) and x in far(s, False) else "ancestor" if x in far(s, True) else "descendant") for s in set(seeds) if s for x in far(s, True) | far(s, False)}
+    e = spark.createDataFrame(ps, "source string, target string")
+    got = [tuple(x) for x in direction.classify_from(e, spark.createDataFrame([(s,) for s in seeds], "id string")).collect()]
+    assert set(got) == want and len(got) == len(want) and any(k == "mixed" for *_, k in want)
+
+
+def test_a_walk_in_one_task_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(direction, "CAPPED", 1)
+    monkeypatch.setattr(direction, "_walked", None)
+    e = spark.createDataFrame([("S", "A"), ("B", "S")], "source string, target string")
+    assert sorted(map(tuple, direction.reached(e, "S", capped=True).collect())) == [("A", True), ("B", False)]
+
+
 def test_directions_are_transitive_and_end_on_cycles(spark):
     assert kinds(spark, [("S", "OLD"), ("NEW", "S"), ("FAR", "NEW"), ("A", "B")], ["S", "OLD", "NEW", "FAR", "A"]) == {"OLD": "ancestor", "NEW": "descendant", "FAR": "descendant", "A": "unrelated"}
     assert kinds(spark, [("S", "A"), ("A", "B"), ("B", "S")], ["S", "A", "B"]) == {"A": "mixed", "B": "mixed"}

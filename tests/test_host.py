@@ -1,10 +1,12 @@
 import json
 import threading
-from http.server import BaseHTTPRequestHandler, HTTPServer
+import time
+from http.server import BaseHTTPRequestHandler, HTTPServer, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlparse
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import functions as F
 
 from strandline.errors import LineageError
 from strandline.functions import accounts
@@ -89,6 +91,91 @@ def test_json_api_reads_in_batches(spark):
     server.shutdown()
 
 
+class Works(BaseHTTPRequestHandler):
+    """Works by id and by what they cite; gives more than it is asked for, and fails where a test says so."""
+
+    asked: list = []
+    fail: list = []
+
+    def do_GET(self):
+        q = {k: v[0] for k, v in parse_qs(urlparse(self.path).query).items()}
+        type(self).asked.append((time.time(), q))
+        if self.fail:
+            self.fail.pop()
+            self.send_response(503)
+            self.end_headers()
+            return
+        ids = [*q["ids"].split("|"), "W_MORE"] if "ids" in q else [f"{q['cites']}a", f"{q['cites']}b"]
+        fields = q.get("select", "id,title,year,refs").split(",")
+        body = json.dumps({"results": [{k: v for k, v in {"id": i, "title": f"t{i}", "year": len(i), "refs": ["x", i]}.items() if k in fields} for i in ids]}).encode()
+        self.send_response(200)
+        self.end_headers()
+        self.wfile.write(body)
+
+    def log_message(self, *a):
+        pass
+
+
+@pytest.fixture
+def works_server(spark):
+    Works.asked, Works.fail = [], []
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Works)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    spark.dataSource.register(host.JsonApi)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    at = f"http://127.0.0.1:{server.server_port}/works"
+
+    def read(schema, **options):
+        return spark.read.format("json_api").schema(schema).options(**{"url": at + "?ids={keys}", "by.cites": at + "?cites={value}", "select": "select", **options}).load()
+
+    yield read
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    server.shutdown()
+
+
+def test_filters_are_pushed_and_only_asked_fields_are_requested(works_server):
+    got = works_server("id string, year int").where("id in ('W1', 'W22') and year > 2").collect()
+    assert [tuple(r) for r in got] == [("W22", 3)]  # what more came back is tested again
+    assert [q for _, q in Works.asked] == [{"ids": "W1|W22", "select": "id,year"}]
+    Works.asked.clear()
+    got = works_server("id string, title string, refs array<string>, cites string").where("cites = 'W7'").collect()
+    assert [tuple(r) for r in got] == [("W7a", "tW7a", ["x", "W7a"], "W7"), ("W7b", "tW7b", ["x", "W7b"], "W7")]
+    assert [q for _, q in Works.asked] == [{"cites": "W7", "select": "id,title,refs"}]
+    df = works_server("id string").where(F.col("id").isin([f"W{i}" for i in range(51)]))
+    assert df.rdd.getNumPartitions() == 2 and df.count() == 51
+    assert works_server("id string").where("id = 'W1' and id in ('W2')").count() == 0
+    with pytest.raises(Exception, match="needs keys"):
+        works_server("id string").collect()
+
+
+def test_one_pace_and_one_budget_over_many_tasks(works_server):
+    Works.fail = [1]
+    df = works_server("id string", batch="1", interval="0.2", budget="16").where(F.col("id").isin([f"W{i}" for i in range(8)]))
+    assert df.rdd.getNumPartitions() == 8
+    Works.asked.clear()
+    assert df.count() == 8
+    times = sorted(t for t, _ in Works.asked)
+    assert len(times) == 9  # a retry has a slot of its own, behind all first requests
+    assert all(b - a > 0.1 for a, b in zip(times, times[1:])) and times[-1] - times[0] > 1.5
+    Works.fail, tight = [1], works_server("id string", batch="1", budget="8").where(F.col("id").isin([f"W{i}" for i in range(8)]))
+    Works.asked.clear()
+    with pytest.raises(Exception, match="this task's share"):
+        tight.collect()
+    assert len(Works.asked) <= 8
+    with pytest.raises(Exception, match="takes 8 requests, 7 are allowed"):
+        works_server("id string", batch="1", budget="7").where(F.col("id").isin([f"W{i}" for i in range(8)])).collect()
+
+
+def test_slots_are_dealt_without_overlap():
+    whole = sorted(t for place in range(4) for t in host.dealt_slots(place, 4, 100.0, 0.5, 10))
+    assert whole == [100 + 0.5 * k for k in range(10)]
+    assert list(host.dealt_slots(3, 4, 0.0, 1.0, 3)) == []
+    c, waits = client([(503, {}, b""), (503, {}, b"")], slots=iter([5.0]), now=lambda: 2.0)
+    with pytest.raises(host.OverBudget):
+        c.fetch("u")
+    assert waits == [3.0, 1.0]
+
+
 def test_cache_adds_and_replaces(spark, tmp_path):
     rows = lambda *r: spark.createDataFrame(r, "id string, title string")
     cache.save(rows(("a", "1"), ("b", "1")), str(tmp_path), "S")
