@@ -8,7 +8,8 @@ parts of a phrase are phrases themselves, so scores are a join of the counts.
 
 Three things keep this bounded. A suffix ends before a word that is too rare
 for any phrase; a bitmap of fixed size says which words may not be. Equal
-suffixes are counted where they are read. And the words of all languages are
+suffixes are counted where they are read, and those of one first word shuffled
+as one row. And the words of all languages are
 dealt by ranges of suffixes that a sample has balanced: a range is cut between
 first words, but within one whose suffixes fill several ranges, and the counts
 of the prefixes that reach over a cut are added up.
@@ -164,7 +165,12 @@ def ranges_of(sample: list[tuple[str, str]], bitmap: np.ndarray, n: int, longest
 
 
 def _emitted(held, cuts, longest: int):
-    """``part, key, n``: different suffixes of a window, with the range that each lies in."""
+    """``part, first, alone, rest, more``: the different suffixes of a window that begin with one word, as one row for each range they lie in.
+
+    ``alone`` counts the word without another behind it; ``rest`` holds what is
+    behind it, a suffix after another; ``more`` which of them occur how often,
+    if more than once.
+    """
 
     def emit(batches):
         bitmap, at_cut = held.value, cuts.value
@@ -183,14 +189,26 @@ def _emitted(held, cuts, longest: int):
                     continue
                 suffix, n = _different(suffix, len(which))
                 text = _escaped(text)
-                columns = [pa.array([safe[k] for k in which], pa.string()).take(pa.array(suffix[:, 0]))]
-                for k in range(longest):
-                    at = suffix[:, k]
-                    columns.append(text.take(pa.array(at, mask=at < 0)))
-                key = pc.binary_join_element_wise(*columns, "\x00", null_handling="skip").cast(pa.binary())
+                columns = [text.take(pa.array(suffix[:, k], mask=suffix[:, k] < 0)) for k in range(1, longest)]
+                columns[:1] = [pc.fill_null(c, "") for c in columns[:1]]  # a row of nulls alone would be left out
+                rest = pc.binary_join_element_wise(*columns, "\x00", null_handling="skip").cast(pa.binary()) if columns else pa.array([b""] * len(suffix), pa.binary())
+                first = suffix[:, 0]
                 begins = [GAP.join((safe[k].encode(), x.encode())) for k, x in zip(which, text.to_pylist())]
-                part = _part(key, suffix[:, 0], begins, at_cut)
-                yield pa.RecordBatch.from_arrays([pa.array(part), key, pa.array(n)], names=["part", "key", "n"])
+                part = _part(rest, first, begins, at_cut)
+                more = suffix[:, 1] >= 0 if longest > 1 else np.zeros(len(suffix), bool)
+                if (np.diff(part)[np.diff(first) == 0] != 0).any():  # words that a cut divides
+                    order = np.lexsort((part, first))
+                    first, part, n, more, rest = first[order], part[order], n[order], more[order], rest.take(pa.array(order))
+                heads = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (part[1:] != part[:-1])))
+                group = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(first))))
+                alone = np.bincount(group, weights=np.where(more, 0, n), minlength=len(heads)).astype(np.int64)
+                offsets = np.append(0, np.cumsum(np.bincount(group[more], minlength=len(heads)))).astype(np.int32)
+                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), rest.filter(pa.array(more))), pa.scalar(GAP * 2, pa.binary()))
+                often = np.flatnonzero(n[more] > 1)
+                pairs = np.stack([often - offsets[group[more][often]], n[more][often]], axis=1).astype("<i4")
+                ends = np.append(0, np.cumsum(np.bincount(group[more][often], minlength=len(heads)))).astype(np.int32) * 8
+                counted = pa.BinaryArray.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(ends), pa.py_buffer(pairs.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(part[heads]), pa.array([begins[k] for k in first[heads]], pa.binary()), pa.array(alone), joined, counted], names=["part", "first", "alone", "rest", "more"])
 
     return emit
 
@@ -211,24 +229,29 @@ def _different(rows: np.ndarray, codes: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[at], np.diff(np.append(at, len(rows)))
 
 
-def _part(key: pa.Array, first: np.ndarray, begins: list[bytes], cuts: list[bytes]) -> np.ndarray:
-    """The range of each key, whose first word is ``begins[first]``: one look tells for all keys of a word unless a cut lies within."""
-    low = np.array([bisect.bisect_right(cuts, x) for x in begins], np.int32)
-    high = np.array([bisect.bisect_right(cuts, x + GAP + b"\xff") for x in begins], np.int32)
-    part = low[first]
-    for i in np.flatnonzero((low != high)[first]):
-        part[i] = bisect.bisect_right(cuts, key[i].as_py())
+def _divided(first: bytes, cuts: list[bytes]) -> tuple[int, int]:
+    """The ranges of the first and of the last suffix that can begin with a word."""
+    return bisect.bisect_right(cuts, first), bisect.bisect_right(cuts, first + GAP + b"\xff")
+
+
+def _part(rest: pa.Array, first: np.ndarray, begins: list[bytes], cuts: list[bytes]) -> np.ndarray:
+    """The range of each suffix, ``begins[first]`` and ``rest``: one look tells for all of a word unless a cut divides it."""
+    of = np.array([_divided(x, cuts) for x in begins], np.int32).reshape(-1, 2)
+    part = of[first, 0]
+    for i in np.flatnonzero(of[first, 0] != of[first, 1]):
+        behind = rest[i].as_py()
+        part[i] = bisect.bisect_right(cuts, begins[first[i]] + GAP + behind if behind else begins[first[i]])
     return part
 
 
 class Stack:
     """Open prefixes of sorted suffixes, a batch at a time: what comes in is one batch of keys in descending order, what goes out are the prefixes that are done.
 
-    ``edge`` marks prefixes of the first and last suffix of a range, which may go on in the next one.
+    With ``divided``, prefixes of the first and last suffix of a range may go on in the next one and go out whatever their count.
     """
 
-    def __init__(self, longest: int, least: int):
-        self.longest, self.least = longest, least
+    def __init__(self, longest: int, least: int, divided: bool = True):
+        self.longest, self.least, self.divided = longest, least, divided
         self.key: bytes | None = None
         self.ends: np.ndarray | None = None
         self.open: list[tuple[int, bool]] = []  # count and edge of the last suffix's prefixes, shortest first
@@ -242,7 +265,7 @@ class Stack:
 
     def finish(self) -> None:
         """The range is over: all that is open is at its edge."""
-        self.open = [(n, True) for n, _ in self.open]
+        self.open = [(n, self.divided or edge) for n, edge in self.open]
         self._close(0)
         self.key = None
 
@@ -289,7 +312,7 @@ class Stack:
             common[1:] += going
         depth = many
         buf = data.tobytes()
-        last = [(0, began)] * int(depth[-1])
+        last = [(0, False)] * int(depth[-1])
         done: list[tuple[bytes, int]] = []
         for k in range(longest):
             at = np.flatnonzero(depth > k)
@@ -302,7 +325,7 @@ class Stack:
             edge = np.zeros(len(heads), bool)
             if at[0] == 0:
                 if began:
-                    edge[0] = True
+                    edge[0] = self.divided
                 elif k < len(self.open):
                     sums[0] += self.open[k][0]
                     edge[0] = self.open[k][1]
@@ -323,29 +346,87 @@ class Stack:
         return out
 
 
-def _stacked(longest: int, least: int):
+class Sorter:
+    """First words with their suffixes, gathered until there are some, sorted in reverse order and counted by a stack."""
+
+    def __init__(self, longest: int, least: int, cuts: list[bytes], some: int = 200_000):
+        self.longest, self.least, self.cuts, self.some = longest, least, cuts, some
+        self.first: bytes | None = None
+        self.rows: list[tuple[int, bytes, bytes]] = []
+        self.groups: list[tuple[bytes, list[np.ndarray], list[bytes]]] = []
+        self.size, self.out = 0, []
+
+    def add(self, first: bytes, alone: int, rest: bytes, more: bytes) -> None:
+        if first != self.first:
+            self.close()
+            self.first = first
+        self.rows.append((alone, rest, more))
+
+    def close(self) -> None:
+        """The word has no more rows here."""
+        if not self.rows:
+            return
+        low, high = _divided(self.first, self.cuts)
+        total, blobs, counts = 0, [], []
+        for alone, rest, more in self.rows:
+            n = np.ones(rest.count(GAP * 2) + 1 if rest else 0, np.int64)
+            pairs = np.frombuffer(more, "<i4").reshape(-1, 2)
+            n[pairs[:, 0]] = pairs[:, 1]
+            total += alone + int(n.sum())
+            if rest:
+                blobs.append(rest)
+                counts.append(n)
+        if total >= self.least or low != high:
+            self.out.append((self.first, total))
+        if low != high:  # other ranges have others of its suffixes
+            self._count([(self.first, counts, blobs)], True)
+        elif sum(int(n.sum()) for n in counts) >= self.least:
+            self.groups.append((self.first, counts, blobs))
+            self.size += sum(map(len, counts))
+            if self.size >= self.some:
+                self.flush()
+        self.rows = []
+
+    def flush(self) -> None:
+        self._count(self.groups, False)
+        self.groups, self.size = [], 0
+
+    def _count(self, groups, divided: bool) -> None:
+        """Suffixes of several first words are one sorted list, with the word's number in front."""
+        groups = [g for g in groups if g[1]]
+        if not groups:
+            return
+        rest = pa.array([x for _, _, blobs in groups for x in (GAP * 2).join(blobs).split(GAP * 2)], pa.binary())
+        number = np.repeat(np.arange(len(groups)), [sum(map(len, counts)) for _, counts, _ in groups])
+        marks = pa.array([b"%08d" % k for k in range(len(groups))], pa.binary()).take(pa.array(number))
+        keys, n = pc.binary_join_element_wise(marks, rest, pa.scalar(GAP, pa.binary())), np.concatenate([x for _, counts, _ in groups for x in counts])
+        order = pc.sort_indices(keys, sort_keys=[("", "descending")])
+        stack = Stack(self.longest - 1, self.least, divided)
+        stack.push(keys.take(order), n[order.to_numpy()])
+        stack.finish()
+        self.out += [(groups[int(key[:8])][0] + key[8:], count) for key, count in stack.take()]
+
+
+def _stacked(longest: int, least: int, cuts):
     def run(batches):
-        stack, part = Stack(longest, least), None
+        sorter, part = Sorter(longest, least, cuts.value), None
 
         def told():
-            if out := stack.take():
+            out, sorter.out = sorter.out, []
+            if out:
                 pieces = [[_unescaped(x) for x in key.split(GAP)] for key, _ in out]
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pieces], pa.string()), pa.array([" ".join(p[1:]) for p in pieces], pa.string()), pa.array([len(p) - 1 for p in pieces], pa.int32()), pa.array([n for _, n in out], pa.int64())], names=["lang", "phrase", "size", "f"])
 
         for b in batches:
-            parts, n = b.column(0).to_numpy(), b.column(2).to_numpy()
-            heads = np.flatnonzero(np.append(True, parts[1:] != parts[:-1])) if len(parts) else []
-            for i, at in enumerate(heads):
-                end = heads[i + 1] if i + 1 < len(heads) else len(parts)
-                if parts[at] != part:
-                    if part is not None:
-                        stack.finish()
-                    part = parts[at]
-                stack.push(b.column(1).slice(at, end - at), n[at:end])
-            yield from told()
-        if part is not None:
-            stack.finish()
+            for of, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if of != part:
+                    sorter.close()
+                    sorter.first, part = None, of
+                sorter.add(*row)
             yield from told()
+        sorter.close()
+        sorter.flush()
+        yield from told()
 
     return run
 
@@ -366,9 +447,10 @@ def phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, a_range
     picked = seen.where("h is not null").orderBy("h").limit(max(SAMPLE, 20 * ranges)).select("lang", F.substring("word", 1, 16 * SAMPLE_BYTES).alias("word")).collect()
     cuts = ranges_of([(r.lang, r.word) for r in picked], bitmap, ranges, longest)
     sc = spark.sparkContext
-    suffixes = texts.mapInArrow(_emitted(sc.broadcast(bitmap), sc.broadcast(cuts), longest), "part int, key binary, n long")
-    dealt = suffixes.repartition(ranges, "part").sortWithinPartitions(F.desc("key"))  # ranges follow each other by key
-    found = dealt.mapInArrow(_stacked(longest, least), "lang string, phrase string, size int, f long")
+    sent = sc.broadcast(cuts)
+    suffixes = texts.mapInArrow(_emitted(sc.broadcast(bitmap), sent, longest), "part int, first binary, alone long, rest binary, more binary")
+    dealt = suffixes.repartition(ranges, "part").sortWithinPartitions("part", "first")
+    found = dealt.mapInArrow(_stacked(longest, least, sent), "lang string, phrase string, size int, f long")
     # What reaches over a cut has several counts.
     return found.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least), total
 
