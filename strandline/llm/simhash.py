@@ -217,6 +217,26 @@ def _byte(p: int):
     return F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255))
 
 
+#: Bits of the five parts that four bytes are cut into: the first bit of each, and how many.
+PARTS = ((0, 7), (7, 7), (14, 6), (20, 6), (26, 6))
+#: The four positions outside a triple and one more, by triple and position.
+OTHERS = [[[q for q in range(8) if q not in (*t, p)][:4] for p in range(8)] for t in TRIPLES]
+
+
+def _rest():
+    """The bits of the four bytes that members of a list dealt by four positions need not share, as its ``key`` tells."""
+    triple, p = F.expr("cast(shiftright(key, 24) & 31 as int)"), F.expr("cast(shiftright(key, 37) as int)")
+    at = F.element_at(F.element_at(F.lit(OTHERS), triple + 1), p)
+    octets = F.array(*(_byte(q) for q in range(8)))
+    return F.aggregate(at, F.lit(0).cast("long"), lambda x, q: x * 256 + F.element_at(octets, q + 1))
+
+
+def _part(k: int):
+    first, bits = PARTS[k]
+    value = F.shiftright("rest", first).bitwiseAND(F.lit((1 << bits) - 1))
+    return (F.lit(k + 1) * 128 + value) * F.lit(1 << 44) + F.col("key")
+
+
 def links(distinct: DataFrame, tallies=None, hot: int = HOT) -> DataFrame:
     """``a, b``: enough links between ``distinct(fp, rep)`` to join all that lie within four bits, through chains.
 
@@ -228,7 +248,13 @@ def links(distinct: DataFrame, tallies=None, hot: int = HOT) -> DataFrame:
     # A pair of a long list shares one byte more, at one of the five positions outside the triple.
     more = [F.when(F.shiftright("key", 24).isin([n for n, t in enumerate(TRIPLES) if p not in t]), ((F.lit(p + 1) * 256 + _byte(p)) * (1 << 29) + F.col("key"))) for p in range(8)]
     again = posted.join(long, "key", "left_semi").select(F.explode(F.array(*more)).alias("key"), "fp", "rep").where("key is not null")
-    dealt = posted.join(long, "key", "left_anti").unionByName(again)
+    dealt = posted.join(long, "key", "left_anti")
+    # Members of a list that is long still share four bytes. Of five parts of the other four bytes, four bits that differ leave one alike.
+    longer = stored(again.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("key"), "hot-lists")
+    if not longer.isEmpty():
+        parts = again.join(longer, "key", "left_semi").withColumn("rest", _rest()).select(F.explode(F.array(*(_part(k) for k in range(len(PARTS))))).alias("key"), "fp", "rep")
+        again = again.join(longer, "key", "left_anti").unionByName(parts)
+    dealt = dealt.unionByName(again)
     return dealt.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(partial(_search, tallies=tallies), "a long, b long")
 
 

@@ -293,3 +293,21 @@ def test_graph_recall():
     ids, sims = g.search(x, beam)
     found = sum(int((sims[i] >= 0.93).sum()) for i in range(4000))
     assert recall >= 0.9 and found / exact.sum() >= 0.9
+
+
+def test_a_list_that_shares_four_bytes_is_dealt_again(spark):
+    """Long lists of every depth against all pairs."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 24, 500).astype(np.uint64)
+    far = np.concatenate([base, *(base ^ (np.uint64(1) << rng.integers(0, 32, 500).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 32, 500).astype(np.uint64)) for _ in range(2))])
+    fps = np.unique(np.concatenate([(far << np.uint64(8)) | np.uint64(0xAB00000000000011), far << np.uint64(32), rng.integers(0, 1 << 63, 200).astype(np.uint64)]))
+    forest = Forest(len(fps))
+    for i in range(len(fps)):
+        for j in np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= 4):
+            forest.join(i, i + 1 + int(j))
+    want = forest.roots().tolist()
+    rows = spark.createDataFrame([(int(f), k) for k, f in enumerate(fps.view(np.int64))], "fp long, rep long")
+    got = list(range(len(fps)))
+    for r in components(simhash.links(rows, hot=20)).collect():
+        got[r.node] = r.component
+    assert got == want and len(set(want)) < len(fps)
