@@ -280,9 +280,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` without near-duplicates: of each component the document with the smallest doc_id stays, with all its columns.
 
     Of rows that repeat its doc_id one stays: of those in the component, that
-    with the smallest hash of its text, and of these that with the smallest
-    hash of all its columns, maps by their sorted entries; of rows that are
-    alike in all, any one. Rows without doc_id can't be told apart by it, take
+    with the smallest hash of its text, and of these the least by its columns,
+    of which those that hold a map, which has no order, go by their JSON text. Rows without doc_id can't be told apart by it, take
     no part and stay. Columns of any name and type come along.
     """
     names, kinds = docs.columns, [f.dataType for f in docs.schema.fields]
@@ -296,11 +295,11 @@ def keep_first(docs: DataFrame) -> DataFrame:
     single = own.join(odd.select("__id"), key == F.col("__id"), "left_anti")
     firsts = odd.where("__n > 1 and __said is not null")
     again = own.join(firsts, (key == F.col("__id")) & (said == F.col("__said")))
-    plain = [F.to_json(F.struct(F.array_sort(F.map_entries(c)))) if isinstance(t, MapType) else (F.to_json(F.struct(c)) if _holds_map(t) else F.col(c)) for c, t in zip(docs.columns, kinds)]
-    one = again.withColumn("__hash", F.xxhash64(*plain)).groupBy("__id").agg(F.min_by(F.struct(*docs.columns), "__hash").alias("__row")).select("__row.*")
+    order = [F.to_json(F.struct(F.array_sort(F.map_entries(c)))) if isinstance(t, MapType) else (F.to_json(F.struct(c)) if _holds_map(t) else F.col(c)) for c, t in zip(docs.columns, kinds)]
+    one = again.groupBy("__id").agg(F.min_by(F.struct(*docs.columns), F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)))).alias("__row")).select("__row.*")
     return single.unionAll(one).unionAll(docs.where(key.isNull())).toDF(*names)
 
 
 def _holds_map(kind) -> bool:
-    """Whether a value of this type can hold a map, which has no hash."""
+    """Whether a value of this type can hold a map, which has no order."""
     return isinstance(kind, (ArrayType, StructType, MapType)) and "map<" in kind.simpleString()
