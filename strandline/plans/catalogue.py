@@ -585,9 +585,9 @@ def login_throttle(spark, sf_dir):
 def login_throttle_stream(spark, sf_dir):
     """The same rule over the events table read as a stream, run until it has no more."""
     from ..streaming import login
-    # A file stream reads folders; a one-file table is found in its own by name.
+    # A file stream reads folders; a one-file table is found in its own by name, where it is.
     many = spark.read.parquet(f"{sf_dir}/events.parquet")
-    stream = spark.readStream.schema(many.schema).option("pathGlobFilter", "*.parquet").parquet(_folder_of(spark, sf_dir, many))
+    stream = spark.readStream.schema(many.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     attempts = stream.where("event_type in ('error', 'signup')").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"), (F.col("event_type") == "error").alias("failed"))
     out = new_path(spark, "decisions")
     said = login.login_decisions(attempts, THROTTLE_S, THROTTLE_LIMIT)
@@ -596,12 +596,6 @@ def login_throttle_stream(spark, sf_dir):
     return spark.read.schema(said.schema).parquet(out)
 
 
-def _folder_of(spark, sf_dir, events) -> str:
-    folder = new_path(spark, "events")
-    events.write.parquet(folder)
-    return folder
-
-
 @query
 def request_spacing(spark, sf_dir):
     e = read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"))
