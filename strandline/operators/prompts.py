@@ -5,17 +5,21 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ReplyError
+from ..functions import ids
 from ..functions import wording as W
+from .titles import plain
 
 MAX_BEATS, MAX_ALTERNATIVES = 6, 3
 #: What a model is: messages in, text out.
 Chat = Callable[[list[dict]], str]
 NARRATIVE = "struct<headline:string,overview:string,beats:array<struct<title:string,text:string,papers:array<string>>>>"
-GUESS = "struct<title:string,search_query:string,authors:string,year:string,confidence:string,reasoning:string,alternatives:array<struct<title:string,note:string>>>"
+GUESS = "struct<title:string,search_query:string,arxiv_id:string,doi:string,authors:array<string>,year:string,confidence:string,reasoning:string,alternatives:array<string>>"
+#: Fixed value: what stands before an arXiv id in the DOI that arXiv gives each of its papers.
+ARXIV_DOI = "10.48550/arxiv."
 
 
 def json_object(reply: str) -> dict:
@@ -35,6 +39,14 @@ def json_object(reply: str) -> dict:
     raise ReplyError(f"no JSON object in the reply: {reply[:300]}")
 
 
+def object_text(c: Column) -> Column:
+    """The JSON object in a column of replies, found as ``json_object`` finds it; null where there is none."""
+    text = F.regexp_replace(c, r"^\s+|\s+$", "")
+    body = F.when(F.startswith(text, F.lit("```")), F.split_part(text, F.lit("```"), F.lit(2))).otherwise(text)
+    body = F.when(~body.rlike(r"^\s*\[(?s:.*)\]\s*$"), body)
+    return F.nullif(F.regexp_extract(body, r"(?s)\{.*\}", 0), F.lit(""))
+
+
 def cited_urls(message: dict) -> list[str]:
     """The addresses that a model's reply cites in its annotations, in order, each once."""
     notes = (note.get("url_citation") for note in message.get("annotations") or [] if isinstance(note, dict))
@@ -93,8 +105,49 @@ def beats_of(reply: DataFrame, numbered: DataFrame, column: str = "reply") -> Da
 
 
 def guess_of(reply: DataFrame, column: str = "reply") -> DataFrame:
-    """A seed guess: title, search query (required), valid year, and up to three alternatives with a title."""
-    g = F.from_json(column, GUESS)
-    others = F.filter(F.coalesce(g["alternatives"], F.array()), lambda a: F.trim(a["title"]) != "")
-    query = W.clean_text(g["search_query"])
-    return reply.select(W.clean_text(g["title"]).alias("title"), query.alias("search_query"), W.valid_year(g["year"]).alias("year"), F.transform(F.slice(others, 1, MAX_ALTERNATIVES), lambda a: F.trim(a["title"])).alias("alternatives")).where("search_query is not null")
+    """Seed guesses, one for each reply that has a search query; the table's other columns come along.
+
+    Adds ``search_query, title, arxiv_id, doi, authors, year, confidence,
+    reasoning, alternatives(title, note)``. Blank texts are null, but for
+    confidence (``low``) and reasoning (empty); a year that is none is null;
+    blank authors are left out, and alternatives without a title; three
+    alternatives stay at most. A field of another kind than asked for, null
+    and an empty reply take no other field with them.
+    """
+    told = reply.withColumn("__g", F.from_json(object_text(F.col(column)), GUESS))
+    g, nothing = F.col("__g"), F.array().cast("array<string>")
+    others = F.transform(F.coalesce(g["alternatives"], nothing), lambda a: F.from_json(a, "title string, note string"))
+    others = F.transform(others, lambda a: F.struct(W.clean_text(a["title"]).alias("title"), F.coalesce(W.clean_text(a["note"]), F.lit("")).alias("note")))
+    fields = {
+        "search_query": W.clean_text(g["search_query"]),
+        "title": W.clean_text(g["title"]),
+        "arxiv_id": W.clean_text(g["arxiv_id"]),
+        "doi": W.clean_text(g["doi"]),
+        "authors": F.filter(F.coalesce(g["authors"], nothing), lambda a: F.trim(a) != ""),
+        "year": W.valid_year(g["year"]),
+        "confidence": F.coalesce(W.clean_text(g["confidence"]), F.lit("low")),
+        "reasoning": F.coalesce(W.clean_text(g["reasoning"]), F.lit("")),
+        "alternatives": F.slice(F.filter(others, lambda a: a["title"].isNotNull()), 1, MAX_ALTERNATIVES),
+    }
+    kept = [F.col(f"`{c}`") for c in reply.columns if c != column and c not in fields]
+    return told.select(*kept, *(c.alias(name) for name, c in fields.items())).where("search_query is not null")
+
+
+def resolved(works: DataFrame, guesses: DataFrame, key: str) -> DataFrame:
+    """``key, id, matched_by`` of the guesses that name a work: by DOI, else by the DOI of their arXiv id, else by a title of the same tokens, blank ones never.
+
+    Of several works of the best kind the most cited is taken, then the smallest
+    id. Every way is a join by key, and a guess's ways are compared after a
+    work has been picked for each. Nulls match nothing; ``key`` tells guesses apart.
+    """
+    def way(way: str, order: int, name: Column) -> Column:
+        return F.struct(F.lit(way).alias("way"), F.lit(order).alias("order"), F.lit("title" if way == "title" else "doi").alias("kind"), name.alias("name"))
+
+    titled = way("title", 2, ids.blank_to_null(plain(F.col("title"))))
+    ways = F.array(way("doi", 0, ids.doi(F.col("doi"))), way("arxiv", 1, F.concat(F.lit(ARXIV_DOI), F.lower("arxiv_id"))), titled)
+    asked = guesses.select(F.col(key).alias("guess"), F.explode(ways).alias("w")).select("guess", "w.*").where("name is not null")
+    named = works.select("id", "cited_by_count", F.explode(F.array(way("doi", 0, ids.doi(F.col("doi"))), titled)).alias("w"))
+    best = F.min_by("id", F.struct(-F.col("cited_by_count"), "id"))
+    named = named.select("id", "cited_by_count", "w.kind", "w.name").where("name is not null").groupBy("kind", "name").agg(best.alias("id"))  # a title many works share is one row
+    found = asked.join(named, ["kind", "name"])
+    return found.groupBy(F.col("guess").alias(key)).agg(F.min_by(F.struct("id", F.col("way").alias("matched_by")), "order").alias("m")).select(key, "m.*")

@@ -472,13 +472,44 @@ def lineage_beats(spark, sf_dir):
     return beats.select(F.col("beat").cast("long").alias("beat"), "title", "text", F.array_join("node_ids", ",").alias("node_ids"))
 
 
-GUESS = """Here you are: {"title": " Small ring ", "search_query": "small ring", "year": "2031", "alternatives": [{"title": "A", "note": "n"}, {"title": " "}, {"title": "B"}, {"title": "C"}, {"title": "D"}]} hope it helps"""
+def _replies(works: DataFrame) -> DataFrame:
+    """``id, reply``: what a model might say of each work, in seven ways by id, three of which hold no guess."""
+    way = F.col("id") % 7
+    other = lambda title, note=None: F.struct(F.lit(title).alias("title"), F.lit(note).alias("note"))
+    others = F.array(other("A"), other(" "), other(" B ", "n"), other("C"), other("D"))
+    fields = {
+        "search_query": F.when(way == 3, "  ").otherwise(F.concat("title", F.lit(" "))),
+        "title": F.when(way == 0, F.col("title")).when(way == 1, F.upper("title")).when(way == 5, F.replace("title", F.lit(" "), F.lit(", "))),
+        "arxiv_id": F.when(way == 2, F.col("id").cast("string")),
+        "doi": F.when(way == 0, F.col("doi")),
+        "authors": F.when(way != 5, F.col("authors")),
+        "year": F.when(way == 5, F.col("publication_year") + 1000).otherwise(F.col("publication_year")).cast("string"),
+        "confidence": F.when(way == 5, " ").otherwise("high"),
+        "reasoning": F.when(way != 2, "because"),
+        "alternatives": F.when(way == 0, others),
+    }
+    said = F.to_json(F.struct(*(c.alias(name) for name, c in fields.items())))
+    odd = F.concat(F.rtrim(said, F.lit("}")), F.lit(', "authors": "nobody", "alternatives": {"title": "A"}}'))
+    reply = F.when(way == 0, F.concat(F.lit("```json\n"), said, F.lit("\n```\nas {asked}")))
+    reply = reply.when(way == 1, F.concat(F.lit("It is: "), said, F.lit(" I think."))).when(way == 4, F.concat(F.lit("["), said, F.lit("]")))
+    return works.select("id", reply.when(way == 5, odd).when(way == 6, "I cannot tell.").otherwise(said).alias("reply"))
 
 
 @query
 def identify_seed_reply(spark, sf_dir):
-    reply = Setting(spark, sf_dir).reply(json.dumps(prompts.json_object(GUESS)))
-    return prompts.guess_of(reply).select("title", "search_query", "year", F.array_join("alternatives", ",").alias("alternatives"))
+    """What the replies say, one for each work."""
+    g = prompts.guess_of(_replies(substrate.works(spark, sf_dir)))
+    told = F.array_join(F.transform("alternatives", lambda a: F.concat(a["title"], F.lit(":"), a["note"])), ",")
+    return g.select("id", "search_query", "title", "arxiv_id", "doi", F.array_join("authors", "|").alias("authors"), "year", "confidence", "reasoning", told.alias("alternatives"))
+
+
+@query
+def resolve_seed_guesses(spark, sf_dir):
+    """The works that the guesses name; some works have the DOI of an arXiv paper."""
+    w = substrate.works(spark, sf_dir)
+    arxiv = w.withColumn("doi", F.when(F.col("id") % 7 == 2, F.concat(F.lit("10.48550/arXiv."), F.col("id").cast("string"))).otherwise(F.col("doi")))
+    found = prompts.resolved(arxiv, prompts.guess_of(_replies(w)), "id")
+    return found.toDF("asked", "id", "matched_by")
 
 
 # Layout and drawing

@@ -116,10 +116,13 @@ def narrative(g: select.Graph, seed, idea: str, chat: prompts.Chat) -> dict:
 
 
 def identify_seed(spark, description: str, chat: prompts.Chat) -> DataFrame:
-    """One row of what a model takes a description to mean: title, search_query (required), year, alternatives."""
-    ask = "Name the paper that the description means. Answer with a JSON object: title, search_query, authors, year, confidence, reasoning, alternatives (title, note)."
-    reply = prompts.json_object(chat([{"role": "system", "content": ask}, {"role": "user", "content": description}]))
-    guess = prompts.guess_of(spark.createDataFrame([(json.dumps(reply),)], "reply string"))
+    """One row of what a model takes a description to mean: ``prompts.guess_of``, and the ``sources`` and ``model`` that the reply tells of."""
+    if not description.strip():
+        raise ReplyError("there is no description")
+    ask = "Name the published paper that the description means; null is better than an identifier that may be wrong. Answer with a JSON object: search_query (what finds it by title, always), title, arxiv_id, doi, authors (a list), year, confidence (high, medium or low), reasoning, alternatives (title, note; three at most)."
+    said = chat([{"role": "system", "content": ask}, {"role": "user", "content": description.strip()}])
+    row = (json.dumps(prompts.json_object(said)), list(getattr(said, "urls", [])), getattr(said, "model", ""))
+    guess = prompts.guess_of(spark.createDataFrame([row], "reply string, sources array<string>, model string"))
     if guess.isEmpty():
         raise ReplyError("the reply has no search_query")
     return guess

@@ -272,7 +272,15 @@ cited(beat, title, text, p) AS (VALUES (1, 't1', 'x1', [1, 2]), (2, '', 'x3', []
 numbers AS (SELECT beat, unnest(p) AS k, generate_subscripts(p, 1) AS place FROM cited)""", select=f"""
 SELECT CAST(beat AS BIGINT) AS beat, any_value(cited.title) AS title, any_value(text) AS text, coalesce(string_agg(CAST(id AS VARCHAR), ',' ORDER BY place), '') AS node_ids
 FROM cited LEFT JOIN numbers USING (beat) LEFT JOIN chosen ON rank = k + 1 WHERE beat <= {MAX_BEATS} GROUP BY beat""")
-ORACLE_SQL["identify_seed_reply"] = "SELECT 'Small ring' AS title, 'small ring' AS search_query, 2031 AS year, 'A,B,C' AS alternatives"
+ORACLE_SQL["identify_seed_reply"] = _with(SUBSTRATE, select="""
+SELECT id, title AS search_query, CASE id % 7 WHEN 0 THEN title WHEN 1 THEN upper(title) WHEN 5 THEN replace(title, ' ', ', ') END AS title,
+  CASE WHEN id % 7 = 2 THEN CAST(id AS VARCHAR) END AS arxiv_id, CASE WHEN id % 7 = 0 THEN doi END AS doi,
+  CASE WHEN id % 7 = 5 THEN '' ELSE array_to_string(authors, '|') END AS authors, CASE WHEN id % 7 <> 5 THEN publication_year END AS year,
+  CASE WHEN id % 7 = 5 THEN 'low' ELSE 'high' END AS confidence, CASE WHEN id % 7 = 2 THEN '' ELSE 'because' END AS reasoning, CASE WHEN id % 7 = 0 THEN 'A:,B:n,C:' ELSE '' END AS alternatives
+FROM works WHERE id % 7 IN (0, 1, 2, 5)""")
+ORACLE_SQL["resolve_seed_guesses"] = _with(SUBSTRATE, select="""
+SELECT id AS asked, id, CASE id % 7 WHEN 0 THEN 'doi' ELSE 'arxiv' END AS matched_by FROM works WHERE id % 7 IN (0, 2)
+UNION ALL SELECT a.id, w.id, 'title' FROM works a JOIN (SELECT title, id FROM works QUALIFY row_number() OVER (PARTITION BY title ORDER BY cited_by_count DESC, id) = 1) w ON a.title = w.title WHERE a.id % 7 IN (1, 5)""")
 ORACLE_SQL["run_summary"] = _with(*_E, CANDIDATES, CURATED, select="""
 SELECT CAST(id AS VARCHAR) AS seed_id, title AS seed_title, publication_year AS seed_year, (SELECT count(*) FROM nodes) AS expanded, (SELECT count(*) FROM final) AS kept,
   (SELECT count(*) FROM labelled WHERE source IN (SELECT id FROM final) AND target IN (SELECT id FROM final)) AS edges, CAST(3 AS BIGINT) AS clusters,

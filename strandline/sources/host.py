@@ -17,6 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, In
 from pyspark.sql.types import ArrayType, BooleanType, FractionalType, IntegralType, MapType, StringType, StructType
 
 from ..errors import OverBudget, SourceError
+from ..operators.prompts import cited_urls
 
 #: Fixed values of the sources' protocols.
 RETRIED = (429, 500, 502, 503, 504)
@@ -38,6 +39,15 @@ class Settings:
     neighbour_requests: int = 12
     neighbour_interval_s: float = 1.1
     cache: bool = True
+    chat_url: str = ""
+    chat_model: str = ""
+    chat_key: str = ""
+    web_search: bool = True
+
+    def chat(self, model: str | None = None, web: bool = False) -> Callable[[list[dict]], str] | None:
+        """The model that the settings name, or ``model`` at their address; None without an address, a key and a name."""
+        named = model or self.chat_model
+        return chat_model(self.chat_url, named, self.chat_key, http_post(max(120.0, self.timeout_s)), self.retries, web_results=5 if web else 0) if self.chat_url and self.chat_key and named else None
 
     @staticmethod
     def file_values(text: str) -> dict[str, str]:
@@ -174,22 +184,36 @@ def http_post(timeout_s: float = 120.0):
     return post
 
 
-def chat_model(url: str, model: str, key: str, post=None, retries: int = 3, temperature: float = 0.2, sleep=time.sleep) -> Callable[[list[dict]], str]:
-    """A language model behind a chat-completions address, as the function that the plans take: messages in, JSON text out."""
+class Reply(str):
+    """A model's text, with the addresses that it cites and the model that answered."""
+
+    urls: list[str] = []
+    model: str = ""
+
+
+def chat_model(url: str, model: str, key: str, post=None, retries: int = 3, temperature: float = 0.2, sleep=time.sleep, web_results: int = 0) -> Callable[[list[dict]], str]:
+    """A language model behind a chat-completions address, as the function that the plans take: messages in, JSON text out, a Reply.
+
+    With ``web_results`` the model is asked to look that many pages up first.
+    """
     post = post or http_post()
+    looking = {"plugins": [{"id": "web", "max_results": web_results}]} if web_results else {}
 
     def chat(messages: list[dict]) -> str:
-        body = json.dumps({"model": model, "messages": messages, "temperature": temperature, "response_format": {"type": "json_object"}}).encode()
+        body = json.dumps({"model": model, "messages": messages, "temperature": temperature, "response_format": {"type": "json_object"}} | looking).encode()
         headers = {"Authorization": f"Bearer {key}", "Content-Type": "application/json"}
         once = Client(lambda u: post(u, headers, body), retries, sleep=sleep)
         reply = once.fetch(url)
         try:
-            text = reply["choices"][0]["message"]["content"]
+            message = reply["choices"][0]["message"]
+            text = message["content"]
         except (KeyError, IndexError, TypeError):
             raise SourceError(f"no message in the reply: {str(reply)[:300]}") from None
         if not isinstance(text, str) or not text.strip():
             raise SourceError("the message is empty")
-        return text
+        out = Reply(text)
+        out.urls, out.model = cited_urls(message), str(reply.get("model") or model)
+        return out
 
     return chat
 

@@ -10,12 +10,24 @@ from pyspark.sql import functions as F
 
 from ..operators.throttle import LIMIT, WINDOW_S
 
+#: The first watermark is the epoch, and what is not after it would be late: for the watermark, attempts are put a hundred years later, and those of other centuries to the ends of what pandas can tell.
+LATER_US, FIRST_US, LAST_US = 3_155_760_000_000_000, 1, 9_223_372_036_000_000
 
-def login_decisions(attempts: DataFrame, window_s: float = WINDOW_S, limit: int = LIMIT) -> DataFrame:
-    """``key, id, blocked`` of a stream ``attempts(key, ts, id, failed)``; attempts of a key are taken in order of time within a batch, those without a time left out."""
+
+def login_decisions(attempts: DataFrame, window_s: float = WINDOW_S, limit: int = LIMIT, late: str = "1 hour") -> DataFrame:
+    """``key, id, blocked`` of a stream ``attempts(key, ts, id, failed)``; attempts of a key are taken in order of time within a batch, those without a time left out.
+
+    A key has a state only while it has failures that may still count: a success
+    ends it, and so does the watermark, ``late`` behind the last attempt that
+    was seen, once it is a window past the key's last failure. Attempts from
+    before the watermark come too late and are left out.
+    """
     us = int(window_s * 1_000_000)
 
     def decide(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         recent = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["us", "id"])
         said = []
@@ -25,11 +37,18 @@ def login_decisions(attempts: DataFrame, window_s: float = WINDOW_S, limit: int
             if not blocked:
                 recent = [*recent, int(t)] if failed else []
             said.append((key[0], i, blocked))
-        state.update((recent,))
+        # An attempt counts failures a whole window back, so one that comes behind this time counts none of them.
+        ends = (recent[-1] + us + LATER_US) // 1000 + 1 if recent else 0
+        if ends > state.getCurrentWatermarkMs():
+            state.update((recent,))
+            state.setTimeoutTimestamp(ends)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(said, columns=["key", "id", "blocked"])
 
-    timed = attempts.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).where("us is not null").select("key", "id", "failed", "us")
-    return timed.groupBy("key").applyInPandasWithState(decide, "key long, id long, blocked boolean", "recent array<long>", "append", "NoTimeout")
+    timed = attempts.select("key", "id", "failed", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).where("us is not null")
+    timed = timed.withColumn("at", F.timestamp_micros(F.least(F.greatest(F.col("us") + LATER_US, F.lit(FIRST_US)), F.lit(LAST_US)))).withWatermark("at", late)
+    return timed.groupBy("key").applyInPandasWithState(decide, "key long, id long, blocked boolean", "recent array<long>", "append", "EventTimeTimeout")
 
 
 def failures_per_window(attempts: DataFrame, window: str = "15 minutes", late: str = "1 hour") -> DataFrame:

@@ -50,6 +50,11 @@ def test_chat_model_retries_and_reads_the_message():
 
     assert host.chat_model("u", "m", "k", post, sleep=lambda s: None)([{"role": "user", "content": "x"}]) == "{}"
     assert seen == [("Bearer k", [{"role": "user", "content": "x"}])] * 2
+    cited = {"model": "m2", "choices": [{"message": {"content": "{}", "annotations": [{"url_citation": {"url": "u1"}}, {"url_citation": {"url": "u1"}}, 3]}}]}
+    asked = []
+    said = host.chat_model("u", "m", "k", lambda u, h, body: asked.append(json.loads(body)) or (200, {}, json.dumps(cited).encode()), web_results=5)([])
+    assert (said, said.urls, said.model) == ("{}", ["u1"], "m2") and asked[0]["plugins"] == [{"id": "web", "max_results": 5}]
+    assert host.Settings().chat() is None and host.Settings(chat_url="u", chat_key="k").chat("m") is not None
     for body in (b'{"choices": []}', b'{"choices": [{"message": {"content": " "}}]}'):
         with pytest.raises(host.SourceError):
             host.chat_model("u", "m", "k", lambda *a, body=body: (200, {}, body))([])

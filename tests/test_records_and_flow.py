@@ -62,6 +62,29 @@ def test_the_stream_decides_alike(spark, tmp_path):
     assert decided(spark.table("said")) == decided(throttle.login_decisions(attempts(spark, RUN), 60, 2))
 
 
+def test_a_keys_state_ends(spark, tmp_path):
+    rows = lambda *r: attempts(spark, [(*x,) for x in r])
+    schema = rows((1, 0, 0, True)).schema
+
+    def run(batch):
+        batch.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        said = login.login_decisions(stream, 60, 2, late="10 seconds").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c"))
+        said.trigger(availableNow=True).start().awaitTermination()
+        states = spark.read.format("statestore").load(str(tmp_path / "c")).select("key.key").collect()
+        return {r.key for r in states}, {r.id: r.blocked for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+
+    # A success leaves no state; what is kept goes on after a restart, up to a whole window later.
+    assert run(rows((1, 0, 0, True), (2, 0, 1, True), (2, 1, 2, False), (3, 1, 3, True), (1, 2, 4, True)))[0] == {1, 3}
+    kept, said = run(rows((1, 60, 5, True), (4, 60, 6, True)))
+    assert kept == {1, 3, 4} and said[5]
+    # The watermark, ten seconds behind 200, is a window past all but the new key's failure.
+    kept, said = run(rows((5, 200, 7, True)))
+    assert kept == {5} and not said[7]
+    kept, said = run(rows((1, 200, 8, True), (1, 5, 9, True)))
+    assert not said[8] and 9 not in said
+
+
 def test_windowed_failures_stream(spark, tmp_path):
     attempts(spark, RUN).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(attempts(spark, RUN).schema).parquet(str(tmp_path / "in"))
@@ -138,11 +161,32 @@ def test_curated_run_narrative_and_page(spark, tmp_path):
 def test_seed_identification(spark):
     reply = '```json\n{"title": " T ", "search_query": "q", "year": "1400", "alternatives": [{"title": "a"}, {"note": "n"}, {"title": "b"}, {"title": "c"}, {"title": "d"}]}\n```'
     r = lineage.identify_seed(spark, "the one about rings", lambda m: reply).first()
-    assert (r.title, r.search_query, r.year, r.alternatives) == ("T", "q", None, ["a", "b", "c"])
+    assert (r.title, r.search_query, r.year, [a.title for a in r.alternatives]) == ("T", "q", None, ["a", "b", "c"])
+    assert (r.confidence, r.reasoning, r.authors, r.sources, r.model) == ("low", "", [], [], "")
     with pytest.raises(prompts.ReplyError):
         lineage.identify_seed(spark, "x", lambda m: '{"title": "T", "search_query": " "}')
 
 
+def test_guesses_of_odd_replies(spark):
+    full = '{"search_query": " q ", "arxiv_id": "2406.1", "doi": "10.1/X", "authors": ["A", " ", null, 7], "year": 1999, "confidence": "high", "reasoning": "r", "alternatives": [{"title": "a", "note": null}, "b", null, 3, {"title": 5, "note": "n"}]}'
+    replies = [full, '{"search_query": "q", "authors": "A", "alternatives": 3, "year": [1], "title": {"x": 1}}', "[" + full + "]", "none", "", None, '{"search_query": 7}', '```\n{"search_query": "in"}\n``` not {"search_query": "out"}']
+    table = spark.createDataFrame([(i, x, "kept") for i, x in enumerate(replies)], "n int, reply string, `doi.x` string")
+    got = {r.n: r for r in prompts.guess_of(table).collect()}
+    assert set(got) == {0, 1, 6, 7} and got[7].search_query == "in" and got[0]["doi.x"] == "kept"
+    r = got[0]
+    assert (r.search_query, r.arxiv_id, r.doi, r.authors, r.year, r.confidence, r.reasoning) == ("q", "2406.1", "10.1/X", ["A", "7"], 1999, "high", "r")
+    assert [tuple(a) for a in r.alternatives] == [("a", ""), ("5", "n")]
+    assert (got[1].search_query, got[1].authors, got[1].alternatives, got[1].year) == ("q", [], [], None)
+
+
+def test_a_guess_names_a_work(spark):
+    w = spark.createDataFrame([(1, "Small ring", 5, "10.1/A"), (2, "small: RING", 9, None), (3, "x", 0, "https://doi.org/10.48550/arXiv.2406.1"), (4, "", 1, ""), (5, None, 1, None)], "id long, title string, cited_by_count long, doi string")
+    rows = [("d", "doi:10.1/a", None, "x"), ("a", "10.9/none", "2406.1", "small ring"), ("t", None, None, "Small  ring!"), ("n", None, None, "--"), ("o", None, None, "other")]
+    g = spark.createDataFrame(rows, "k string, doi string, arxiv_id string, title string")
+    assert {tuple(r) for r in prompts.resolved(w, g, "k").collect()} == {("d", 1, "doi"), ("a", 3, "arxiv"), ("t", 2, "title")}
+    assert prompts.resolved(w.where("false"), g, "k").isEmpty() and prompts.resolved(w, g.where("false"), "k").isEmpty()
+
+
 def test_keyword_run(spark):
     w, c, refs = tiny(spark)
     got = {r.id: r for r in lineage.keyword_lineage(w, c, refs, "S", "small ring", top_k=1).collect()}
@@ -208,6 +252,30 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["run", "--works", at("w"), "--cites", at("c"), "--refs", at("r"), "--seed", "S", "--idea", "ring", "--out", at("run.html")], spark) == 0
     assert "<svg" in (tmp_path / "run.html").read_text() and "warning: no language model" in capsys.readouterr().err
     assert cli.main(["expand", "--works", at("w"), "--cites", at("c"), "--seed", "none", "--out", at("x")], spark) == 1
+    assert cli.main(["search-seed", "--works", at("w"), "ring", "--limit", "0"], spark) == 1 and "--limit is 0" in capsys.readouterr().err
+
+
+def test_command_line_with_a_model(spark, tmp_path, capsys):
+    from strandline import cli
+    from strandline.sources.host import Reply
+
+    w, c, _ = tiny(spark)
+    w.write.parquet(str(tmp_path / "w"))
+    c.write.parquet(str(tmp_path / "c"))
+    at = lambda name: str(tmp_path / name)
+    said = Reply('{"search_query": "small ring", "doi": "https://doi.org/10.1/R", "confidence": "high", "alternatives": [{"title": "o", "note": "n"}]}')
+    said.urls, said.model = ["u1"], "m"
+    assert cli.main(["identify-seed", "the ring one", "--works", at("w")], spark, lambda m: said) == 0
+    got = json.loads(capsys.readouterr().out)
+    assert got["found"] == {"id": "R", "matched_by": "doi"} and got["sources"] == ["u1"] and got["model"] == "m" and got["alternatives"] == [{"title": "o", "note": "n"}]
+    assert set(got) - {"found"} == {"search_query", "title", "arxiv_id", "doi", "authors", "year", "confidence", "reasoning", "alternatives", "sources", "model"}
+    assert cli.main(["identify-seed", " "], spark, lambda m: said) == 1
+    assert cli.main(["--settings", at("none"), "identify-seed", "x"], spark) == 1 and "no model is set" in capsys.readouterr().err
+    chat = lambda m: '{"clusters": [{"id": "a", "name": "Rings"}], "keep": [{"i": 1, "cluster": "a"}]}' if "candidates:" in m[1]["content"] else '{"headline": "Of rings", "overview": "They grew."}'
+    run = ["run", "--works", at("w"), "--cites", at("c"), "--seed", "S", "--idea", "ring", "--out", at("run.html")]
+    assert cli.main(run, spark, chat) == 0 and "Of rings" in (tmp_path / "run.html").read_text() and "warning" not in capsys.readouterr().err
+    assert cli.main([*run, "--no-narrative"], spark, chat) == 0 and "Of rings" not in (tmp_path / "run.html").read_text()
+    assert cli.main([*run, "--mode", "llm"], spark, lambda m: "nothing") == 1
 
 
 def test_second_source_gives_both_lists_or_none(spark):
