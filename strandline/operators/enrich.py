@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import doi
+from ..sources.shared import stored_counting
 
 
 @dataclass(frozen=True)
@@ -25,10 +26,12 @@ def matches(nodes: DataFrame, works: DataFrame, refs: DataFrame, seed) -> DataFr
     node is found by its own DOI, compared as its source wrote it but for the
     usual prefix, the last node of several; else by the works table. ``turn``
     is the order in which they count: what a node's own DOI found, then what
-    the works table found, each by ord.
+    the works table found, each by ord. Records without a DOI are one row,
+    whose key is null. ``cited`` and ``citing`` say how many records a row stands for.
     """
-    keyed = refs.withColumn("key", doi(F.col("doi"))).where("key is not null")
-    first = keyed.groupBy("key").agg(F.min_by(F.struct("direction", "intents", "is_influential", "abstract", "ord"), "ord").alias("r")).select("key", "r.*")
+    keyed = refs.withColumn("key", doi(F.col("doi")))
+    many = [F.count_if(F.col("direction") == d).alias(d) for d in ("cited", "citing")]
+    first = keyed.groupBy("key").agg(F.min_by(F.struct("direction", "intents", "is_influential", "abstract", "ord"), "ord").alias("r"), *many).select("key", "r.*", "cited", "citing")
     own = nodes.withColumn("key", F.lower(F.replace("doi", F.lit("https://doi.org/"), F.lit("")))).where("key <> ''")
     own = own.groupBy("key").agg(F.max_by("id", "ord").alias("own_id"))
     found = first.join(own, "key", "left")
@@ -48,21 +51,25 @@ def enrich(nodes: DataFrame, edges: DataFrame, works: DataFrame, refs: DataFrame
     influential flag; others have an empty array, which says nothing was
     looked up. Where several records lead to one node, the last in turn labels
     its edge and the first with an abstract fills it. The report counts records, matched and unmatched DOIs, edges
-    labelled and abstracts filled.
+    labelled and abstracts filled; it is a row that is there already, as each
+    step is written to the shared folder and counted on the way.
     """
-    met = matches(nodes, works, refs, seed)
+    keyed, found = F.col("key").isNotNull(), F.col("node_id").isNotNull()
+    counts = {"references_seen": F.sum("cited"), "citations_seen": F.sum("citing"), "dois": F.count_if(keyed), "matched": F.count_if(found), "without_node": F.count_if(keyed & ~found)}
+    met, n = stored_counting(matches(nodes, works, refs, seed), "matches", **counts)
     hit = met.where("node_id is not null")
     labels = hit.groupBy("source", "target").agg(F.max_by(F.struct("intents", "is_influential"), "turn").alias("l")).select("source", "target", "l.*")
     labels = labels.where("size(intents) > 0 or is_influential")
     plain = edges.drop("intents", "is_influential")
+    told = (F.size("intents") > 0) | F.col("is_influential")
     out_edges = plain.join(labels, ["source", "target"], "left").select(*plain.columns, F.coalesce("intents", F.array().cast("array<string>")).alias("intents"), F.coalesce("is_influential", F.lit(False)).alias("is_influential"))
     texts = hit.where("abstract <> ''").groupBy(F.col("node_id").alias("id")).agg(F.min_by("abstract", "turn").alias("other_abstract"))
     filled = (F.coalesce(F.col("abstract"), F.lit("")) == "") & F.col("other_abstract").isNotNull()
-    both = nodes.join(texts, "id", "left")
-    out_nodes = both.withColumn("abstract", F.when(filled, F.col("other_abstract")).otherwise(F.coalesce("abstract", F.lit("")))).select(*nodes.columns)
-    count = lambda cond, name: F.count_if(cond).alias(name)
-    report = refs.agg(count(F.col("direction") == "cited", "references_seen"), count(F.col("direction") == "citing", "citations_seen"), F.count(doi(F.col("doi"))).alias("with_doi"))
-    report = report.crossJoin(met.agg(F.count("node_id").alias("matched"), count(F.col("node_id").isNull(), "without_node")))  # one row each
-    report = report.crossJoin(out_edges.agg(count((F.size("intents") > 0) | F.col("is_influential"), "edges_annotated"))).crossJoin(both.agg(count(filled, "abstracts_filled")))
-    unmatched = F.when(F.col("with_doi") == 0, F.col("references_seen") + F.col("citations_seen")).otherwise(F.col("without_node"))
-    return Enriched(out_nodes, out_edges, report.select("references_seen", "citations_seen", "matched", unmatched.alias("unmatched"), "edges_annotated", "abstracts_filled"))
+    out_edges, labelled = stored_counting(out_edges, "labelled", n=F.count_if(told))
+    both = nodes.join(texts, "id", "left").withColumn("__filled", filled)
+    both = both.withColumn("abstract", F.when(F.col("__filled"), F.col("other_abstract")).otherwise(F.coalesce("abstract", F.lit(""))))
+    both, written = stored_counting(both.drop("other_abstract"), "filled", n=F.count_if("__filled"))
+    seen = [n[k] or 0 for k in ("references_seen", "citations_seen")]
+    row = (*seen, n["matched"], n["without_node"] if n["dois"] else sum(seen), labelled["n"], written["n"])
+    report = nodes.sparkSession.createDataFrame([row], "references_seen long, citations_seen long, matched long, unmatched long, edges_annotated long, abstracts_filled long")
+    return Enriched(both.select(*nodes.columns), out_edges, report)

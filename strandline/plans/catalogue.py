@@ -87,8 +87,7 @@ class Setting:
 
     @cached_property
     def enriched(self) -> enrich.Enriched:
-        e = enrich.enrich(self.nodes, self.edges, self.ranks, self.refs, self.seed)
-        return enrich.Enriched(e.nodes, stored(e.edges, "labelled"), e.report)
+        return enrich.enrich(self.nodes, self.edges, self.ranks, self.refs, self.seed)
 
     @property
     def clustered(self) -> DataFrame:

@@ -48,7 +48,7 @@ def keyword_lineage(works: DataFrame, cites: DataFrame, refs: DataFrame, seed, i
     e = expand(works, cites, seed, caps)
     nodes = _records(e, works, records, seed, cache)
     more = enrich(nodes, e.edges, works, refs, seed)
-    g = select.filter_by_idea(stored(more.nodes, "nodes"), more.edges, seed, idea, top_k)
+    g = select.filter_by_idea(more.nodes, more.edges, seed, idea, top_k)
     g = select.Graph(stored(g.nodes, "kept"), stored(g.edges, "kept-edges"))
     bare = g.edges.select("source", "target", F.array().cast("array<string>").alias("intents"), F.lit(False).alias("is_influential"), "ord")
     told = relate.relationships(g.nodes, bare, seed)

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 #: Used where the session names no shared folder and all runs on one machine, as in tests.
 LOCAL_SHARED = "/tmp/checkpoints"
@@ -40,6 +40,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def stored_counting(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict]:
+    """``stored``, and aggregates of the rows, taken as they are written.
+
+    They are observed in the tasks that write, of which Spark counts each
+    partition once, however often it is tried.
+    """
+    seen = Observation()
+    out = stored(df.observe(seen, *(c.alias(k) for k, c in counts.items())), name)
+    return out, seen.get
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)

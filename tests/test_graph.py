@@ -252,6 +252,20 @@ def test_two_dois_that_lead_to_one_node(spark):
     assert e.edges.first().intents == ["result"] and {r.id: r.abstract for r in e.nodes.collect()} == {"S": "x", "N": "text b"}
 
 
+def test_an_enrichment_is_counted_as_it_is_written(spark):
+    from strandline.operators.enrich import enrich
+
+    nodes = spark.createDataFrame([("S", "10.1/s", "x", 0), ("N", "10.1/n", "", 1), ("M", None, None, 2)], "id string, doi string, abstract string, ord long")
+    edges = spark.createDataFrame([("S", "N", 0), ("S", "M", 1)], "source string, target string, ord long")
+    works = nodes.select("id", "doi")
+    refs = spark.createDataFrame([("10.1/n", "cited", ["result"], False, "text", 0), ("DOI:10.1/N", "cited", [], True, "again", 1), (None, "cited", ["x"], True, "y", 2), ("10.9/z", "citing", [], False, None, 3), (" ", "citing", [], False, None, 4)], "doi string, direction string, intents array<string>, is_influential boolean, abstract string, ord long")
+    e = enrich(nodes, edges, works, refs, "S")
+    assert tuple(e.report.first()) == (3, 2, 1, 1, 1, 1) and e.nodes.columns == nodes.columns
+    # Without any DOI all records are unmatched; without records there is nothing to count.
+    assert tuple(enrich(nodes, edges, works, refs.where("doi is null or doi = ' '"), "S").report.first()) == (1, 1, 0, 2, 0, 0)
+    assert tuple(enrich(nodes, edges, works, refs.where("false"), "S").report.first()) == (0, 0, 0, 0, 0, 0)
+
+
 def test_of_works_with_one_doi_the_last_to_arrive(spark):
     from strandline.operators.lookup import by_doi
 
