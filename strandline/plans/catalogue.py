@@ -666,6 +666,21 @@ def expansion_json(spark, sf_dir):
     return out.select("source", "target", "ord", "source_hop", "target_hop", "source_cited_by_count", "target_cited_by_count")
 
 
+@query
+def graphs_json(spark, sf_dir):
+    """The neighbourhoods of the 50 most cited works as a JSON file each, saved in the tasks and read back."""
+    from . import lineage
+    from ..sources import documents
+
+    s = Setting(spark, sf_dir)
+    seeds = s.ranks.orderBy(F.desc("cited_by_count"), "id").limit(50).select("id")
+    folder = new_path(spark, "graphs")
+    documents.save(lineage.neighbourhoods(s.ranks, s.cites, seeds, 3, s.records), folder)
+    kind = "struct<seed_id:string,nodes:array<struct<id:string,title:string,cited_by_count:long,hop:int>>,edges:array<struct<source:string,target:string>>>"
+    read_back = documents.load(spark, folder).select("name", F.from_json("text", kind).alias("g"))
+    return read_back.select("name", F.array_join(F.transform("g.edges", lambda e: F.concat(e["source"], F.lit(">"), e["target"])), ",").alias("edges"), F.posexplode("g.nodes").alias("ord", "n")).select(F.col("name").alias("seed_id"), "ord", "n.*", "edges")
+
+
 @query
 def run_summary(spark, sf_dir):
     from . import lineage

@@ -157,6 +157,34 @@ def expansion_json(nodes: DataFrame, edges: DataFrame, seed, truncated: bool) ->
     return both.select(F.to_json(F.struct(F.lit(str(seed)).alias("seed_id"), F.lit(truncated).alias("truncated"), "nodes", "edges")).alias("json"))
 
 
+def neighbourhoods(works: DataFrame, cites: DataFrame, seeds: DataFrame, fanout: int = 100, records: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``name, text``: for each of ``seeds(id)`` that is a work, one hop both ways as a document in the form of ``expansion_json``.
+
+    A seed has ``fanout`` works at most on either side, the most cited, so a
+    document fits a row; seeds are dealt by key and share each step. Nodes
+    stand as the seed, what it cites, what cites it. ``works`` needs id and
+    cited_by_count only where ``records`` gives the full works of a table of ids.
+    """
+    end = lambda found, seed, source, target, side: found.select(F.col(seed).alias("seed"), "id", F.col(source).alias("source"), F.col(target).alias("target"), F.lit(side).alias("side"), "rank")
+    cites = cites.where("src <> tgt")
+    cited = end(lookup.references(works, cites, seeds, fanout), "citing_id", "citing_id", "id", 1)
+    near = stored(cited.unionByName(end(lookup.citing(works, cites, seeds, fanout), "cited_id", "id", "cited_id", 2)), "near")
+    own = lookup.by_ids(works, seeds).select(F.col("id").alias("seed"), "id", F.lit(0).alias("side"), F.lit(0).alias("rank"))
+    place = F.struct("side", "rank").alias("ord")
+    nodes = own.unionByName(near.select(*own.columns)).groupBy("seed", "id").agg(F.min(place).alias("ord"))
+    ids = nodes.select("id").distinct()
+    full = records(ids) if records else lookup.by_ids(works, ids)
+    fields = [c for c in ("title", "publication_year", "cited_by_count", "authors", "venue", "abstract", "doi") if c in full.columns]
+    hop = F.when(F.col("ord.side") == 0, 0).otherwise(1).alias("hop")
+    key = lambda c: F.col(c).cast("string").alias(c)
+    listed = lambda rows, name: F.transform(F.array_sort(F.collect_list(rows)), lambda r: r.dropFields("ord")).alias(name)
+    nodes = nodes.join(full.select("id", *fields), "id").groupBy("seed").agg(listed(F.struct("ord", key("id"), *fields, hop), "nodes"))
+    edges = near.groupBy("seed").agg(listed(F.struct(place, key("source"), key("target")), "edges"))
+    none = F.array().cast("array<struct<source:string,target:string>>")
+    both = nodes.join(edges, "seed", "left").withColumns({"edges": F.coalesce("edges", none), "seed_id": F.col("seed").cast("string")})
+    return both.select(F.col("seed_id").alias("name"), F.to_json(F.struct("seed_id", "nodes", "edges")).alias("text"))
+
+
 def load_graph(spark, path: str) -> tuple[select.Graph, str, str, int]:
     """A filtered graph from the JSON that ``graph_json`` makes, older ones too, with its seed, idea and top_k; ready to be drawn or summed up."""
     got = read_graph(spark, path)

@@ -292,6 +292,16 @@ SELECT CAST(id AS VARCHAR) AS id, title, hop, score AS bm25_score, rank - 1 AS o
 ORACLE_SQL["expansion_json"] = _with(SUBSTRATE, EXPANSION, select="""
 SELECT CAST(source AS VARCHAR) AS source, CAST(target AS VARCHAR) AS target, e.ord, s.hop AS source_hop, t.hop AS target_hop, s.cited_by_count AS source_cited_by_count, t.cited_by_count AS target_cited_by_count
 FROM edges e JOIN nodes s ON s.id = source JOIN nodes t ON t.id = target""")
+ORACLE_SQL["graphs_json"] = _with(SUBSTRATE, """
+many AS (SELECT id AS seed_id FROM works ORDER BY cited_by_count DESC, id LIMIT 50),
+ends AS (
+  SELECT src AS s, tgt AS id, src AS source, tgt AS target, 1 AS side FROM cites WHERE src IN (FROM many)
+  UNION ALL SELECT tgt, src, src, tgt, 2 FROM cites WHERE tgt IN (FROM many)),
+near AS (SELECT s, e.id, source, target, side, row_number() OVER (PARTITION BY s, side ORDER BY cited_by_count DESC, e.id) AS rk FROM ends e JOIN works w ON w.id = e.id QUALIFY rk <= 3),
+placed AS (SELECT s, id, min(side * 10 + rk) AS place FROM (SELECT s, id, side, rk FROM near UNION ALL SELECT seed_id, seed_id, 0, 0 FROM many) GROUP BY s, id),
+lines AS (SELECT s, string_agg(source || '>' || target, ',' ORDER BY side, rk) AS edges FROM near GROUP BY s)""", select="""
+SELECT CAST(s AS VARCHAR) AS seed_id, CAST(row_number() OVER (PARTITION BY s ORDER BY place) - 1 AS INTEGER) AS ord, CAST(id AS VARCHAR) AS id, title, cited_by_count, CASE WHEN place = 0 THEN 0 ELSE 1 END AS hop, coalesce(edges, '') AS edges
+FROM placed JOIN works USING (id) LEFT JOIN lines USING (s)""")
 
 # Layout and drawing
 

@@ -1,5 +1,6 @@
 """What is stored and grows: the works cache, the BM25 index; and titles that are alike."""
 
+import json
 import random
 import shutil
 from pathlib import Path
@@ -180,3 +181,34 @@ def test_a_misspelt_title_is_found_and_another_is_not(spark):
     one = lambda q: [r.id for r in lookup.title_match(works, q).collect()]
     assert one("attention is all you need") == ["a"] and one("Atention is all you need") == ["a"] and one("attention is all you heed") == ["c"]
     assert one("something else") == [] and one("") == [] and one("ring") == []
+
+
+def test_documents_are_seen_all_at_once(spark, tmp_path):
+    from strandline.sources import documents
+
+    folder, rows = str(tmp_path / "d"), lambda *r: spark.createDataFrame(list(r), "name string, text string, value int")
+    read = lambda: {r.name: r.text for r in documents.load(spark, folder).collect()}
+    assert read() == {}
+    documents.save(rows(("a/b 1", "x\ny\n", 1), ("c", "", 2), ("c", "", 3), (None, "z", 4), ("d", None, 5), ("\u00e9=", "\n", 6)), folder)
+    assert read() == {"a/b 1": "x\ny\n", "c": "", "\u00e9=": "\n"}
+    bad = rows(("c", "new", 1), ("e", "e", 2)).withColumn("text", F.when(F.col("name") == "e", F.raise_error(F.lit("no"))).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="no"):
+        documents.save(bad, folder)
+    assert read()["c"] == "" and "e" not in read()
+    documents.save(rows(("c", "new", 1)), folder)
+    assert read()["c"] == "new" and len(read()) == 3
+    documents.save(rows(("only", "1", 1)), folder, replace=True)
+    assert read() == {"only": "1"}
+
+
+def test_neighbourhoods_of_odd_seeds(spark):
+    from strandline.plans.lineage import neighbourhoods
+
+    works = spark.createDataFrame([("S", 1, "s"), ("A", 5, None), ("B", 7, "b"), ("L", 0, "l")], "id string, cited_by_count long, title string")
+    cites = spark.createDataFrame([("S", "A"), ("S", "B"), ("A", "S"), ("S", "S"), ("S", "unknown"), (None, "S")], "src string, tgt string")
+    seeds = spark.createDataFrame([("S",), ("S",), ("L",), ("none",), (None,)], "id string")
+    got = {r.name: json.loads(r.text) for r in neighbourhoods(works, cites, seeds, 5).collect()}
+    assert set(got) == {"S", "L"} and [n["id"] for n in got["S"]["nodes"]] == ["S", "B", "A"] and [n["hop"] for n in got["S"]["nodes"]] == [0, 1, 1]
+    assert got["S"]["edges"] == [{"source": "S", "target": "B"}, {"source": "S", "target": "A"}, {"source": "A", "target": "S"}]
+    assert got["L"]["edges"] == [] and [n["id"] for n in got["L"]["nodes"]] == ["L"]
+    assert neighbourhoods(works, cites, seeds.where("false")).count() == 0
