@@ -176,6 +176,18 @@ def test_titles_alike_are_all_pairs(spark):
     assert titles.alike(spark.createDataFrame(asked, "id long, title string").where("false"), spark.createDataFrame(works, "id long, title string")).count() == 0
 
 
+def test_titles_meet_as_maps_and_not_as_lists_of_grams(spark):
+    words = [f"{a}{b} " for a in ("red", "blue", "tiny", "green") for b in ("ring", "bolt", "gear", "plate")]
+    works = spark.range(400).select("id", F.concat(*(F.element_at(F.array(*map(F.lit, words)), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(words))).cast("int") + 1) for k in range(5))).alias("title"))
+    texts = works.select(titles.plain(F.col("title")).alias("text")).distinct().withColumn("g", titles.grams(F.col("text")))
+    rows = titles._prefixes(texts, texts.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("c")), 0.8)
+    assert not [k for _, k in rows.dtypes if k.startswith("array")]
+    assert rows.select(sum(F.bit_count(f"map{k}") for k in range(titles.MAPS)).alias("bits"), "n").where("bits > n or bits = 0").count() == 0
+    plain = {r.id: set(r.g) for r in works.select("id", titles.grams(titles.plain(F.col("title"))).alias("g")).collect()}
+    want = sorted((i, j) for i in plain for j in plain if i % 10 == 0 and len(plain[i] & plain[j]) >= 0.8 * len(plain[i] | plain[j]))
+    assert sorted((r.asked_id, r.id) for r in titles.alike(works.where("id % 10 = 0"), works).collect()) == want and len(want) > 40
+
+
 def test_a_misspelt_title_is_found_and_another_is_not(spark):
     works = spark.createDataFrame([("a", "Attention Is All You Need", 9), ("b", "Attention is all you need!", 5), ("c", "Attention is all you heed", 99), ("d", "Rings", 1)], "id string, title string, cited_by_count long")
     one = lambda q: [r.id for r in lookup.title_match(works, q).collect()]
