@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import new_path, stored
+from ..sources.shared import discard, stored, stored_counting
 
 #: Works of a level up to which it is sent to the citations, which then stay where they are.
 FEW = 200_000
 #: Edges that one task walks, at most.
 CAPPED = 1_000_000
+#: Seeds that are numbered together.
+BLOCKS = 64 * 1024
 
 
 def _walked(edges: DataFrame, seed) -> DataFrame:
@@ -38,37 +40,48 @@ def _walked(edges: DataFrame, seed) -> DataFrame:
     return edges.select("source", "target").coalesce(1).mapInArrow(walk, f"id {'string' if text else 'long'}, up boolean")
 
 
-def reached_from(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``seed, id, up`` for each of ``seeds(id)``: what it cites (up) and what cites it, over any number of steps; cycles end by themselves.
-
-    All seeds walk together, breadth first: a level is one scan of the
-    citations, which are written down once with the step each can be taken for,
-    and one look at what is reached already. A level is counted as it is
-    written; up to FEW rows it is sent to the citations, beyond that both are
-    dealt by key, where a work that many levels meet can be split. What a level
-    makes grows with seeds and works reached, not with their pairs of paths.
+def _walk(edges: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What each seed reaches, as bits: ``id, up, block, seen``, and the seeds' own bits: ``seed, block, bit``.
+
+    All seeds walk together, breadth first; a work has a row for each direction
+    and block of 64 seeds, however many of them reach it. A level is one scan of
+    the citations, which are written down once with the step each can be taken
+    for, and one grouping of what it brings with what is known, after which only
+    bits that are new walk on. A level's new rows are counted as it is written;
+    up to FEW they are sent to the citations, beyond that both are dealt by key.
     """
-    spark, kind = edges.sparkSession, dict(edges.dtypes)["source"]
+    kind = dict(edges.dtypes)["source"]
     known = edges.where("source is not null and target is not null")
     ways = F.array(F.struct(F.col("source").alias("at"), F.col("target").alias("to"), F.lit(True).alias("way")), F.struct(F.col("target").alias("at"), F.col("source").alias("to"), F.lit(False).alias("way")))
     steps = stored(known.select(F.explode(ways).alias("s")).select("s.*"), "steps")
-    front = seeds.where("id is not null").select(F.col("id").cast(kind).alias("id")).distinct().select(F.col("id").alias("seed"), "id", F.explode(F.array(F.lit(True), F.lit(False))).alias("up"))
-    base, level, schema = new_path(spark, "reached"), 0, f"seed {kind}, id {kind}, up boolean"
-    table = lambda first: spark.read.schema(schema).parquet(*[f"{base}/{k}" for k in range(first, level + 1)])
+    asked, counted = stored_counting(seeds.where("id is not null").select(F.col("id").cast(kind).alias("seed")).distinct(), "seeds", n=F.count(F.lit(1)))
+    # Few partitions, as a block's seeds come from one; written down, as numbers of rows are not the same each time.
+    numbered = asked.repartition(counted["n"] // BLOCKS + 1).select("seed", F.monotonically_increasing_id().alias("k"))
+    bits = stored(numbered.select("seed", F.expr("k div 64").alias("block"), (F.col("k") % 64).cast("int").alias("bit")), "seed-bits")
+    own = F.expr("shiftleft(1L, bit)")
+    rows = bits.select(F.col("seed").alias("id"), F.explode(F.array(F.lit(True), F.lit(False))).alias("up"), "block", own.alias("seen"), own.alias("new"))
+    state, counts = stored_counting(rows, "reached", n=F.count(F.lit(1)))
+    nothing = F.lit(0).cast("long")
+    while counts["n"]:
+        front = state.where("new <> 0").select("id", F.col("up").alias("way"), "block", "new")
+        come = steps.join(F.broadcast(front) if counts["n"] <= FEW else front, (F.col("at") == F.col("id")) & (steps["way"] == front["way"])).select(F.col("to").alias("id"), steps["way"].alias("up"), "block", nothing.alias("seen"), F.col("new").alias("came"))
+        both = state.select("id", "up", "block", "seen", nothing.alias("came")).unionAll(come).groupBy("id", "up", "block").agg(F.bit_or("seen").alias("seen"), F.bit_or("came").alias("came"))
+        before = state
+        new = F.col("came").bitwiseAND(F.bitwise_not("seen"))
+        state, counts = stored_counting(both.select("id", "up", "block", F.col("seen").bitwiseOR(F.col("came")).alias("seen"), new.alias("new")), "reached", n=F.count_if(F.col("new") != 0))
+        discard(before)
+    return state.select("id", "up", "block", "seen"), bits
+
+
+def _each(rows: DataFrame, bits: DataFrame, mask: str) -> DataFrame:
+    """``rows`` for each seed whose bit their ``mask`` has, but for the seed itself."""
+    return rows.join(bits, "block").where((F.col(mask).bitwiseAND(F.expr("shiftleft(1L, bit)")) != 0) & (F.col("id") != F.col("seed")))
 
-    def write(rows: DataFrame) -> int:
-        seen = Observation()
-        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{base}/{level}")
-        return seen.get["n"]
 
-    n = write(front)
-    while n:
-        sent = F.broadcast(table(level)) if n <= FEW else table(level)
-        new = steps.join(sent, (F.col("at") == F.col("id")) & (F.col("way") == F.col("up"))).select("seed", F.col("to").alias("id"), "up").distinct()
-        new = new.join(table(0), ["seed", "id", "up"], "left_anti")
-        level += 1
-        n = write(new)
-    return table(0).where(F.col("id") != F.col("seed"))
+def reached_from(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``seed, id, up`` for each of ``seeds(id)``: what it cites (up) and what cites it, over any number of steps; cycles end by themselves."""
+    state, bits = _walk(edges, seeds)
+    return _each(state, bits, "seen").select("seed", "id", "up")
 
 
 def reached(edges: DataFrame, seed, capped: bool = False) -> DataFrame:
@@ -94,8 +107,12 @@ def classify(nodes: DataFrame, edges: DataFrame, seed, capped: bool = False) ->
 
 def classify_from(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """``seed, id, direction`` for each of ``seeds(id)`` and every work that it is related to."""
-    sides = reached_from(edges, seeds).groupBy("seed", "id").agg(F.bool_or("up").alias("up"), F.bool_or(~F.col("up")).alias("down"))
-    return sides.select("seed", "id", _direction().alias("direction"))
+    state, bits = _walk(edges, seeds)
+    nothing = F.lit(0).cast("long")
+    way = lambda up: F.bit_or(F.when(F.col("up") == F.lit(up), F.col("seen")).otherwise(nothing))
+    sides = state.groupBy("id", "block").agg(way(True).alias("ups"), way(False).alias("downs")).withColumn("met", F.col("ups").bitwiseOR(F.col("downs")))
+    has = lambda mask: F.col(mask).bitwiseAND(F.expr("shiftleft(1L, bit)")) != 0
+    return _each(sides, bits, "met").withColumns({"up": has("ups"), "down": has("downs")}).select("seed", "id", _direction().alias("direction"))
 
 
 def seed_edge_intents(edges: DataFrame, seed) -> DataFrame:

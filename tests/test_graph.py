@@ -102,6 +102,16 @@ def test_many_seeds_walk_together_over_cycles(spark, monkeypatch, few):
     assert set(got) == want and len(got) == len(want) and any(k == "mixed" for *_, k in want)
 
 
+def test_seeds_of_a_walk_share_rows(spark):
+    ps = [(f"n{i:03}", f"n{i + 1:03}") for i in range(99)]  # more seeds than bits of a row, in a chain
+    ps += [(f"n{i:03}", f"n{i + 7:03}") for i in range(0, 90, 5)] + [("n099", "n095")]
+    seeds = spark.createDataFrame([(f"n{i:03}",) for i in range(90)], "id string")
+    state, bits = direction._walk(edges(spark, ps), seeds)
+    assert state.count() <= 2 * 2 * 100 and bits.select("block", "bit").distinct().count() == 90
+    got = {(r.seed, r.id): r.direction for r in direction.classify_from(edges(spark, ps), seeds).collect()}
+    assert got == {(f"n{s:03}", f"n{x:03}"): "ancestor" if x > s else "descendant" for s in range(90) for x in range(100) if x != s}
+
+
 def test_a_walk_in_one_task_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(direction, "CAPPED", 1)
     monkeypatch.setattr(direction, "_walked", None)
