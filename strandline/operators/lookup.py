@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,8 +61,13 @@ def search(works: DataFrame, query: str, limit: int = 5) -> DataFrame:
 
 def title_match(works: DataFrame, query: str, least: float = ALIKE) -> DataFrame:
     """The work whose tokens of the title are the query's; if there is none, the one whose title is most alike, from ``least`` on. Of several the most cited, then the smallest id."""
-    asked, own = plain(F.lit(query)), plain(F.col("title"))
-    near = works.withColumns({"__same": own == asked, "__like": similarity(grams(own), grams(asked))}).where(F.col("__same") | (F.col("__like") >= least))
+    text = plain(F.lit(query))
+    told = works.sparkSession.range(1).select(text.alias("text"), grams(text).alias("g")).first()
+    asked, own, its = F.lit(told.text), plain(F.col("title")), F.lit(told.g) if told.g else F.array().cast("array<string>")
+    # A title that is alike has so many of the query's grams as pieces of its text; lists of grams are made of such titles alone.
+    many = max(1, math.ceil(least * len(told.g) - 1e-9))
+    able = F.exists(F.array(own), lambda t: (t == asked) | (F.size(F.filter(its, lambda g: F.contains(t, g))) >= many))
+    near = works.where(able).withColumns({"__same": own == asked, "__like": similarity(grams(own), its)}).where(F.col("__same") | (F.col("__like") >= least))
     return near.orderBy(F.desc("__same"), F.desc("__like"), F.desc("cited_by_count"), "id").limit(1).drop("__same", "__like")
 
 

@@ -195,6 +195,20 @@ def test_a_misspelt_title_is_found_and_another_is_not(spark):
     assert one("something else") == [] and one("") == [] and one("ring") == []
 
 
+def test_lists_of_grams_are_made_of_titles_that_can_match_alone(spark):
+    texts = ["tiny red ring", "tiny red rings", "Tiny, red ring", "red ring tiny", "ring", "ab", "a", "", None, "tiny red ring of the ancient widget", "tny red ring"]
+    works = spark.createDataFrame([(i, t, i % 4) for i, t in enumerate(texts)], "id long, title string, cited_by_count long")
+    sets = {r.id: (r.t, set(r.g)) for r in works.select("id", titles.plain(F.col("title")).alias("t"), titles.grams(titles.plain(F.col("title"))).alias("g")).collect()}
+    for query in [*filter(None, texts), "tiny red rink", "AB!", "b", "nothing"]:
+        own, g = works.sparkSession.range(1).select(titles.plain(F.lit(query)), titles.grams(titles.plain(F.lit(query)))).first()
+        for least in (0.3, 0.8):
+            like = {i: (t == own, len(x & set(g)) / len(x | set(g)), i % 4, -i) for i, (t, x) in sets.items()}
+            want = max((v for v in like.values() if v[0] or v[1] >= least), default=None)
+            assert [r.id for r in lookup.title_match(works, query, least).collect()] == ([-want[3]] if want else []), (query, least)
+    plan = lookup.title_match(works, "tiny red ring")._jdf.queryExecution().optimizedPlan().toString()
+    assert "exists(" in plan and "[tin,iny,ny ," in plan, plan  # the query's grams are a constant
+
+
 def test_documents_are_seen_all_at_once(spark, tmp_path):
     from strandline.sources import documents
 
