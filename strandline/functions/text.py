@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -25,16 +26,31 @@ def document_text(title: Column, abstract: Column) -> Column:
     return F.trim(F.concat_ws(" ", title, F.coalesce(abstract, F.lit(""))))
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, with the value made once a row: within lambdas Spark would make it for each use anew."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def inverted_index(words: Column) -> Column:
+    """Each different word of a list and the places where it stands, from 0; null of null."""
+
+    def runs(ordered: Column) -> Column:
+        first = F.zip_with(ordered, F.concat(F.array(F.lit(None).cast("struct<w:string,at:int>")), F.slice(ordered, F.lit(1), F.size(ordered) - 1)), lambda x, y: y.isNull() | (x["w"] != y["w"]))
+        starts = F.array_compact(F.transform(first, lambda new, i: F.when(new, i + 1)))
+        return _let(starts, lambda a: F.map_from_arrays(F.transform(a, lambda i: F.get(ordered, i - 1)["w"]), F.zip_with(a, F.concat(F.slice(a, F.lit(2), F.size(a)), F.array(F.size(ordered) + 1)), lambda i, j: F.transform(F.slice(ordered, i, j - i), lambda x: x["at"]))))
+
+    return F.when(words.isNotNull(), _let(F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("at")))), lambda o: F.when(F.size(o) > 0, runs(o)).otherwise(F.create_map().cast("map<string,array<int>>"))))
+
+
 def abstract_from_index(index: Column) -> Column:
     """Words put at their positions; gaps keep their blanks, and of words at one position the later entry stays."""
     entry = F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w"))))
-    placed = F.array_sort(F.transform(F.flatten(entry), lambda x, i: F.struct(x["p"].alias("p"), i.alias("i"), x["w"].alias("w"))))
-    # Neighbours meet by zipping a list with itself, one further: a lambda that looked into the list would build it anew for every word.
-    after = F.slice(placed, F.lit(2), F.size(placed))
-    last = F.array_compact(F.zip_with(placed, after, lambda x, y: F.when(y.isNull() | (y["p"] != x["p"]), x)))
-    before = F.concat(F.array(F.lit(None).cast("struct<p:int,i:int,w:string>")), last)
-    spaced = F.zip_with(last, before, lambda x, y: F.concat(F.repeat(F.lit(" "), x["p"] - F.coalesce(y["p"], F.lit(0))), x["w"]))
-    return F.coalesce(F.trim(F.array_join(spaced, "")), F.lit(""))
+    sorted_ = F.sort_array(F.transform(F.flatten(entry), lambda x, i: F.struct(x["p"].alias("p"), i.alias("i"), x["w"].alias("w"))))
+    # Neighbours meet by zipping a list with itself, one further.
+    lasts = lambda placed: F.array_compact(F.zip_with(placed, F.slice(placed, F.lit(2), F.size(placed)), lambda x, y: F.when(y.isNull() | (y["p"] != x["p"]), x)))
+    before = lambda last: F.concat(F.array(F.lit(None).cast("struct<p:int,i:int,w:string>")), last)
+    spaced = lambda last: F.zip_with(last, before(last), lambda x, y: F.concat(F.repeat(F.lit(" "), x["p"] - F.coalesce(y["p"], F.lit(0))), x["w"]))
+    return F.coalesce(F.trim(F.array_join(_let(_let(sorted_, lasts), spaced), "")), F.lit(""))
 
 
 def abstract(plain: Column, index: Column) -> Column:

@@ -186,10 +186,9 @@ def parse_neighbour_record(spark, sf_dir):
 @query
 def reconstruct_abstract(spark, sf_dir):
     """Every document's words put into an inverted index and back; line breaks become single blanks."""
-    whole = read(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")  # texts move once, their words stay where they are
-    words = whole.select("doc_id", F.posexplode(F.split("text", r"[ \t\n\r\f\x0B]+")).alias("pos", "word"))
-    index = words.groupBy("doc_id", "word").agg(F.collect_list("pos").alias("at")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("index"))
-    return index.select("doc_id", F.md5(text.abstract(F.lit(""), F.col("index"))).alias("abstract_md5"))
+    words = F.split("text", r"[ \t\n\r\f\x0B]+")
+    index = read(spark, sf_dir, "documents").select("doc_id", "text", text.inverted_index(words).alias("index"))
+    return index.select("doc_id", F.when(F.col("text").isNotNull(), F.md5(text.abstract(F.lit(""), F.col("index")))).alias("abstract_md5"))
 
 
 @query

@@ -1,3 +1,5 @@
+import hashlib
+
 from pyspark.sql import functions as F
 
 from strandline.functions import ids, text, wording
@@ -48,6 +50,19 @@ def test_abstract_of_two_words_at_one_place_keeps_the_later(spark):
     assert one(spark, text.abstract_from_index(m)) == "y z"
 
 
+def test_words_to_an_index_and_back(spark, tmp_path):
+    from strandline.plans.catalogue import QUERIES
+
+    m = one(spark, text.inverted_index(F.split(F.lit("b a b c a b"), " ")))
+    assert m == {"a": [1, 4], "b": [0, 2, 5], "c": [3]} and one(spark, text.inverted_index(F.array().cast("array<string>"))) == {} and one(spark, text.inverted_index(F.lit(None).cast("array<string>"))) is None
+    rows = [(1, "x y\tx"), (1, "z z"), (2, None), (3, ""), (4, " \n "), (5, " lead and  gap\n")]  # a repeated doc_id, a null text
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(((r.doc_id, r.abstract_md5) for r in QUERIES["reconstruct_abstract"](spark, str(tmp_path)).collect()), key=str)
+    want = [(i, t and hashlib.md5(" ".join(t.split()).encode()).hexdigest()) if t is not None else (i, None) for i, t in rows]
+    want = [(i, hashlib.md5(b"").hexdigest() if h == "" else h) for i, h in want]
+    assert got == sorted(want, key=str)
+
+
 def docs(spark, *texts):
     return spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", text.tokens(F.col("t")).alias("t"))
 
