@@ -138,7 +138,7 @@ def s2_reference(spark, sf_dir):
 def parse_source_record(spark, sf_dir):
     s = Setting(spark, sf_dir)
     refs = s.cites.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list("tgt")).alias("refs"))
-    w = s.works.join(refs, "id", "left")
+    w = substrate.works(spark, sf_dir, s.cites).join(refs, "id", "left")  # read once, so not kept
     form, key = F.col("id") % 3, F.col("id").cast("string")
     raw = F.to_json(
         F.struct(

@@ -48,10 +48,11 @@ def works(spark: SparkSession, sf_dir: str, cites: DataFrame | None = None, only
         F.array_sort(F.collect_set("s_name")).alias("authors"),
     )
     cited = cites.groupBy("tgt").agg(F.count(F.lit(1)).alias("n"))
+    # An order meets its customer before it has a title: what is dealt by customer is narrow, all else stays dealt by order.
     customers = read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    orders = orders.select("o_orderkey", "o_custkey", "o_orderdate").join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
     texts = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("abstract"))
-    out = told.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(cited, F.col("o_orderkey") == F.col("tgt"), "left")
-    out = out.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left").join(texts, F.col("o_orderkey") == F.col("doc_id"), "left")
+    out = told.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(cited, F.col("o_orderkey") == F.col("tgt"), "left").join(texts, F.col("o_orderkey") == F.col("doc_id"), "left")
     return out.select(
         F.col("o_orderkey").alias("id"),
         F.array_join(F.col("parts.p_name"), " ").alias("title"),

@@ -1,4 +1,5 @@
 import json
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -316,3 +317,34 @@ def test_cited_addresses_and_account_tables(spark):
     assert spark.createDataFrame([], accounts.INVITES).count() == 0
     assert accounts.select(spark, "select id from people where email = ?", "a@b.c", people=users).first().id == 1
     assert accounts.select(spark, "select id from people where email = ?", "' or 1=1 --", people=users).count() == 0
+
+
+def test_titles_are_not_dealt_by_customer(spark, tmp_path):
+    from strandline.sources import substrate
+
+    tables = {
+        "lineitem": ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int", [(1, 1, 1, 1), (2, 1, 1, 1), (2, 2, 1, 2)]),
+        "orders": ("o_orderkey long, o_custkey long, o_orderdate timestamp", [(1, 7, datetime(1995, 1, 1)), (2, None, datetime(1996, 1, 1))]),
+        "part": ("p_partkey long, p_name string", [(1, "red ring"), (2, "hot bolt")]), "supplier": ("s_suppkey long, s_name string", [(1, "s")]),
+        "customer": ("c_custkey long, c_mktsegment string", [(7, "tools")]), "documents": ("doc_id long, text string", [(1, "of rings")]),
+    }
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        works = substrate.works(spark, str(tmp_path))
+        got = [(r.id, r.title, r.abstract, r.venue) for r in works.orderBy("id").collect()]
+        plan = works._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == [(1, "red ring", "of rings", "tools"), (2, "red ring hot bolt", "", None)]
+    dealt = [i for i, line in enumerate(plan) if "hashpartitioning(o_custkey" in line]
+    assert len(dealt) == 1
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    below = []
+    for line in plan[dealt[0] + 1 :]:
+        if depth(line) <= depth(plan[dealt[0]]):
+            break
+        below.append(line)
+    assert below and not any("p_name" in line for line in below)
