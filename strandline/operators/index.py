@@ -32,24 +32,27 @@ def add(corpus: DataFrame, folder: str, stripe: int = STRIPE, buckets: int = BUC
     document's words don't change. No row without id is indexed.
     """
     spark, m = corpus.sparkSession, Manifest(corpus.sparkSession, folder)
-    docs = corpus.where("id is not null").select("id", "tokens").dropDuplicates(["id"])
+    # Which documents are new is found without their words; of rows with one id the words with the least hash count.
+    corpus = corpus.where("id is not null").select("id", "tokens", F.xxhash64("tokens").alias("hash"))
+    docs = corpus.select("id", F.struct("hash", F.size("tokens").cast("long").alias("size")).alias("d")).groupBy("id").agg(F.min("d").alias("d")).select("id", "d.size", "d.hash")
     known = m.read()[1]
     if known:
         docs = docs.join(_documents(spark, known), "id", "left_anti")
     path = m.new_segment()
-    docs.select("id", F.size("tokens").cast("long").alias("size")).write.parquet(f"{path}/documents")
+    docs.write.parquet(f"{path}/documents")
     sizes = spark.read.parquet(f"{path}/documents")
     n, words = sizes.agg(F.count(F.lit(1)), F.sum("size")).first()
     if not n:
         return False
     stripes = -(-n // stripe)
     # The segment's documents are those written down, whatever the corpus gives when it is read again.
-    rows = corpus.select("id", "tokens").join(sizes, "id", "left_semi").dropDuplicates(["id"])
-    rows = rows.select("id", F.size("tokens").cast("long").alias("size"), F.pmod(F.xxhash64("id"), F.lit(stripes)).alias("stripe"), F.explode("tokens").alias("term"))
-    counts = rows.groupBy("term", "stripe", "id", "size").agg(F.count(F.lit(1)).alias("f"))
-    held = counts.groupBy("term", "stripe").agg(F.count(F.lit(1)).alias("n"), F.max("f").alias("most"), F.min("size").alias("least"), F.array_sort(F.collect_list(F.struct("id", "f", "size"))).alias("held"))
-    held = held.withColumn("bucket", _bucket(F.col("term"), buckets)).withColumn("part", F.expr(f"stripe div {FIRST}"))
-    held = held.repartition("bucket", "part").drop("part").sortWithinPartitions("bucket", "term", "stripe")
+    rows = corpus.join(sizes.select("id", "hash"), ["id", "hash"], "left_semi")  # the only time that words move by document
+    rows = rows.dropDuplicates(["id", "hash"]).select("id", "hash", F.size("tokens").cast("long").alias("size"), F.pmod(F.xxhash64("id"), F.lit(stripes)).alias("stripe"), F.explode("tokens").alias("term"))
+    counts = rows.groupBy("id", "hash", "term", "stripe", "size").agg(F.count(F.lit(1)).alias("f"))
+    # Postings move once: dealt as they are written, they are grouped where they come to lie.
+    dealt = counts.select("term", "stripe", "id", "f", "size", _bucket(F.col("term"), buckets).alias("bucket"), F.expr(f"stripe div {FIRST}").alias("part")).repartition("bucket", "part")
+    held = dealt.groupBy("bucket", "part", "term", "stripe").agg(F.count(F.lit(1)).alias("n"), F.max("f").alias("most"), F.min("size").alias("least"), F.array_sort(F.collect_list(F.struct("id", "f", "size"))).alias("held"))
+    held = held.select("term", "stripe", "n", "most", "least", "held", "bucket").sortWithinPartitions("bucket", "term", "stripe")
     held.write.partitionBy("bucket").parquet(f"{path}/postings")
     full = sorted(r.bucket for r in spark.read.parquet(f"{path}/postings").select("bucket").distinct().collect()) if words else []  # a row a bucket
     m.add({"path": path, "n": n, "words": words, "buckets": buckets, "full": full, "id": sizes.schema["id"].dataType.simpleString()})

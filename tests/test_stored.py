@@ -129,6 +129,28 @@ def test_an_index_that_grows_gives_what_a_search_of_texts_gives(spark, tmp_path,
         assert search(q, 700) == plain(corpus, q, 700), q
 
 
+def test_words_and_postings_move_once(spark, tmp_path):
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def moved():
+        stages = store.stageList(None, False, False, none, None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    word = F.concat(F.lit("w"), F.pmod(F.xxhash64("id", "k"), F.lit(5000)).cast("string"))
+    corpus = spark.range(4000).select("id", F.explode(F.sequence(F.lit(1), F.lit(40))).alias("k")).select("id", word.alias("w")).groupBy("id").agg(F.sort_array(F.collect_list("w")).alias("tokens"))
+    corpus.write.parquet(str(tmp_path / "corpus"))
+    corpus = spark.read.parquet(str(tmp_path / "corpus"))
+    twice = corpus.unionAll(corpus.where("id < 100")).unionAll(corpus.where("id < 50").select("id", F.array(F.lit("other")).alias("tokens")))
+    before = moved()
+    assert index.add(twice, str(tmp_path / "i"))
+    assert moved() - before < 4_000_000, moved() - before  # twice, it is 4.6 MB
+    (segment,) = Manifest(spark, str(tmp_path / "i")).read()[1]
+    posted = index._postings(spark, [segment]).select(F.explode("held").alias("d")).select("d.*")
+    sizes = {r.id: r.size for r in spark.read.parquet(f"{segment['path']}/documents").collect()}
+    assert segment["n"] == len(sizes) == 4000 and segment["words"] == sum(sizes.values())
+    assert {r.id: r.n for r in posted.groupBy("id").agg(F.sum("f").alias("n")).collect()} == sizes
+
+
 def test_a_query_opens_the_buckets_of_its_terms_alone(spark, tmp_path, corpus):
     folder = str(tmp_path / "i")
     index.add(corpus, folder, stripe=64, buckets=16)
