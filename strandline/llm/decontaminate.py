@@ -32,6 +32,8 @@ SHINGLE, BLOCK, STRIDE = 5, 4, 64
 WORD, STOP = re.compile(r"\w+"), re.compile(r"(?<=[.!?])\s+|\n+")
 #: Text of the items in one index, which takes about ten times that in memory; more items are indexed in several, by the statistics of all.
 INDEX_BYTES = 8 << 20
+#: Block maxima that are added up at once, but for one window's own: forty bytes each. Bytes of texts that are searched at once.
+AT_ONCE, SLICE = 1 << 18, 1 << 20
 
 
 def words(text: str | None) -> list[str]:
@@ -212,9 +214,14 @@ class Index:
         alone = inner | (n_blocks[owner] == 1)  # a last block's window lies in the one before
         cand = np.flatnonzero(alone & (bound >= 1 - 1e-9))
         lo, hi = np.searchsorted(kb, np.arange(total)), np.searchsorted(kb, np.arange(total), "right")
-        per = max(1, (1 << 22) // c.blocks)
-        for k in range(0, len(cand), per):
-            self._blocks(c, cand[k : k + per], inner, lo, hi, kt, owner, first_block, start, ids, size, out)
+        # A common term is in many blocks: windows are taken by what they add up, not by their number.
+        sums = np.concatenate([[0], np.cumsum(c.block_cut[kt + 1] - c.block_cut[kt])])
+        end = np.where(inner[cand], hi[np.minimum(cand + 1, len(hi) - 1)], hi[cand])
+        upto, k = np.cumsum(sums[end] - sums[lo[cand]] + c.blocks), 0
+        while k < len(cand):
+            e = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + AT_ONCE, "right")))
+            self._blocks(c, cand[k:e], inner, lo, hi, kt, owner, first_block, start, ids, size, out)
+            k = e
 
     def _blocks(self, c, cand, inner, lo, hi, kt, owner, first_block, start, ids, size, out) -> None:
         """Bound each window by blocks of items, then search and verify those left."""
@@ -300,7 +307,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
         def run(batches, held=held):
             index = held.value
-            for b in sliced(batches):
+            for b in sliced(batches, SLICE):
                 rows = []
                 for doc_id, got in zip(b.column(1).to_pylist(), index.search(b.column(0).to_pylist())):
                     rows += [(doc_id, index.ids[item], *map(float, x[:4]), x[4]) for item, x in sorted(got.items())]

@@ -1,6 +1,7 @@
 """Packing, licences, classifiers and decontamination."""
 
 import random
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -497,3 +498,16 @@ def test_parts_do_not_change_the_result(spark, docs_of, prose, monkeypatch):
     want = sorted(map(tuple, decontaminate.contaminated(docs, items).collect()))
     monkeypatch.setattr(decontaminate, "INDEX_BYTES", 900)
     assert len(want) > 10 and sorted(map(tuple, decontaminate.contaminated(docs, items).collect())) == want
+
+
+def test_a_search_holds_little_whatever_its_windows_meet():
+    r = random.Random(4)
+    common = [f"w{i}" for i in range(150)]
+    items = [(i, " ".join([*r.sample(common, 15), *(f"own{i}x{k}" for k in range(25))])) for i in range(3000)]
+    text = " ".join([*r.choices(common, k=4000), items[7][1]])
+    index = decontaminate.Index(items)
+    tracemalloc.start()
+    got = index.search([text])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[0].keys() == {7} and most < 25 << 20, most
