@@ -13,8 +13,8 @@ import heapq
 
 import numpy as np
 
-#: Texts that are read side by side, and positions whose states are held at once.
-LANES, HELD = 256, 1 << 18
+#: Texts that are read side by side; numbers that are held of bytes which one direction has read (50 MB, and twice that at most); steps that are labelled at once.
+LANES, HELD, BLOCK = 384, 12 << 20, 128
 
 
 def _sigmoid(a: np.ndarray) -> np.ndarray:
@@ -31,23 +31,31 @@ class BiGRU:
         self.p = {k: x.astype(np.float32) for k, x in p.items()}
 
     def _scan(self, xs: list[np.ndarray], h: np.ndarray, resets: list[dict], keep: np.ndarray | None, dirs: slice) -> np.ndarray:
-        """Read ``xs`` (for each direction, bytes [T, B] in its own order) from state ``h`` [D, H, B]; states go to ``keep`` [T, D, H, B].
+        """Read ``xs`` (for each direction, bytes [T, B] in its own order) from state ``h`` [D, H, B]; what each state says of its byte goes to ``keep`` [D, C, T, B].
 
         ``resets``: for each direction, which lanes begin a text at a step.
         """
         n, p = self.h, self.p
         # A gate is (1 + tanh(a / 2)) / 2; the halves go into the weights where they can.
         half = np.repeat(np.float32([0.5, 1]), [2 * n, n])[:, None]
-        table, u = ((p["wx"] + p["b"]) * half)[dirs], (p["u"] * np.float32(0.5))[dirs]
-        a, g, zr = (np.empty((len(xs), k * n, h.shape[2]), np.float32) for k in (3, 3, 2))
+        u, v = (p["u"] * np.float32(0.5))[dirs], p["v"][dirs]
+        # A byte's numbers side by side are taken at once and then turned, which beats picking them one by one.
+        table, taken = np.ascontiguousarray(((p["wx"] + p["b"]) * half)[dirs].transpose(0, 2, 1)), np.empty((h.shape[2], 3 * n), np.float32)
+        # One product gives a state's part of the gates and, behind them, what it says of the byte before.
+        w = u if keep is None else np.concatenate([u, v], 1)
+        a, g, zr = (np.empty((len(xs), k, h.shape[2]), np.float32) for k in (3 * n, w.shape[1], 2 * n))
         c, r, z = np.empty_like(h), zr[:, n:], zr[:, :n]
-        a_gates, a_new, g_gates, g_new, one, half = a[:, : 2 * n], a[:, 2 * n :], g[:, : 2 * n], g[:, 2 * n :], np.float32(1), np.float32(0.5)
+        a_gates, a_new, g_gates, g_new, one, half = a[:, : 2 * n], a[:, 2 * n :], g[:, : 2 * n], g[:, 2 * n : 3 * n], np.float32(1), np.float32(0.5)
         for t in range(len(xs[0])):
+            np.matmul(w, h, out=g)
+            if keep is not None and t:
+                keep[:, :, t - 1] = g[:, 3 * n :]
             for d, x in enumerate(xs):
-                table[d].take(x[t], axis=1, out=a[d], mode="clip")
+                table[d].take(x[t], axis=0, out=taken, mode="clip")
+                a[d] = taken.T
                 if (lanes := resets[d].get(t)) is not None:
                     h[d][:, lanes] = 0
-            np.matmul(u, h, out=g)
+                    g[d][:, lanes] = 0
             np.add(a_gates, g_gates, out=zr)
             np.tanh(zr, out=zr)
             np.add(zr, one, out=zr)
@@ -58,23 +66,43 @@ class BiGRU:
             np.multiply(h, z, out=h)
             np.multiply(h, half, out=h)
             np.add(h, c, out=h)
-            if keep is not None:
-                keep[t] = h
+        if keep is not None and len(xs[0]):
+            keep[:, :, -1] = np.matmul(v, h)
         return h
 
-    def pooled(self, texts: list[bytes], lanes: int = LANES, held: int = HELD) -> np.ndarray:
+    def pooled(self, texts: list[bytes], lanes: int = LANES, held: int | None = None) -> np.ndarray:
         """For each text, the sum over all its bytes of their class probabilities: [len(texts), C].
 
-        Texts follow one another in ``lanes`` of about equal length; a state
-        begins at zero with each text and is carried to its end. Where the
-        lanes are longer than ``held`` allows, they are read in stretches: a
-        first pass keeps the forward state before each stretch, then stretches
-        are read from the last to the first.
+        Texts are read longest first, a part at a time: those that ``held``
+        positions hold in ``lanes`` are read once, from both ends together;
+        longer ones stand in one part, whose states are found again.
         """
+        held = held or max(lanes, HELD // len(self.classes))
         out = np.zeros((len(texts), len(self.classes)))
         order = sorted((i for i, t in enumerate(texts) if t), key=lambda i: -len(texts[i]))
-        if not order:
-            return out
+        # Long ones stay together, as there are no more lanes than the longest text goes into all of them.
+        n = bisect.bisect_left(order, -(held // lanes), key=lambda i: -len(texts[i]))
+        parts, size = [order[:n]], held
+        for i in order[n:]:
+            if size + len(texts[i]) > held:
+                parts.append([])
+                size = 0
+            parts[-1].append(i)
+            size += len(texts[i])
+        for part in filter(None, parts):
+            self._read(texts, part, lanes, held, out)
+        return out
+
+    def _read(self, texts: list[bytes], order: list[int], lanes: int, held: int, out: np.ndarray) -> None:
+        """Add up the texts ``order``, longest first.
+
+        They follow one another in lanes of about equal length; a state begins
+        at zero with each text and is carried to its end. Both directions start
+        together; until they have met, what they say is held. Lanes that are
+        longer than ``held`` allows are read in stretches: a first pass keeps
+        the forward state before each stretch, then stretches are read from the
+        last to the first.
+        """
         total = sum(len(texts[i]) for i in order)
         lanes = min(lanes, len(order), -(-total // len(texts[order[0]])) + 1)
         heap, dealt, starts = [(0, k) for k in range(lanes)], [[] for _ in range(lanes)], [[] for _ in range(lanes)]
@@ -92,9 +120,8 @@ class BiGRU:
             for at, end in zip(starts[k], [*starts[k][1:], size]):
                 begins.setdefault(at, []).append(k)
                 ends.setdefault(end - 1, []).append(k)
-            dealt[k].append(len(texts))  # owns what is behind the last text
             starts[k].append(size)
-        stretch = max(1, held // lanes)
+        stretch = steps if steps * lanes <= 2 * held else max(1, held // lanes)
         cuts = [*range(0, steps, stretch), steps]
         state = np.zeros((1, self.h, lanes), np.float32)
         before = [state.copy()]
@@ -102,33 +129,42 @@ class BiGRU:
             state = self._scan([x[a:b]], state, [{t - a: begins[t] for t in range(a, b) if t in begins}], None, slice(0, 1))
             before.append(state.copy())
         back = np.zeros((1, self.h, lanes), np.float32)
-        v, c = self.p["v"], self.p["c"]
-        keep = np.empty((min(stretch, steps), 2, self.h, lanes), np.float32)
         for a, b in reversed(list(zip(cuts, cuts[1:]))):
-            n = b - a
-            resets = [{t - a: begins[t] for t in range(a, b) if t in begins}, {b - 1 - t: ends[t] for t in range(a, b) if t in ends}]
-            h = self._scan([x[a:b], x[a:b][::-1]], np.concatenate([before.pop(), back]), resets, keep[:n], slice(0, 2))
+            h, met = np.concatenate([before.pop(), back]), {}
+            # Blocks lie alike from either end, so that both directions come to the same ones.
+            front = range(0, (b - a + 1) // 2, BLOCK)
+            edges = sorted({*front, *(b - a - k for k in front)})
+            blocks = [(a + k, a + e) for k, e in zip(edges, edges[1:])]
+            for (k, e), (s, f) in zip(blocks, reversed(blocks)):
+                resets = [{t - k: begins[t] for t in range(k, e) if t in begins}, {f - 1 - t: ends[t] for t in range(s, f) if t in ends}]
+                keep = np.empty((2, len(self.classes), e - k, lanes), np.float32)
+                h = self._scan([x[k:e], x[s:f][::-1]], h, resets, keep, slice(0, 2))
+                if k < s:
+                    met[k], met[s] = keep[0], keep[1][:, ::-1]
+                    continue
+                forth, back = keep[0], keep[1][:, ::-1]
+                self._add_up(forth + (back if k == s else met.pop(k)), k, dealt, starts, out)
+                if k > s:
+                    self._add_up(met.pop(s) + back, s, dealt, starts, out)
             back = h[1:].copy()
-            place = [bisect.bisect_right(s, a) - 1 for s in starts]
-            for k in range(0, n, 512):
-                e = min(n, k + 512)
-                q = np.matmul(v[0], keep[k:e, 0])
-                q += np.matmul(v[1], keep[n - e : n - k, 1][::-1])
-                q += c
-                q -= q.max(1, keepdims=True)
-                np.exp(q, out=q)
-                q /= q.sum(1, keepdims=True)
-                who = np.empty((e - k, lanes), np.int64)
-                for lane, s in enumerate(starts):  # whose bytes these are
-                    at = k
-                    while at < e:
-                        upto = s[place[lane] + 1] - a if place[lane] + 1 < len(s) else e
-                        who[at - k : min(upto, e) - k, lane] = dealt[lane][place[lane]]
-                        at = min(upto, e)
-                        place[lane] += upto <= e and place[lane] + 1 < len(s)
-                for j in range(len(self.classes)):
-                    out[:, j] += np.bincount(who.ravel(), q[:, j].ravel(), len(texts) + 1)[:-1]
-        return out
+
+    def _add_up(self, q: np.ndarray, first: int, dealt: list[list[int]], starts: list[list[int]], out: np.ndarray) -> None:
+        """Turn ``q`` [C, T, B] into probabilities of the bytes from ``first`` on, and add them to their texts."""
+        q += self.p["c"][:, :, None]
+        q -= q.max(0)
+        np.exp(q, out=q)
+        q /= q.sum(0)
+        end, whole, own = first + q.shape[1], q.sum(1), np.full(q.shape[2], -1)
+        for lane, s in enumerate(starts):  # whose bytes these are
+            i, at = bisect.bisect_right(s, first) - 1, first
+            if i + 1 < len(s) and s[i + 1] >= end:
+                own[lane], at = dealt[lane][i], end
+            while i + 1 < len(s) and at < end:
+                upto = min(s[i + 1], end)
+                out[dealt[lane][i]] += q[:, at - first : upto - first, lane].sum(1)
+                at, i = upto, i + 1
+        one = own >= 0
+        out[own[one]] += whole[:, one].T
 
     def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross entropy over all positions of the windows ``x`` [T, B] of classes ``y`` [B], and its gradient."""

@@ -22,7 +22,7 @@ from .common import quoted
 #: windows of these many bytes, placed by hash over the whole text.
 SAMPLE, WINDOWS, LENGTHS = 300, 8, (16, 64)
 #: Bytes of text that are read side by side.
-GROUP = 16 << 20
+GROUP = 32 << 20
 #: A text of this many bytes is rejected where more than this share of them is no language's. Shorter ones tell too little.
 TELLING, MOST_NOISE = 256, 0.8
 UNDETERMINED, NOISE = "und", ""

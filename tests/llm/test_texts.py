@@ -511,3 +511,12 @@ def test_a_search_holds_little_whatever_its_windows_meet():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert got[0].keys() == {7} and most < 25 << 20, most
+
+
+def test_short_texts_are_read_once_each_way(monkeypatch):
+    net, read, scan = BiGRU(["a", "b", ""], hidden=2), [], BiGRU._scan
+    monkeypatch.setattr(BiGRU, "_scan", lambda self, xs, *rest: read.append(sum(x.size for x in xs)) or scan(self, xs, *rest))
+    r = random.Random(2)
+    texts = [bytes(r.choices(b"abcdef ", k=r.randrange(1, 1500))) for _ in range(1500)]
+    got = net.pooled(texts)
+    assert np.allclose(got.sum(1), list(map(len, texts)), rtol=1e-4) and sum(read) < 2.2 * sum(map(len, texts))
