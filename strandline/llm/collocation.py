@@ -7,7 +7,9 @@ pass: a phrase is done when a suffix comes that does not begin with it. The
 parts of a phrase are phrases themselves, so scores are a join of the counts.
 
 Three things keep this bounded. A suffix ends before a word that is too rare
-for any phrase; a bitmap of fixed size says which words may not be. Equal
+for any phrase, and before one that follows too rarely on the word before;
+bitmaps of fixed size say which words and which pairs may not be. What ends
+with its first word is not a suffix any more: words are counted before. Equal
 suffixes are counted where they are read. And the words of all languages are
 dealt by ranges of suffixes that a sample has balanced: a range is cut between
 first words, but within one whose suffixes fill several ranges, and the counts
@@ -38,6 +40,8 @@ SAMPLE, SAMPLE_BYTES, A_RANGE = 20_000, 96, 1_000_000
 WINDOW = 1 << 20
 #: Bits of the bitmap of frequent words, at least and at most: 32 MB.
 BITS = (1 << 20, 1 << 28)
+#: Pairs of words that a task gathers before it counts them.
+PAIRS = 1 << 22
 
 GAP = b"\x00"
 
@@ -73,16 +77,16 @@ def _coded(w, lang: np.ndarray, names: list[str]):
     return code, kinds // n, coded.dictionary.take(pa.array(kinds % n))
 
 
-def _suffixes(code: np.ndarray, piece: np.ndarray, longest: int, stop: np.ndarray | None = None) -> np.ndarray:
-    """For each word the codes of its suffix, -1 behind its end; a suffix ends before a code of ``stop``."""
+def _suffixes(code: np.ndarray, piece: np.ndarray, longest: int, goes_on: np.ndarray | None = None) -> np.ndarray:
+    """For each word the codes of its suffix, -1 behind its end; a suffix ends behind a word that does not go on."""
     n = len(code)
     out = np.full((n, longest), -1, np.int32)
-    alive = np.ones(n, bool) if stop is None else ~stop[code]
-    out[alive, 0] = code[alive]
+    alive = np.ones(n, bool)
+    out[:, 0] = code
     for k in range(1, min(longest, n)):
         alive = alive[:-1] & (piece[k:] == piece[: n - k])
-        if stop is not None:
-            alive &= ~stop[code[k:]]
+        if goes_on is not None:
+            alive &= goes_on[k - 1 : n - 1]
         at = np.flatnonzero(alive)
         out[at, k] = code[at + k]
     return out
@@ -138,17 +142,113 @@ def bitmap_of(frequent: DataFrame) -> np.ndarray:
     return out
 
 
-def ranges_of(sample: list[tuple[str, str]], bitmap: np.ndarray, n: int, longest: int) -> list[bytes]:
+def _hashes(lang: list[str], word: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(f"{x}\x00{w}") for x, w in zip(lang, word)], np.uint64)
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The place of two words that follow each other, by their hashes, among 1 << 28."""
+    mixed = (a * np.uint64(0x9E3779B97F4A7C15)) ^ b
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    return mixed >> np.uint64(36)
+
+
+def _frequent(at: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Which places of a bitmap are set; places beyond its end fold back into it."""
+    at = at & np.uint64(8 * len(bitmap) - 1)
+    return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1) == 1
+
+
+def _known(names: list[str], which: np.ndarray, text: list[str], bitmap: np.ndarray) -> np.ndarray:
+    """Which of the words may be frequent."""
+    bits = len(bitmap) * 8
+    return _frequent(np.array([_bit(names[k], x, bits) for k, x in zip(which, text)], np.uint64), bitmap)
+
+
+def _pairs_counted(held, blocks: int):
+    """Pairs of neighbours that may both be frequent, as ``k, at, n``: for a block of 65,536 places, those met and how often."""
+
+    def out(met: list[np.ndarray]):
+        place, n = np.unique(np.concatenate(met), return_counts=True)
+        edge = np.flatnonzero(np.append(True, place[1:] >> 16 != place[:-1] >> 16))
+        ends = np.append(edge, len(place)).astype(np.int32)
+        low, n = place.astype(np.uint16), n.astype(np.uint8 if n.max() < 256 else np.uint32)
+        width = n.dtype.itemsize
+        binary = lambda x, w: pa.BinaryArray.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer(ends * np.int32(w)), pa.py_buffer(x)])
+        return pa.RecordBatch.from_arrays([pa.array((place[edge] >> 16).astype(np.int32)), binary(low, 2), binary(n, width)], names=["k", "at", "n"])
+
+    def count(batches):
+        bitmap, met, size = held.value, [], 0
+        for b in batches:
+            lang, names = _langs(b.column(1))
+            for w in words(b, PIECES, 1, WINDOW):
+                code, which, text = _coded(w, lang, names)
+                text = text.to_pylist()
+                ok, h = _known(names, which, text, bitmap), _hashes([names[k] for k in which], text)
+                both = ok[code[:-1]] & ok[code[1:]] & (w.piece[1:] == w.piece[:-1])
+                both[len(code) - w.ahead :] = False
+                first = np.flatnonzero(both)
+                met.append((_pair(h[code[first]], h[code[first + 1]]) % np.uint64(blocks << 16)).astype(np.uint32))
+                size += len(first)
+                if size >= PAIRS:
+                    yield out(met)
+                    met, size = [], 0
+        if size:
+            yield out(met)
+
+    return count
+
+
+def _pairs_summed(least: int):
+    """Bits of a block's places with ``least`` occurrences, and how many these have; rows of a block follow each other."""
+
+    def out(k: int, total: np.ndarray):
+        often = total >= least
+        return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(often, bitorder="little").tobytes()], pa.binary()), pa.array([int(total[often].sum())], pa.int64())], names=["k", "bits", "n"])
+
+    def add(batches):
+        now, total = None, None
+        for b in batches:
+            for k, at, n in zip(*(c.to_pylist() for c in b.columns)):
+                if k != now:
+                    if total is not None:
+                        yield out(now, total)
+                    now, total = k, np.zeros(1 << 16, np.int64)
+                at = np.frombuffer(at, np.uint16)
+                total[at] += np.frombuffer(n, np.uint8 if len(n) == len(at) else np.uint32)
+        if total is not None:
+            yield out(now, total)
+
+    return add
+
+
+def pairs_of(texts: DataFrame, held, total: int, least: int) -> tuple[np.ndarray, int]:
+    """A bitmap of the pairs of neighbours that may have ``least`` occurrences, and how many occurrences these have about.
+
+    Occurrences are counted by a hash of the pair, in as many places as the
+    texts have words for every eight, 1 << 28 at most: pairs that share a place
+    are added up, so that no frequent one is missed.
+    """
+    blocks = min(max(1 << (total >> 19).bit_length(), 4), 1 << 12)
+    parts = min(blocks, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = texts.mapInArrow(_pairs_counted(held, blocks), "k int, at binary, n binary").repartition(parts, "k").sortWithinPartitions("k")
+    rows = dealt.mapInArrow(_pairs_summed(least), "k int, bits binary, n long").collect()  # 8 KB a block
+    bitmap = np.zeros(blocks << 13, np.uint8)
+    for r in rows:
+        bitmap[r.k << 13 : (r.k + 1) << 13] = np.frombuffer(bytes(r.bits), np.uint8)
+    return bitmap, sum(r.n for r in rows)
+
+
+def ranges_of(sample: list[tuple[str, str]], bitmap: np.ndarray, pairs: np.ndarray, n: int, longest: int) -> list[bytes]:
     """Keys at which ``n`` ranges begin: the quantiles of a sample, put back to the beginning of their first word where the range before does not begin within it."""
-    bits, keys = len(bitmap) * 8, []
+    keys = []
     for lang, text in sample:
-        kept = []
-        for w in text.split(" ")[:longest]:
-            at = _bit(lang, w, bits)
-            if not bitmap[at >> 3] >> (at & 7) & 1:
-                break
-            kept.append(w)
-        if kept:
+        w = text.split(" ")[:longest]
+        ok, h = _known([lang], np.zeros(len(w), int), w, bitmap), _hashes([lang] * len(w), w)
+        goes_on = ok[:-1] & ok[1:] & _frequent(_pair(h[:-1], h[1:]), pairs)
+        kept = w[: int(np.append(goes_on, False).argmin()) + 1]
+        if len(kept) > 1:
             keys.append(GAP.join(x.encode() for x in _escaped(pa.array([lang, *kept], pa.string())).to_pylist()))
     keys.sort()
     cuts: list[bytes] = []
@@ -163,22 +263,24 @@ def ranges_of(sample: list[tuple[str, str]], bitmap: np.ndarray, n: int, longest
     return cuts
 
 
-def _emitted(held, cuts, longest: int):
-    """``part, key, n``: different suffixes of a window, with the range that each lies in."""
+def _emitted(held, pairs, cuts, longest: int):
+    """``part, key, n``: different suffixes of a window, of two words at least, with the range that each lies in."""
 
     def emit(batches):
-        bitmap, at_cut = held.value, cuts.value
-        bits = len(bitmap) * 8
+        bitmap, often, at_cut = held.value, pairs.value, cuts.value
         for b in batches:
             lang, names = _langs(b.column(1))
             safe = _escaped(pa.array(names, pa.string())).to_pylist()
             for w in words(b, PIECES, longest - 1, WINDOW):
                 code, which, text = _coded(w, lang, names)
-                at = np.array([_bit(names[k], x, bits) for k, x in zip(which, text.to_pylist())], np.int64)
-                rare = (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1) == 0
-                suffix = _suffixes(code, w.piece, longest, rare)
+                told = text.to_pylist()
+                ok, h = _known(names, which, told, bitmap), _hashes([names[k] for k in which], told)
+                goes_on = ok[code[:-1]] & ok[code[1:]]
+                at = np.flatnonzero(goes_on)
+                goes_on[at] = _frequent(_pair(h[code[at]], h[code[at + 1]]), often)
+                suffix = _suffixes(code, w.piece, longest, goes_on)
                 suffix = suffix[: len(code) - w.ahead]
-                suffix = suffix[suffix[:, 0] >= 0]
+                suffix = suffix[suffix[:, 1] >= 0]
                 if not len(suffix):
                     continue
                 suffix, n = _different(suffix, len(which))
@@ -360,17 +462,22 @@ def phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, a_range
     counts = seen.where("h is null")
     total = counts.groupBy("lang").agg(F.sum("n").alias("n"))
     frequent = counts.where(F.col("n") >= least)
+    single = frequent.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), F.col("n").alias("f"))
+    if longest < 2:
+        return single, total
     bitmap = bitmap_of(frequent)
-    many = frequent.agg(F.sum("n")).first()[0] or 0
+    sc = spark.sparkContext
+    held = sc.broadcast(bitmap)
+    pairs, many = pairs_of(texts, held, frequent.agg(F.sum("n")).first()[0] or 0, least)
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-many // a_range))
     picked = seen.where("h is not null").orderBy("h").limit(max(SAMPLE, 20 * ranges)).select("lang", F.substring("word", 1, 16 * SAMPLE_BYTES).alias("word")).collect()
-    cuts = ranges_of([(r.lang, r.word) for r in picked], bitmap, ranges, longest)
-    sc = spark.sparkContext
-    suffixes = texts.mapInArrow(_emitted(sc.broadcast(bitmap), sc.broadcast(cuts), longest), "part int, key binary, n long")
+    cuts = ranges_of([(r.lang, r.word) for r in picked], bitmap, pairs, ranges, longest)
+    suffixes = texts.mapInArrow(_emitted(held, sc.broadcast(pairs), sc.broadcast(cuts), longest), "part int, key binary, n long")
     dealt = suffixes.repartition(ranges, "part").sortWithinPartitions(F.desc("key"))  # ranges follow each other by key
     found = dealt.mapInArrow(_stacked(longest, least), "lang string, phrase string, size int, f long")
-    # What reaches over a cut has several counts.
-    return found.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least), total
+    # What reaches over a cut has several counts. Words were counted at first: here only those that begin a frequent pair are met.
+    found = found.where("size > 1").groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    return found.unionByName(single), total
 
 
 def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, covered: int = COVERED, top: int = TOP, a_range: int = A_RANGE) -> DataFrame:

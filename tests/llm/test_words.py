@@ -170,3 +170,16 @@ def test_a_stack_over_batches_and_ranges():
         for key, n in stack.take():
             got[key] += n
         assert {k: n for k, n in got.items() if n >= 7} == {k: n for k, n in want.items() if n >= 7}
+
+
+def test_a_suffix_ends_before_a_pair_that_is_too_rare(spark, docs_of):
+    r = random.Random(3)
+    rows = [(i, " ".join([*r.sample([f"w{k}" for k in range(60)], 60), "new", "york", "city"]) + ".", "en") for i in range(40)]
+    texts = docs_of(rows).selectExpr("cast(text as binary) text", "lang")
+    words = [(f"w{k}",) for k in range(60)] + [("new",), ("york",), ("city",)]
+    held = spark.sparkContext.broadcast(collocation.bitmap_of(spark.createDataFrame(words, "word string").selectExpr("'en' lang", "word")))
+    pairs, many = collocation.pairs_of(texts, held, 1 << 24, 40)
+    assert many == 80
+    sc = spark.sparkContext
+    got = texts.mapInArrow(collocation._emitted(held, sc.broadcast(pairs), sc.broadcast([]), 5), "part int, key binary, n long").groupBy("key").sum("n").collect()
+    assert {(bytes(x[0]), x[1]) for x in got} == {(b"en\x00new\x00york\x00city", 40), (b"en\x00york\x00city", 40)}
