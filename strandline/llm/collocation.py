@@ -226,9 +226,9 @@ def _pairs_summed(least: int):
 def pairs_of(texts: DataFrame, held, total: int, least: int) -> tuple[np.ndarray, int]:
     """A bitmap of the pairs of neighbours that may have ``least`` occurrences, and how many occurrences these have about.
 
-    Occurrences are counted by a hash of the pair, in as many places as the
-    texts have words for every eight, 1 << 28 at most: pairs that share a place
-    are added up, so that no frequent one is missed.
+    Occurrences are counted by a hash of the pair, with a place for every four
+    to eight of ``total`` words, 1 << 28 at most: pairs that share a place are
+    added up, so that no frequent one is missed.
     """
     blocks = min(max(1 << (total >> 19).bit_length(), 4), 1 << 12)
     parts = min(blocks, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
